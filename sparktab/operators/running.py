@@ -20,14 +20,19 @@ from ..session import shuffle_partitions
 MAX_OFFSET_ROWS = 2_000_000
 
 
-def running_sums(df: DataFrame, group: Sequence[str], order: str,
+def running_sums(df: DataFrame, group: Sequence[str], order,
                  sums: Sequence[str], descending: bool = False,
                  buckets: int | None = None, prefix: str = "cum_") -> DataFrame:
+    """Inclusive running sums of ``sums`` per ``group`` in ``order``.  When
+    ``order`` is a list, buckets are cut on its first column and the rest
+    break ties, so row-level ranks are exact and deterministic."""
     group = list(group)
+    orders = [order] if isinstance(order, str) else list(order)
+    order = orders[0]
     nb = buckets or shuffle_partitions(df.sparkSession)
-    ordered = F.col(order).desc() if descending else F.col(order).asc()
+    ordered = [F.col(o).desc() if descending else F.col(o).asc() for o in orders]
     if nb <= 1:
-        w = Window.partitionBy(*group).orderBy(ordered).rowsBetween(
+        w = Window.partitionBy(*group).orderBy(*ordered).rowsBetween(
             Window.unboundedPreceding, Window.currentRow)
         return df.select("*", *[F.sum(s).over(w).alias(prefix + s) for s in sums])
 
@@ -48,7 +53,7 @@ def running_sums(df: DataFrame, group: Sequence[str], order: str,
     offsets = totals.select(*group, "_bkt", *[
         F.coalesce(F.sum(s).over(wo), F.lit(0)).alias("_off_" + s) for s in sums])
 
-    wi = Window.partitionBy(*group, "_bkt").orderBy(ordered).rowsBetween(
+    wi = Window.partitionBy(*group, "_bkt").orderBy(*ordered).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     inner = x.select("*", *[F.sum(s).over(wi).alias("_in_" + s) for s in sums])
     out = inner.join(F.broadcast(offsets), group + ["_bkt"])
