@@ -60,12 +60,23 @@ def hist_bin(c, lo, hi, bins: int) -> Column:
     return b
 
 
+def rnd(c, digits: int = 6) -> Column:
+    """Round half away from zero on the binary value: sign·⌊|x|·10^d + ½⌋/10^d
+    in plain IEEE double arithmetic (``%`` is exact), so every engine that
+    rounds the binary value gets the same digits.  ``round`` instead rounds
+    the shortest decimal string and differs on ties such as 0.2408125."""
+    x = col(c).cast("double")
+    scale = float(10 ** digits)
+    y = F.abs(x) * F.lit(scale) + F.lit(0.5)
+    return F.signum(x) * (y - (y % F.lit(1.0))) / F.lit(scale)
+
+
 def round_all(df, digits: int = 6, exclude: Sequence[str] = ()):
     """Round every double column (stable comparison across engines)."""
     out = []
     for name, dtype in df.dtypes:
         if dtype in ("double", "float") and name not in exclude:
-            out.append(F.round(F.col(name), digits).alias(name))
+            out.append(rnd(F.col(name), digits).alias(name))
         else:
             out.append(F.col(name))
     return df.select(out)

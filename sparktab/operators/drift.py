@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import hist_bin, unpivot_numeric, unpivot_string
+from ..functions.exprs import rnd, hist_bin, unpivot_numeric, unpivot_string
 from ..functions.stats import chi2_sf, ks_pvalue
 from .running import running_sums
 
@@ -107,9 +107,9 @@ def drift_numeric(ref: DataFrame, cur: DataFrame, columns: Sequence[str],
     out = base.select(
         "ordinal", "column", F.lit("numerical").alias("kind"),
         F.col("n_ref").cast("bigint").alias("n_ref"), F.col("n_cur").cast("bigint").alias("n_cur"),
-        ok(F.round("ks_d", 4)).cast("double").alias("ks_statistic"),
-        ok(F.round(p_raw, 4)).cast("double").alias("ks_pvalue"),
-        ok(F.round("psi_raw", 4)).cast("double").alias("psi"),
+        ok(rnd("ks_d", 4)).cast("double").alias("ks_statistic"),
+        ok(rnd(p_raw, 4)).cast("double").alias("ks_pvalue"),
+        ok(rnd("psi_raw", 4)).cast("double").alias("psi"),
         ok(psi_label("psi_raw")).alias("drift_label"),
         ok(psi_color("psi_raw")).alias("drift_color"),
         ok((F.col("psi_raw") >= PSI_NONE) | (p_raw < ALPHA)).cast("boolean").alias("drifted"),
@@ -185,9 +185,9 @@ def drift_categorical(ref: DataFrame, cur: DataFrame, columns: Sequence[str]) ->
     return base.select(
         "ordinal", "column", F.lit("categorical").alias("kind"),
         F.col("n_ref").cast("bigint").alias("n_ref"), F.col("n_cur").cast("bigint").alias("n_cur"),
-        F.round("chi2_raw", 4).cast("double").alias("chi2_statistic"),
-        F.round("chi2_p_raw", 4).cast("double").alias("chi2_pvalue"),
-        F.round(F.coalesce("psi_raw", F.lit(0.0)), 4).alias("psi"),
+        rnd("chi2_raw", 4).cast("double").alias("chi2_statistic"),
+        rnd("chi2_p_raw", 4).cast("double").alias("chi2_pvalue"),
+        rnd(F.coalesce("psi_raw", F.lit(0.0)), 4).alias("psi"),
         psi_label(F.coalesce("psi_raw", F.lit(0.0))).alias("drift_label"),
         psi_color(F.coalesce("psi_raw", F.lit(0.0))).alias("drift_color"),
         ((F.coalesce("psi_raw", F.lit(0.0)) >= PSI_NONE)
@@ -233,7 +233,7 @@ def drift_summary(report: DataFrame) -> DataFrame:
         F.count("*").cast("bigint").alias("total_columns"),
         F.count_if(valid).cast("bigint").alias("tested_columns"),
         F.count_if(valid & F.col("drifted")).cast("bigint").alias("drifted_columns"),
-        F.coalesce(F.round(F.try_divide(F.count_if(valid & F.col("drifted")).cast("double"),
+        F.coalesce(rnd(F.try_divide(F.count_if(valid & F.col("drifted")).cast("double"),
                                         F.count_if(valid).cast("double")), 3),
                    F.lit(0.0)).alias("drift_rate"),
         F.coalesce(F.max(F.when(valid, F.col("psi"))), F.lit(0.0)).alias("max_psi"),
@@ -253,9 +253,9 @@ def overlay_numeric(ref: DataFrame, cur: DataFrame, column: str, bins: int = 30)
                              F.first("lo").alias("lo"), F.first("hi").alias("hi"))
     step = (F.col("hi") - F.col("lo")) / float(bins)
     return g.select(F.col("bin").cast("bigint").alias("bin"),
-                    F.round(F.col("lo") + F.col("bin") * step, 6).alias("bin_lo"),
-                    F.round(F.try_divide(F.col("a"), F.col("na")), 6).alias("ref_share"),
-                    F.round(F.try_divide(F.col("b"), F.col("nb")), 6).alias("cur_share"))
+                    rnd(F.col("lo") + F.col("bin") * step, 6).alias("bin_lo"),
+                    rnd(F.try_divide(F.col("a"), F.col("na")), 6).alias("ref_share"),
+                    rnd(F.try_divide(F.col("b"), F.col("nb")), 6).alias("cur_share"))
 
 
 def overlay_categorical(ref: DataFrame, cur: DataFrame, column: str) -> DataFrame:
@@ -265,7 +265,7 @@ def overlay_categorical(ref: DataFrame, cur: DataFrame, column: str) -> DataFram
         g = df.groupBy(F.col(column).cast("string").alias("category")).agg(F.count("*").alias("n"))
         tot = df.agg(F.count("*").alias("N"))
         return g.crossJoin(F.broadcast(tot)).select(
-            "category", F.round(F.try_divide(F.col("n"), F.col("N")), 6).alias(name))
+            "category", rnd(F.try_divide(F.col("n"), F.col("N")), 6).alias(name))
     r, c = shares(ref, "ref_share"), shares(cur, "cur_share")
     j = r.join(c, r["category"].eqNullSafe(c["category"]), "full_outer")
     return j.select(F.coalesce(r["category"], c["category"]).alias("category"),

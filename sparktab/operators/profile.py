@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import hist_bin, pearson, unpivot_numeric
+from ..functions.exprs import rnd, hist_bin, pearson, unpivot_numeric
 from ..functions.keys import hash_int
 from .kinds import NUMERIC_TYPES, detect_kinds
 from .quantiles import exact_quantiles, quantile_wide, value_counts
@@ -56,7 +56,7 @@ def missing_values(df: DataFrame) -> DataFrame:
     g = _missing_long(df).groupBy("column").agg(F.sum("m").cast("bigint").alias("missing_count"),
                                                  F.count("*").alias("n"))
     return g.select("column", "missing_count",
-                    F.coalesce(F.round(F.try_divide(F.col("missing_count") * 100.0, F.col("n")), 2),
+                    F.coalesce(rnd(F.try_divide(F.col("missing_count") * 100.0, F.col("n")), 2),
                                F.lit(0.0)).alias("missing_percentage"))
 
 
@@ -69,7 +69,7 @@ def missing_report(df: DataFrame) -> DataFrame:
     sev = (F.when(F.col("ratio") > MISSING_HIGH, "high")
            .when(F.col("ratio") > MISSING_MEDIUM, "medium").otherwise("low"))
     return (g.crossJoin(F.broadcast(n_high))
-            .select("column", F.round("ratio", 6).alias("missing_ratio"), sev.alias("severity"),
+            .select("column", rnd("ratio", 6).alias("missing_ratio"), sev.alias("severity"),
                     "n_high_columns")
             .orderBy(F.desc("missing_ratio"), "column"))
 
@@ -118,7 +118,7 @@ def dataset_summary(df: DataFrame) -> DataFrame:
     return j.select(
         "rows", F.lit(n_cols).cast("bigint").alias("columns"), "total_missing",
         F.when(F.col("rows") * n_cols > 0,
-               F.round(F.col("total_missing") * 100.0 / (F.col("rows") * n_cols), 2))
+               rnd(F.col("total_missing") * 100.0 / (F.col("rows") * n_cols), 2))
         .otherwise(F.lit(0.0)).alias("missing_percentage"),
         (F.col("rows") - F.col("n_groups")).alias("duplicate_rows"),
         "n_numerical", "n_categorical", "n_datetime", "n_text")
@@ -174,7 +174,7 @@ def class_balance(df: DataFrame, target: str) -> DataFrame:
         F.count("*").cast("bigint").alias("count"))
     return (g.crossJoin(F.broadcast(tot))
             .select("class", "count",
-                    F.round(F.col("count") * 100.0 / F.col("n_all"), 2).alias("percentage"))
+                    rnd(F.col("count") * 100.0 / F.col("n_all"), 2).alias("percentage"))
             .orderBy(F.desc("count"), "class"))
 
 
@@ -193,7 +193,7 @@ def near_constant(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
     reason = (F.when(num & (F.col("n_unique") < NEAR_CONSTANT_MIN_UNIQUE), "few_unique")
               .when(num, "dominant_value").otherwise("single_value"))
     return j.where(flag).select("column", "kind", "n_unique",
-                                F.round(share, 6).alias("top_share"), reason.alias("reason"))
+                                rnd(share, 6).alias("top_share"), reason.alias("reason"))
 
 
 def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None,
@@ -214,7 +214,7 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None,
                      F.col("n")).otherwise(0)).cast("bigint").alias("outlier_count"),
         F.sum("n").alias("n"))
     out = out.select("column", "q1", "q3", "lower", "upper", "outlier_count",
-                     F.round(F.col("outlier_count") * 100.0 / F.col("n"), 2).alias("outlier_pct"))
+                     rnd(F.col("outlier_count") * 100.0 / F.col("n"), 2).alias("outlier_pct"))
     return out.where(F.col("outlier_count") > 0) if only_flagged else out
 
 

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.exprs import round_all
+from ..functions.exprs import rnd, round_all
 from ..operators import metrics as M
 from ..operators import split as S
 from .fixtures import (BINARY_SQL, CLASSES, EMBED_SQL, MULTICLASS_SQL, REGRESSION_SQL, binary_preds,
@@ -116,7 +116,7 @@ SELECT round(mse, 4) AS mse, round(sqrt(mse), 6) AS rmse, round(mae, 6) AS mae,
   round(CASE WHEN sst = 0 THEN CASE WHEN sse = 0 THEN 1.0 ELSE 0.0 END ELSE 1 - sse / sst END, 6) AS r2 FROM r""")
 def metrics_regression(spark, sf):
     r = M.regression_metrics(regression_preds(spark, sf), "y", "p")
-    return r.select(F.round("mse", 4).alias("mse"), *[F.round(c, 6).alias(c) for c in ("rmse", "mae", "r2")])
+    return r.select(rnd("mse", 4).alias("mse"), *[rnd(c, 6).alias(c) for c in ("rmse", "mae", "r2")])
 
 
 @query("residual_histogram", f"""WITH {REGRESSION_SQL}, r AS (SELECT y - p AS resid FROM rp),
