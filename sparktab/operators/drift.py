@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import rnd, hist_bin, unpivot_numeric, unpivot_string
 from ..functions.stats import chi2_sf, ks_pvalue
-from .running import running_sums
+from .running import running_sums, sized
 
 # PSI bands, test level, histogram size, smoothing constant and
 # minimum sample size of the reference monitoring rules.
@@ -52,14 +52,24 @@ def _names(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                                  "column string, ordinal int")
 
 
-def value_counts_two_sided(ref: DataFrame, cur: DataFrame, columns: Sequence[str],
+def with_sides(df: DataFrame, is_current) -> DataFrame:
+    """One-table form: ``_side`` = 1 where ``is_current`` holds, else 0.
+    Passing the result as ``ref`` with ``cur=None`` scans the table once."""
+    return df.withColumn("_side", F.when(is_current, F.lit(1)).otherwise(F.lit(0)))
+
+
+def value_counts_two_sided(ref: DataFrame, cur: DataFrame | None, columns: Sequence[str],
                            numeric: bool) -> DataFrame:
     """(column, value, a, b): per-value counts in reference (a) and current
     (b).  Numeric: nulls and NaN dropped.  Categorical: a null value keeps
-    its group with zero counts so it still counts as an observed category."""
+    its group with zero counts so it still counts as an observed category.
+    ``cur=None``: ``ref`` carries a ``_side`` column (see :func:`with_sides`)."""
     unp = unpivot_numeric if numeric else unpivot_string
-    long = (unp(ref, columns).withColumn("_side", F.lit(0))
-            .unionByName(unp(cur, columns).withColumn("_side", F.lit(1))))
+    if cur is None:
+        long = unp(ref, columns, ids=["_side"])
+    else:
+        long = (unp(ref, columns).withColumn("_side", F.lit(0))
+                .unionByName(unp(cur, columns).withColumn("_side", F.lit(1))))
     v = F.col("value")
     if numeric:
         long = long.where(v.isNotNull() & ~F.isnan(v))
@@ -71,16 +81,16 @@ def value_counts_two_sided(ref: DataFrame, cur: DataFrame, columns: Sequence[str
         F.count_if((F.col("_side") == 1) & present).alias("b"))
 
 
-def drift_numeric(ref: DataFrame, cur: DataFrame, columns: Sequence[str],
+def drift_numeric(ref: DataFrame, cur: DataFrame | None, columns: Sequence[str],
                   bins: int = PSI_BINS, min_values: int = MIN_VALUES) -> DataFrame:
     """D1 + D2: KS statistic and p-value, PSI over ``bins`` equal-width bins
     of the combined range (additive eps smoothing), label and verdict."""
-    counts = value_counts_two_sided(ref, cur, columns, numeric=True)
+    counts, n_counts = sized(value_counts_two_sided(ref, cur, columns, numeric=True))
     stats = counts.groupBy("column").agg(
         F.sum("a").alias("n_ref"), F.sum("b").alias("n_cur"),
         F.min("value").alias("lo"), F.max("value").alias("hi"))
 
-    cum = running_sums(counts, ["column"], "value", ["a", "b"])
+    cum = running_sums(counts, ["column"], "value", ["a", "b"], n_rows=n_counts)
     ks = (cum.join(F.broadcast(stats), "column")
           .groupBy("column")
           .agg(F.max(F.abs(F.try_divide(F.col("cum_a"), F.col("n_ref"))
@@ -174,9 +184,9 @@ def chi2_from_counts(counts: DataFrame, group: Sequence[str] = ("column",)) -> D
                       F.when(valid, chi2_sf(F.col("stat"), F.col("k") - 1)).alias("chi2_p_raw"))
 
 
-def drift_categorical(ref: DataFrame, cur: DataFrame, columns: Sequence[str]) -> DataFrame:
+def drift_categorical(ref: DataFrame, cur: DataFrame | None, columns: Sequence[str]) -> DataFrame:
     """D3 + D4: categorical PSI (replacement smoothing) and chi² test."""
-    counts = value_counts_two_sided(ref, cur, columns, numeric=False)
+    counts, _ = sized(value_counts_two_sided(ref, cur, columns, numeric=False))
     psi = psi_from_counts(counts, smoothing="replace")
     chi = chi2_from_counts(counts)
     ns = counts.groupBy("column").agg(F.sum("a").alias("n_ref"), F.sum("b").alias("n_cur"))
@@ -200,11 +210,12 @@ REPORT_COLUMNS = ["column", "kind", "n_ref", "n_cur", "ks_statistic", "ks_pvalue
                   "drifted", "error"]
 
 
-def detect_drift(ref: DataFrame, cur: DataFrame, kinds: Mapping[str, str],
+def detect_drift(ref: DataFrame, cur: DataFrame | None, kinds: Mapping[str, str],
                  feature_columns: Sequence[str]) -> DataFrame:
     """Numerical → KS + PSI, categorical → chi² + PSI, other kinds and
     columns absent from either side skipped.  One job per kind."""
-    cols = [c for c in feature_columns if c in ref.columns and c in cur.columns]
+    cur_cols = ref.columns if cur is None else cur.columns
+    cols = [c for c in feature_columns if c in ref.columns and c in cur_cols]
     num = [c for c in cols if kinds.get(c) == "numerical"]
     cat = [c for c in cols if kinds.get(c) == "categorical"]
     parts = []

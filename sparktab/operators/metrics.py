@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import hist_bin
-from .running import running_sums
+from .running import running_sums, sized
 
 # Clusters up to this many are broadcast to the points; more shuffle-join.
 BROADCAST_CLUSTERS = 10_000
@@ -95,8 +95,8 @@ def roc_auc(df: DataFrame, y, score: str, group: Sequence[str] = ()) -> DataFram
     """E5: AUC = Σ_s pos_s·(neg below s + ½·neg_s) / (P·N), i.e. the
     rank-sum statistic with mid-ranks for tied scores."""
     group = list(group)
-    sc = score_counts(df, y, score, group)
-    cum = running_sums(sc, group, "score", ["neg", "pos"])
+    sc, n = sized(score_counts(df, y, score, group))
+    cum = running_sums(sc, group, "score", ["neg", "pos"], n_rows=n)
     term = F.col("pos") * (F.col("cum_neg") - F.col("neg") + 0.5 * F.col("neg"))
     return cum.groupBy(*group).agg(
         F.try_divide(F.sum(term), F.sum("pos") * F.sum("neg")).alias("roc_auc"))
@@ -117,8 +117,8 @@ def roc_curve(df: DataFrame, y, score: str, group: Sequence[str] = ()) -> DataFr
     """One point per distinct score (descending thresholds): fpr, tpr;
     plus the area by trapezoids (equals :func:`roc_auc`)."""
     group = list(group)
-    sc = score_counts(df, y, score, group)
-    cum = running_sums(sc, group, "score", ["neg", "pos"], descending=True)
+    sc, n = sized(score_counts(df, y, score, group))
+    cum = running_sums(sc, group, "score", ["neg", "pos"], descending=True, n_rows=n)
     tot = sc.groupBy(*group).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     j = cum.join(F.broadcast(tot), group) if group else cum.crossJoin(F.broadcast(tot))
     return j.select(*group, F.col("score").alias("threshold"),
@@ -136,8 +136,8 @@ def roc_area(curve: DataFrame, group: Sequence[str] = ()) -> DataFrame:
 def pr_curve(df: DataFrame, y, score: str) -> DataFrame:
     """precision/recall at each distinct threshold until full recall is
     first reached, plus the (precision 1, recall 0) end point."""
-    sc = score_counts(df, y, score)
-    cum = running_sums(sc, [], "score", ["neg", "pos"], descending=True)
+    sc, n = sized(score_counts(df, y, score))
+    cum = running_sums(sc, [], "score", ["neg", "pos"], descending=True, n_rows=n)
     tot = sc.agg(F.sum("pos").alias("P"))
     j = cum.crossJoin(F.broadcast(tot)).where(F.col("cum_pos") - F.col("pos") < F.col("P"))
     pts = j.select(F.col("score").alias("threshold"),
@@ -150,8 +150,8 @@ def pr_curve(df: DataFrame, y, score: str) -> DataFrame:
 def average_precision(df: DataFrame, y, score: str, group: Sequence[str] = ()) -> DataFrame:
     """AP = Σ_s (pos_s / P) · precision_s over descending thresholds."""
     group = list(group)
-    sc = score_counts(df, y, score, group)
-    cum = running_sums(sc, group, "score", ["neg", "pos"], descending=True)
+    sc, n = sized(score_counts(df, y, score, group))
+    cum = running_sums(sc, group, "score", ["neg", "pos"], descending=True, n_rows=n)
     prec = F.try_divide(F.col("cum_pos"), F.col("cum_pos") + F.col("cum_neg"))
     return cum.groupBy(*group).agg(F.try_divide(F.sum(F.col("pos") * prec), F.sum("pos"))
                                    .alias("average_precision"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import unpivot_numeric
-from .running import running_sums
+from .running import running_sums, sized
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -31,7 +31,8 @@ def quantiles_from_counts(counts: DataFrame, probs: Sequence[float],
                           group: Sequence[str] = ("column",)) -> DataFrame:
     """(group…, p, q) from a (group…, value, n) table."""
     group = list(group)
-    cum = running_sums(counts, group, "value", ["n"])
+    counts, n_rows = sized(counts)
+    cum = running_sums(counts, group, "value", ["n"], n_rows=n_rows)
     totals = counts.groupBy(*group).agg(F.sum("n").alias("N"))
     spark = counts.sparkSession
     ps = spark.createDataFrame([(float(p),) for p in probs], "p double")

@@ -18,11 +18,23 @@ from ..session import shuffle_partitions
 
 # Offsets table is groups × buckets rows; refuse to broadcast beyond this.
 MAX_OFFSET_ROWS = 2_000_000
+# Up to this many input rows a plain per-group window is used: every task
+# then holds at most this many rows, which is bounded whatever the skew.
+SINGLE_TASK_ROWS = 1_000_000
+
+
+def sized(df: DataFrame) -> tuple[DataFrame, int]:
+    """Persist an intermediate (spilling to disk) and count it, so the
+    caller can choose a plan by its checked size and reuse it."""
+    from pyspark import StorageLevel
+    p = df.persist(StorageLevel.MEMORY_AND_DISK)
+    return p, p.count()
 
 
 def running_sums(df: DataFrame, group: Sequence[str], order,
                  sums: Sequence[str], descending: bool = False,
-                 buckets: int | None = None, prefix: str = "cum_") -> DataFrame:
+                 buckets: int | None = None, prefix: str = "cum_",
+                 n_rows: int | None = None) -> DataFrame:
     """Inclusive running sums of ``sums`` per ``group`` in ``order``.  When
     ``order`` is a list, buckets are cut on its first column and the rest
     break ties, so row-level ranks are exact and deterministic."""
@@ -30,6 +42,8 @@ def running_sums(df: DataFrame, group: Sequence[str], order,
     orders = [order] if isinstance(order, str) else list(order)
     order = orders[0]
     nb = buckets or shuffle_partitions(df.sparkSession)
+    if n_rows is not None and n_rows <= SINGLE_TASK_ROWS:
+        nb = 1
     ordered = [F.col(o).desc() if descending else F.col(o).asc() for o in orders]
     if nb <= 1:
         w = Window.partitionBy(*group).orderBy(*ordered).rowsBetween(

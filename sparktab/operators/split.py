@@ -26,7 +26,7 @@ def hash_rank(df: DataFrame, key: str, group: Sequence[str] = (), seed: int = 42
     """Adds ``_rank`` (0-based within ``group`` in hash order) and ``_n``."""
     group = list(group)
     x = df.withColumn("_h", hash_int(key, seed)).withColumn("_one", F.lit(1))
-    r = running_sums(x, group, ["_h", key], ["_one"])
+    r = running_sums(x, group, ["_h", key], ["_one"], n_rows=df.count())
     r = r.withColumn("_rank", F.col("cum__one") - 1).drop("cum__one", "_one")
     sizes = df.groupBy(*group).agg(F.count("*").alias("_n"))
     return r.join(F.broadcast(sizes), group) if group else r.crossJoin(F.broadcast(sizes))

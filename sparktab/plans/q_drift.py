@@ -21,11 +21,17 @@ def lineitem_sides(spark, sf_dir):
     return li.where(F.col("l_shipdate") < cut), li.where(F.col("l_shipdate") >= cut)
 
 
+def lineitem_sided(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    return D.with_sides(li, F.col("l_shipdate") >= F.lit(CUT).cast("timestamp_ntz"))
+
+
 def drift_report(spark, sf_dir):
-    ref, cur = lineitem_sides(spark, sf_dir)
+    sided = lineitem_sided(spark, sf_dir)
     feats = NUM + CAT
+    ref, _ = lineitem_sides(spark, sf_dir)
     kinds = kinds_map(ref.select(*feats))
-    return D.detect_drift(ref, cur, kinds, feats)
+    return D.detect_drift(sided, None, kinds, feats)
 
 
 REPORT_SQL = O.drift_report_sql("lineitem", NUM, CAT, REF_PRED_SQL)
