@@ -282,3 +282,85 @@ def overlay_categorical(ref: DataFrame, cur: DataFrame, column: str) -> DataFram
     return j.select(F.coalesce(r["category"], c["category"]).alias("category"),
                     F.coalesce("ref_share", F.lit(0.0)).alias("ref_share"),
                     F.coalesce("cur_share", F.lit(0.0)).alias("cur_share"))
+
+
+# ------------------------------------------------------- prediction drift
+
+VERDICT_NONE, VERDICT_POSSIBLE, VERDICT_SIGNIFICANT = "none", "possible", "significant"
+
+
+def verdict(psi, p) -> F.Column:
+    """Three-level verdict: none when PSI < .10 and p ≥ .05; possible when
+    PSI < .25 or p ≥ .05; else significant."""
+    psi = F.col(psi) if isinstance(psi, str) else psi
+    p = F.col(p) if isinstance(p, str) else p
+    return (F.when((psi < PSI_NONE) & (p >= ALPHA), VERDICT_NONE)
+            .when((psi < PSI_SLIGHT) | (p >= ALPHA), VERDICT_POSSIBLE).otherwise(VERDICT_SIGNIFICANT))
+
+
+def _class_counts(ref: DataFrame, cur: DataFrame, column: str) -> DataFrame:
+    r = ref.groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("a"))
+    c = cur.groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("b"))
+    j = r.join(c, r["value"].eqNullSafe(c["value"]), "full_outer")
+    return j.select(F.lit(column).alias("column"), F.coalesce(r["value"], c["value"]).alias("value"),
+                    F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b"))
+
+
+def concept_drift_categorical(ref: DataFrame, cur: DataFrame, column: str) -> DataFrame:
+    """D8 (categorical predictions): PSI with additive eps smoothing, χ²
+    (0 and 1 when the test is undefined), verdict."""
+    counts, _ = sized(_class_counts(ref, cur, column))
+    psi = psi_from_counts(counts, smoothing="additive")
+    chi = chi2_from_counts(counts)
+    j = psi.join(chi, "column")
+    stat = F.coalesce("chi2_raw", F.lit(0.0))
+    p = F.coalesce("chi2_p_raw", F.lit(1.0))
+    return j.select("column", rnd(stat, 4).alias("statistic"), rnd(p, 4).alias("p_value"),
+                    rnd("psi_raw", 4).alias("psi"), verdict("psi_raw", p).alias("verdict"))
+
+
+def concept_drift_numeric(ref: DataFrame, cur: DataFrame, column: str) -> DataFrame:
+    """D8 (numerical predictions): KS + PSI (D1/D2) and the verdict."""
+    d = drift_numeric(ref, cur, [column])
+    return d.select("column", F.col("ks_statistic").alias("statistic"), F.col("ks_pvalue").alias("p_value"),
+                    "psi", verdict("psi", "ks_pvalue").alias("verdict"))
+
+
+def cluster_share_drift(ref: DataFrame, cur: DataFrame, column: str) -> DataFrame:
+    """Cluster shares over all labels; χ² of current counts against
+    reference shares (0 and 1 with fewer than two expected clusters); PSI
+    with shares floored at 1e-9 inside the log only; verdict."""
+    counts, _ = sized(_class_counts(ref, cur, column))
+    psi = psi_from_counts(counts, smoothing="floor", eps=1e-9)
+    chi = chi2_from_counts(counts)
+    k = counts.groupBy("column").agg(F.count_if(F.col("a") > 0).alias("k_ref"),
+                                     F.count_if(F.col("b") > 0).alias("n_clusters_cur"))
+    j = psi.join(chi, "column").join(k, "column")
+    stat = F.when(F.col("k_ref") < 2, F.lit(0.0)).otherwise(F.col("chi2_raw"))
+    p = F.when(F.col("k_ref") < 2, F.lit(1.0)).otherwise(F.col("chi2_p_raw"))
+    return j.select("column", rnd(stat, 4).alias("chi2_statistic"), rnd(p, 4).alias("chi2_pvalue"),
+                    rnd("psi_raw", 4).alias("psi"), F.col("n_clusters_cur").cast("bigint").alias("n_clusters"),
+                    verdict("psi_raw", F.coalesce(p, F.lit(0.0))).alias("verdict"))
+
+
+def boundary_outliers(ref: DataFrame, cur: DataFrame, vec: str, label: str, dim: int,
+                      q: float = 0.95, warn_rate: float = 0.10) -> DataFrame:
+    """Centroid per training cluster; threshold = q-quantile of the
+    training distances to the own centroid; current rows farther than the
+    threshold (or in a cluster unknown to training) are boundary outliers."""
+    from .metrics import cluster_centroids
+    from .quantiles import fitted_quantiles
+    cen = cluster_centroids(ref, vec, label, dim).select(F.col("cluster").alias(label), "centroid")
+    d2 = lambda a, b: F.aggregate(F.zip_with(a, b, lambda u, v: (u - v) * (u - v)), F.lit(0.0),
+                                  lambda s, t: s + t)
+    dist = lambda df: df.select(F.col(vec).cast("array<double>").alias("_x"), label).join(
+        F.broadcast(cen), label, "left").select(
+        F.coalesce(F.sqrt(d2(F.col("_x"), F.col("centroid"))), F.lit(float("inf"))).alias("dist"))
+    thr = fitted_quantiles(dist(ref), ["dist"], [q])["dist"][0]
+    d = dist(cur)
+    return d.agg(F.lit(thr).alias("threshold"),
+                 F.count_if(F.col("dist") > F.lit(thr)).cast("bigint").alias("n_outside"),
+                 F.count("*").cast("bigint").alias("n")).select(
+        rnd("threshold", 6).alias("threshold"), "n_outside",
+        rnd(F.try_divide(F.col("n_outside").cast("double"), F.col("n").cast("double")), 6).alias("rate"),
+        (F.try_divide(F.col("n_outside").cast("double"), F.col("n").cast("double")) > warn_rate).alias("warn"))

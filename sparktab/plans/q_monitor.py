@@ -103,3 +103,28 @@ SELECT CAST(count(*) AS BIGINT) AS windows, CAST(count(*) FILTER (WHERE rate > 0
 FROM v WHERE rate IS NOT NULL""")
 def anomaly_rate_track(spark, sf):
     return round_all(MO.anomaly_rate_track(MO.anomaly_rate(log_of(spark, sf))), 6)
+
+
+# ------------------------------------------------------------ R10 batch twin
+from ..streaming import stream as ST  # noqa: E402
+
+REF_CUT = "2024-01-08"
+
+
+@query("windowed_psi", f"""WITH ref AS (SELECT value FROM events WHERE ts < TIMESTAMP '{REF_CUT}'),
+st AS (SELECT min(value) AS lo, max(value) AS hi, count(value) AS n FROM ref),
+rb AS (SELECT {' + '.join(f"(CASE WHEN value >= {float(i)} * ((hi - lo) / 10.0) + lo THEN 1 ELSE 0 END)" for i in range(1, 10))} AS bin FROM ref, st),
+shares AS (SELECT g.bin, (coalesce(c, 0) + 1e-8) / (n + 1e-8 * 10) AS ref_share FROM range(0, 10) g(bin)
+  LEFT JOIN (SELECT bin, count(*) AS c FROM rb GROUP BY bin) x ON x.bin = g.bin, st),
+cur AS (SELECT time_bucket(INTERVAL '1 day', ts) AS w, {' + '.join(f"(CASE WHEN value >= {float(i)} * ((hi - lo) / 10.0) + lo THEN 1 ELSE 0 END)" for i in range(1, 10))} AS bin
+  FROM events, st WHERE ts >= TIMESTAMP '{REF_CUT}' AND value IS NOT NULL),
+cnt AS (SELECT w, bin, count(*) AS c FROM cur GROUP BY w, bin),
+tot AS (SELECT w, sum(c) AS n FROM cnt GROUP BY w),
+j AS (SELECT t.w, s.bin, s.ref_share, coalesce(cnt.c, 0) AS c, t.n FROM tot t CROSS JOIN shares s LEFT JOIN cnt ON cnt.w = t.w AND cnt.bin = s.bin),
+p AS (SELECT w, min(n) AS n, sum(((c + 1e-8) / (n + 1e-8 * 10) - ref_share) * ln(((c + 1e-8) / (n + 1e-8 * 10)) / ref_share)) AS psi FROM j GROUP BY w)
+SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, CAST(n AS BIGINT) AS n, round(psi, 6) AS psi,
+  CASE WHEN psi < 0.1 THEN 'No drift' WHEN psi < 0.25 THEN 'Slight drift' ELSE 'Significant drift' END AS drift_label FROM p""")
+def windowed_psi(spark, sf):
+    ev = table(spark, sf, "events")
+    cut = F.lit(REF_CUT).cast("timestamp_ntz")
+    return round_all(ST.windowed_psi(ev.where(F.col("ts") < cut), ev.where(F.col("ts") >= cut), "value"), 6)

@@ -43,9 +43,16 @@ def reference_moments(events: DataFrame) -> tuple[float, float]:
     return float(r["m"]), float(r["s"])
 
 
+def event_time(df: DataFrame, watermark: str | None) -> DataFrame:
+    """Watermarks need TIMESTAMP event time: a TIMESTAMP_NTZ column is read
+    in the session time zone (UTC in :func:`sparktab.session.get_spark`)."""
+    if not watermark:
+        return df
+    return df.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+
+
 def _win(log: DataFrame, duration: str, slide: str | None, watermark: str | None):
-    if watermark:
-        log = log.withWatermark("ts", watermark)
+    log = event_time(log, watermark)
     w = F.window("ts", duration, slide) if slide else F.window("ts", duration)
     return log, w
 
