@@ -23,4 +23,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from . import q_drift, q_metrics, q_models, q_monitor, q_neighbors, q_prep, q_profile  # noqa: F401
+    from . import q_drift, q_metrics, q_models, q_monitor, q_neighbors, q_ops, q_prep, q_profile  # noqa: F401
