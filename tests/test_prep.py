@@ -102,3 +102,9 @@ def test_low_variance_population(spark):
     df = spark.createDataFrame([(1.0, 0.0), (1.0, 0.1), (1.0, 0.2)], "c double, x double")
     rep = {r["column"]: r["dropped"] for r in C.low_variance_report(df, ["c", "x"], 0.005).collect()}
     assert rep == {"c": True, "x": False}
+
+
+def test_unsupported_extension_raises(spark):
+    from sparktab.sources.tables import load_dataset
+    with pytest.raises(ValueError, match="xlsx"):
+        load_dataset(spark, "/root/testdata/sf0.001/events.xlsx")
