@@ -161,3 +161,150 @@ def reduce_svd_reconstruction(spark, sf):
 def pca_components_for_variance(spark, sf):
     proj = RD.pca(table(spark, sf, "lineitem"), LI_FEATS, 4)
     return RD.components_for_variance(proj.variance_table(spark), 0.95)
+
+
+# ------------------------------------------------------------ further models
+from ..models import extra as EX  # noqa: E402
+
+
+@query("kmeans_scan_elbow")
+def kmeans_scan_elbow(spark, sf):
+    scan = EX.kmeans_scan(_embeddings(spark, sf), "x", range(2, 11))
+    return round_all(scan.crossJoin(EX.elbow(scan)), 6)
+
+
+@query("random_search_logistic")
+def random_search_logistic(spark, sf):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
+    d = _lineitem(spark, sf).where("split = 'train'")
+    d = StringIndexer(inputCol="l_returnflag", outputCol="label", stringOrderType="alphabetAsc").fit(d).transform(d)
+    lr = LogisticRegression(maxIter=50)
+    pipe = Pipeline(stages=[VectorAssembler(inputCols=LI_FEATS, outputCol="features"), lr])
+    best, trials = EX.random_search(pipe, lr, {"regParam": (1e-4, 1.0, "log"), "elasticNetParam": (0.0, 1.0)},
+                                    d, "multiclass_classification", "k", "l_returnflag", n_trials=4, folds=3)
+    return round_all(trials.withColumn("best_params", F.lit(str(best))), 6)
+
+
+@query("linear_attribution_top")
+def linear_attribution_top(spark, sf):
+    d = _lineitem(spark, sf)
+    feats = ["l_quantity", "l_discount", "l_tax"]
+    res = TR.train_model(d.where("split = 'train'"), d.where("split = 'val'"), "linear_regression", "regression",
+                         feats, "l_extendedprice", "k")
+    coefs = res.model.stages[-1].coefficients.toArray().tolist()
+    attr = EX.linear_attribution(d.where("split = 'test'"), feats, coefs, "k")
+    return round_all(EX.mean_abs_attribution(attr, 15), 6)
+
+
+@query("learning_curve")
+def learning_curve(spark, sf):
+    d = _lineitem(spark, sf).where("split <> 'test'")
+    return round_all(EX.learning_curve(d, "k", ["l_quantity", "l_discount", "l_tax"], "l_extendedprice"), 6)
+
+
+@query("lda_projection")
+def lda_projection(spark, sf):
+    li = table(spark, sf, "lineitem")
+    V, ratio, mu = EX.fisher_lda(li, LI_FEATS, "l_returnflag")
+    rows = [(i + 1, float(r), [float(v) for v in V[i]]) for i, r in enumerate(ratio)]
+    comps = spark.createDataFrame(rows, "component int, ratio double, weights array<double>")
+    proj = li.select(*[sum(F.col(c) * float(V[k][i]) for i, c in enumerate(LI_FEATS)).alias(f"ld{k + 1}")
+                       for k in range(len(ratio))])
+    return round_all(comps.crossJoin(proj.agg(F.count("*").alias("rows"), F.var_samp("ld1").alias("var_ld1"))), 6)
+
+
+@query("cca_single_target")
+def cca_single_target(spark, sf):
+    feats = ["l_quantity", "l_discount", "l_tax"]
+    a, rho, load = EX.cca_single_target(table(spark, sf, "lineitem"), feats, "l_extendedprice")
+    li = table(spark, sf, "lineitem")
+    u = sum(F.col(c) * float(a[i]) for i, c in enumerate(feats))
+    return round_all(li.agg(F.corr(u, F.col("l_extendedprice")).alias("canonical_corr"))
+                     .withColumn("rho_from_moments", F.lit(rho))
+                     .withColumn("loadings", F.array(*[F.lit(float(v)) for v in load])), 6)
+
+
+@query("nmf_factorise")
+def nmf_factorise(spark, sf):
+    p = table(spark, sf, "part")
+    feats = ["p_size", "p_retailprice"]
+    W, H, rmse = EX.nmf(p, feats, "p_partkey", k=2, max_iter=20)
+    new = EX.nmf_transform(p.select("p_partkey", *feats), feats, H, 50)
+    recon = sum((F.greatest(F.col(c).cast("double"), F.lit(0.0))
+                 - (F.col("nmf")[0] * float(H[0, i]) + F.col("nmf")[1] * float(H[1, i]))) ** 2
+                for i, c in enumerate(feats))
+    return round_all(new.agg(F.sqrt(F.avg(recon / len(feats))).alias("rmse_fixed_h"), F.count("*").alias("rows"))
+                     .withColumn("rmse_als", F.lit(rmse)).withColumn("row_factors", F.lit(W.count())), 4)
+
+
+@query("mean_shift_clusters")
+def mean_shift_clusters(spark, sf):
+    pts = _part_points(spark, sf)
+    lab, centers = EX.mean_shift(pts, "x", "vec_id", bandwidth=5.0, max_iter=50)
+    return lab.groupBy("cluster").agg(F.count("*").alias("n")).withColumn("n_centers", F.lit(len(centers)))
+
+
+@query("calibrated_linear_svc")
+def calibrated_linear_svc(spark, sf):
+    d = _lineitem(spark, sf).withColumn("y", (F.col("l_returnflag") == "R").cast("double"))
+    tr, te = d.where("split = 'train'"), d.where("split = 'test'")
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    svc, cal = EX.platt_calibrated_svc(tr, LI_FEATS, "y", "k")
+    s = svc.transform(VectorAssembler(inputCols=LI_FEATS, outputCol="features").transform(te))
+    s = s.withColumn("margin", vector_to_array("rawPrediction")[1])
+    p = cal.transform(VectorAssembler(inputCols=["margin"], outputCol="mv").transform(s.drop("probability", "prediction", "rawPrediction")))
+    return round_all(p.agg(F.avg(vector_to_array("probability")[1]).alias("mean_prob"),
+                           F.avg((F.col("prediction") == F.col("y")).cast("double")).alias("accuracy")), 6)
+
+
+@query("kernel_svm_classifier")
+def kernel_svm_classifier(spark, sf):
+    from pyspark.ml.functions import array_to_vector
+    d = _lineitem(spark, sf).withColumn("y", (F.col("l_returnflag") == "R").cast("double"))
+    m, params = EX.kernel_classifier(d.where("split = 'train'"), LI_FEATS, "y", 50)
+    z, _ = AN.fourier_features(d.where("split = 'test'"), LI_FEATS, 50, params["gamma"])
+    pred = m.transform(z.withColumn("features", array_to_vector("rff")))
+    return round_all(M.classification_metrics(pred.withColumn("yy", F.col("y").cast("int").cast("string"))
+                                              .withColumn("pp", F.col("prediction").cast("int").cast("string")),
+                                              "yy", "pp", True, "1"), 6)
+
+
+@query("kernel_svr_regressor")
+def kernel_svr_regressor(spark, sf):
+    from pyspark.ml.functions import array_to_vector
+    d = _lineitem(spark, sf)
+    feats = ["l_quantity", "l_discount", "l_tax"]
+    m, params = EX.kernel_regressor(d.where("split = 'train'"), feats, "l_extendedprice", 50)
+    z, _ = AN.fourier_features(d.where("split = 'test'"), feats, 50, params["gamma"])
+    pred = m.transform(z.withColumn("features", array_to_vector("rff")))
+    return round_all(M.regression_metrics(pred, "l_extendedprice", "prediction"), 6)
+
+
+@query("pca_top_loadings")
+def pca_top_loadings(spark, sf):
+    proj = RD.pca(table(spark, sf, "lineitem"), LI_FEATS, 4)
+    return round_all(RD.top_loadings(proj, spark, 10, 5), 6)
+
+
+@query("pca_cumulative_variance")
+def pca_cumulative_variance(spark, sf):
+    proj = RD.pca(table(spark, sf, "lineitem"), LI_FEATS, 4)
+    return round_all(proj.variance_table(spark), 6)
+
+
+@query("cluster_centroids_2d")
+def cluster_centroids_2d(spark, sf):
+    """K-means centres projected on the first two principal axes."""
+    e = _embeddings(spark, sf)
+    from pyspark.ml.clustering import KMeans
+    m = KMeans(k=10, seed=42).fit(e)
+    dim = vector_dim(e, "x")
+    cols = [F.col("x")[i].alias(f"f{i}") for i in range(dim)]
+    flat = e.select(*cols)
+    proj = RD.pca(flat, [f"f{i}" for i in range(dim)], 2)
+    centers = spark.createDataFrame([(i, *map(float, c)) for i, c in enumerate(m.clusterCenters())],
+                                    ", ".join(["cluster int"] + [f"f{i} double" for i in range(dim)]))
+    return round_all(proj.transform(centers).select("cluster", "pc1", "pc2"), 6)
