@@ -331,3 +331,37 @@ def kernel_regressor(train: DataFrame, features: Sequence[str], label: str, n_co
     z, params = fourier_features(train, features, n_components)
     z = z.withColumn("features", array_to_vector("rff"))
     return LinearRegression(labelCol=label, loss="huber", regParam=reg, elasticNetParam=0.0).fit(z), params
+
+
+# ------------------------------------------- Monte-Carlo Shapley
+
+def mc_shapley(model, df: DataFrame, features: Sequence[str], id_col: str, baseline: dict,
+               n_perm: int = 8, seed: int = SEED, output: str = "prediction",
+               assembler_out: str = "features") -> DataFrame:
+    """Permutation-sampling Shapley values with a fixed baseline: every row
+    expands to n_perm × (d+1) coalition states (seeded orderings), the model
+    scores them in bulk, consecutive differences along each ordering credit
+    the feature that entered, and the mean over orderings is the value.
+    Returns (id, feature, attribution); rows × n_perm × (d+1) is linear."""
+    feats = list(features)
+    d = len(feats)
+    fx = F.array(*[F.struct(F.lit(i).alias("f"), F.xxhash64(F.lit(seed), F.col("_p"), F.col(id_col), F.lit(i)).alias("h"))
+                   for i in range(d)])
+    perm = F.transform(F.array_sort(fx, lambda a, b: F.when(a["h"] < b["h"], -1).when(a["h"] > b["h"], 1).otherwise(0)),
+                       lambda e: e["f"])
+    x = (df.select(id_col, *feats).withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
+         .withColumn("_perm", perm).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(d)))))
+    # feature i is "in" when its position in the ordering is < j
+    enter = F.when(F.col("_j") > 0, F.element_at("_perm", F.greatest(F.col("_j"), F.lit(1))))
+    states = x.select(id_col, "_p", "_j", enter.alias("_enter"),
+                      *[F.when(F.array_position("_perm", i) - 1 < F.col("_j"), F.col(c).cast("double"))
+                        .otherwise(F.lit(float(baseline[c]))).alias(c) for i, c in enumerate(feats)])
+    scored = model.transform(states)
+    val = vector_to_array("probability")[1] if output == "probability" else F.col("prediction")
+    s = scored.select(id_col, "_p", "_j", "_enter", val.alias("_v"))
+    w = Window.partitionBy(id_col, "_p").orderBy("_j")  # d+1 rows per group
+    diffs = s.select(id_col, "_p", F.col("_enter").alias("feat_ix"),
+                     (F.col("_v") - F.lag("_v").over(w)).alias("delta")).where(F.col("feat_ix").isNotNull())
+    names = F.array(*[F.lit(c) for c in feats])
+    return diffs.groupBy(id_col, "feat_ix").agg((F.sum("delta") / n_perm).alias("attribution")).select(
+        id_col, F.element_at(names, F.col("feat_ix") + 1).alias("feature"), "attribution")

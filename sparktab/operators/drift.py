@@ -274,9 +274,9 @@ def overlay_categorical(ref: DataFrame, cur: DataFrame, column: str) -> DataFram
     gets share 0 (full outer join on the category, null-safe)."""
     def shares(df, name):
         g = df.groupBy(F.col(column).cast("string").alias("category")).agg(F.count("*").alias("n"))
-        tot = df.agg(F.count("*").alias("N"))
+        tot = df.agg(F.count("*").alias("n_all"))
         return g.crossJoin(F.broadcast(tot)).select(
-            "category", rnd(F.try_divide(F.col("n"), F.col("N")), 6).alias(name))
+            "category", rnd(F.try_divide(F.col("n"), F.col("n_all")), 6).alias(name))
     r, c = shares(ref, "ref_share"), shares(cur, "cur_share")
     j = r.join(c, r["category"].eqNullSafe(c["category"]), "full_outer")
     return j.select(F.coalesce(r["category"], c["category"]).alias("category"),

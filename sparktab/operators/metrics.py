@@ -318,3 +318,26 @@ def cluster_centroids(df: DataFrame, vec: str, label: str, dim: int) -> DataFram
     g = x.groupBy("cluster").agg(F.count("*").cast("bigint").alias("n"),
                                  *[F.avg(F.col("x")[i]).alias(f"_m{i}") for i in range(dim)])
     return g.select("cluster", "n", F.array(*[F.col(f"_m{i}") for i in range(dim)]).alias("centroid"))
+
+
+# ------------------------------------------------------- prediction summary
+
+def prediction_summary_classes(df: DataFrame, pred: str) -> DataFrame:
+    """A15 (classification / clustering): count and % of all rows per
+    predicted class or cluster."""
+    tot = df.agg(F.count("*").alias("n_all"))
+    g = df.groupBy(F.col(pred).cast("string").alias("value")).agg(F.count("*").cast("bigint").alias("count"))
+    return g.crossJoin(F.broadcast(tot)).select(
+        "value", "count", (F.col("count") * 100.0 / F.col("n_all")).alias("percentage"))
+
+
+def prediction_summary_values(df: DataFrame, pred: str) -> DataFrame:
+    """A15 (regression): mean, sample std, min and max of the predictions."""
+    x = F.col(pred).cast("double")
+    return df.agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+
+
+def top_anomalies(df: DataFrame, score: str, id_col: str, n: int = 20) -> DataFrame:
+    """O2: the n highest scores, ties by id (a top-k report:
+    TakeOrderedAndProject keeps n rows per task)."""
+    return df.orderBy(F.desc(score), F.col(id_col)).limit(n)

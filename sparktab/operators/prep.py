@@ -416,3 +416,27 @@ class Preprocessor:
             "ordinal_cols": self.ordinal_cols, "drop_rows": self.drop_rows,
             "output_names": self.output_names(),
         }, default=str)
+
+
+def save_preprocessor(pre: "Preprocessor", spark, path: str) -> None:
+    """Fitted statistics and recipes as one JSON record (written by
+    Spark, so any shared filesystem works); the ordinal map as Parquet."""
+    spark.createDataFrame([(pre.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(path + "/schema")
+    if pre.ordinal_map is not None:
+        pre.ordinal_map.write.mode("overwrite").parquet(path + "/ordinal_map")
+
+
+def load_preprocessor(spark, path: str) -> "Preprocessor":
+    meta = json.loads(spark.read.text(path + "/schema").first()["value"])
+    rec = {c: ColumnRecipe(**r) for c, r in meta["recipes"].items()}
+    pre = Preprocessor(rec, target=meta["target"], fills=meta["fills"],
+                       scalers={c: tuple(v) for c, v in meta["scalers"].items()},
+                       onehot=meta["onehot"], ordinal_cols=meta["ordinal_cols"], drop_rows=meta["drop_rows"])
+    if pre.ordinal_cols:
+        pre.ordinal_map = spark.read.parquet(path + "/ordinal_map")
+    return pre
+
+
+def drop_target(df: DataFrame, target: str | None) -> DataFrame:
+    """P10: a scoring frame never carries the target column."""
+    return df.drop(target) if target and target in df.columns else df

@@ -141,3 +141,36 @@ def boundary_outliers(spark, sf_dir):
     tr, te = _emb_sides(spark, sf_dir)
     from .fixtures import vector_dim
     return D.boundary_outliers(tr, te, "x", "label", vector_dim(tr, "x"))
+
+
+@query("features_by_psi", f"""SELECT "column", psi, CAST(row_number() OVER (ORDER BY psi DESC, "column") AS BIGINT) AS rank
+FROM ({REPORT_SQL}) WHERE error IS NULL""")
+def features_by_psi(spark, sf_dir):
+    """Tested features ordered by PSI (descending); one row per column."""
+    from pyspark.sql import Window
+    rep = drift_report(spark, sf_dir).where(F.col("error").isNull())
+    return rep.select("column", "psi", F.row_number().over(Window.orderBy(F.desc("psi"), "column"))
+                      .cast("bigint").alias("rank"))
+
+
+@query("overlay_numeric", f"""WITH v AS (SELECT l_extendedprice AS value, CASE WHEN l_shipdate < TIMESTAMP '{CUT}' THEN 0 ELSE 1 END AS side FROM lineitem),
+st AS (SELECT min(value) AS lo, max(value) AS hi, count(*) FILTER (WHERE side = 0) AS na, count(*) FILTER (WHERE side = 1) AS nb FROM v),
+b AS (SELECT {' + '.join(f"(CASE WHEN value >= {float(i)} * ((hi - lo) / 30.0) + lo THEN 1 ELSE 0 END)" for i in range(1, 30))} AS bin, side FROM v, st)
+SELECT CAST(bin AS BIGINT) AS bin, round(lo + bin * ((hi - lo) / 30.0), 6) AS bin_lo,
+  round(count(*) FILTER (WHERE side = 0) / na, 6) AS ref_share, round(count(*) FILTER (WHERE side = 1) / nb, 6) AS cur_share
+FROM b, st GROUP BY bin, lo, hi, na, nb""")
+def overlay_numeric(spark, sf_dir):
+    """Normalised histograms of reference and current (30 bins)."""
+    ref, cur = lineitem_sides(spark, sf_dir)
+    return D.overlay_numeric(ref, cur, "l_extendedprice", 30)
+
+
+@query("overlay_categorical", f"""WITH r AS (SELECT l_returnflag AS category, count(*) * 1.0 / (SELECT count(*) FROM lineitem WHERE {REF_PRED_SQL}) AS ref_share
+  FROM lineitem WHERE {REF_PRED_SQL} GROUP BY 1),
+c AS (SELECT l_returnflag AS category, count(*) * 1.0 / (SELECT count(*) FROM lineitem WHERE NOT ({REF_PRED_SQL})) AS cur_share
+  FROM lineitem WHERE NOT ({REF_PRED_SQL}) GROUP BY 1)
+SELECT coalesce(r.category, c.category) AS category, round(coalesce(ref_share, 0.0), 6) AS ref_share,
+  round(coalesce(cur_share, 0.0), 6) AS cur_share FROM r FULL OUTER JOIN c ON r.category IS NOT DISTINCT FROM c.category""")
+def overlay_categorical(spark, sf_dir):
+    ref, cur = lineitem_sides(spark, sf_dir)
+    return D.overlay_categorical(ref, cur, "l_returnflag")

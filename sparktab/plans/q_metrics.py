@@ -204,3 +204,25 @@ def cluster_centroids(spark, sf):
     c = M.cluster_centroids(e, "embedding", "label", vector_dim(e, "embedding"))
     out = c.select("cluster", "n", F.posexplode("centroid").alias("component", "mean"))
     return round_all(out.withColumn("component", F.col("component").cast("int")), 6)
+
+
+# --------------------------------------------------------- summaries, top-k
+from .fixtures import MULTICLASS_SQL as _MC  # noqa: E402,F811
+
+
+@query("prediction_summary_classes", f"""WITH {_MC}
+SELECT pred AS value, CAST(count(*) AS BIGINT) AS "count", round(count(*) * 100.0 / (SELECT count(*) FROM mc), 6) AS percentage
+FROM mc GROUP BY pred""")
+def prediction_summary_classes(spark, sf):
+    return round_all(M.prediction_summary_classes(multiclass_preds(spark, sf), "pred"), 6)
+
+
+@query("prediction_summary_values", f"""WITH {REGRESSION_SQL}
+SELECT round(avg(p), 6) AS mean, round(stddev_samp(p), 6) AS std, round(min(p), 6) AS "min", round(max(p), 6) AS "max" FROM rp""")
+def prediction_summary_values(spark, sf):
+    return round_all(M.prediction_summary_values(regression_preds(spark, sf), "p"), 6)
+
+
+@query("top_anomalies", f"""WITH {BINARY_SQL} SELECT k, round(score, 6) AS score FROM bp ORDER BY score DESC, k LIMIT 20""")
+def top_anomalies(spark, sf):
+    return round_all(M.top_anomalies(binary_preds(spark, sf), "score", "k", 20).select("k", "score"), 6)

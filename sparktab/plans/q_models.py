@@ -308,3 +308,33 @@ def cluster_centroids_2d(spark, sf):
     centers = spark.createDataFrame([(i, *map(float, c)) for i, c in enumerate(m.clusterCenters())],
                                     ", ".join(["cluster int"] + [f"f{i} double" for i in range(dim)]))
     return round_all(proj.transform(centers).select("cluster", "pc1", "pc2"), 6)
+
+
+@query("tree_shapley_top")
+def tree_shapley_top(spark, sf):
+    """M40 + O5: Monte-Carlo Shapley values of a random-forest regressor on
+    the test rows, features by mean |value|."""
+    d = _lineitem(spark, sf)
+    feats = ["l_quantity", "l_discount", "l_tax"]
+    tr = d.where("split = 'train'")
+    res = TR.train_model(tr, d.where("split = 'val'"), "random_forest", "regression", feats, "l_extendedprice", "k",
+                         {"n_estimators": 20})
+    base = tr.agg(*[F.avg(c).alias(c) for c in feats]).first().asDict()
+    attr = EX.mc_shapley(res.model, d.where("split = 'test'"), feats, "k", base, n_perm=4)
+    return round_all(EX.mean_abs_attribution(attr.withColumnRenamed("attribution", "attribution"), 15), 6)
+
+
+@query("metric_table_val_test")
+def metric_table_val_test(spark, sf):
+    """Validation vs test metrics per model (long form pivoted)."""
+    d = _lineitem(spark, sf)
+    feats = ["l_quantity", "l_discount", "l_tax"]
+    rows_v, rows_t = [], []
+    for m in ("linear_regression", "lasso"):
+        res = TR.train_model(d.where("split = 'train'"), d.where("split = 'val'"), m, "regression", feats,
+                             "l_extendedprice", "k")
+        test = TR.evaluate(TR.score(res.model, d.where("split = 'test'"), "regression"), "regression", "l_extendedprice")
+        rows_v.append((m, {k: float(v) for k, v in res.metrics.items()}))
+        rows_t.append((m, {k: float(v) for k, v in test.items()}))
+    sch = "model_name string, metrics map<string,double>"
+    return round_all(TR.metric_table(spark.createDataFrame(rows_v, sch), spark.createDataFrame(rows_t, sch)), 6)

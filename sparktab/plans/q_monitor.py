@@ -128,3 +128,10 @@ def windowed_psi(spark, sf):
     ev = table(spark, sf, "events")
     cut = F.lit(REF_CUT).cast("timestamp_ntz")
     return round_all(ST.windowed_psi(ev.where(F.col("ts") < cut), ev.where(F.col("ts") >= cut), "value"), 6)
+
+
+@query("anomaly_rate_spikes", f"""WITH {LOG}, r AS ({RATE_SQL})
+SELECT "timestamp", round(anomaly_rate, 6) AS anomaly_rate, round(anomaly_rate - lag(anomaly_rate) OVER (ORDER BY "timestamp"), 6) AS delta FROM r""")
+def anomaly_rate_spikes(spark, sf):
+    """Daily anomaly rate in time order with the change from the day before."""
+    return round_all(MO.rate_spikes(MO.anomaly_rate(log_of(spark, sf))), 6)

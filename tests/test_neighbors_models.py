@@ -59,3 +59,44 @@ def test_pca_variance_ratios(spark):
     assert p.explained_variance_ratio == pytest.approx(ev / ev.sum(), rel=1e-6)
     z = p.transform(df)
     assert abs(z.agg(F.corr("pc1", "pc2")).first()[0]) < 1e-6
+
+
+def test_mc_shapley_exact_for_linear_model(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+    from sparktab.models.extra import mc_shapley
+    rng = np.random.default_rng(3)
+    X = rng.normal(size=(60, 3))
+    y = X @ np.array([2.0, -1.0, 0.5]) + 3
+    df = spark.createDataFrame([(i, *map(float, X[i]), float(y[i])) for i in range(60)], "id long, a double, b double, c double, y double")
+    m = Pipeline(stages=[VectorAssembler(inputCols=["a", "b", "c"], outputCol="features"),
+                         LinearRegression(labelCol="y")]).fit(df)
+    base = {"a": 0.1, "b": -0.2, "c": 0.3}
+    attr = {(r["id"], r["feature"]): r["attribution"] for r in mc_shapley(m, df, ["a", "b", "c"], "id", base, 3).collect()}
+    coef = m.stages[-1].coefficients.toArray()
+    for i in (0, 7, 59):
+        for j, f in enumerate("abc"):
+            assert attr[(i, f)] == pytest.approx(coef[j] * (X[i, j] - base[f]), abs=1e-6)
+
+
+def test_preprocessor_save_load_round_trip(spark, tmp_path):
+    from sparktab.operators import prep as PR
+    df = spark.createDataFrame([(1.0, "a", "x"), (None, "b", "y"), (3.0, None, "x")], "n double, c string, o string")
+    rec = {"n": PR.ColumnRecipe("numerical", "median", "standard"),
+           "c": PR.ColumnRecipe("categorical", "most_frequent", "onehot"),
+           "o": PR.ColumnRecipe("categorical", "most_frequent", "ordinal")}
+    pre = PR.Preprocessor(rec).fit(df)
+    PR.save_preprocessor(pre, spark, str(tmp_path / "pre"))
+    back = PR.load_preprocessor(spark, str(tmp_path / "pre"))
+    a = sorted(map(tuple, pre.transform(df).collect()))
+    b = sorted(map(tuple, back.transform(df).collect()))
+    assert a == b and back.output_names() == pre.output_names()
+
+
+def test_elbow_picks_largest_second_difference(spark):
+    from sparktab.models.extra import elbow
+    scan = spark.createDataFrame([(2, 100.0, 0.3), (3, 40.0, 0.5), (4, 30.0, 0.4), (5, 25.0, 0.35)],
+                                 "k int, inertia double, silhouette double")
+    r = elbow(scan).first()
+    assert r["elbow_k"] == 3 and r["best_silhouette_k"] == 3
