@@ -56,8 +56,10 @@ def elbow(scan: DataFrame) -> DataFrame:
     w = Window.orderBy("k")
     d2 = scan.select("k", "silhouette", (F.lead("inertia").over(w) - 2 * F.col("inertia")
                                           + F.lag("inertia").over(w)).alias("d2"))
-    return d2.agg(F.min_by("k", F.struct(-F.col("d2"), F.col("k"))).alias("elbow_k"),
-                  F.min_by("k", F.struct(-F.col("silhouette"), F.col("k"))).alias("best_silhouette_k"))
+    e = d2.where(F.col("d2").isNotNull()).agg(F.min_by("k", F.struct(-F.col("d2"), F.col("k"))).alias("elbow_k"))
+    s = d2.where(F.col("silhouette").isNotNull()).agg(
+        F.min_by("k", F.struct(-F.col("silhouette"), F.col("k"))).alias("best_silhouette_k"))
+    return e.crossJoin(s)
 
 
 # --------------------------------------------------------- random search
