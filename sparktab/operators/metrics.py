@@ -43,12 +43,18 @@ def confusion_matrix(df: DataFrame, y: str, p: str) -> DataFrame:
 
 
 def _per_class(df: DataFrame, y: str, p: str) -> DataFrame:
-    """(label, tp, n_true, n_pred) for every label in truth ∪ prediction."""
-    yy, pp = F.col(y).cast("string"), F.col(p).cast("string")
-    t = df.groupBy(yy.alias("label")).agg(F.count("*").alias("n_true"),
-                                          F.count_if(yy == pp).alias("tp"))
-    q = df.groupBy(pp.alias("label")).agg(F.count("*").alias("n_pred"))
-    return (t.join(q, "label", "full_outer").fillna(0, ["n_true", "tp", "n_pred"]))
+    """(label, tp, n_true, n_pred) for every label in truth ∪ prediction,
+    all from one ``groupBy(y, p)`` of at most classes² rows."""
+    cells = df.groupBy(F.col(y).cast("string").alias("yy"), F.col(p).cast("string").alias("pp")) \
+        .agg(F.count("*").alias("n"))
+    long = cells.select(F.explode(F.array(
+        F.struct(F.col("yy").alias("label"), F.col("n").alias("n_true"),
+                 F.when(F.col("yy") == F.col("pp"), F.col("n")).otherwise(F.lit(0)).alias("tp"),
+                 F.lit(0).cast("bigint").alias("n_pred")),
+        F.struct(F.col("pp").alias("label"), F.lit(0).cast("bigint").alias("n_true"),
+                 F.lit(0).cast("bigint").alias("tp"), F.col("n").alias("n_pred")))).alias("e"))
+    return long.select("e.*").where(F.col("label").isNotNull()).groupBy("label").agg(
+        F.sum("n_true").alias("n_true"), F.sum("tp").alias("tp"), F.sum("n_pred").alias("n_pred"))
 
 
 def classification_metrics(df: DataFrame, y: str, p: str, binary: bool,

@@ -74,18 +74,19 @@ def missing_report(df: DataFrame) -> DataFrame:
             .orderBy(F.desc("missing_ratio"), "column"))
 
 
+def _long_strings(df: DataFrame, columns: Sequence[str], var: str = "column",
+                  val: str = "value") -> DataFrame:
+    """One scan: every column as text (missing → null), unpivoted."""
+    cols = list(columns)
+    wide = df.select(*[F.when(~is_missing(df, c), F.col(c).cast("string")).alias(c) for c in cols])
+    return wide.unpivot([], cols, var, val).where(F.col(val).isNotNull())
+
+
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column, non_null, n_unique) exact, one shuffle of distinct values."""
+    """(column, non_null, n_unique, top_count) exact; one scan, one shuffle
+    of distinct (column, value) pairs after map-side partial counts."""
     columns = list(columns or df.columns)
-    parts = []
-    for c in columns:
-        x = F.col(c)
-        keep = ~is_missing(df, c)
-        parts.append(df.where(keep).select(F.lit(c).alias("column"), x.cast("string").alias("value")))
-    long = parts[0]
-    for p in parts[1:]:
-        long = long.unionByName(p)
-    vc = long.groupBy("column", "value").agg(F.count("*").alias("n"))
+    vc = _long_strings(df, columns).groupBy("column", "value").agg(F.count("*").alias("n"))
     out = vc.groupBy("column").agg(F.sum("n").cast("bigint").alias("non_null"),
                                    F.count("*").cast("bigint").alias("n_unique"),
                                    F.max("n").cast("bigint").alias("top_count"))
@@ -251,14 +252,9 @@ def box_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 
 
 def top_categories(df: DataFrame, columns: Sequence[str], k: int = TOP_CATEGORIES) -> DataFrame:
-    """K most frequent values per column, ties broken by value."""
-    parts = [df.where(F.col(c).isNotNull()).select(F.lit(c).alias("column"),
-                                                    F.col(c).cast("string").alias("value"))
-             for c in columns]
-    long = parts[0]
-    for p in parts[1:]:
-        long = long.unionByName(p)
-    g = long.groupBy("column", "value").agg(F.count("*").cast("bigint").alias("count"))
+    """K most frequent values per column, ties broken by value (a top-k
+    report; the window runs over the distinct values of each column)."""
+    g = _long_strings(df, columns).groupBy("column", "value").agg(F.count("*").cast("bigint").alias("count"))
     w = Window.partitionBy("column").orderBy(F.desc("count"), "value")
     return (g.withColumn("rank", F.row_number().over(w).cast("bigint"))
             .where(F.col("rank") <= k))
@@ -310,13 +306,7 @@ def value_ranges(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 def category_options(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Distinct options per categorical column, long form with their
     sorted position (no per-column collect)."""
-    parts = [df.where(F.col(c).isNotNull()).select(F.lit(c).alias("column"),
-                                                    F.col(c).cast("string").alias("option"))
-             for c in columns]
-    long = parts[0]
-    for p in parts[1:]:
-        long = long.unionByName(p)
-    d = long.distinct()
+    d = _long_strings(df, columns, val="option").distinct()
     w = Window.partitionBy("column").orderBy("option")
     return d.withColumn("position", F.row_number().over(w).cast("bigint"))
 

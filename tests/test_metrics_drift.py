@@ -99,3 +99,28 @@ def test_chi2_null_when_current_category_unseen(spark):
     b = spark.createDataFrame([("x",)] * 10 + [("z",)] * 10, "c string")
     r = D.drift_categorical(a, b, ["c"]).first()
     assert r["chi2_statistic"] is None and r["psi"] > 0.25
+
+
+def test_improvement_rule():
+    from sparktab.models.retrain import improved
+    assert improved(None, 0.1, "regression")
+    assert improved(0.5, 0.6, "regression") and not improved(0.6, 0.6, "regression")
+    assert improved(0.10, 0.13, "anomaly_detection") and improved(0.2, 0.1, "anomaly_detection")
+    assert not improved(0.10, 0.20, "anomaly_detection")
+
+
+def test_histogram_quantile_interpolates(spark):
+    from sparktab.streaming import monitor as MO
+    rows = [("w", 0, 0.1, 2), ("w", 1, 0.5, 6), ("w", 2, 1.0, 10), ("w", 3, float("inf"), 10)]
+    h = spark.createDataFrame(rows, "window_start string, bucket int, le double, cum_count long")
+    # rank 5 falls in bucket (0.1, 0.5]: 0.1 + 0.4 * (5 - 2) / (6 - 2)
+    assert MO.histogram_quantile(h, 0.5).first()["p50"] == pytest.approx(0.4)
+    rows2 = [("w", 0, 0.1, 0), ("w", 1, float("inf"), 4)]
+    h2 = spark.createDataFrame(rows2, "window_start string, bucket int, le double, cum_count long")
+    assert MO.histogram_quantile(h2, 0.99).first()["p99"] == pytest.approx(0.1)
+
+
+def test_running_sums_descending(spark):
+    df = spark.createDataFrame([(1.0, 1), (2.0, 1), (3.0, 1)], "v double, n int")
+    got = {r["v"]: r["cum_n"] for r in running_sums(df, [], "v", ["n"], descending=True, buckets=2).collect()}
+    assert got == {3.0: 1, 2.0: 2, 1.0: 3}
