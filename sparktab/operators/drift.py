@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import rnd, hist_bin, unpivot_numeric, unpivot_string
 from ..functions.stats import chi2_sf, ks_pvalue
-from .running import running_sums, sized
+from .running import SINGLE_TASK_ROWS, running_sums, sized
 
 # PSI bands, test level, histogram size, smoothing constant and
 # minimum sample size of the reference monitoring rules.
@@ -84,37 +84,52 @@ def value_counts_two_sided(ref: DataFrame, cur: DataFrame | None, columns: Seque
 def drift_numeric(ref: DataFrame, cur: DataFrame | None, columns: Sequence[str],
                   bins: int = PSI_BINS, min_values: int = MIN_VALUES) -> DataFrame:
     """D1 + D2: KS statistic and p-value, PSI over ``bins`` equal-width bins
-    of the combined range (additive eps smoothing), label and verdict."""
+    of the combined range (additive eps smoothing), label and verdict.
+
+    Plan: value counts (persisted, size-checked) → one pass yielding running
+    sums, totals and range per column (a window when the counts table is
+    within the single-task bound, bucketed running sums + a broadcast
+    columns-sized stats table above it) → ``groupBy(column, bin)`` →
+    ``groupBy(column)``.  Empty bins enter PSI in closed form."""
     counts, n_counts = sized(value_counts_two_sided(ref, cur, columns, numeric=True))
-    stats = counts.groupBy("column").agg(
-        F.sum("a").alias("n_ref"), F.sum("b").alias("n_cur"),
-        F.min("value").alias("lo"), F.max("value").alias("hi"))
-
-    cum = running_sums(counts, ["column"], "value", ["a", "b"], n_rows=n_counts)
-    ks = (cum.join(F.broadcast(stats), "column")
-          .groupBy("column")
-          .agg(F.max(F.abs(F.try_divide(F.col("cum_a"), F.col("n_ref"))
-                           - F.try_divide(F.col("cum_b"), F.col("n_cur")))).alias("ks_d")))
-
-    binned = (counts.join(F.broadcast(stats), "column")
-              .withColumn("bin", hist_bin("value", "lo", "hi", bins))
-              .groupBy("column", "bin").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
-    grid = stats.select("column", "n_ref", "n_cur", "lo", "hi",
-                        F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    full = grid.join(binned, ["column", "bin"], "left").fillna(0, ["a", "b"])
+    if n_counts <= SINGLE_TASK_ROWS:
+        wo = Window.partitionBy("column").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        wa = Window.partitionBy("column")
+        x = counts.select("column", "value", "a", "b",
+                          F.sum("a").over(wo).alias("cum_a"), F.sum("b").over(wo).alias("cum_b"),
+                          F.sum("a").over(wa).alias("n_ref"), F.sum("b").over(wa).alias("n_cur"),
+                          F.min("value").over(wa).alias("lo"), F.max("value").over(wa).alias("hi"))
+    else:
+        stats = counts.groupBy("column").agg(
+            F.sum("a").alias("n_ref"), F.sum("b").alias("n_cur"),
+            F.min("value").alias("lo"), F.max("value").alias("hi"))
+        cum = running_sums(counts, ["column"], "value", ["a", "b"], n_rows=n_counts)
+        x = cum.join(F.broadcast(stats), "column")  # one row per column
+    gap = F.abs(F.try_divide(F.col("cum_a"), F.col("n_ref")) - F.try_divide(F.col("cum_b"), F.col("n_cur")))
+    per_bin = (x.withColumn("bin", hist_bin("value", "lo", "hi", bins))
+               .groupBy("column", "bin").agg(
+                   F.max(gap).alias("d"), F.sum("a").alias("a"), F.sum("b").alias("b"),
+                   F.first("n_ref").alias("n_ref"), F.first("n_cur").alias("n_cur"),
+                   F.first("lo").alias("lo"), F.first("hi").alias("hi")))
     r = (F.col("a") + EPS) / (F.col("n_ref") + EPS * bins)
     c = (F.col("b") + EPS) / (F.col("n_cur") + EPS * bins)
-    psi = full.groupBy("column").agg(
-        F.when(F.first("lo") == F.first("hi"), F.lit(0.0))
-        .otherwise(F.sum((c - r) * F.log(c / r))).alias("psi_raw"))
-
-    base = (_names(ref, columns).join(stats, "column", "left")
-            .join(ks, "column", "left").join(psi, "column", "left")
+    per_col = per_bin.groupBy("column").agg(
+        F.max("d").alias("ks_d"), F.first("n_ref").alias("n_ref"), F.first("n_cur").alias("n_cur"),
+        F.first("lo").alias("lo"), F.first("hi").alias("hi"),
+        F.sum((c - r) * F.log(c / r)).alias("psi_present"), F.count("*").alias("n_bins"))
+    r0 = F.lit(EPS) / (F.col("n_ref") + EPS * bins)
+    c0 = F.lit(EPS) / (F.col("n_cur") + EPS * bins)
+    empty = (F.lit(bins) - F.col("n_bins")) * (c0 - r0) * F.log(c0 / r0)
+    psi = per_col.select("column", "ks_d", "n_ref", "n_cur",
+                         F.when(F.col("lo") == F.col("hi"), F.lit(0.0))
+                         .otherwise(F.col("psi_present") + empty).alias("psi_raw"))
+
+    base = (F.broadcast(_names(ref, columns)).join(psi, "column", "left")
             .fillna(0, ["n_ref", "n_cur"]))
     few = (F.col("n_ref") < min_values) | (F.col("n_cur") < min_values)
     p_raw = ks_pvalue("ks_d", "n_ref", "n_cur")
     ok = lambda e: F.when(few, F.lit(None)).otherwise(e)
-    out = base.select(
+    return base.select(
         "ordinal", "column", F.lit("numerical").alias("kind"),
         F.col("n_ref").cast("bigint").alias("n_ref"), F.col("n_cur").cast("bigint").alias("n_cur"),
         ok(rnd("ks_d", 4)).cast("double").alias("ks_statistic"),
@@ -124,7 +139,6 @@ def drift_numeric(ref: DataFrame, cur: DataFrame | None, columns: Sequence[str],
         ok(psi_color("psi_raw")).alias("drift_color"),
         ok((F.col("psi_raw") >= PSI_NONE) | (p_raw < ALPHA)).cast("boolean").alias("drifted"),
         F.when(few, F.lit(ERR_FEW)).alias("error"))
-    return out
 
 
 def psi_from_counts(counts: DataFrame, group: Sequence[str] = ("column",),
@@ -132,30 +146,28 @@ def psi_from_counts(counts: DataFrame, group: Sequence[str] = ("column",),
     """PSI over category counts (a = reference, b = current) with one of the
     three smoothings: ``replace`` (missing count → eps, then normalise),
     ``additive`` ((n+eps)/(N+eps·k)), ``floor`` (shares floored at eps
-    inside the log only)."""
+    inside the log only).  Totals come from a window over the (small)
+    per-category table, so the whole answer is one exchange + one aggregate."""
     group = list(group)
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
+    w = Window.partitionBy(*group)
     if smoothing == "replace":
         ra = F.when(a > 0, a).otherwise(F.lit(eps))
         rb = F.when(b > 0, b).otherwise(F.lit(eps))
         t = counts.select(*group, ra.alias("ra"), rb.alias("rb"))
-        tot = t.groupBy(*group).agg(F.sum("ra").alias("tot_ra"), F.sum("rb").alias("tot_rb"))
-        j = t.join(tot, group)
+        t = t.select("*", F.sum("ra").over(w).alias("tot_ra"), F.sum("rb").over(w).alias("tot_rb"))
         r, c = F.col("ra") / F.col("tot_ra"), F.col("rb") / F.col("tot_rb")
-        return j.groupBy(*group).agg(F.sum((c - r) * F.log(c / r)).alias("psi_raw"))
+        return t.groupBy(*group).agg(F.sum((c - r) * F.log(c / r)).alias("psi_raw"))
+    t = counts.select(*group, a.alias("a"), b.alias("b"), F.sum(a).over(w).alias("tot_a"),
+                      F.sum(b).over(w).alias("tot_b"), F.count("*").over(w).alias("n_cat"))
     if smoothing == "additive":
-        tot = counts.groupBy(*group).agg(F.sum("a").alias("NA"), F.sum("b").alias("NB"),
-                                         F.count("*").alias("K"))
-        j = counts.join(tot, group)
-        r = (a + eps) / (F.col("NA") + eps * F.col("K"))
-        c = (b + eps) / (F.col("NB") + eps * F.col("K"))
-        return j.groupBy(*group).agg(F.sum((c - r) * F.log(c / r)).alias("psi_raw"))
+        r = (F.col("a") + eps) / (F.col("tot_a") + eps * F.col("n_cat"))
+        c = (F.col("b") + eps) / (F.col("tot_b") + eps * F.col("n_cat"))
+        return t.groupBy(*group).agg(F.sum((c - r) * F.log(c / r)).alias("psi_raw"))
     if smoothing == "floor":
-        tot = counts.groupBy(*group).agg(F.sum("a").alias("NA"), F.sum("b").alias("NB"))
-        j = counts.join(tot, group)
-        r = F.try_divide(a, F.col("NA"))
-        c = F.try_divide(b, F.col("NB"))
-        return j.groupBy(*group).agg(F.sum((c - r) * F.log(
+        r = F.try_divide(F.col("a"), F.col("tot_a"))
+        c = F.try_divide(F.col("b"), F.col("tot_b"))
+        return t.groupBy(*group).agg(F.sum((c - r) * F.log(
             F.greatest(c, F.lit(eps)) / F.greatest(r, F.lit(eps)))).alias("psi_raw"))
     raise ValueError(f"unknown smoothing {smoothing!r}")
 
@@ -167,19 +179,21 @@ def chi2_from_counts(counts: DataFrame, group: Sequence[str] = ("column",)) -> D
     reference (observed and expected totals disagree)."""
     group = list(group)
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    tot = counts.groupBy(*group).agg(F.sum(a).alias("NA"), F.sum(b).alias("NB"))
-    j = counts.join(tot, group)
-    e = a / F.col("NA") * F.col("NB")
+    w = Window.partitionBy(*group)
+    j = counts.select(*group, a.alias("a"), b.alias("b"), F.sum(a).over(w).alias("NA"),
+                      F.sum(b).over(w).alias("NB"))
+    e = F.col("a") / F.col("NA") * F.col("NB")
+    pos = F.col("a") > 0
     agg = j.groupBy(*group).agg(
         F.first("NA").alias("NA"), F.first("NB").alias("NB"),
-        F.count_if(a > 0).alias("k"),
-        F.sum(F.when(a > 0, b)).alias("obs"),
-        F.sum(F.when(a > 0, e)).alias("exp"),
-        F.sum(F.when(a > 0, (b - e) * (b - e) / e)).alias("stat"))
+        F.count_if(pos).alias("k"),
+        F.sum(F.when(pos, F.col("b"))).alias("obs"),
+        F.sum(F.when(pos, e)).alias("exp"),
+        F.sum(F.when(pos, (F.col("b") - e) * (F.col("b") - e) / e)).alias("stat"))
     valid = ((F.col("NA") > 0) & (F.col("NB") > 0) & (F.col("k") >= 2)
              & (F.abs(F.col("obs") - F.col("exp"))
                 <= F.lit(CHI2_RTOL) * F.greatest(F.col("obs"), F.col("exp"))))
-    return agg.select(*group,
+    return agg.select(*group, F.col("NA").alias("n_ref"), F.col("NB").alias("n_cur"),
                       F.when(valid, F.col("stat")).alias("chi2_raw"),
                       F.when(valid, chi2_sf(F.col("stat"), F.col("k") - 1)).alias("chi2_p_raw"))
 
@@ -189,9 +203,8 @@ def drift_categorical(ref: DataFrame, cur: DataFrame | None, columns: Sequence[s
     counts, _ = sized(value_counts_two_sided(ref, cur, columns, numeric=False))
     psi = psi_from_counts(counts, smoothing="replace")
     chi = chi2_from_counts(counts)
-    ns = counts.groupBy("column").agg(F.sum("a").alias("n_ref"), F.sum("b").alias("n_cur"))
-    base = (_names(ref, columns).join(ns, "column", "left").join(psi, "column", "left")
-            .join(chi, "column", "left").fillna(0, ["n_ref", "n_cur"]))
+    base = (F.broadcast(_names(ref, columns)).join(chi, "column", "left").join(psi, "column", "left")
+            .fillna(0, ["n_ref", "n_cur"]))
     return base.select(
         "ordinal", "column", F.lit("categorical").alias("kind"),
         F.col("n_ref").cast("bigint").alias("n_ref"), F.col("n_cur").cast("bigint").alias("n_cur"),
@@ -231,10 +244,7 @@ def detect_drift(ref: DataFrame, cur: DataFrame | None, kinds: Mapping[str, str]
     for c in REPORT_COLUMNS:
         if c not in out.columns:
             out = out.withColumn(c, F.lit(None).cast("double"))
-    order = {c: i for i, c in enumerate(cols)}
-    spark = ref.sparkSession
-    ords = spark.createDataFrame(list(order.items()), "column string, ord int")
-    return out.drop("ordinal").join(F.broadcast(ords), "column").orderBy("ord").select(*REPORT_COLUMNS)
+    return out.select(*REPORT_COLUMNS)
 
 
 def drift_summary(report: DataFrame) -> DataFrame:
