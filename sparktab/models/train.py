@@ -88,7 +88,7 @@ def evaluate(pred: DataFrame, task: str, label: str, positive: str | None = None
         if binary and "probabilities" in p.columns:
             pos = positive or "1"
             auc = M.roc_auc(p.withColumn("_pos", (F.col("_y") == pos).cast("double"))
-                            .withColumn("_s", F.col("probabilities")[1]), "_pos", "_s").first()
+                            .withColumn("_s", F.col("probabilities")[1]), "_pos", "_s").select("roc_auc").first()
             m["roc_auc"] = auc["roc_auc"]
         return m
     if task == "regression":

@@ -105,18 +105,16 @@ def roc_auc(df: DataFrame, y, score: str, group: Sequence[str] = ()) -> DataFram
     cum = running_sums(sc, group, "score", ["neg", "pos"], n_rows=n)
     term = F.col("pos") * (F.col("cum_neg") - F.col("neg") + 0.5 * F.col("neg"))
     return cum.groupBy(*group).agg(
-        F.try_divide(F.sum(term), F.sum("pos") * F.sum("neg")).alias("roc_auc"))
+        F.try_divide(F.sum(term), F.sum("pos") * F.sum("neg")).alias("roc_auc"),
+        F.sum("pos").alias("support"))
 
 
 def roc_auc_ovr_weighted(long: DataFrame, label: str, cls: str, score: str) -> DataFrame:
     """E5 multiclass: one-vs-rest AUC per class weighted by class support.
     ``long`` has one row per (row, class) with that class's score."""
     is_pos = (F.col(label).cast("string") == F.col(cls).cast("string")).cast("double")
-    per = roc_auc(long.withColumn("_pos", is_pos), "_pos", score, [cls])
-    sup = long.where(F.col(label).cast("string") == F.col(cls).cast("string")) \
-        .groupBy(cls).agg(F.count("*").alias("support"))
-    j = per.join(sup, cls)
-    return j.agg((F.sum(F.col("roc_auc") * F.col("support")) / F.sum("support")).alias("roc_auc"))
+    per = roc_auc(long.withColumn("_pos", is_pos), "_pos", score, [cls]).where(F.col("support") > 0)
+    return per.agg((F.sum(F.col("roc_auc") * F.col("support")) / F.sum("support")).alias("roc_auc"))
 
 
 def roc_curve(df: DataFrame, y, score: str, group: Sequence[str] = ()) -> DataFrame:

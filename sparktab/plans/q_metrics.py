@@ -44,7 +44,7 @@ SELECT round(accuracy, 6) AS accuracy, round(coalesce(precision, 0.0), 6) AS pre
 def metrics_binary(spark, sf):
     bp = binary_preds(spark, sf)
     m = M.classification_metrics(bp, "y", "pred", binary=True, positive="1")
-    return round_all(m.crossJoin(M.roc_auc(bp, "y", "score")), 6)
+    return round_all(m.crossJoin(M.roc_auc(bp, "y", "score").select("roc_auc")), 6)
 
 
 _mper, _msel = _cls_sql("mc", False)

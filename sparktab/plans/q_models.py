@@ -338,3 +338,29 @@ def metric_table_val_test(spark, sf):
         rows_t.append((m, {k: float(v) for k, v in test.items()}))
     sch = "model_name string, metrics map<string,double>"
     return round_all(TR.metric_table(spark.createDataFrame(rows_v, sch), spark.createDataFrame(rows_t, sch)), 6)
+
+
+# ---------------------------------------- exact single-feature linear fits
+def _single_fit(model):
+    def run(spark, sf):
+        li = table(spark, sf, "lineitem")
+        res = TR.train_model(li, li, model, "regression", ["l_quantity"], "l_extendedprice", "l_orderkey")
+        lm = res.model.stages[-1]
+        return round_all(li.agg(F.count("*").alias("n")).select(
+            F.lit(float(lm.coefficients[0])).alias("slope"), F.lit(float(lm.intercept)).alias("intercept")), 4)
+    return run
+
+
+query("ols_single_feature", """SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope,
+  round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept FROM lineitem""")(_single_fit("linear_regression"))
+query("ridge_single_feature", """WITH m AS (SELECT covar_pop(l_extendedprice, l_quantity) * count(*) AS sxy,
+  var_pop(l_quantity) * count(*) AS sxx, avg(l_extendedprice) AS my, avg(l_quantity) AS mx FROM lineitem)
+SELECT round(sxy / (sxx + 1.0), 4) AS slope, round(my - sxy / (sxx + 1.0) * mx, 4) AS intercept FROM m""")(_single_fit("ridge"))
+query("lasso_single_feature", """WITH m AS (SELECT covar_pop(l_extendedprice, l_quantity) AS c, var_pop(l_quantity) AS v,
+  avg(l_extendedprice) AS my, avg(l_quantity) AS mx FROM lineitem),
+w AS (SELECT sign(c) * greatest(abs(c) - 1.0, 0.0) / v AS w, my, mx FROM m)
+SELECT round(w, 4) AS slope, round(my - w * mx, 4) AS intercept FROM w""")(_single_fit("lasso"))
+query("elastic_net_single_feature", """WITH m AS (SELECT covar_pop(l_extendedprice, l_quantity) AS c, var_pop(l_quantity) AS v,
+  avg(l_extendedprice) AS my, avg(l_quantity) AS mx FROM lineitem),
+w AS (SELECT sign(c) * greatest(abs(c) - 0.5, 0.0) / (v + 0.5) AS w, my, mx FROM m)
+SELECT round(w, 4) AS slope, round(my - w * mx, 4) AS intercept FROM w""")(_single_fit("elastic_net"))
