@@ -11,6 +11,12 @@ from ..sources.tables import table
 CLASSES = ["A", "N", "R"]
 
 
+def LI_KEY():  # noqa: N802
+    """Unique lineitem row key (order, line, part, supplier) as text; the
+    DuckDB twin is concat_ws('-', …) of the same columns."""
+    return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
 def _hsql(k: str, seed: int) -> str:
     return f"('0x' || substr(md5('{seed}:' || CAST({k} AS VARCHAR)), 1, 8))::BIGINT"
 
@@ -21,7 +27,7 @@ def _usql(k: str, seed: int) -> str:
 
 def li_keyed(spark, sf):
     li = table(spark, sf, "lineitem")
-    return li.withColumn("k", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    return li.withColumn("k", LI_KEY())
 
 
 def multiclass_preds(spark, sf):
@@ -41,7 +47,7 @@ MULTICLASS_SQL = f"""mc AS (SELECT k, y, pred, {', '.join(f"raw_{c} / (raw_A + r
   (SELECT k, y, pred, {', '.join(f"CASE WHEN pred = '{c}' THEN 1.0 + u ELSE {_usql('k', 11 + i)} END AS raw_{c}" for i, c in enumerate(CLASSES))} FROM
     (SELECT k, l_returnflag AS y, CASE WHEN {_hsql('k', 42)} % 100 < 80 THEN l_returnflag
        ELSE ['A', 'N', 'R'][{_hsql('k', 42)} % 3 + 1] END AS pred, {_usql('k', 7)} AS u
-     FROM (SELECT *, l_orderkey * 8 + l_linenumber AS k FROM lineitem))))"""
+     FROM (SELECT *, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem))))"""
 
 
 def binary_preds(spark, sf):
@@ -54,7 +60,7 @@ def binary_preds(spark, sf):
 
 BINARY_SQL = f"""bp AS (SELECT k, y, score, CAST(score >= 0.5 AS INT) AS pred FROM
   (SELECT k, y, floor((CAST(0.35 AS DOUBLE) * y + CAST(0.65 AS DOUBLE) * {_usql('k', 7)}) * 1000) / 1000 AS score FROM
-    (SELECT l_orderkey * 8 + l_linenumber AS k, CAST(l_returnflag = 'R' AS INT) AS y FROM lineitem)))"""
+    (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS k, CAST(l_returnflag = 'R' AS INT) AS y FROM lineitem)))"""
 
 
 def regression_preds(spark, sf):
@@ -63,8 +69,8 @@ def regression_preds(spark, sf):
                      (F.col("l_extendedprice") * (F.lit(0.9) + F.lit(0.2) * hash_unit("k", 7))).alias("p"))
 
 
-REGRESSION_SQL = f"""rp AS (SELECT l_orderkey * 8 + l_linenumber AS k, l_extendedprice AS y,
-  l_extendedprice * (CAST(0.9 AS DOUBLE) + CAST(0.2 AS DOUBLE) * {_usql('l_orderkey * 8 + l_linenumber', 7)}) AS p FROM lineitem)"""
+REGRESSION_SQL = f"""rp AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS k, l_extendedprice AS y,
+  l_extendedprice * (CAST(0.9 AS DOUBLE) + CAST(0.2 AS DOUBLE) * {_usql("concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)", 7)}) AS p FROM lineitem)"""
 
 
 def embedding_clusters(spark, sf):

@@ -14,13 +14,14 @@ from ..operators import metrics as M
 from ..operators import split as S
 from ..sources.tables import table
 from .fixtures import vector_dim
+from .fixtures import LI_KEY
 from .registry import query
 
 LI_FEATS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def _lineitem(spark, sf, binary=False):
-    li = table(spark, sf, "lineitem").withColumn("k", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    li = table(spark, sf, "lineitem").withColumn("k", LI_KEY())
     if binary:
         li = li.withColumn("is_returned", (F.col("l_returnflag") == "R").cast("int").cast("string"))
     return S.assign_split(li, "k")
@@ -364,3 +365,26 @@ query("elastic_net_single_feature", """WITH m AS (SELECT covar_pop(l_extendedpri
   avg(l_extendedprice) AS my, avg(l_quantity) AS mx FROM lineitem),
 w AS (SELECT sign(c) * greatest(abs(c) - 0.5, 0.0) / (v + 0.5) AS w, my, mx FROM m)
 SELECT round(w, 4) AS slope, round(my - w * mx, 4) AS intercept FROM w""")(_single_fit("elastic_net"))
+
+
+def _gnb_sql():
+    from .q_prep import split_sql
+    f = LI_FEATS
+    var_eps = "greatest(" + ", ".join(f"var_samp({c})" for c in f) + ") * 1e-9"
+    stats = ", ".join(f"avg({c}) AS m_{c}, var_pop({c}) + (SELECT e FROM eps) AS v_{c}" for c in f)
+    ll = " + ".join(f"-0.5 * (ln(2 * pi() * v_{c}) + (te.{c} - m_{c}) * (te.{c} - m_{c}) / v_{c})" for c in f)
+    return f"""WITH li AS (SELECT *, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem), sp AS ({split_sql('li', 'k')}),
+tr AS (SELECT * FROM sp WHERE split = 'train'), te AS (SELECT * FROM sp WHERE split = 'test'),
+eps AS (SELECT {var_eps} AS e FROM tr),
+st AS (SELECT l_returnflag AS cls, ln(count(*) / (SELECT count(*) FROM tr)) AS lp, {stats} FROM tr GROUP BY 1),
+sc AS (SELECT te.k, st.cls, st.lp + {ll} AS s FROM te, st)
+SELECT k, arg_max(cls, s) AS prediction FROM sc GROUP BY k"""
+
+
+@query("naive_bayes_gaussian_predictions", _gnb_sql())
+def naive_bayes_gaussian_predictions(spark, sf):
+    d = _lineitem(spark, sf)
+    res = TR.train_model(d.where("split = 'train'"), d.where("split = 'val'"), "naive_bayes_gaussian",
+                         "multiclass_classification", LI_FEATS, "l_returnflag", "k")
+    out = TR.score(res.model, d.where("split = 'test'"), "multiclass_classification", res.classes)
+    return out.select("k", F.col("predicted_label").alias("prediction"))

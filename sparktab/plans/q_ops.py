@@ -15,13 +15,14 @@ from ..operators import split as S
 from ..session import scratch_path
 from ..sources import store
 from ..sources.tables import table
+from .fixtures import LI_KEY
 from .registry import query
 
 FEATS = ["l_quantity", "l_discount", "l_tax"]
 
 
 def _splits(spark, sf):
-    li = table(spark, sf, "lineitem").withColumn("k", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    li = table(spark, sf, "lineitem").withColumn("k", LI_KEY())
     li = li.select("k", *FEATS, "l_extendedprice", "l_returnflag")
     return S.assign_split(li, "k")
 
