@@ -75,6 +75,9 @@ def validated_scoring(spark, sf):
     res = TR.train_model(good, good, "logistic_regression", "multiclass_classification", ["price"],
                          "o_orderstatus", "o_orderkey")
     scored = TR.score(res.model, good.drop("o_orderstatus"), "multiclass_classification", res.classes)
+    path = scratch_path(spark, f"predictions-{uuid.uuid4().hex[:8]}")
+    store.write_predictions(scored.drop("features", "rawPrediction", "probability", "errors"), path)  # S9
+    scored = spark.read.option("header", "true").option("inferSchema", "true").csv(path)
     out = scored.groupBy("predicted_label").agg(F.count("*").alias("n"), F.avg("confidence").alias("avg_confidence"))
     bad = v.where(F.size("errors") > 0).agg(F.count("*").alias("quarantined"))
     return out.crossJoin(bad)
