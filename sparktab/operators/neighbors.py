@@ -346,3 +346,12 @@ def knn_impute(df: DataFrame, features: Sequence[str], id_col: str, k: int = 5,
         else:
             outs.append(df[c])
     return j.select(*outs)
+
+
+def single_linkage(points: DataFrame, distance: float, id_col: str = "id", vec: str = "features",
+                   block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """M20 (single linkage cut at ``distance``): clusters are the connected
+    components of the graph joining points closer than the cut — DBSCAN with
+    one point per core, so every point is a core point and nothing is noise.
+    Clusters are numbered by their smallest id."""
+    return dbscan(points, distance, 1, id_col, vec, block_rows).select(id_col, "cluster")

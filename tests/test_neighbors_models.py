@@ -100,3 +100,11 @@ def test_elbow_picks_largest_second_difference(spark):
                                  "k int, inertia double, silhouette double")
     r = elbow(scan).first()
     assert r["elbow_k"] == 3 and r["best_silhouette_k"] == 3
+
+
+def test_single_linkage_isolated_point_own_cluster(spark):
+    X, df = _blobs(spark)
+    far = spark.createDataFrame([(999, [50.0, 50.0])], "id long, x array<double>")
+    lab = {r["id"]: r["cluster"] for r in N.single_linkage(df.unionByName(far), 1.5, "id", "x").collect()}
+    assert lab[999] != -1 and sum(1 for v in lab.values() if v == lab[999]) == 1
+    assert len(set(lab.values())) >= 4
