@@ -108,3 +108,18 @@ def test_unsupported_extension_raises(spark):
     from sparktab.sources.tables import load_dataset
     with pytest.raises(ValueError, match="xlsx"):
         load_dataset(spark, "/root/testdata/sf0.001/events.xlsx")
+
+
+def test_validate_rows_errors(spark):
+    df = spark.createDataFrame([("1.5", 1.0), ("n/a", 2.0), (None, None)], "num string, req double")
+    out = C.validate_rows(df, ["num"], ["req"]).collect()
+    assert [len(r["errors"]) for r in out] == [0, 1, 1]
+    assert out[1]["errors"] == ["num: not a number"] and out[2]["errors"] == ["req: missing value"]
+
+
+def test_improved_expr_matches_rule(spark):
+    from sparktab.models.retrain import improved, improved_expr
+    rows = [(None, 0.5), (0.5, 0.6), (0.6, 0.6), (0.1, None)]
+    df = spark.createDataFrame(rows, "old double, new double")
+    got = [r[0] for r in df.select(improved_expr("old", "new", "regression")).collect()]
+    assert got == [improved(o, n, "regression") for o, n in rows]
