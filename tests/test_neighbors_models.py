@@ -108,3 +108,12 @@ def test_single_linkage_isolated_point_own_cluster(spark):
     lab = {r["id"]: r["cluster"] for r in N.single_linkage(df.unionByName(far), 1.5, "id", "x").collect()}
     assert lab[999] != -1 and sum(1 for v in lab.values() if v == lab[999]) == 1
     assert len(set(lab.values())) >= 4
+
+
+def test_knn_impute_falls_back_to_mean(spark):
+    df = spark.createDataFrame([(1, 1.0, 10.0), (2, 3.0, 20.0), (3, None, None), (4, 5.0, None)],
+                               "id long, a double, b double")
+    out = {r["id"]: (r["a"], r["b"]) for r in N.knn_impute(df, ["a", "b"], "id", 2).collect()}
+    assert out[3] == (3.0, 15.0)            # no shared coordinate: donor means
+    assert out[4][1] == pytest.approx(15.0)  # two nearest donors on a: ids 2 and 1
+    assert out[1] == (1.0, 10.0)
