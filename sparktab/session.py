@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -47,6 +48,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or path
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the executors' Python workers.
+
+    Spark serves the zip to every executor; once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_sparktab_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    _SHIPPED.append(folder := tempfile.TemporaryDirectory(prefix="sparktab-ship-"))
+    path = os.path.join(folder.name, "sparktab.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for at, _, names in os.walk(root):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                full = os.path.join(at, name)
+                z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    sc._sparktab_shipped = True
+
+
+#: Folders of the driver that Spark serves files from; they go with the process.
+_SHIPPED: list[tempfile.TemporaryDirectory] = []
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
