@@ -2,16 +2,12 @@
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparktab.session import scratch_path
-
-MASK64 = (1 << 64) - 1
-
+from sparktab.session import written  # noqa: F401
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -23,15 +19,6 @@ def text_frame(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFra
                      F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared checkpoint folder and read
-    it back: lineage is cut, and a lost executor rereads shared files."""
-    spark = df.sparkSession
-    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def join_spans(spans: Iterable[tuple[str, int, int]], order: dict[str, int]) -> str:
     """``kind:start:end`` by start, then kind as listed in ``order``, then end."""
     return ",".join(f"{k}:{s}:{e}" for k, s, e in

@@ -27,3 +27,22 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import scan_secrets
     return scan_secrets(documents(spark, sf_dir))
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import held_out, learn_profiles, predict_languages
+    docs = documents(spark, sf_dir)
+    return predict_languages(docs, learn_profiles(docs, ~held_out(docs["doc_id"])))
+
+
+@query
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+    return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+    return near_duplicates(documents(spark, sf_dir), shingle=3, max_bits=2, seed=42)
