@@ -53,3 +53,10 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     from .decontaminate import find_leaks
     found = find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.drop("key").withColumn("item_id", found["item_id"].cast("long"))
+
+
+@query
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_pii, fit
+    docs = documents(spark, sf_dir)
+    return find_pii(docs, fit(docs))
