@@ -60,3 +60,23 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import find_pii, fit
     docs = documents(spark, sf_dir)
     return find_pii(docs, fit(docs))
+
+
+@query
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .code_search import top_k
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return top_k(rows, rows.where("vec_id % 100 = 0"), id_col="vec_id", vector_col="embedding", k=10)
+
+
+ORACLES["op8_exact_top_k"] = """
+WITH pairs AS (
+  SELECT q.vec_id AS query_id, r.vec_id AS neighbor_id,
+         CAST(list_sum(list_transform(range(1, 1 + len(q.embedding)),
+              lambda i: CASE WHEN (q.embedding[i] > 0) <> (r.embedding[i] > 0) THEN 1 ELSE 0 END)) AS INTEGER) AS distance
+  FROM embeddings q, embeddings r WHERE q.vec_id % 100 = 0 AND q.vec_id <> r.vec_id),
+ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS INTEGER) AS rank,
+         neighbor_id, distance FROM pairs)
+SELECT * FROM ranked WHERE rank <= 10
+"""
