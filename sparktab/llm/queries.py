@@ -80,3 +80,9 @@ ranked AS (
          neighbor_id, distance FROM pairs)
 SELECT * FROM ranked WHERE rank <= 10
 """
+
+
+@query
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_chats
+    return format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
