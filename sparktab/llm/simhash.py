@@ -162,3 +162,24 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, max_bits: int = 2, see
     named = rooted.join(ids, "root").select("fp", "component_id")
     return table.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
+                      max_bits: int = 2, seed: int = 42) -> DataFrame:
+    """The rows of ``docs`` without those near-duplicate to a kept one, columns unchanged.
+
+    Of each component the row with the smallest id stays, of equal ids the first
+    one, a null id only if there is no other.  ``docs`` must be a table that reads
+    the same twice, as its rows are numbered by their place."""
+    place = F.monotonically_increasing_id()
+    numbered = docs.select(place.alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    groups = written(near_duplicates(numbered, shingle=shingle, max_bits=max_bits, seed=seed, id_col="row",
+                                     text_col="text").select(F.col("doc_id").alias("row"), "component_id"), "groups")
+    ids = numbered.select("row", "id")
+    crowded = groups.groupBy("component_id").count().where("count > 1").select("component_id")
+    members = groups.join(crowded, "component_id").join(ids, "row")
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    first = members.groupBy("component_id").agg(F.min(rank).alias("kept"))
+    gone = members.join(first, "component_id").where(F.col("row") != F.col("kept.row")).select(F.col("row").alias("gone"))
+    gone = written(gone, "near-duplicates")
+    return docs.withColumn("__row", place).join(gone, F.col("__row") == F.col("gone"), "left_anti").drop("__row")
