@@ -86,3 +86,9 @@ SELECT * FROM ranked WHERE rank <= 10
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import format_chats
     return format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+@query
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+    return remove_repeats(documents(spark, sf_dir), length=400)
