@@ -94,7 +94,7 @@ def interleave(data: np.ndarray, rows: np.ndarray, length: int) -> tuple[np.ndar
     key = np.zeros(n, np.uint64)
     for i in range(8):
         key = (key << np.uint64(8)) | padded[i:i + n]
-    rank = np.full(n + length + 1, n, np.int64)
+    rank = np.full(n + length, -1, np.int64)  # the end of the text comes first
     order = rows[np.argsort(key[rows], kind="stable")]
     split = np.concatenate([[True], key[order][1:] != key[order][:-1]]) if len(order) else np.zeros(0, bool)
     start = np.maximum.accumulate(np.where(split, np.arange(len(order)), 0)) if len(order) else np.zeros(0, np.int64)
@@ -111,7 +111,7 @@ def interleave(data: np.ndarray, rows: np.ndarray, length: int) -> tuple[np.ndar
         live[:] = False
         live[order[places]] = True
         act = rows[live[rows]]  # still shard after shard, each in its own order
-        key2 = rank[act] * (n + 1) + rank[act + step]
+        key2 = rank[act] * (n + 1) + rank[act + step] + 1
         merged = np.argsort(key2, kind="stable")
         act, key2 = act[merged], key2[merged]
         order[places] = act
@@ -140,7 +140,7 @@ def repeated_starts(contexts: list[bytes], widths: list[int], length: int) -> li
         orders.append(lo + shard_order(data[lo:hi], np.arange(hi - lo), length))
     rank, order, _ = interleave(data, np.concatenate(orders), length)
     starts = np.concatenate([np.arange(b, b + w) for b, w in zip(begin, widths, strict=True)])
-    met = np.bincount(rank[starts], minlength=len(data) + 1)
+    met = np.bincount(rank[starts], minlength=len(data))
     again = met[rank[starts]] > 1
     return np.split(again, np.cumsum(widths)[:-1])
 
