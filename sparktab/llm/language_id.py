@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_frame
+from .common import text_frame, written
 
 UNDETERMINED = "und"
 #: Texts are encoded in blocks of about so many characters and at most so many texts.
@@ -187,7 +187,8 @@ def learn_profiles(docs: DataFrame, train: Column, *, text_col: str = "text", la
     rows = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     parts = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")) \
         .mapInArrow(run, "lang string, v array<bigint>")
-    sums = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
+    sums = written(parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i")
+                   .agg(F.sum("x").alias("x")), "prototypes")
     if (n := sums.select("lang").distinct().limit(max_languages + 1).count()) > max_languages:
         raise ValueError(f"more than {max_languages} languages in the training rows")
     table = sums.orderBy("lang", "i").toPandas()
