@@ -19,10 +19,16 @@ def safe_div(a, b) -> Column:
     return F.try_divide(col(a), col(b))
 
 
+def real(c) -> Column:
+    """The value as double, null where it is NaN."""
+    x = col(c).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
 def clip(c, lo=None, hi=None) -> Column:
-    """Clip keeping nulls null (``greatest``/``least`` would skip nulls)."""
-    x = col(c)
-    out = x
+    """Clip keeping nulls null and NaN NaN (NaN sorts above every bound)."""
+    out = col(c)
+    x = real(c)
     if lo is not None:
         out = F.when(x < F.lit(lo), F.lit(lo)).otherwise(out)
     if hi is not None:
@@ -36,9 +42,9 @@ def clip_negative(c) -> Column:
 
 
 def pearson(a, b) -> Column:
-    """Aggregate: Pearson r over rows where both are non-null; null (not an
-    error) when either side is constant.  Uses pair-masked moments."""
-    x, y = col(a).cast("double"), col(b).cast("double")
+    """Aggregate: Pearson r over rows where both are non-null and not NaN; null
+    (not an error) when either side is constant.  Uses pair-masked moments."""
+    x, y = real(a), real(b)
     both = x.isNotNull() & y.isNotNull()
     xm = F.when(both, x)
     ym = F.when(both, y)

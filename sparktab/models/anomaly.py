@@ -103,10 +103,10 @@ def isolation_forest(train: DataFrame, features: Sequence[str], id_col: str, n_e
     n = train.count()
     psi = int(min(max_samples, n))
     rate = min(1.0, 3.0 * psi / max(n, 1))
-    cut = int(rate * 2 ** 31)
+    cut = max(1, int(rate * 2 ** 62))
     x = train.select(F.col(id_col).alias("_id"), *[F.col(c).cast("double").alias(c) for c in features])
     trees_of_row = F.filter(F.sequence(F.lit(0), F.lit(n_estimators - 1)),
-                            lambda t: F.pmod(F.xxhash64(F.lit(seed), t, F.col("_id")), F.lit(2 ** 31)) < F.lit(cut))
+                            lambda t: F.shiftrightunsigned(F.xxhash64(F.lit(seed), t, F.col("_id")), 2) < F.lit(cut))
     picked = x.withColumn("tree", F.explode(trees_of_row))
     w = Window.partitionBy("tree").orderBy(F.xxhash64(F.lit(seed + 1), F.col("tree"), F.col("_id")), "_id")
     sample = picked.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= psi).drop("_r")
@@ -134,18 +134,40 @@ def isolation_forest(train: DataFrame, features: Sequence[str], id_col: str, n_e
 
 # ------------------------------------------------------------ robust covariance
 
-def _moments(df: DataFrame, feats: Sequence[str]):
+def scatter(df: DataFrame, feats: Sequence[str], center: dict, group: str | None = None) -> dict:
+    """Σ (x−c)(x−c)ᵀ per group (key ``None`` without one) as d×d arrays.
+
+    Rows are centred before anything is multiplied; every task adds its rows up
+    and emits one matrix per group, and those are summed element by element."""
     d = len(feats)
-    aggs = [F.count("*").alias("n")] + [F.sum(F.col(c)).alias(f"s{i}") for i, c in enumerate(feats)]
-    aggs += [F.sum(F.col(feats[i]) * F.col(feats[j])).alias(f"x{i}_{j}") for i in range(d) for j in range(i, d)]
-    r = df.agg(*aggs).first()
-    n = r["n"]
-    mu = np.array([r[f"s{i}"] for i in range(d)]) / n
-    S = np.zeros((d, d))
-    for i in range(d):
-        for j in range(i, d):
-            S[i, j] = S[j, i] = r[f"x{i}_{j}"] / n - mu[i] * mu[j]
-    return mu, S
+    g = F.lit(0).cast("string") if group is None else F.col(group).cast("string")
+    rows = df.select(g.alias("g"), F.array(*[F.col(c).cast("double") for c in feats]).alias("x"))
+    middle = {None if k is None else str(k): np.asarray(v, float) for k, v in center.items()}
+
+    def run(batches):
+        sums: dict = {}
+        for pdf in batches:
+            for key, part in pdf.groupby("g"):
+                x = np.stack(part["x"].to_numpy()) - middle[None if group is None else key]
+                sums[key] = sums.get(key, 0) + x.T @ x
+        for key, m in sums.items():
+            yield pd.DataFrame({"g": [key], "m": [m.ravel()]})
+
+    parts = rows.mapInPandas(run, "g string, m array<double>")
+    total = parts.select("g", F.posexplode("m").alias("i", "v")).groupBy("g", "i").agg(F.sum("v").alias("v"))
+    out: dict = {}
+    for r in total.collect():  # d² numbers per group
+        out.setdefault(None if group is None else r["g"], np.zeros((d, d)))[divmod(r["i"], d)] = r["v"]
+    return out
+
+
+def _moments(df: DataFrame, feats: Sequence[str]):
+    """Mean and population covariance, centred in a second pass."""
+    row = df.agg(F.count("*").alias("n"), *[F.avg(F.col(c).cast("double")).alias(f"m{i}")
+                                            for i, c in enumerate(feats)]).first()
+    mu = np.array([row[f"m{i}"] for i in range(len(feats))], float)
+    got = scatter(df, feats, {None: mu})
+    return mu, got[None] / row["n"] if got else np.zeros((len(feats), len(feats)))
 
 
 def mahalanobis_sq(mu: np.ndarray, prec: np.ndarray, feats: Sequence[str]):

@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics as M
 from ..operators import neighbors as N
+from ..operators.running import running_sums, sized
 from ..operators.split import assign_folds, hash_rank
-from .anomaly import _moments, fourier_features
+from ..session import written
+from .anomaly import _moments, fourier_features, scatter
 from .catalog import SEED
 
 
@@ -146,26 +148,18 @@ def learning_curve(df: DataFrame, key: str, features: Sequence[str], label: str,
 # ----------------------------------------------------- LDA / CCA
 
 def fisher_lda(df: DataFrame, features: Sequence[str], label: str, n_components: int | None = None):
-    """Per-class moments in one aggregation; within/between scatter; the
+    """Class means, then centred class scatter; within/between scatter; the
     generalized eigenproblem Sb v = λ Sw v on the driver (d×d).  Returns
     (components k×d, explained variance ratios, overall mean)."""
     feats = list(features)
     d = len(feats)
-    aggs = [F.count("*").alias("n")] + [F.sum(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(feats)]
-    aggs += [F.sum(F.col(feats[i]).cast("double") * F.col(feats[j]).cast("double")).alias(f"x{i}_{j}")
-             for i in range(d) for j in range(i, d)]
-    rows = df.dropna(subset=feats + [label]).groupBy(label).agg(*aggs).collect()  # one row per class
-    N_ = sum(r["n"] for r in rows)
-    mu = sum(np.array([r[f"s{i}"] for i in range(d)]) for r in rows) / N_
-    Sw, Sb = np.zeros((d, d)), np.zeros((d, d))
-    for r in rows:
-        m = np.array([r[f"s{i}"] for i in range(d)]) / r["n"]
-        X = np.zeros((d, d))
-        for i in range(d):
-            for j in range(i, d):
-                X[i, j] = X[j, i] = r[f"x{i}_{j}"]
-        Sw += X - r["n"] * np.outer(m, m)
-        Sb += r["n"] * np.outer(m - mu, m - mu)
+    x = df.dropna(subset=feats + [label])
+    rows = x.groupBy(F.col(label).cast("string").alias("g")).agg(F.count("*").alias("n"), *[
+        F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(feats)]).collect()  # one row per class
+    means = {r["g"]: np.array([r[f"m{i}"] for i in range(d)], float) for r in rows}
+    mu = sum(r["n"] * means[r["g"]] for r in rows) / sum(r["n"] for r in rows)
+    Sw = sum(scatter(x, feats, means, label).values())
+    Sb = sum(r["n"] * np.outer(means[r["g"]] - mu, means[r["g"]] - mu) for r in rows)
     w, V = np.linalg.eig(np.linalg.pinv(Sw) @ Sb)
     w, V = np.real(w), np.real(V)
     order = np.argsort(w)[::-1]
@@ -232,69 +226,91 @@ def nmf_transform(df: DataFrame, features: Sequence[str], H: np.ndarray, n_iter:
 
 # ------------------------------------------------------- mean shift
 
-def mean_shift(points: DataFrame, vec: str, id_col: str, bandwidth: float, max_iter: int = 300,
-               max_seeds: int = 10_000) -> tuple[DataFrame, np.ndarray]:
+def mean_shift(points: DataFrame, vec: str, id_col: str, bandwidth: float,
+               tolerance: float = 1e-3) -> tuple[DataFrame, DataFrame]:
     """Flat-kernel mean shift with bin seeding: seeds are occupied grid cells
-    of side ``bandwidth``; every iteration moves all seeds to the mean of the
-    points within ``bandwidth`` (one blocked neighbour pass emitting a sum
-    and count per seed); converged seeds closer than ``bandwidth`` merge,
-    keeping the denser; points take the nearest centre.  The bandwidth must
-    be given (no sampled estimate)."""
-    spark = points.sparkSession
-    x = points.select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v")).persist()
-    bins = x.select(F.transform("v", lambda t: F.round(t / bandwidth) * bandwidth).alias("s")).distinct()
-    n_seeds = bins.count()
-    if n_seeds > max_seeds:
-        raise ValueError(f"{n_seeds} seeds exceed max_seeds; use a larger bandwidth")
-    seeds = np.array([r["s"] for r in bins.collect()], dtype=float)
-    counts = np.zeros(len(seeds))
-    for _ in range(max_iter):
-        sd = spark.createDataFrame([(i, s.tolist()) for i, s in enumerate(seeds)], "id long, v array<double>")
-        moved = _window_means(sd, x, bandwidth)
-        new = seeds.copy()
-        counts = np.zeros(len(seeds))
-        for r in moved:
-            new[r["qid"]] = np.array(r["s"]) / r["n"]
-            counts[r["qid"]] = r["n"]
-        shift = np.max(np.linalg.norm(new - seeds, axis=1)) if len(seeds) else 0
-        seeds = new
-        if shift < 1e-3 * bandwidth:
+    of side ``bandwidth``; every round moves each seed to the mean of the points
+    within ``bandwidth`` and drops seeds that meet, until no seed moves more than
+    ``tolerance`` bandwidths; of centres closer than ``bandwidth`` the denser stays
+    (ties by coordinates); points take the nearest centre.  Seeds are tables
+    throughout.  The bandwidth must be given.  Returns (labels, centres)."""
+    x = written(points.select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v")),
+                "mean-shift-points")
+    seeds = x.select(F.transform("v", lambda t: F.round(t / bandwidth) * bandwidth).alias("v")).distinct()
+    while True:
+        seeds = written(seeds.select("v").withColumn("id", F.monotonically_increasing_id()), "seeds")
+        moved = written(_window_means(seeds, x, bandwidth), "moved-seeds")
+        if (moved.agg(F.max("shift")).first()[0] or 0.0) < tolerance * bandwidth:
             break
-    order = np.lexsort((np.arange(len(seeds)), -counts))
-    centers = []
-    for i in order:
-        if counts[i] == 0:
-            continue
-        if all(np.linalg.norm(seeds[i] - c) >= bandwidth for c in centers):
-            centers.append(seeds[i])
-    centers = np.array(centers)
-    cdf = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centers)], "id long, v array<double>")
-    lab = N.knn_join(x, cdf, 1, "id", "id", "v", "v").select(F.col("qid").alias(id_col), F.col("rid").cast("int").alias("cluster"))
+        seeds = moved.select("v").distinct()
+    # seeds that ended in one place up to the tolerance stand for one centre
+    spot = F.transform("v", lambda t: F.round(t / (tolerance * bandwidth)))
+    ends = moved.groupBy(spot.alias("spot")).agg(F.max(F.struct("n", "v")).alias("e"))
+    ends = written(ends.select(F.monotonically_increasing_id().alias("id"), "e.n", "e.v"), "mean-shift-ends")
+    centers = _denser(ends, bandwidth)
+    lab = N.knn_join(x, centers, 1, "id", "id", "v", "v").select(F.col("qid").alias(id_col), F.col("rid").cast("int").alias("cluster"))
     return lab, centers
 
 
-def _window_means(seeds: DataFrame, pts: DataFrame, bw: float):
+def _denser(ends: DataFrame, bandwidth: float) -> DataFrame:
+    """(id, v) of the centres that stay when they are taken from the densest on and
+    none may lie closer than ``bandwidth`` to one taken before; numbered from 0."""
+    q = ends.select(F.col("id").alias("qid"), F.col("v").alias("qv"))
+    r = ends.select(F.col("id").alias("rid"), F.col("v").alias("rv"))
+
+    def close(qp, rp):
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        if len(qp) and len(rp):
+            qi, ri = qp["qid"].to_numpy(np.int64), rp["rid"].to_numpy(np.int64)
+            for s, D in N._dist_chunks(N._stack(qp["qv"]), N._stack(rp["rv"])):
+                i, j = np.nonzero(D < bandwidth)
+                out.append((qi[s + i], ri[j]))
+        a, b = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pd.DataFrame({"a": a[a != b], "b": b[a != b]})
+
+    rank = ends.select("id", F.struct(-F.col("n"), "v", "id").alias("rank"))
+    pairs = N._met(*N._on_grid(q, r, bandwidth), N.GRID, N.BLOCK_ROWS, close, "a long, b long")
+    pairs = pairs.join(rank.select(F.col("id").alias("a"), F.col("rank").alias("ra")), "a") \
+        .join(rank.select(F.col("id").alias("b"), F.col("rank").alias("rb")), "b").where("rb < ra").select("a", "b")
+    pairs = written(pairs, "denser-neighbours")  # b is denser than a
+    state = written(rank.select("id", F.lit("open").alias("state")), "centre-state")
+    while not state.where("state = 'open'").isEmpty():
+        near = pairs.join(state.select(F.col("id").alias("b"), "state"), "b").groupBy(F.col("a").alias("id")).agg(
+            F.max((F.col("state") == "kept").cast("int")).alias("kept"), F.max((F.col("state") == "open").cast("int")).alias("open"))
+        now = F.when(F.col("state") != "open", F.col("state")).when(F.col("kept") == 1, "gone") \
+            .when(F.coalesce("open", F.lit(0)) == 0, "kept").otherwise("open")
+        state = written(state.join(near, "id", "left").select("id", now.alias("state")), "centre-state")
+    kept = ends.join(state.where("state = 'kept'").select("id"), "id").withColumn("_one", F.lit(1)) \
+        .withColumn("_less", -F.col("n"))
+    table, n = sized(kept)
+    return running_sums(table, [], ["_less", "v"], ["_one"], n_rows=n).select(
+        (F.col("cum__one") - 1).cast("long").alias("id"), "v")
+
+
+def _window_means(seeds: DataFrame, pts: DataFrame, bw: float) -> DataFrame:
+    """(v, n, shift): where each seed moves, over how many points, and how far."""
     q = seeds.select(F.col("id").alias("qid"), F.col("v").alias("qv"))
     r = pts.select(F.col("id").alias("rid"), F.col("v").alias("rv"))
-    qx, rx = N._blocked(q, r, N.BLOCK_ROWS)
 
     def kernel(qp, rp):
-        if qp.empty or rp.empty:
-            return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "s": pd.Series([], dtype=object),
-                                 "n": pd.Series([], dtype="int64")})
-        Q, R = N._stack(qp["qv"]), N._stack(rp["rv"])
+        Q = N._stack(qp["qv"])
         sums, cnt = np.zeros_like(Q), np.zeros(len(Q), dtype=np.int64)
-        for s, D in N._dist_chunks(Q, R):
-            m = D <= bw
-            sums[s:s + len(D)] = m.astype(float) @ R
-            cnt[s:s + len(D)] = m.sum(axis=1)
-        return pd.DataFrame({"qid": qp["qid"].to_numpy(), "s": list(sums), "n": cnt})
-
-    part = (qx.groupBy("qb", "rb").cogroup(rx.groupBy("qb", "rb"))
-            .applyInPandas(kernel, "qid long, s array<double>, n long"))
-    dim = len(pts.first()["v"])
-    return (part.groupBy("qid").agg(F.array(*[F.sum(F.col("s")[i]) for i in range(dim)]).alias("s"),
-                                    F.sum("n").alias("n")).where("n > 0").collect())  # one row per seed
+        if len(qp) and len(rp):
+            R = N._stack(rp["rv"])
+            for s, D in N._dist_chunks(Q, R):
+                m = D <= bw
+                sums[s:s + len(D)] = m.astype(float) @ R
+                cnt[s:s + len(D)] = m.sum(axis=1)
+        return pd.DataFrame({"qid": qp["qid"].to_numpy(np.int64), "s": list(sums), "n": cnt})
+
+    part = N._met(*N._on_grid(q, r, bw), N.GRID, N.BLOCK_ROWS, kernel, "qid long, s array<double>, n long")
+    first = pts.first()
+    dim = len(first["v"]) if first else 0
+    mean = part.groupBy("qid").agg(F.array(*[F.sum(F.col("s")[i]) for i in range(dim)]).alias("s"),
+                                   F.sum("n").alias("n")).where("n > 0")
+    to = F.transform("s", lambda t: t / F.col("n"))
+    gap = F.sqrt(F.aggregate(F.zip_with("v", "qv", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b))
+    return mean.select("qid", "n", to.alias("v")).join(q, "qid").select("v", "n", gap.alias("shift"))
 
 
 # ------------------------------------------------ kernel models

@@ -50,9 +50,9 @@ def run_retraining(spark: SparkSession, splits_path: str, registry_path: str, hi
         act = store.active_model(spark, registry_path, name).first()
         if act and act["model_path"]:
             fitted, meta = TR.load_model(spark, act["model_path"])
-            old_metric = TR.evaluate(TR.score(fitted, te, task, meta.get("classes")), task, label).get(metric)
+            old_metric = TR.evaluate(TR.score(fitted, te, task, meta.get("classes")), task, label, classes=meta.get("classes")).get(metric)
     res = TR.train_model(tr, va, model, task, features, label, key, params)
-    new_metric = TR.evaluate(TR.score(res.model, te, task, res.classes), task, label).get(metric)
+    new_metric = TR.evaluate(TR.score(res.model, te, task, res.classes), task, label, classes=res.classes).get(metric)
     ok = improved(old_metric, new_metric, task)
     version = None
     if ok:

@@ -78,17 +78,23 @@ def score(fitted: PipelineModel, df: DataFrame, task: str, classes: Sequence[str
     return out
 
 
-def evaluate(pred: DataFrame, task: str, label: str, positive: str | None = None) -> dict:
-    """Validation metrics of a scored frame (one small collect)."""
+def evaluate(pred: DataFrame, task: str, label: str, positive: str | None = None,
+             classes: Sequence[str] | None = None) -> dict:
+    """Validation metrics of a scored frame (one small collect).
+
+    The positive class of a binary task is ``positive``, else the second of
+    ``classes`` (the fitted label order), else "1"."""
+    if positive is None:
+        positive = str(classes[1]) if classes is not None and len(classes) == 2 else "1"
     if task in CAT.CLASSIFICATION:
         y = F.col(label).cast("string")
         p = pred.withColumn("_y", y).withColumn("_p", F.col("predicted_label"))
         binary = task == "binary_classification"
-        m = M.classification_metrics(p, "_y", "_p", binary, positive or "1").first().asDict()
+        m = M.classification_metrics(p, "_y", "_p", binary, positive).first().asDict()
         if binary and "probabilities" in p.columns:
-            pos = positive or "1"
-            auc = M.roc_auc(p.withColumn("_pos", (F.col("_y") == pos).cast("double"))
-                            .withColumn("_s", F.col("probabilities")[1]), "_pos", "_s").select("roc_auc").first()
+            at = [str(c) for c in classes].index(positive) if classes is not None and positive in map(str, classes) else 1
+            auc = M.roc_auc(p.withColumn("_pos", (F.col("_y") == positive).cast("double"))
+                            .withColumn("_s", F.col("probabilities")[at]), "_pos", "_s").select("roc_auc").first()
             m["roc_auc"] = auc["roc_auc"]
         return m
     if task == "regression":
@@ -135,7 +141,7 @@ def train_model(train: DataFrame, val: DataFrame, model: str, task: str, feature
     t0 = time.perf_counter()
     fitted = pipe.fit(fit_rows)
     secs = time.perf_counter() - t0
-    metrics = evaluate(score(fitted, val, task, classes), task, label)
+    metrics = evaluate(score(fitted, val, task, classes), task, label, classes=classes)
     res = TrainingResult(model, task, p, metrics, train_seconds=secs, model=fitted,
                          classes=classes, features=list(features))
     if cv_folds:

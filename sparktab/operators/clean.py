@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import clip, pearson
+from ..functions.exprs import clip, pearson, real
 from .quantiles import fitted_quantiles
 
 # Default thresholds of the reference filters.
@@ -82,8 +82,8 @@ def high_correlation_filter(df: DataFrame, columns: Sequence[str],
 
 
 def out_of_range_count(df: DataFrame, ranges: Mapping[str, tuple[float, float]]) -> DataFrame:
-    """Out-of-range values per enabled column and in total."""
-    exprs = [F.count_if((F.col(c) < lo) | (F.col(c) > hi)).cast("bigint").alias(c)
+    """Out-of-range values per enabled column and in total; NaN is in no range and out of none."""
+    exprs = [F.count_if((real(c) < lo) | (real(c) > hi)).cast("bigint").alias(c)
              for c, (lo, hi) in ranges.items()]
     wide = df.agg(*exprs)
     stack = ", ".join(f"'{c}', `{c}`" for c in ranges)
@@ -91,7 +91,7 @@ def out_of_range_count(df: DataFrame, ranges: Mapping[str, tuple[float, float]])
 
 
 def clip_ranges(df: DataFrame, ranges: Mapping[str, tuple[float, float]]) -> DataFrame:
-    """Clip to [lo, hi]; null stays null."""
+    """Clip to [lo, hi]; null stays null and NaN NaN."""
     return df.select(*[clip(c, *ranges[c]).alias(c) if c in ranges else F.col(c)
                        for c in df.columns])
 

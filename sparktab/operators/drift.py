@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import rnd, hist_bin, unpivot_numeric, unpivot_string
 from ..functions.stats import chi2_sf, ks_pvalue
-from .running import SINGLE_TASK_ROWS, running_sums, sized
+from .running import running_sums, same_keys, sized
 
 # PSI bands, test level, histogram size, smoothing constant and
 # minimum sample size of the reference monitoring rules.
@@ -86,25 +86,14 @@ def drift_numeric(ref: DataFrame, cur: DataFrame | None, columns: Sequence[str],
     """D1 + D2: KS statistic and p-value, PSI over ``bins`` equal-width bins
     of the combined range (additive eps smoothing), label and verdict.
 
-    Plan: value counts (persisted, size-checked) → one pass yielding running
-    sums, totals and range per column (a window when the counts table is
-    within the single-task bound, bucketed running sums + a broadcast
-    columns-sized stats table above it) → ``groupBy(column, bin)`` →
-    ``groupBy(column)``.  Empty bins enter PSI in closed form."""
+    Plan: value counts → running sums over range parts, joined with totals and
+    range per column → ``groupBy(column, bin)`` → ``groupBy(column)``.  Empty
+    bins enter PSI in closed form."""
     counts, n_counts = sized(value_counts_two_sided(ref, cur, columns, numeric=True))
-    if n_counts <= SINGLE_TASK_ROWS:
-        wo = Window.partitionBy("column").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        wa = Window.partitionBy("column")
-        x = counts.select("column", "value", "a", "b",
-                          F.sum("a").over(wo).alias("cum_a"), F.sum("b").over(wo).alias("cum_b"),
-                          F.sum("a").over(wa).alias("n_ref"), F.sum("b").over(wa).alias("n_cur"),
-                          F.min("value").over(wa).alias("lo"), F.max("value").over(wa).alias("hi"))
-    else:
-        stats = counts.groupBy("column").agg(
-            F.sum("a").alias("n_ref"), F.sum("b").alias("n_cur"),
-            F.min("value").alias("lo"), F.max("value").alias("hi"))
-        cum = running_sums(counts, ["column"], "value", ["a", "b"], n_rows=n_counts)
-        x = cum.join(F.broadcast(stats), "column")  # one row per column
+    stats = counts.groupBy("column").agg(
+        F.sum("a").alias("n_ref"), F.sum("b").alias("n_cur"),
+        F.min("value").alias("lo"), F.max("value").alias("hi"))
+    x = running_sums(counts, ["column"], "value", ["a", "b"], n_rows=n_counts).join(stats, "column")
     gap = F.abs(F.try_divide(F.col("cum_a"), F.col("n_ref")) - F.try_divide(F.col("cum_b"), F.col("n_cur")))
     per_bin = (x.withColumn("bin", hist_bin("value", "lo", "hi", bins))
                .groupBy("column", "bin").agg(
@@ -141,25 +130,34 @@ def drift_numeric(ref: DataFrame, cur: DataFrame | None, columns: Sequence[str],
         F.when(few, F.lit(ERR_FEW)).alias("error"))
 
 
+def _with_totals(rows: DataFrame, group: Sequence[str], *totals) -> DataFrame:
+    """Every row with aggregates of its group."""
+    if not group:
+        return rows.crossJoin(rows.agg(*totals))  # one row
+    agg = rows.groupBy(*group).agg(*totals)
+    names = [c for c in agg.columns if c not in group]
+    return rows.alias("r").join(agg.alias("t"), same_keys("r", "t", group)).select(
+        *[F.col(f"r.{c}").alias(c) for c in rows.columns], *names)
+
+
 def psi_from_counts(counts: DataFrame, group: Sequence[str] = ("column",),
                     smoothing: str = "replace", eps: float = EPS) -> DataFrame:
     """PSI over category counts (a = reference, b = current) with one of the
     three smoothings: ``replace`` (missing count → eps, then normalise),
     ``additive`` ((n+eps)/(N+eps·k)), ``floor`` (shares floored at eps
-    inside the log only).  Totals come from a window over the (small)
-    per-category table, so the whole answer is one exchange + one aggregate."""
+    inside the log only).  Totals are aggregates joined back, so no task
+    holds all categories of a column."""
     group = list(group)
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    w = Window.partitionBy(*group)
     if smoothing == "replace":
         ra = F.when(a > 0, a).otherwise(F.lit(eps))
         rb = F.when(b > 0, b).otherwise(F.lit(eps))
         t = counts.select(*group, ra.alias("ra"), rb.alias("rb"))
-        t = t.select("*", F.sum("ra").over(w).alias("tot_ra"), F.sum("rb").over(w).alias("tot_rb"))
+        t = _with_totals(t, group, F.sum("ra").alias("tot_ra"), F.sum("rb").alias("tot_rb"))
         r, c = F.col("ra") / F.col("tot_ra"), F.col("rb") / F.col("tot_rb")
         return t.groupBy(*group).agg(F.sum((c - r) * F.log(c / r)).alias("psi_raw"))
-    t = counts.select(*group, a.alias("a"), b.alias("b"), F.sum(a).over(w).alias("tot_a"),
-                      F.sum(b).over(w).alias("tot_b"), F.count("*").over(w).alias("n_cat"))
+    t = _with_totals(counts.select(*group, a.alias("a"), b.alias("b")), group, F.sum("a").alias("tot_a"),
+                     F.sum("b").alias("tot_b"), F.count("*").alias("n_cat"))
     if smoothing == "additive":
         r = (F.col("a") + eps) / (F.col("tot_a") + eps * F.col("n_cat"))
         c = (F.col("b") + eps) / (F.col("tot_b") + eps * F.col("n_cat"))
@@ -179,9 +177,8 @@ def chi2_from_counts(counts: DataFrame, group: Sequence[str] = ("column",)) -> D
     reference (observed and expected totals disagree)."""
     group = list(group)
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    w = Window.partitionBy(*group)
-    j = counts.select(*group, a.alias("a"), b.alias("b"), F.sum(a).over(w).alias("NA"),
-                      F.sum(b).over(w).alias("NB"))
+    j = _with_totals(counts.select(*group, a.alias("a"), b.alias("b")), group, F.sum("a").alias("NA"),
+                     F.sum("b").alias("NB"))
     e = F.col("a") / F.col("NA") * F.col("NB")
     pos = F.col("a") > 0
     agg = j.groupBy(*group).agg(
@@ -364,7 +361,7 @@ def boundary_outliers(ref: DataFrame, cur: DataFrame, vec: str, label: str, dim:
     d2 = lambda a, b: F.aggregate(F.zip_with(a, b, lambda u, v: (u - v) * (u - v)), F.lit(0.0),
                                   lambda s, t: s + t)
     dist = lambda df: df.select(F.col(vec).cast("array<double>").alias("_x"), label).join(
-        F.broadcast(cen), label, "left").select(
+        cen, label, "left").select(
         F.coalesce(F.sqrt(d2(F.col("_x"), F.col("centroid"))), F.lit(float("inf"))).alias("dist"))
     thr = fitted_quantiles(dist(ref), ["dist"], [q])["dist"][0]
     d = dist(cur)

@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from ..functions.exprs import hist_bin
 from .running import running_sums, sized
 
-# Clusters up to this many are broadcast to the points; more shuffle-join.
-BROADCAST_CLUSTERS = 10_000
 
 
 def _d(c) -> Column:
@@ -215,36 +213,36 @@ def cluster_stats(df: DataFrame, vec: str, label: str, dim: int) -> DataFrame:
     return g.select("cluster", "n", F.array(*[F.col(f"_s{i}") for i in range(dim)]).alias("s"), "q")
 
 
-def silhouette_sq(df: DataFrame, vec: str, label: str, dim: int, max_clusters: int = 1000) -> DataFrame:
+#: Clusters whose sums one row carries when points meet all clusters.
+CLUSTER_BLOCK = 500
+
+
+def silhouette_sq(df: DataFrame, vec: str, label: str, dim: int) -> DataFrame:
     """E11 (squared Euclidean, exact): for x in A,
     Σ_{y∈C}|x−y|² = n_C|x|² − 2x·S_C + Q_C, so a(x) and b(x) need only the
-    per-cluster sums (n, S, Q).  Those are k small rows: they are fitted in
-    one aggregation and inlined into a per-row projection, so scoring is a
-    map-only pass with no join.  Singleton clusters score 0; noise
-    excluded; null with fewer than two clusters."""
-    rows = cluster_stats(df, vec, label, dim).collect()
-    if len(rows) > max_clusters:
-        raise ValueError(f"{len(rows)} clusters exceed the inline limit {max_clusters}")
-    spark = df.sparkSession
-    if len(rows) < 2:
-        return spark.createDataFrame([(None,)], "silhouette double")
-    cl = F.array(*[F.struct(F.lit(int(r["cluster"])).alias("c"), F.lit(float(r["n"])).alias("n"),
-                            F.array(*[F.lit(float(v)) for v in r["s"]]).alias("s"),
-                            F.lit(float(r["q"])).alias("q")) for r in rows])
+    per-cluster sums (n, S, Q).  These are packed into blocks of clusters; a
+    point meets every block and keeps its own term and the least other one.
+    Singleton clusters score 0; noise excluded; null with fewer than two
+    clusters."""
+    stats, k = sized(cluster_stats(df, vec, label, dim))
+    block = F.pmod(F.hash("cluster"), F.lit(-(-k // CLUSTER_BLOCK) or 1))
+    blocks = stats.groupBy(block.alias("b")).agg(F.collect_list(F.struct(
+        F.col("cluster").alias("c"), F.col("n").cast("double").alias("n"), "s", "q")).alias("cl"))
+    pts = df.where(F.col(label) >= 0).select(F.monotonically_increasing_id().alias("p"), F.col(label).alias("own"),
+                                             F.col(vec).cast("array<double>").alias("x"))
     x = F.col("x")
     xx = _dot(x, x)
-    tot = F.transform(cl, lambda c: F.struct(c["c"].alias("c"), c["n"].alias("n"),
-                                             (c["n"] * xx - 2 * _dot(x, c["s"]) + c["q"]).alias("t")))
-    pts = df.where(F.col(label) >= 0).select(F.col(label).alias("own"),
-                                             F.col(vec).cast("array<double>").alias("x"))
-    t = pts.select("own", tot.alias("tot"))
-    own = F.element_at(F.filter("tot", lambda e: e["c"] == F.col("own")), 1)
+    term = F.transform("cl", lambda c: F.struct(c["c"].alias("c"), c["n"].alias("n"),
+                                                (c["n"] * xx - 2 * _dot(x, c["s"]) + c["q"]).alias("t")))
+    met = pts.crossJoin(blocks).select("p", "own", term.alias("tot"))
+    own = F.get(F.filter("tot", lambda e: e["c"] == F.col("own")), F.lit(0))
     others = F.transform(F.filter("tot", lambda e: e["c"] != F.col("own")), lambda e: e["t"] / e["n"])
-    t = t.select(own["n"].alias("n_own"), own["t"].alias("t_own"), F.array_min(others).alias("b"))
+    t = met.select("p", own["n"].alias("n_own"), own["t"].alias("t_own"), F.array_min(others).alias("b")) \
+        .groupBy("p").agg(F.max("n_own").alias("n_own"), F.max("t_own").alias("t_own"), F.min("b").alias("b"))
     a = F.col("t_own") / (F.col("n_own") - 1)
     s = F.when(F.col("n_own") <= 1, F.lit(0.0)).otherwise(
         F.coalesce(F.try_divide(F.col("b") - a, F.greatest(a, F.col("b"))), F.lit(0.0)))
-    return t.agg(F.avg(s).alias("silhouette"))
+    return t.agg(F.when(F.count("b") > 0, F.avg(s)).alias("silhouette"))
 
 
 def clustering_metrics(df: DataFrame, vec: str, label: str, dim: int) -> DataFrame:
@@ -256,7 +254,7 @@ def clustering_metrics(df: DataFrame, vec: str, label: str, dim: int) -> DataFra
                                              F.col(vec).cast("array<double>").alias("x"))
     d2 = lambda a, b: F.aggregate(F.zip_with(a, b, lambda u, v: (u - v) * (u - v)), F.lit(0.0),
                                   lambda s, t: s + t)
-    j = pts.join(F.broadcast(cen), "cluster")
+    j = pts.join(cen, "cluster")
     per = j.groupBy("cluster").agg(F.avg(F.sqrt(d2(F.col("x"), F.col("mu")))).alias("s_i"),
                                    F.sum(d2(F.col("x"), F.col("mu"))).alias("w_i"),
                                    F.first("n").alias("n"), F.first("mu").alias("mu"))

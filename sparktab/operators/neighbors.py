@@ -1,17 +1,19 @@
-"""Exact neighbour operators without materialising pairs.
-
-Both sides are cut into hash blocks of bounded size.  Every (query block,
-reference block) pair becomes one cogroup; a vectorised numpy kernel scores
-the block pair and emits only what the caller needs — the block's top-k per
-query, a neighbour count, or a spanning forest of the within-eps graph — so
-the output is O(n·k·blocks), never O(n²) rows, and no task holds more than
-two blocks whatever the key or value skew.  A bounded per-query merge
-(k × blocks candidates) then yields the exact global answer; ties in
-distance are broken by reference id, so results are deterministic."""
+"""Exact neighbour operators that skip far pairs.
+
+* Within a distance (counts, DBSCAN, single linkage): points lie in grid cells
+  of the leading three coordinates, as wide as the distance; a point meets the
+  points of the adjacent cells only.
+* k nearest (k-NN, LOF, 1-NN labels): reference rows lie with their nearest
+  pivot.  The cells nearest to a query give a bound on its kth distance; by the
+  triangle inequality only cells that can hold something closer are searched.
+
+A crowded cell is cut into blocks of a bounded size on both sides, so no task
+holds more than two blocks whatever the skew.  Kernels emit only what the caller
+needs (top-k, a count, a spanning forest).  Ties go to the smaller reference id."""
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -19,26 +21,53 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import hash_int
-from ..session import ensure_checkpoint_dir
+from ..session import written
+from .components import connected_components
 from .running import running_sums
 
 BLOCK_ROWS = 4096
 # Scratch budget (doubles) of one distance chunk inside a task.
 CHUNK_CELLS = 4_000_000
+#: At most so many pivots are sent to every task.
+MOST_PIVOTS = 1024
+GRID = ["c0", "c1", "c2"]
 
 
 def _prep(df: DataFrame, id_col: str, vec_col: str, idn: str, vn: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias(idn), F.col(vec_col).cast("array<double>").alias(vn))
 
 
-def _blocked(q: DataFrame, r: DataFrame, block_rows: int, seed: int = 17):
-    nq, nr = q.count(), r.count()
-    bq = max(1, math.ceil(nq / block_rows))
-    br = max(1, math.ceil(nr / block_rows))
-    qx = (q.withColumn("qb", F.pmod(hash_int("qid", seed), F.lit(bq)).cast("int"))
-          .withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(br - 1)))))
-    rx = (r.withColumn("rb", F.pmod(hash_int("rid", seed + 1), F.lit(br)).cast("int"))
-          .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1)))))
+def _met(q: DataFrame, r: DataFrame, keys: Sequence[str], block_rows: int, kernel: Callable, schema: str,
+         q_cols: Sequence[str] = ("qid", "qv"), r_cols: Sequence[str] = ("rid", "rv")) -> DataFrame:
+    """Run ``kernel(query block, reference block)`` where cells ``keys`` agree.
+
+    A cell with more than ``block_rows`` rows on a side has several blocks there."""
+    keys = list(keys)
+    nq = q.groupBy(*keys).agg(F.ceil(F.count("*") / block_rows).alias("nq"))
+    nr = r.groupBy(*keys).agg(F.ceil(F.count("*") / block_rows).alias("nr"))
+    sizes = nq.join(nr, keys)
+    one_of = lambda i, n, seed: F.pmod(hash_int(i, seed), F.col(n)).alias
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias
+    qx = q.join(sizes, keys).select(*keys, *q_cols, one_of("qid", "nq", 17)("bq"), every("nr")("br"))
+    rx = r.join(sizes, keys).select(*keys, *r_cols, one_of("rid", "nr", 18)("br"), every("nq")("bq"))
+    on = [*keys, "bq", "br"]
+    return qx.groupBy(*on).cogroup(rx.groupBy(*on)).applyInPandas(kernel, schema)
+
+
+def _cell(vec: str, width: float, i: int):
+    return F.when(F.size(vec) > i, F.floor(F.get(vec, F.lit(i)) / F.lit(width))).otherwise(F.lit(0).cast("long"))
+
+
+def _on_grid(q: DataFrame, r: DataFrame, eps: float) -> tuple[DataFrame, DataFrame]:
+    """Queries in their own cell, reference rows in it and in all adjacent ones."""
+    width = eps * 1.001 if eps > 0 else 1.0  # a little wider than eps, for rounding
+    near = F.array(*[F.struct(*[F.lit(x).cast("long").alias(c) for c, x in zip(GRID, o, strict=True)])
+                     for o in product((-1, 0, 1), repeat=3)])
+    live = F.array_distinct(F.transform(near, lambda o: F.struct(*[
+        F.when(F.size("rv") > i, o[c]).otherwise(F.lit(0).cast("long")).alias(c) for i, c in enumerate(GRID)])))
+    qx = q.select("*", *[_cell("qv", width, i).alias(c) for i, c in enumerate(GRID)])
+    rx = r.select("*", F.explode(live).alias("o")).select(
+        *r.columns, *[(_cell("rv", width, i) + F.col(f"o.{c}")).alias(c) for i, c in enumerate(GRID)])
     return qx, rx
 
 
@@ -55,38 +84,95 @@ def _stack(col: pd.Series) -> np.ndarray:
         if len(col) else np.zeros((0, 0))
 
 
+def _top_k(k: int, exclude_self: bool) -> Callable:
+    def kernel(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(qp) and len(rp):
+            qids, rids = qp["qid"].to_numpy(), rp["rid"].to_numpy()
+            most = min(k, len(rids))
+            for s, dist in _dist_chunks(_stack(qp["qv"]), _stack(rp["rv"])):
+                if exclude_self:
+                    dist[qids[s:s + len(dist), None] == rids[None, :]] = np.inf
+                kth = np.partition(dist, most - 1, axis=1)[:, most - 1]
+                row, col = np.nonzero((dist <= kth[:, None]) & np.isfinite(dist))
+                d = dist[row, col]
+                order = np.lexsort((rids[col], d, row))
+                row, col, d = row[order], col[order], d[order]
+                start = np.searchsorted(row, row, "left")
+                top = np.arange(len(row)) - start < k
+                out.append((qids[s + row[top]], rids[col[top]], d[top]))
+        q, r, d = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pd.DataFrame({"qid": q, "rid": r, "dist": d})
+    return kernel
+
+
+def _pivots(ref: DataFrame, n: int) -> np.ndarray:
+    rows = ref.orderBy(hash_int("rid", 23), "rid").limit(n).collect()
+    return np.array([r["rv"] for r in rows], float)
+
+
+def _to_pivots(vectors: pd.Series, pivots: np.ndarray) -> np.ndarray:
+    return np.concatenate([d for _, d in _dist_chunks(_stack(vectors), pivots)])
+
+
 def knn_join(query: DataFrame, ref: DataFrame, k: int, qid: str = "id", rid: str = "id",
              qvec: str = "features", rvec: str = "features", exclude_self: bool = False,
              block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Exact k nearest reference rows per query row →
     (qid, rid, dist, rank 1..k).  ``exclude_self`` drops rid == qid."""
-    q = _prep(query, qid, qvec, "qid", "qv")
-    r = _prep(ref, rid, rvec, "rid", "rv")
-    qx, rx = _blocked(q, r, block_rows)
-
-    def kernel(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        if qp.empty or rp.empty:
-            return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "rid": pd.Series([], dtype="int64"),
-                                 "dist": pd.Series([], dtype="float64")})
-        Q, R = _stack(qp["qv"]), _stack(rp["rv"])
-        qids, rids = qp["qid"].to_numpy(), rp["rid"].to_numpy()
-        out_q, out_r, out_d = [], [], []
-        for s, D in _dist_chunks(Q, R):
-            for i in range(D.shape[0]):
-                d = D[i]
-                ok = rids != qids[s + i] if exclude_self else np.ones(len(rids), bool)
-                idx = np.nonzero(ok)[0]
-                order = idx[np.lexsort((rids[idx], d[idx]))][:k]
-                out_q.append(np.full(len(order), qids[s + i]))
-                out_r.append(rids[order])
-                out_d.append(d[order])
-        return pd.DataFrame({"qid": np.concatenate(out_q), "rid": np.concatenate(out_r),
-                             "dist": np.concatenate(out_d)})
-
-    cand = (qx.groupBy("qb", "rb").cogroup(rx.groupBy("qb", "rb"))
-            .applyInPandas(kernel, "qid long, rid long, dist double"))
+    q = written(_prep(query, qid, qvec, "qid", "qv"), "knn-queries")
+    r = written(_prep(ref, rid, rvec, "rid", "rv"), "knn-reference")
+    pivots = _pivots(r, min(MOST_PIVOTS, -(-r.count() // block_rows) or 1))
+
+    def assign(batches):
+        for rows in batches:
+            far = _to_pivots(rows["rv"], pivots)
+            yield rows.assign(cell=far.argmin(1), far=far.min(1))
+
+    placed = written(r.mapInPandas(assign, "rid long, rv array<double>, cell long, far double"), "knn-cells")
+    stats = {x["cell"]: x for x in placed.groupBy("cell").agg(
+        F.count("*").alias("n"), F.min("far").alias("inner"), F.max("far").alias("outer")).collect()}
+    cells = np.array(sorted(stats), np.int64)
+    size, inner, outer = (np.array([stats[c][x] for c in cells.tolist()], float) for x in ("n", "inner", "outer"))
+    enough = k + exclude_self
+
+    def home_and_rest(far: np.ndarray) -> np.ndarray:
+        """Which cells are a query's nearest that together hold enough rows."""
+        order = np.argsort(far[:, cells], axis=1, kind="stable")
+        filled = np.cumsum(size[order], axis=1)
+        first = np.concatenate([np.ones((len(far), 1), bool), filled[:, :-1] < enough], axis=1)
+        home = np.zeros_like(first)
+        np.put_along_axis(home, order, first, axis=1)
+        return home
+
+    def expand(rows: pd.DataFrame, wanted: np.ndarray) -> pd.DataFrame:
+        at, cell = np.nonzero(wanted)
+        return rows[["qid", "qv"]].iloc[at].assign(cell=cells[cell])
+
+    def near(batches):
+        for rows in batches:
+            if len(cells):
+                yield expand(rows, home_and_rest(_to_pivots(rows["qv"], pivots)))
+
+    def rest(batches):
+        for rows in batches:
+            if len(cells):
+                far = _to_pivots(rows["qv"], pivots)
+                gap = np.maximum(far[:, cells] - outer, inner - far[:, cells])
+                bound = rows["bound"].to_numpy()[:, None]
+                yield expand(rows, ~home_and_rest(far) & (gap <= bound * (1 + 1e-9) + 1e-9))
+
+    schema, found = "qid long, qv array<double>, cell long", "qid long, rid long, dist double"
+    kernel = _top_k(k, exclude_self)
+    first = written(_met(q.mapInPandas(near, schema), placed, ["cell"], block_rows, kernel, found), "knn-near")
     w = Window.partitionBy("qid").orderBy("dist", "rid")
-    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    best = first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    if len(cells) > 1:
+        bound = best.groupBy("qid").agg(F.when(F.count("*") >= k, F.max("dist")).otherwise(float("inf")).alias("bound"))
+        asked = q.join(bound, "qid", "left").fillna(float("inf"), ["bound"])
+        more = _met(asked.mapInPandas(rest, schema), placed, ["cell"], block_rows, kernel, found)
+        best = best.drop("rank").unionByName(more).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return best
 
 
 def nearest_label(query: DataFrame, ref: DataFrame, label: str, qid: str = "id", rid: str = "id",
@@ -150,89 +236,49 @@ def local_outlier_factor(train: DataFrame, k: int = 20, id_col: str = "id",
 
 # ----------------------------------------------------------------- DBSCAN
 
-def _uf_edges(ids: np.ndarray, pairs_i: np.ndarray, pairs_j: np.ndarray):
-    parent = {}
-
-    def find(a):
-        while parent.get(a, a) != a:
-            parent[a] = parent.get(parent[a], parent[a])
-            a = parent[a]
-        return a
-    for a, b in zip(pairs_i, pairs_j):
-        ra, rb = find(a), find(b)
-        if ra != rb:
-            lo, hi = (ra, rb) if ra < rb else (rb, ra)
-            parent[hi] = lo
-    src = [a for a in parent if find(a) != a]
-    return np.array(src, dtype=np.int64), np.array([find(a) for a in src], dtype=np.int64)
-
-
 def neighbour_counts(points: DataFrame, eps: float, id_col: str = "id", vec: str = "features",
                      block_rows: int = BLOCK_ROWS) -> DataFrame:
     """J5 aggregate: number of points within ``eps`` (self included)."""
     q = _prep(points, id_col, vec, "qid", "qv")
     r = _prep(points, id_col, vec, "rid", "rv")
-    qx, rx = _blocked(q, r, block_rows)
 
     def kernel(qp, rp):
-        if qp.empty or rp.empty:
-            return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "n": pd.Series([], dtype="int64")})
-        Q, R = _stack(qp["qv"]), _stack(rp["rv"])
-        cnt = np.zeros(len(Q), dtype=np.int64)
-        for s, D in _dist_chunks(Q, R):
-            cnt[s:s + D.shape[0]] = (D <= eps).sum(axis=1)
-        return pd.DataFrame({"qid": qp["qid"].to_numpy(), "n": cnt})
-
-    c = (qx.groupBy("qb", "rb").cogroup(rx.groupBy("qb", "rb"))
-         .applyInPandas(kernel, "qid long, n long"))
+        n = np.zeros(len(qp), np.int64)
+        if len(qp) and len(rp):
+            for s, dist in _dist_chunks(_stack(qp["qv"]), _stack(rp["rv"])):
+                n[s:s + len(dist)] = (dist <= eps).sum(axis=1)
+        return pd.DataFrame({"qid": qp["qid"].to_numpy(np.int64), "n": n})
+
+    c = _met(*_on_grid(q, r, eps), GRID, block_rows, kernel, "qid long, n long")
     return c.groupBy("qid").agg(F.sum("n").alias("n_neighbors"))
 
 
+def _forest(q_ids: np.ndarray, r_ids: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges to the smallest id reachable inside one block pair."""
+    q_label, r_label = q_ids.copy(), r_ids.copy()
+    none = np.iinfo(np.int64).max
+    while True:
+        q_new = np.minimum(q_label, np.where(near, r_label[None, :], none).min(1))
+        r_new = np.minimum(r_label, np.where(near, q_new[:, None], none).min(0))
+        if (q_new == q_label).all() and (r_new == r_label).all():
+            break
+        q_label, r_label = q_new, r_new
+    src, dst = np.concatenate([q_ids, r_ids]), np.concatenate([q_label, r_label])
+    return src[src != dst], dst[src != dst]
+
+
 def _core_forest(core: DataFrame, eps: float, block_rows: int) -> DataFrame:
     q = core.select(F.col("id").alias("qid"), F.col("v").alias("qv"))
     r = core.select(F.col("id").alias("rid"), F.col("v").alias("rv"))
-    qx, rx = _blocked(q, r, block_rows)
 
     def kernel(qp, rp):
-        empty = pd.DataFrame({"src": pd.Series([], dtype="int64"), "dst": pd.Series([], dtype="int64")})
-        if qp.empty or rp.empty:
-            return empty
-        Q, R = _stack(qp["qv"]), _stack(rp["rv"])
-        qi, ri = qp["qid"].to_numpy(), rp["rid"].to_numpy()
-        pi, pj = [], []
-        for s, D in _dist_chunks(Q, R):
-            a, b = np.nonzero(D <= eps)
-            pi.append(qi[s + a])
-            pj.append(ri[b])
-        pi, pj = np.concatenate(pi), np.concatenate(pj)
-        keep = pi != pj
-        src, dst = _uf_edges(np.union1d(qi, ri), pi[keep], pj[keep])
-        return pd.DataFrame({"src": src, "dst": dst}) if len(src) else empty
-
-    return (qx.groupBy("qb", "rb").cogroup(rx.groupBy("qb", "rb"))
-            .applyInPandas(kernel, "src long, dst long")).distinct()
-
-
-def connected_components(nodes: DataFrame, edges: DataFrame, max_iter: int = 100) -> DataFrame:
-    """Min-label propagation over an undirected edge list (src, dst) →
-    (id, comp = smallest id in the component).  Each round is a join and an
-    aggregate; lineage is cut with ``checkpoint()`` into the shared folder."""
-    spark = nodes.sparkSession
-    ensure_checkpoint_dir(spark)
-    und = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    und = und.checkpoint()
-    lab = nodes.select("id", F.col("id").alias("comp")).checkpoint()
-    for _ in range(max_iter):
-        prop = und.join(lab.select(F.col("id").alias("src"), "comp"), "src") \
-            .groupBy(F.col("dst").alias("id")).agg(F.min("comp").alias("cand"))
-        new = lab.join(prop, "id", "left").select(
-            "id", F.least(F.col("comp"), F.coalesce(F.col("cand"), F.col("comp"))).alias("comp"),
-            (F.coalesce(F.col("cand"), F.col("comp")) < F.col("comp")).alias("changed")).checkpoint()
-        changed = new.where("changed").limit(1).count()
-        lab = new.drop("changed")
-        if changed == 0:
-            break
-    return lab
+        src = dst = np.zeros(0, np.int64)
+        if len(qp) and len(rp):
+            near = np.concatenate([d <= eps for _, d in _dist_chunks(_stack(qp["qv"]), _stack(rp["rv"]))])
+            src, dst = _forest(qp["qid"].to_numpy(np.int64), rp["rid"].to_numpy(np.int64), near)
+        return pd.DataFrame({"src": src, "dst": dst})
+
+    return _met(*_on_grid(q, r, eps), GRID, block_rows, kernel, "src long, dst long").distinct()
 
 
 def dbscan(points: DataFrame, eps: float = 0.5, min_samples: int = 5, id_col: str = "id",
@@ -242,39 +288,33 @@ def dbscan(points: DataFrame, eps: float = 0.5, min_samples: int = 5, id_col: st
     join the smallest-numbered cluster among their core neighbours; others
     are noise (−1).  Clusters are numbered 0.. by their smallest core id,
     which is the order a sequential scan in id order discovers them."""
-    p = points.select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"))
-    cnt = neighbour_counts(p, eps, "id", "v", block_rows)
-    p2 = p.join(cnt.withColumnRenamed("qid", "id"), "id").withColumn(
-        "core", F.col("n_neighbors") >= min_samples).checkpoint()
+    p = written(_prep(points, id_col, vec, "id", "v"), "points")
+    counts = neighbour_counts(p, eps, "id", "v", block_rows).withColumnRenamed("qid", "id")
+    p2 = written(p.join(counts, "id").withColumn("core", F.col("n_neighbors") >= min_samples), "core-points")
     core = p2.where("core").select("id", "v")
-    edges = _core_forest(core, eps, block_rows)
-    comp = connected_components(core.select("id"), edges)
+    parts = connected_components(_core_forest(core, eps, block_rows), "src", "dst").withColumnRenamed("node", "id")
+    comp = core.select("id").join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("comp"))
+    comp = written(comp, "core-components")
     roots = comp.select("comp").distinct().withColumn("_one", F.lit(1))
     numbering = running_sums(roots, [], "comp", ["_one"]).select(
         "comp", (F.col("cum__one") - 1).cast("int").alias("cluster"))
-    core_lab = comp.join(numbering, "comp").select("id", "cluster")
+    core_lab = written(comp.join(numbering, "comp").select("id", "cluster"), "core-labels")
 
     border = p2.where(~F.col("core")).select(F.col("id").alias("qid"), F.col("v").alias("qv"))
     cref = core.join(core_lab, "id").select(F.col("id").alias("rid"), F.col("v").alias("rv"), "cluster")
-    qx, rx = _blocked(border, cref.select("rid", "rv"), block_rows)
-    rx = rx.join(cref.select("rid", "cluster"), "rid")
 
     def kernel(qp, rp):
-        empty = pd.DataFrame({"qid": pd.Series([], dtype="int64"), "cluster": pd.Series([], dtype="int32")})
-        if qp.empty or rp.empty:
-            return empty
-        Q, R = _stack(qp["qv"]), _stack(rp["rv"])
-        cl = rp["cluster"].to_numpy()
-        best = np.full(len(Q), np.iinfo(np.int32).max, dtype=np.int64)
-        for s, D in _dist_chunks(Q, R):
-            m = np.where(D <= eps, cl[None, :], np.iinfo(np.int32).max)
-            best[s:s + D.shape[0]] = m.min(axis=1)
-        ok = best < np.iinfo(np.int32).max
-        return pd.DataFrame({"qid": qp["qid"].to_numpy()[ok], "cluster": best[ok].astype("int32")})
-
-    bl = (qx.groupBy("qb", "rb").cogroup(rx.groupBy("qb", "rb"))
-          .applyInPandas(kernel, "qid long, cluster int")).groupBy("qid").agg(F.min("cluster").alias("cluster"))
-    labels = core_lab.unionByName(bl.select(F.col("qid").alias("id"), "cluster"))
+        none = np.iinfo(np.int32).max
+        best = np.full(len(qp), none, np.int64)
+        if len(qp) and len(rp):
+            cluster = rp["cluster"].to_numpy()
+            for s, dist in _dist_chunks(_stack(qp["qv"]), _stack(rp["rv"])):
+                best[s:s + len(dist)] = np.where(dist <= eps, cluster[None, :], none).min(axis=1)
+        return pd.DataFrame({"qid": qp["qid"].to_numpy(np.int64)[best < none], "cluster": best[best < none].astype("int32")})
+
+    joined = _met(*_on_grid(border, cref, eps), GRID, block_rows, kernel, "qid long, cluster int",
+                  r_cols=("rid", "rv", "cluster"))
+    labels = core_lab.unionByName(joined.groupBy(F.col("qid").alias("id")).agg(F.min("cluster").alias("cluster")))
     return (p2.select("id", "core").join(labels, "id", "left")
             .select(F.col("id").alias(id_col), F.coalesce("cluster", F.lit(-1)).alias("cluster"), "core"))
 
@@ -294,7 +334,7 @@ def knn_impute(df: DataFrame, features: Sequence[str], id_col: str, k: int = 5,
     miss = F.exists(arr(df), lambda v: v.isNull() | F.isnan(v))
     q = df.where(miss).select(F.col(id_col).cast("long").alias("qid"), arr(df).alias("qv"))
     r = donors.select(F.col(id_col).cast("long").alias("rid"), arr(donors).alias("rv"))
-    qx, rx = _blocked(q, r, block_rows)
+    q, r = q.withColumn("cell", F.lit(0)), r.withColumn("cell", F.lit(0))  # not a metric, so there is nothing to skip by
     d = len(feats)
 
     def kernel(qp, rp):
@@ -327,8 +367,7 @@ def knn_impute(df: DataFrame, features: Sequence[str], id_col: str, k: int = 5,
         return pd.DataFrame({k_: np.concatenate(v) for k_, v in out.items()}).astype(
             {"qid": "int64", "feat": "int32", "rid": "int64"})
 
-    cand = (qx.groupBy("qb", "rb").cogroup(rx.groupBy("qb", "rb"))
-            .applyInPandas(kernel, "qid long, feat int, rid long, dist double, val double"))
+    cand = _met(q, r, ["cell"], block_rows, kernel, "qid long, feat int, rid long, dist double, val double")
     w = Window.partitionBy("qid", "feat").orderBy("dist", "rid")
     fill = (cand.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
             .groupBy("qid", "feat").agg(F.avg("val").alias("fill")))

@@ -2,8 +2,8 @@
 
 Each transformer is fitted on the training rows with one aggregation job
 that returns a handful of statistics, then applied as a projection (scalar
-literals) or a join against a category map (broadcast only when the map's
-row count is known and small, shuffle join otherwise).  Semantics follow the
+literals) or a join against a category map, which Spark broadcasts if its
+measured size allows.  Semantics follow the
 reference's estimators, not MLlib's defaults: population std, constant
 columns map to 0, alphabetical category order, exact medians."""
 from __future__ import annotations
@@ -17,15 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import clip_negative
+from ..functions.exprs import clip_negative, real
 from .kinds import NUMERIC_TYPES, parse_timestamp
 from .quantiles import fitted_quantiles
+from .running import running_sums, sized
 
 # Constant fills of the reference's constant imputation.
 FILL_NUMBER = 0
 FILL_TEXT = "missing_value"
-# Category maps up to this many rows are broadcast; larger ones shuffle-join.
-BROADCAST_LEVELS = 100_000
 # Low bin edge of equal-width binning is extended by this share of the range.
 CUT_EDGE_EXTEND = 0.001
 
@@ -101,13 +100,13 @@ def fit_scaler(train: DataFrame, columns: Sequence[str], kind: str) -> dict:
     cols = list(columns)
     if kind == "standard":
         row = train.agg(*[e for c in cols for e in (
-            F.avg(F.col(c).cast("double")).alias(f"m_{c}"),
-            F.stddev_pop(F.col(c).cast("double")).alias(f"s_{c}"))]).first()
+            F.avg(real(c)).alias(f"m_{c}"),
+            F.stddev_pop(real(c)).alias(f"s_{c}"))]).first()
         stats = {c: (row[f"m_{c}"], row[f"s_{c}"]) for c in cols}
     elif kind == "minmax":
         row = train.agg(*[e for c in cols for e in (
-            F.min(F.col(c).cast("double")).alias(f"m_{c}"),
-            F.max(F.col(c).cast("double")).alias(f"x_{c}"))]).first()
+            F.min(real(c)).alias(f"m_{c}"),
+            F.max(real(c)).alias(f"x_{c}"))]).first()
         stats = {c: (row[f"m_{c}"], None if row[f"m_{c}"] is None else row[f"x_{c}"] - row[f"m_{c}"])
                  for c in cols}
     elif kind == "robust":
@@ -134,10 +133,9 @@ def category_levels(train: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, category, index) — alphabetical index per column."""
     long = train.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot(
         [], list(columns), "column", "category")
-    d = long.where(F.col("category").isNotNull()).distinct()
-    from pyspark.sql import Window
-    w = Window.partitionBy("column").orderBy("category")
-    return d.withColumn("index", (F.row_number().over(w) - 1).cast("bigint"))
+    d, n = sized(long.where(F.col("category").isNotNull()).distinct().withColumn("_one", F.lit(1)))
+    return running_sums(d, ["column"], "category", ["_one"], n_rows=n).select(
+        "column", "category", (F.col("cum__one") - 1).cast("bigint").alias("index"))
 
 
 def fit_onehot(train: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
@@ -159,20 +157,14 @@ def apply_onehot(df: DataFrame, cats: Mapping[str, Sequence[str]], keep: Sequenc
     return df.select(out)
 
 
-def _join_map(df: DataFrame, m: DataFrame, n_rows: int, cond, how="left") -> DataFrame:
-    right = F.broadcast(m) if n_rows <= BROADCAST_LEVELS else m
-    return df.join(right, cond, how)
-
-
 def apply_ordinal(df: DataFrame, levels: DataFrame, columns: Sequence[str]) -> DataFrame:
     """alphabetical index; unseen or null → -1.  Each column joins its
     own slice of the (column, category, index) map."""
-    n = levels.count()
     out = df
     for c in columns:
         m = levels.where(F.col("column") == c).select(
             F.col("category").alias(f"_cat_{c}"), F.col("index").alias(f"_ix_{c}"))
-        out = _join_map(out, m, n, F.col(c).cast("string") == F.col(f"_cat_{c}"))
+        out = out.join(m, F.col(c).cast("string") == F.col(f"_cat_{c}"), "left")
         out = out.withColumn(c, F.coalesce(F.col(f"_ix_{c}"), F.lit(-1)).cast("double")) \
                  .drop(f"_cat_{c}", f"_ix_{c}")
     return out
@@ -206,14 +198,13 @@ def fit_target_encoder(train: DataFrame, columns: Sequence[str], target: str,
 
 def apply_target_encoder(df: DataFrame, m: DataFrame, globals_: dict, columns: Sequence[str]) -> DataFrame:
     """Unseen or null category → global target mean."""
-    n = m.count()
     out = df
     for c in columns:
         for suffix, (gm, _) in globals_.items():
             name = c if suffix == "" else f"{c}_{suffix}"
             mm = m.where((F.col("column") == c) & (F.col("cls") == suffix)).select(
                 F.col("category").alias("_cat"), F.col("enc").alias("_enc"))
-            out = _join_map(out, mm, n, F.col(c).cast("string") == F.col("_cat"))
+            out = out.join(mm, F.col(c).cast("string") == F.col("_cat"), "left")
             out = out.withColumn(f"_te_{name}", F.coalesce(F.col("_enc"), F.lit(gm))).drop("_cat", "_enc")
         out = out.drop(c)
         for suffix in globals_:

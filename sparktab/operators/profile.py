@@ -16,6 +16,7 @@ from ..functions.exprs import rnd, hist_bin, pearson, unpivot_numeric
 from ..functions.keys import hash_int
 from .kinds import NUMERIC_TYPES, detect_kinds
 from .quantiles import exact_quantiles, quantile_wide, value_counts
+from .running import running_sums, sized
 
 # Missing-share bands, near-constant and outlier rules,
 # skew flag, category top-k and page size used by the reference views.
@@ -306,9 +307,9 @@ def value_ranges(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 def category_options(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Distinct options per categorical column, long form with their
     sorted position (no per-column collect)."""
-    d = _long_strings(df, columns, val="option").distinct()
-    w = Window.partitionBy("column").orderBy("option")
-    return d.withColumn("position", F.row_number().over(w).cast("bigint"))
+    d, n = sized(_long_strings(df, columns, val="option").distinct().withColumn("_one", F.lit(1)))
+    return running_sums(d, ["column"], "option", ["_one"], n_rows=n).select(
+        "column", "option", F.col("cum__one").cast("bigint").alias("position"))
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:

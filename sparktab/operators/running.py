@@ -1,75 +1,54 @@
 """GSUM: running sums over an ordered key without a single-partition window.
 
-``Window.partitionBy(g).orderBy(v)`` sends every row of a group to one task;
-with few groups (a handful of columns or classes) that is a handful of tasks
-for the whole table.  Here the ordered key is cut into quantile buckets
-(deterministic in the value, so recomputation after an executor loss gives
-the same buckets), each bucket is summed in its own task, bucket totals are
-turned into offsets on a table of ``groups × buckets`` rows, and the offsets
-are broadcast back.  Rows must already be unique per (group, order key)."""
+``Window.partitionBy(g).orderBy(v)`` sends every row of a group to one task.
+Here rows are range-partitioned on (group, order) into parts of a bounded
+number of rows, written once so that the parts stay what they are, and summed
+inside each part; the totals of a group's parts become offsets.  There is one
+plan for every size.  Rows must already be unique per (group, order key)."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shuffle_partitions
+from ..session import written
 
-# Offsets table is groups × buckets rows; refuse to broadcast beyond this.
-MAX_OFFSET_ROWS = 2_000_000
-# Up to this many input rows a plain per-group window is used: every task
-# then holds at most this many rows, which is bounded whatever the skew.
-SINGLE_TASK_ROWS = 1_000_000
+#: Rows of one part, and so of one window task, on average.
+ROWS_PER_PART = 200_000
 
 
 def sized(df: DataFrame) -> tuple[DataFrame, int]:
-    """Persist an intermediate (spilling to disk) and count it, so the
-    caller can choose a plan by its checked size and reuse it."""
-    from pyspark import StorageLevel
-    p = df.persist(StorageLevel.MEMORY_AND_DISK)
-    return p, p.count()
+    """Write an intermediate that is read several times and count it."""
+    table = written(df, "intermediate")
+    return table, table.count()
 
 
-def running_sums(df: DataFrame, group: Sequence[str], order,
-                 sums: Sequence[str], descending: bool = False,
-                 buckets: int | None = None, prefix: str = "cum_",
-                 n_rows: int | None = None) -> DataFrame:
-    """Inclusive running sums of ``sums`` per ``group`` in ``order``.  When
-    ``order`` is a list, buckets are cut on its first column and the rest
-    break ties, so row-level ranks are exact and deterministic."""
+def same_keys(left: str, right: str, keys: Sequence[str]):
+    """Join condition that also matches null keys."""
+    return reduce(lambda a, b: a & b, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys])
+
+
+def running_sums(df: DataFrame, group: Sequence[str], order, sums: Sequence[str],
+                 descending: bool = False, prefix: str = "cum_", n_rows: int | None = None,
+                 rows_per_part: int = ROWS_PER_PART, buckets: int | None = None) -> DataFrame:
+    """Inclusive running sums of ``sums`` per ``group`` in ``order`` (one column
+    or several, the later ones to break ties).  ``n_rows`` is the number of
+    rows where the caller knows it; ``buckets`` sets the number of parts."""
     group = list(group)
     orders = [order] if isinstance(order, str) else list(order)
-    order = orders[0]
-    nb = buckets or shuffle_partitions(df.sparkSession)
-    if n_rows is not None and n_rows <= SINGLE_TASK_ROWS:
-        nb = 1
     ordered = [F.col(o).desc() if descending else F.col(o).asc() for o in orders]
-    if nb <= 1:
-        w = Window.partitionBy(*group).orderBy(*ordered).rowsBetween(
-            Window.unboundedPreceding, Window.currentRow)
-        return df.select("*", *[F.sum(s).over(w).alias(prefix + s) for s in sums])
-
-    probs = [i / nb for i in range(1, nb)]
-    bounds = df.groupBy(*group).agg(
-        F.percentile_approx(F.col(order).cast("double"), probs, 10000).alias("_bounds"))
-    x = df.join(F.broadcast(bounds), group) if group else df.crossJoin(F.broadcast(bounds))
-    v = F.col(order).cast("double")
-    if descending:
-        bkt = F.size(F.filter("_bounds", lambda b: b >= v))
-    else:
-        bkt = F.size(F.filter("_bounds", lambda b: b < v))
-    x = x.withColumn("_bkt", bkt).drop("_bounds")
-
-    totals = x.groupBy(*group, "_bkt").agg(*[F.sum(s).alias(s) for s in sums])
-    wo = Window.partitionBy(*group).orderBy("_bkt").rowsBetween(
-        Window.unboundedPreceding, -1)
-    offsets = totals.select(*group, "_bkt", *[
-        F.coalesce(F.sum(s).over(wo), F.lit(0)).alias("_off_" + s) for s in sums])
-
-    wi = Window.partitionBy(*group, "_bkt").orderBy(*ordered).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    inner = x.select("*", *[F.sum(s).over(wi).alias("_in_" + s) for s in sums])
-    out = inner.join(F.broadcast(offsets), group + ["_bkt"])
-    return out.select(*df.columns, *[
-        (F.col("_in_" + s) + F.col("_off_" + s)).alias(prefix + s) for s in sums])
+    parts = buckets or -(-(df.count() if n_rows is None else n_rows) // rows_per_part) or 1
+    dealt = written(df.repartitionByRange(parts, *group, *ordered)
+                    .withColumn("_part", F.spark_partition_id()), "range-parts")
+    keys = [*group, "_part"]
+    totals = dealt.groupBy(*keys).agg(*[F.sum(s).alias("_tot_" + s) for s in sums])
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, *[F.coalesce(F.sum("_tot_" + s).over(before), F.lit(0)).alias("_off_" + s)
+                                     for s in sums])
+    inside = Window.partitionBy(*keys).orderBy(*ordered).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inner = dealt.select("*", *[F.sum(s).over(inside).alias("_in_" + s) for s in sums])
+    out = inner.alias("i").join(offsets.alias("o"), same_keys("i", "o", keys))
+    return out.select(*[F.col(f"i.{c}").alias(c) for c in df.columns], *[
+        (F.col("i._in_" + s) + F.col("o._off_" + s)).alias(prefix + s) for s in sums])

@@ -1,9 +1,10 @@
 """Reproducible splits, folds and learning-curve subsets (L1-L4).
 
 Rows are ordered by a seeded hash of their key (ties by key), ranked within
-their stratum by bucketed running counts (no single-task window even when
-one class holds most rows), and assigned by rank against exact per-stratum
-sizes: n_test = ceil(test·n), n_val = ceil(val/(1−test) · (n − n_test)).
+their stratum by running counts over range parts (no single-task window even
+when one class holds most rows), and assigned by rank against exact sizes:
+n_test = ceil(test·n), n_val = ceil(val/(1−test) · (n − n_test)), which a
+stratified split shares out over the strata by largest remainder.
 The assignment depends only on the key and seed, never on partitioning, so
 recomputation after an executor loss reproduces it."""
 from __future__ import annotations
@@ -15,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import hash_int
-from .running import running_sums
+from ..session import written
+from .running import running_sums, same_keys
 
 
 def _dec(x: float) -> F.Column:
@@ -26,28 +28,65 @@ def hash_rank(df: DataFrame, key: str, group: Sequence[str] = (), seed: int = 42
     """Adds ``_rank`` (0-based within ``group`` in hash order) and ``_n``."""
     group = list(group)
     x = df.withColumn("_h", hash_int(key, seed)).withColumn("_one", F.lit(1))
-    r = running_sums(x, group, ["_h", key], ["_one"], n_rows=df.count())
+    r = running_sums(x, group, ["_h", key], ["_one"])
     r = r.withColumn("_rank", F.col("cum__one") - 1).drop("cum__one", "_one")
     sizes = df.groupBy(*group).agg(F.count("*").alias("_n"))
-    return r.join(F.broadcast(sizes), group) if group else r.crossJoin(F.broadcast(sizes))
+    if not group:
+        return r.crossJoin(sizes)  # one row
+    return r.alias("r").join(sizes.alias("s"), same_keys("r", "s", group)).select("r.*", "_n")
 
 
 def relative_val(test_size: float, val_size: float) -> float:
     return round(val_size / (1.0 - test_size), 9)
 
 
+def _allot(strata: DataFrame, size: str, total: str, out: str, by: str) -> DataFrame:
+    """Adds ``out``: ``total`` rows shared out over the strata in proportion to
+    ``size`` by largest remainder (ties by stratum); every stratum keeps a row."""
+    big = lambda c: F.col(c).cast("decimal(38,0)")
+    whole = strata.agg(F.sum(size).alias("_all"))
+    x = strata.crossJoin(whole).withColumn("_all", F.greatest("_all", F.lit(1)))
+    share = (big(total) * big(size))
+    x = x.withColumn("_left", -(share % big("_all")).cast("bigint")).withColumn(
+        "_base", F.greatest(F.lit(0), F.least(F.floor(share / big("_all")).cast("bigint"), F.col(size) - 1)))
+    x = x.withColumn("_more", (F.col("_base") < F.col(size) - 1).cast("bigint")).drop("_all")
+    open_ = running_sums(x.where("_more = 1"), [], ["_left", by], ["_more"], prefix="_nth")
+    given = x.agg(F.sum("_base").alias("_given"))
+    ranked = x.where("_more = 0").withColumn("_nth_more", F.lit(None).cast("bigint")).unionByName(open_)
+    extra = F.coalesce((F.col("_nth_more") <= F.col(total) - F.col("_given")).cast("bigint"), F.lit(0))
+    return ranked.crossJoin(given).withColumn(out, F.col("_base") + extra).drop(
+        "_left", "_base", "_more", "_nth_more", "_given")
+
+
+def stratum_sizes(df: DataFrame, target: str, test_size: float, val_size: float) -> DataFrame:
+    """(target, n_test, n_val): exact totals ceil(test·n) and ceil(val/(1−test)·rest),
+    shared out by largest remainder; a stratum always keeps a training row, so
+    strata of one go to train (and where too few rows are free, less is taken)."""
+    strata = written(df.groupBy(target).agg(F.count("*").alias("_size")), "strata")
+    n = F.sum("_size")
+    test = strata.agg(F.ceil(_dec(test_size) * n).cast("bigint").alias("_total"))
+    x = written(_allot(strata.crossJoin(test), "_size", "_total", "n_test", target).drop("_total"), "strata")
+    x = x.withColumn("_size", F.col("_size") - F.col("n_test"))
+    val = x.agg(F.ceil(_dec(relative_val(test_size, val_size)) * n).cast("bigint").alias("_total"))
+    return _allot(x.crossJoin(val), "_size", "_total", "n_val", target).select(target, "n_test", "n_val")
+
+
 def assign_split(df: DataFrame, key: str, target: str | None = None, stratify: bool = False,
                  test_size: float = 0.2, val_size: float = 0.1, seed: int = 42) -> DataFrame:
     """L1/L2: adds ``split`` ∈ {train, val, test}; stratified on ``target``
     when ``stratify``."""
-    group = [target] if (stratify and target) else []
-    r = hash_rank(df, key, group, seed)
-    n = F.col("_n")
-    n_test = F.ceil(_dec(test_size) * n)
-    n_val = F.ceil(_dec(relative_val(test_size, val_size)) * (n - n_test))
-    split = (F.when(F.col("_rank") < n_test, "test")
-             .when(F.col("_rank") < n_test + n_val, "val").otherwise("train"))
-    return r.withColumn("split", split).drop("_h", "_rank", "_n")
+    if stratify and target:
+        sizes = stratum_sizes(df, target, test_size, val_size)
+        r = hash_rank(df, key, [target], seed)
+        r = r.alias("r").join(sizes.alias("s"), same_keys("r", "s", [target])).select("r.*", "n_test", "n_val")
+    else:
+        n = F.col("_n")
+        n_test = F.ceil(_dec(test_size) * n)
+        r = hash_rank(df, key, [], seed).withColumn("n_test", n_test).withColumn(
+            "n_val", F.ceil(_dec(relative_val(test_size, val_size)) * (n - n_test)))
+    split = (F.when(F.col("_rank") < F.col("n_test"), "test")
+             .when(F.col("_rank") < F.col("n_test") + F.col("n_val"), "val").otherwise("train"))
+    return r.withColumn("split", split).drop("_h", "_rank", "_n", "n_test", "n_val")
 
 
 def assign_folds(df: DataFrame, key: str, k: int = 5, target: str | None = None,

@@ -243,8 +243,8 @@ def nmf_factorise(spark, sf):
 @query("mean_shift_clusters")
 def mean_shift_clusters(spark, sf):
     pts = _part_points(spark, sf)
-    lab, centers = EX.mean_shift(pts, "x", "vec_id", bandwidth=5.0, max_iter=50)
-    return lab.groupBy("cluster").agg(F.count("*").alias("n")).withColumn("n_centers", F.lit(len(centers)))
+    lab, centers = EX.mean_shift(pts, "x", "vec_id", bandwidth=5.0)
+    return lab.groupBy("cluster").agg(F.count("*").alias("n")).withColumn("n_centers", F.lit(centers.count()))
 
 
 @query("calibrated_linear_svc")

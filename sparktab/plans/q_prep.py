@@ -26,6 +26,27 @@ def split_sql(src: str, key: str, group: str | None = None, test=0.2, val=0.1) -
      count(*) OVER ({part}) AS n FROM {src}))"""
 
 
+def strata_sql(src: str, key: str, group: str, test=0.2, val=0.1) -> str:
+    """Largest remainder over strata, from the rule: floors first, the rest to the
+    largest remainders, one training row per stratum."""
+    rel = S.relative_val(test, val)
+
+    def allot(rows, size, total, out):
+        return f"""(SELECT * EXCLUDE (base, rem, nth, given), base + CASE WHEN base < {size} - 1 AND nth <= {total} - given
+    THEN 1 ELSE 0 END AS {out} FROM (SELECT *, sum(base) OVER () AS given,
+      row_number() OVER (PARTITION BY base < {size} - 1 ORDER BY rem DESC, {group}) AS nth FROM
+      (SELECT *, greatest(0, least({total} * {size} // al, {size} - 1)) AS base, {total} * {size} % al AS rem FROM
+        (SELECT *, greatest(1, sum({size}) OVER ()) AS al FROM {rows}))))"""
+
+    strata = f"""(SELECT *, CAST(ceil(CAST({test} AS DECIMAL(20,9)) * sum(n) OVER ()) AS HUGEINT) AS tt FROM
+      (SELECT {group}, CAST(count(*) AS HUGEINT) AS n FROM {src} GROUP BY {group}))"""
+    first = f"""(SELECT {group}, n, nt, n - nt AS m, CAST(ceil(CAST({rel} AS DECIMAL(20,9)) * sum(n - nt) OVER ()) AS HUGEINT) AS vt
+      FROM {allot(strata, 'n', 'tt', 'nt')})"""
+    return f"""SELECT x.* EXCLUDE (rk), CASE WHEN rk <= nt THEN 'test' WHEN rk <= nt + nv THEN 'val' ELSE 'train' END AS split
+  FROM (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY {hash_order(key)}, {key}) AS rk FROM {src}) x
+  JOIN {allot(first, 'm', 'vt', 'nv')} s USING ({group})"""
+
+
 def orders_split(spark, sf):
     return S.assign_split(orders_nulls(spark, sf), "o_orderkey")
 
@@ -44,7 +65,14 @@ def split_random(spark, sf):
     return S.assign_split(table(spark, sf, "orders"), "o_orderkey").select("o_orderkey", "split")
 
 
-@query("split_stratified", f"SELECT o_orderkey, o_orderstatus, split FROM ({split_sql('orders', 'o_orderkey', 'o_orderstatus')})")
+@query("split_stratified_many", f"SELECT o_orderkey, o_custkey, split FROM ({strata_sql('orders', 'o_orderkey', 'o_custkey')})")
+def split_stratified_many(spark, sf):
+    """One stratum per customer: thousands of small strata."""
+    return S.assign_split(table(spark, sf, "orders"), "o_orderkey", "o_custkey", stratify=True).select(
+        "o_orderkey", "o_custkey", "split")
+
+
+@query("split_stratified", f"SELECT o_orderkey, o_orderstatus, split FROM ({strata_sql('orders', 'o_orderkey', 'o_orderstatus')})")
 def split_stratified(spark, sf):
     o = table(spark, sf, "orders")
     return S.assign_split(o, "o_orderkey", "o_orderstatus", stratify=True).select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.exprs import round_all
+from ..functions.exprs import rnd, round_all
 from ..operators import kinds as K
 from ..operators import profile as P
 from ..sources.tables import table
@@ -279,11 +279,12 @@ def gram(spark, sf):
 
 @query("value_ranges", " UNION ALL ".join(
     f"""SELECT '{c}' AS "column", round(min({c}), 6) AS "min", round(max({c}), 6) AS "max",
-  round(avg({c}), 6) AS mean FROM lineitem""" for c in LI_NUM))
+  round(avg({c}), 4) AS mean FROM lineitem""" for c in LI_NUM))
 def value_ranges(spark, sf):
-    # unspread scan: the l_discount mean is an exact 7-digit decimal, a 6 dp
-    # rounding tie, so the sum keeps the single-split order of the twin
-    return round_all(P.value_ranges(table(spark, sf, "lineitem", spread=False), LI_NUM), 6)
+    # the l_discount mean is an exact 7-digit decimal: at 6 digits it sits on a
+    # rounding tie, and the answer would depend on the order of the sum
+    r = P.value_ranges(table(spark, sf, "lineitem"), LI_NUM)
+    return round_all(r.withColumn("mean", rnd("mean", 4)), 6)
 
 
 @query("category_options", """SELECT "column", option, CAST(row_number() OVER (PARTITION BY "column" ORDER BY option) AS BIGINT) AS position

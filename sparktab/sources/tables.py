@@ -1,6 +1,7 @@
 """Table scans for the test star schema and for user files."""
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,32 +10,27 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 
-def ensure_parallel(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Scan-parallelism guard: a source that yields fewer splits than the
-    cluster's default parallelism (e.g. one small file with a single row
-    group) is spread once with a round-robin repartition, so the CPU work
-    before the first shuffle (unpivots, hashing, partial aggregation) is not
-    confined to one task.  Large sources already have thousands of splits
-    and pass through untouched.  Filters and projections applied later are
-    still pushed below the repartition into the scan."""
-    spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Parquet scan of one driver table; filters and projections applied
+    later are pushed into this scan by Catalyst.  How many tasks read it is
+    up to ``spark.sql.files.maxPartitionBytes`` and the files' row groups."""
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
-    """Parquet scan of one driver table; filters and projections applied
-    later are pushed into this scan by Catalyst.  ``spread`` applies the
-    scan-parallelism guard (measured: 165 s → 136 s on the sf0.1 bench,
-    where every table is a single row group)."""
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    return ensure_parallel(df) if spread else df
+def _is_document(spark: SparkSession, path: str) -> bool:
+    """True for one JSON value over several lines or an array, False for JSON lines."""
+    line = spark.read.text(path).where("length(trim(value)) > 0").first()
+    if line is None:
+        return False
+    try:
+        return not isinstance(json.loads(line["value"]), dict)
+    except ValueError:
+        return True
 
 
 def load_dataset(spark: SparkSession, path: str, schema=None, **options) -> DataFrame:
-    """Format dispatch by extension (S1 CSV, S2 JSON, Parquet).  Any other
+    """Format dispatch by extension (S1 CSV; S2 JSON lines or
+    documents; Parquet).  Any other
     extension raises ``ValueError`` naming the extension (S3).  An explicit
     schema skips the inference pass."""
     ext = os.path.splitext(path.rstrip("/"))[1].lower()
@@ -46,7 +42,7 @@ def load_dataset(spark: SparkSession, path: str, schema=None, **options) -> Data
         opts.update(options)
         return reader.options(**opts).csv(path)
     if ext in (".json", ".jsonl"):
-        return reader.options(**options).json(path)
+        return reader.options(**({"multiLine": _is_document(spark, path)} | options)).json(path)
     if ext in (".parquet", ""):
         return reader.options(**options).parquet(path)
     raise ValueError(f"Unsupported file format: '{ext}'. Use CSV, JSON or Parquet.")

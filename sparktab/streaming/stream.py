@@ -4,12 +4,13 @@ R10 — windowed drift: bin edges are frozen from the reference table (outer
 bins open, so a value outside the reference range still lands in the first
 or last bin), the stream counts (window, bin) with a watermark in append
 mode, and every finalised window's PSI against the reference shares is
-computed inside ``foreachBatch`` and appended to a table.  The same
+computed inside ``foreachBatch`` and written to a table.  The same
 :func:`windowed_psi` runs on a batch frame, which is the batch twin.
 
 R11 — streaming scoring: the fitted ``PipelineModel`` transforms each
 micro-batch; rows failing validation go to a quarantine sink.  Both jobs use
-a checkpoint location, so a restarted query resumes exactly once."""
+a checkpoint location, and each micro-batch overwrites its own ``epoch=N`` folder
+of the sink, so a batch that is replayed after a failure is there once."""
 from __future__ import annotations
 
 from collections.abc import Sequence
@@ -77,8 +78,7 @@ def start_windowed_psi_stream(ref: DataFrame, stream: DataFrame, value: str, sin
     counts = window_bin_counts(stream, value, lo, hi, bins, duration, watermark)
 
     def per_batch(batch: DataFrame, epoch: int) -> None:
-        psi_per_window(batch, shares, bins).withColumn("epoch", F.lit(epoch)) \
-            .write.mode("append").parquet(sink_path)
+        psi_per_window(batch, shares, bins).write.mode("overwrite").parquet(f"{sink_path}/epoch={epoch}")
 
     w = counts.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(per_batch)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
@@ -99,8 +99,8 @@ def start_scoring_stream(stream: DataFrame, model, sink_path: str, quarantine_pa
         bad = v.where(F.size("errors") > 0)
         scored = score(model, good, task, classes)
         keep = [c for c in scored.columns if c not in ("features", "rawPrediction", "probability")]
-        scored.select(*keep).withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(sink_path)
-        bad.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(quarantine_path)
+        scored.select(*keep).write.mode("overwrite").parquet(f"{sink_path}/epoch={epoch}")
+        bad.write.mode("overwrite").parquet(f"{quarantine_path}/epoch={epoch}")
         v.unpersist()
 
     w = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(per_batch)
