@@ -35,8 +35,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster that setting points at shared storage and is respected as
-    is; only when it is unset (local tests) a private temporary folder is
-    created.  Lineage of iterative jobs is cut with ``checkpoint()`` into
+    is; only when it is unset and the master is ``local`` (tests) a private
+    temporary folder is created.  Lineage of iterative jobs is cut with ``checkpoint()`` into
     this folder, never with ``localCheckpoint``."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -44,6 +44,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="sparktab-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
