@@ -25,6 +25,7 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.exprs import clip_negative
 from ..operators import metrics as M
 from ..operators import neighbors as N
 from ..operators.running import running_sums, sized
@@ -192,8 +193,8 @@ def nmf(df: DataFrame, features: Sequence[str], id_col: str, k: int = 5, max_ite
     ix = {c: i for i, c in enumerate(feats)}
     clipped = df.select(F.col(id_col).cast("int").alias("row"),
                         F.explode(F.array(*[F.struct(F.lit(ix[c]).alias("col"),
-                                                     F.greatest(F.col(c).cast("double"), F.lit(0.0)).alias("v"))
-                                            for c in feats])).alias("e")).select("row", "e.col", "e.v")
+                                                     clip_negative(F.col(c).cast("double")).alias("v"))
+                                            for c in feats])).alias("e")).select("row", "e.col", "e.v").where("v is not null")
     als = ALS(rank=k, maxIter=max_iter, regParam=0.0, nonnegative=True, userCol="row", itemCol="col",
               ratingCol="v", seed=SEED, coldStartStrategy="drop")
     m = als.fit(clipped)

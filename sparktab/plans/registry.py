@@ -23,4 +23,5 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from . import q_drift, q_metrics, q_misc, q_models, q_monitor, q_neighbors, q_ops, q_prep, q_profile  # noqa: F401
+    from . import (  # noqa: F401
+        q_closed, q_drift, q_metrics, q_misc, q_models, q_monitor, q_neighbors, q_ops, q_prep, q_profile)
