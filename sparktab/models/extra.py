@@ -263,7 +263,7 @@ def _denser(ends: DataFrame, bandwidth: float) -> DataFrame:
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         if len(qp) and len(rp):
             qi, ri = qp["qid"].to_numpy(np.int64), rp["rid"].to_numpy(np.int64)
-            for s, D in N._dist_chunks(N._stack(qp["qv"]), N._stack(rp["rv"])):
+            for s, D in N._pairs(qp, rp):
                 i, j = np.nonzero(D < bandwidth)
                 out.append((qi[s + i], ri[j]))
         a, b = (np.concatenate(c) for c in zip(*out, strict=True))
@@ -298,7 +298,7 @@ def _window_means(seeds: DataFrame, pts: DataFrame, bw: float) -> DataFrame:
         sums, cnt = np.zeros_like(Q), np.zeros(len(Q), dtype=np.int64)
         if len(qp) and len(rp):
             R = N._stack(rp["rv"])
-            for s, D in N._dist_chunks(Q, R):
+            for s, D in N._pairs(qp, rp):
                 m = D <= bw
                 sums[s:s + len(D)] = m.astype(float) @ R
                 cnt[s:s + len(D)] = m.sum(axis=1)

@@ -31,6 +31,8 @@ CHUNK_CELLS = 4_000_000
 #: At most so many pivots are sent to every task.
 MOST_PIVOTS = 1024
 GRID = ["c0", "c1", "c2"]
+#: Queries of one kernel call, on average, when cells are small.
+CALL_ROWS = 512
 
 
 def _prep(df: DataFrame, id_col: str, vec_col: str, idn: str, vn: str) -> DataFrame:
@@ -41,19 +43,30 @@ def _met(q: DataFrame, r: DataFrame, keys: Sequence[str], block_rows: int, kerne
          q_cols: Sequence[str] = ("qid", "qv"), r_cols: Sequence[str] = ("rid", "rv")) -> DataFrame:
     """Run ``kernel(query block, reference block)`` where cells ``keys`` agree.
 
-    A cell with more than ``block_rows`` rows on a side has several blocks there."""
+    A cell with more than ``block_rows`` rows on a side has several blocks there;
+    small cells share a call, in which :func:`_pairs` keeps them apart."""
     keys = list(keys)
-    nq = q.groupBy(*keys).agg(F.ceil(F.count("*") / block_rows).alias("nq"))
+    nq = q.groupBy(*keys).agg(F.count("*").alias("rows"), F.ceil(F.count("*") / block_rows).alias("nq"))
     nr = r.groupBy(*keys).agg(F.ceil(F.count("*") / block_rows).alias("nr"))
-    sizes = nq.join(nr, keys)
+    sizes = written(nq.join(nr, keys).withColumn("cell", F.monotonically_increasing_id()), "cells")
+    rows = sizes.agg(F.sum("rows")).first()[0] or 0
+    call = F.pmod(F.xxhash64("cell"), F.lit(-(-rows // min(CALL_ROWS, block_rows)) or 1)).alias("call")
     one_of = lambda i, n, seed: F.pmod(hash_int(i, seed), F.col(n)).alias
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias
-    qx = q.join(sizes, keys).select(*keys, *q_cols, one_of("qid", "nq", 17)("bq"), every("nr")("br"))
-    rx = r.join(sizes, keys).select(*keys, *r_cols, one_of("rid", "nr", 18)("br"), every("nq")("bq"))
-    on = [*keys, "bq", "br"]
+    qx = q.join(sizes, keys).select(F.col("cell").alias("cell"), call, *q_cols, one_of("qid", "nq", 17)("bq"), every("nr")("br"))
+    rx = r.join(sizes, keys).select((F.col("cell") + 0).alias("cell"), call, *r_cols, one_of("rid", "nr", 18)("br"), every("nq")("bq"))
+    on = ["call", "bq", "br"]
     return qx.groupBy(*on).cogroup(rx.groupBy(*on)).applyInPandas(kernel, schema)
 
 
+def _pairs(qp: pd.DataFrame, rp: pd.DataFrame):
+    """Yield (row slice, distances), infinite between rows of different cells."""
+    qc, rc = qp["cell"].to_numpy(), rp["cell"].to_numpy()
+    for s, dist in _dist_chunks(_stack(qp["qv"]), _stack(rp["rv"])):
+        dist[qc[s:s + len(dist), None] != rc[None, :]] = np.inf
+        yield s, dist
+
+
 def _cell(vec: str, width: float, i: int):
     return F.when(F.size(vec) > i, F.floor(F.get(vec, F.lit(i)) / F.lit(width))).otherwise(F.lit(0).cast("long"))
 
@@ -90,7 +103,7 @@ def _top_k(k: int, exclude_self: bool) -> Callable:
         if len(qp) and len(rp):
             qids, rids = qp["qid"].to_numpy(), rp["rid"].to_numpy()
             most = min(k, len(rids))
-            for s, dist in _dist_chunks(_stack(qp["qv"]), _stack(rp["rv"])):
+            for s, dist in _pairs(qp, rp):
                 if exclude_self:
                     dist[qids[s:s + len(dist), None] == rids[None, :]] = np.inf
                 kth = np.partition(dist, most - 1, axis=1)[:, most - 1]
@@ -127,10 +140,10 @@ def knn_join(query: DataFrame, ref: DataFrame, k: int, qid: str = "id", rid: str
     def assign(batches):
         for rows in batches:
             far = _to_pivots(rows["rv"], pivots)
-            yield rows.assign(cell=far.argmin(1), far=far.min(1))
+            yield rows.assign(pivot=far.argmin(1), far=far.min(1))
 
-    placed = written(r.mapInPandas(assign, "rid long, rv array<double>, cell long, far double"), "knn-cells")
-    stats = {x["cell"]: x for x in placed.groupBy("cell").agg(
+    placed = written(r.mapInPandas(assign, "rid long, rv array<double>, pivot long, far double"), "knn-cells")
+    stats = {x["pivot"]: x for x in placed.groupBy("pivot").agg(
         F.count("*").alias("n"), F.min("far").alias("inner"), F.max("far").alias("outer")).collect()}
     cells = np.array(sorted(stats), np.int64)
     size, inner, outer = (np.array([stats[c][x] for c in cells.tolist()], float) for x in ("n", "inner", "outer"))
@@ -147,7 +160,7 @@ def knn_join(query: DataFrame, ref: DataFrame, k: int, qid: str = "id", rid: str
 
     def expand(rows: pd.DataFrame, wanted: np.ndarray) -> pd.DataFrame:
         at, cell = np.nonzero(wanted)
-        return rows[["qid", "qv"]].iloc[at].assign(cell=cells[cell])
+        return rows[["qid", "qv"]].iloc[at].assign(pivot=cells[cell])
 
     def near(batches):
         for rows in batches:
@@ -162,15 +175,15 @@ def knn_join(query: DataFrame, ref: DataFrame, k: int, qid: str = "id", rid: str
                 bound = rows["bound"].to_numpy()[:, None]
                 yield expand(rows, ~home_and_rest(far) & (gap <= bound * (1 + 1e-9) + 1e-9))
 
-    schema, found = "qid long, qv array<double>, cell long", "qid long, rid long, dist double"
+    schema, found = "qid long, qv array<double>, pivot long", "qid long, rid long, dist double"
     kernel = _top_k(k, exclude_self)
-    first = written(_met(q.mapInPandas(near, schema), placed, ["cell"], block_rows, kernel, found), "knn-near")
+    first = written(_met(q.mapInPandas(near, schema), placed, ["pivot"], block_rows, kernel, found), "knn-near")
     w = Window.partitionBy("qid").orderBy("dist", "rid")
     best = first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     if len(cells) > 1:
         bound = best.groupBy("qid").agg(F.when(F.count("*") >= k, F.max("dist")).otherwise(float("inf")).alias("bound"))
         asked = q.join(bound, "qid", "left").fillna(float("inf"), ["bound"])
-        more = _met(asked.mapInPandas(rest, schema), placed, ["cell"], block_rows, kernel, found)
+        more = _met(asked.mapInPandas(rest, schema), placed, ["pivot"], block_rows, kernel, found)
         best = best.drop("rank").unionByName(more).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return best
 
@@ -245,7 +258,7 @@ def neighbour_counts(points: DataFrame, eps: float, id_col: str = "id", vec: str
     def kernel(qp, rp):
         n = np.zeros(len(qp), np.int64)
         if len(qp) and len(rp):
-            for s, dist in _dist_chunks(_stack(qp["qv"]), _stack(rp["rv"])):
+            for s, dist in _pairs(qp, rp):
                 n[s:s + len(dist)] = (dist <= eps).sum(axis=1)
         return pd.DataFrame({"qid": qp["qid"].to_numpy(np.int64), "n": n})
 
@@ -274,7 +287,7 @@ def _core_forest(core: DataFrame, eps: float, block_rows: int) -> DataFrame:
     def kernel(qp, rp):
         src = dst = np.zeros(0, np.int64)
         if len(qp) and len(rp):
-            near = np.concatenate([d <= eps for _, d in _dist_chunks(_stack(qp["qv"]), _stack(rp["rv"]))])
+            near = np.concatenate([d <= eps for _, d in _pairs(qp, rp)])
             src, dst = _forest(qp["qid"].to_numpy(np.int64), rp["rid"].to_numpy(np.int64), near)
         return pd.DataFrame({"src": src, "dst": dst})
 
@@ -308,7 +321,7 @@ def dbscan(points: DataFrame, eps: float = 0.5, min_samples: int = 5, id_col: st
         best = np.full(len(qp), none, np.int64)
         if len(qp) and len(rp):
             cluster = rp["cluster"].to_numpy()
-            for s, dist in _dist_chunks(_stack(qp["qv"]), _stack(rp["rv"])):
+            for s, dist in _pairs(qp, rp):
                 best[s:s + len(dist)] = np.where(dist <= eps, cluster[None, :], none).min(axis=1)
         return pd.DataFrame({"qid": qp["qid"].to_numpy(np.int64)[best < none], "cluster": best[best < none].astype("int32")})
 
@@ -334,7 +347,7 @@ def knn_impute(df: DataFrame, features: Sequence[str], id_col: str, k: int = 5,
     miss = F.exists(arr(df), lambda v: v.isNull() | F.isnan(v))
     q = df.where(miss).select(F.col(id_col).cast("long").alias("qid"), arr(df).alias("qv"))
     r = donors.select(F.col(id_col).cast("long").alias("rid"), arr(donors).alias("rv"))
-    q, r = q.withColumn("cell", F.lit(0)), r.withColumn("cell", F.lit(0))  # not a metric, so there is nothing to skip by
+    q, r = q.withColumn("all", F.lit(0)), r.withColumn("all", F.lit(0))  # not a metric, so there is nothing to skip by
     d = len(feats)
 
     def kernel(qp, rp):
@@ -367,7 +380,7 @@ def knn_impute(df: DataFrame, features: Sequence[str], id_col: str, k: int = 5,
         return pd.DataFrame({k_: np.concatenate(v) for k_, v in out.items()}).astype(
             {"qid": "int64", "feat": "int32", "rid": "int64"})
 
-    cand = _met(q, r, ["cell"], block_rows, kernel, "qid long, feat int, rid long, dist double, val double")
+    cand = _met(q, r, ["all"], block_rows, kernel, "qid long, feat int, rid long, dist double, val double")
     w = Window.partitionBy("qid", "feat").orderBy("dist", "rid")
     fill = (cand.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
             .groupBy("qid", "feat").agg(F.avg("val").alias("fill")))
