@@ -336,11 +336,21 @@ def smart_defaults(kinds: Mapping[str, str], target: str | None) -> dict[str, Co
     return out
 
 
+#: What a recipe may ask for, by kind; ``drop`` leaves the column out.
+TRANSFORMS = {
+    "numerical": ("standard", "minmax", "robust", "none", "drop"),
+    "categorical": ("onehot", "ordinal", "label", "target", "none", "drop"),
+    "datetime": ("extract", "none", "drop"),
+    "text": ("none", "drop"),
+}
+DATE_PARTS = ("year", "month", "day", "dayofweek")
+
+
 @dataclass
 class Preprocessor:
-    """Fitted recipe.  Columns sharing a recipe are fitted together
-    in one aggregation.  ``transform`` is a single projection plus one join
-    per ordinal/target-encoded column."""
+    """Fitted recipe.  Each kind of statistic is fitted for all its
+    columns at once; ``transform`` is a projection plus one join per ordinal or
+    target-encoded column."""
     recipes: dict[str, ColumnRecipe]
     target: str | None = None
     fills: dict = field(default_factory=dict)
@@ -349,32 +359,50 @@ class Preprocessor:
     ordinal_cols: list = field(default_factory=list)
     ordinal_map: DataFrame | None = None
     drop_rows: list = field(default_factory=list)
+    target_cols: list = field(default_factory=list)
+    target_map: DataFrame | None = None
+    target_means: dict = field(default_factory=dict)
+    date_cols: list = field(default_factory=list)
 
-    def fit(self, train: DataFrame) -> "Preprocessor":
-        groups: dict[tuple, list[str]] = {}
+    def __post_init__(self):
         for c, r in self.recipes.items():
-            if r.transform == "drop":
-                continue
-            if r.imputation == "drop":
-                self.drop_rows.append(c)
-                continue
-            groups.setdefault((r.kind, r.imputation, r.transform), []).append(c)
+            if r.transform not in TRANSFORMS.get(r.kind, ("none", "drop")):
+                raise ValueError(f"{c}: a {r.kind} column has no transform {r.transform!r}")
+
+    def _columns(self, *transforms: str) -> list[str]:
+        return [c for c in self.feature_columns if self.recipes[c].transform in transforms]
+
+    def fit(self, train: DataFrame) -> "Preprocessor":
+        self.drop_rows = [c for c, r in self.recipes.items() if r.imputation == "drop" and r.transform != "drop"]
         base = train.na.drop(subset=self.drop_rows) if self.drop_rows else train
-        for (kind, imp, tr), cols in groups.items():
-            if imp not in ("none", None):
-                self.fills.update(fit_imputer(base, cols, imp))
+        for how in sorted({self.recipes[c].imputation for c in self.feature_columns} - {"none", None}):
+            self.fills |= fit_imputer(base, [c for c in self.feature_columns if self.recipes[c].imputation == how], how)
         filled = apply_imputer(base, self.fills)
-        for (kind, imp, tr), cols in groups.items():
-            if kind == "numerical" and tr in ("standard", "minmax", "robust"):
-                self.scalers.update(fit_scaler(filled, cols, tr))
-            elif tr == "onehot":
-                self.onehot.update(fit_onehot(filled, cols))
-            elif tr in ("ordinal", "label"):
-                self.ordinal_cols += cols
+        for scale in ("standard", "minmax", "robust"):
+            if cols := self._columns(scale):
+                self.scalers |= fit_scaler(filled, cols, scale)
+        if cols := self._columns("onehot"):
+            self.onehot = fit_onehot(filled, cols)
+        self.ordinal_cols = self._columns("ordinal", "label")
         if self.ordinal_cols:
             self.ordinal_map = category_levels(filled, self.ordinal_cols)
+        self.target_cols, self.date_cols = self._columns("target"), self._columns("extract")
+        if self.target_cols:
+            self.target_map, self.target_means = self._fit_target(filled)
         return self
 
+    def _fit_target(self, filled: DataFrame) -> tuple[DataFrame, dict]:
+        """Means of a number; of the second of two classes; or of each of several classes."""
+        if self.target is None:
+            raise ValueError("target encoding needs a target")
+        if isinstance(filled.schema[self.target].dataType, NUMERIC_TYPES):
+            return fit_target_encoder(filled, self.target_cols, self.target)
+        classes = [r[0] for r in category_levels(filled, [self.target]).orderBy("index").select("category").collect()]
+        if len(classes) > 2:
+            return fit_target_encoder(filled, self.target_cols, self.target, classes)
+        second = (F.col(self.target).cast("string") == F.lit(classes[-1])).cast("double")
+        return fit_target_encoder(filled.withColumn(self.target, second), self.target_cols, self.target)
+
     @property
     def feature_columns(self) -> list[str]:
         return [c for c, r in self.recipes.items() if r.transform != "drop" and r.imputation != "drop"]
@@ -384,6 +412,10 @@ class Preprocessor:
         for c in self.feature_columns:
             if c in self.onehot:
                 names += [f"{c}_{v}" for v in self.onehot[c]]
+            elif c in self.date_cols:
+                names += [f"{c}_{part}" for part in DATE_PARTS]
+            elif c in self.target_cols:
+                names += [c if k == "" else f"{c}_{k}" for k in self.target_means]
             else:
                 names.append(c)
         return names
@@ -395,6 +427,10 @@ class Preprocessor:
         x = apply_scaler(x, self.scalers)
         if self.ordinal_cols:
             x = apply_ordinal(x, self.ordinal_map, self.ordinal_cols)
+        if self.target_cols:
+            x = apply_target_encoder(x, self.target_map, self.target_means, self.target_cols)
+        if self.date_cols:
+            x = datetime_parts(x, self.date_cols)
         x = apply_onehot(x, self.onehot, keep)
         return x.select(*keep, *self.output_names())
 
@@ -405,16 +441,18 @@ class Preprocessor:
             "recipes": {c: vars(r) for c, r in self.recipes.items()},
             "fills": self.fills, "scalers": self.scalers, "onehot": self.onehot,
             "ordinal_cols": self.ordinal_cols, "drop_rows": self.drop_rows,
+            "target_cols": self.target_cols, "target_means": self.target_means, "date_cols": self.date_cols,
             "output_names": self.output_names(),
         }, default=str)
 
 
 def save_preprocessor(pre: "Preprocessor", spark, path: str) -> None:
     """Fitted statistics and recipes as one JSON record (written by
-    Spark, so any shared filesystem works); the ordinal map as Parquet."""
+    Spark, so any shared filesystem works); the category maps as Parquet."""
     spark.createDataFrame([(pre.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(path + "/schema")
-    if pre.ordinal_map is not None:
-        pre.ordinal_map.write.mode("overwrite").parquet(path + "/ordinal_map")
+    for name in ("ordinal_map", "target_map"):
+        if getattr(pre, name) is not None:
+            getattr(pre, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def load_preprocessor(spark, path: str) -> "Preprocessor":
@@ -422,9 +460,13 @@ def load_preprocessor(spark, path: str) -> "Preprocessor":
     rec = {c: ColumnRecipe(**r) for c, r in meta["recipes"].items()}
     pre = Preprocessor(rec, target=meta["target"], fills=meta["fills"],
                        scalers={c: tuple(v) for c, v in meta["scalers"].items()},
-                       onehot=meta["onehot"], ordinal_cols=meta["ordinal_cols"], drop_rows=meta["drop_rows"])
+                       onehot=meta["onehot"], ordinal_cols=meta["ordinal_cols"], drop_rows=meta["drop_rows"],
+                       target_cols=meta["target_cols"], date_cols=meta["date_cols"],
+                       target_means={k: tuple(v) for k, v in meta["target_means"].items()})
     if pre.ordinal_cols:
         pre.ordinal_map = spark.read.parquet(path + "/ordinal_map")
+    if pre.target_cols:
+        pre.target_map = spark.read.parquet(path + "/target_map")
     return pre
 
 

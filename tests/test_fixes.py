@@ -3,6 +3,7 @@ import json
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sparktab.functions.exprs import clip
@@ -84,3 +85,25 @@ def test_json_documents_and_lines(spark, tmp_path):
     (tmp_path / "b.json").write_text('{"a": 1}\n{"a": 2}\n{"a": 3}\n')
     (tmp_path / "c.json").write_text(json.dumps({"a": 1, "b": {"c": 2}}, indent=2))
     assert [load_dataset(spark, str(tmp_path / f"{n}.json")).count() for n in "abc"] == [2, 3, 1]
+
+
+def test_recipes_encode_targets_and_dates_and_refuse_unknown_steps(spark, tmp_path):
+    rows = [("x" if i % 3 else "y", f"2024-0{i % 9 + 1}-10", float(i), "B" if i % 2 else "A") for i in range(30)]
+    df = spark.createDataFrame(rows, "city string, joined string, n double, y string")
+    recipes = {"city": prep.ColumnRecipe("categorical", "most_frequent", "target"),
+               "joined": prep.ColumnRecipe("datetime", "none", "extract"), "n": prep.ColumnRecipe("numerical", "median", "minmax")}
+    pre = prep.Preprocessor(recipes, target="y").fit(df)
+    names = ["city", "joined_year", "joined_month", "joined_day", "joined_dayofweek", "n"]
+    assert pre.output_names() == names
+    got = [tuple(r) for r in pre.transform(df.drop("y")).orderBy("n").collect()]
+    assert got[0][1:5] == (2024, 1, 10, 2)
+    means = {c: np.mean([r[3] == "B" for r in rows if r[0] == c]) for c in "xy"}
+    assert abs(got[0][0] - means["y"]) < 0.05 and 0 < got[0][0] < 1
+    prep.save_preprocessor(pre, spark, str(tmp_path / "pre"))
+    again = prep.load_preprocessor(spark, str(tmp_path / "pre"))
+    assert [tuple(r) for r in again.transform(df).orderBy("n").collect()] == got
+    three = df.withColumn("y", F.concat("y", (F.col("n") % 2).cast("int").cast("string"), F.col("city")))
+    multi = prep.Preprocessor({"city": recipes["city"]}, target="y").fit(three)
+    assert len(multi.output_names()) == three.select("y").distinct().count()
+    with pytest.raises(ValueError, match="no transform"):
+        prep.Preprocessor({"n": prep.ColumnRecipe("numerical", "median", "squish")})
