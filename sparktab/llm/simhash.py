@@ -52,7 +52,8 @@ def fingerprints(docs: DataFrame, *, shingle: int = 3, seed: int = 42, id_col: s
     """(doc_id, fp), one row per input row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(t, shingle, seed) for t in batch.column(1).to_pylist()]
+            fps = [fingerprint(t, shingle, seed) for at in range(0, batch.num_rows, 256)
+                   for t in batch.column(1).slice(at, 256).to_pylist()]  # few texts at a time as Python strings
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
     texts = text_frame(docs, id_col, text_col)
