@@ -121,6 +121,10 @@ class TooLarge(Exception):
     pass
 
 
+#: What the decompressors raise on bytes that are not theirs; zstd's own error is told by its name.
+REFUSED = (zlib.error, OSError, EOFError, lzma.LZMAError, RuntimeError, ValueError)
+
+
 def _inflate(data: bytes, most: int) -> bytes | None:
     """One decompression step, None if ``data`` is not a compressed stream."""
     if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78":
@@ -146,7 +150,9 @@ def _inflate(data: bytes, most: int) -> bytes | None:
 
 
 def unpacked(run: str, most: int) -> str | None:
-    """The text inside a base64 run, after all its compressed layers; None if it holds none."""
+    """The text inside a base64 run, after all its compressed layers; None if it holds none.
+
+    Bytes that a decompressor refuses, or makes nothing of, are not compressed."""
     body = run.rstrip("=").translate(URL_SAFE)
     if len(body) % 4 == 1:
         return None
@@ -158,14 +164,14 @@ def unpacked(run: str, most: int) -> str | None:
     while True:
         try:
             inner = _inflate(data, most)
-        except (zlib.error, OSError, EOFError, lzma.LZMAError, RuntimeError):
-            return None
-        except Exception as e:
-            if type(e).__name__ == "ZstdError":
-                return None
+        except TooLarge:
             raise
+        except Exception as e:
+            if not isinstance(e, REFUSED) and type(e).__name__ != "ZstdError":
+                raise
+            inner = None
         digest = hashlib.sha256(data).digest()
-        if inner is None or digest in seen:
+        if not inner or digest in seen:
             break
         seen.add(digest)
         data = inner

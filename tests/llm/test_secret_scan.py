@@ -61,6 +61,17 @@ def test_noise_never_fails():
         find_secrets(urllib.parse.quote(raw) + "\\ud800\\u12")
 
 
+def kinds(data):
+    """Kinds found in the base64 text of some bytes."""
+    return {k for k, _, _ in find_secrets(base64.b64encode(data).decode())[1]}
+
+
+def test_text_that_starts_like_a_compressed_stream():
+    for start in ("x-api-key: ", "x ", "x^", "x\x01", "BZh", "BZh9 "):
+        data = f"{start}{SECRET}".encode()
+        assert kinds(data) == kinds(gzip.compress(data)) == {"assign", "access"}, start
+
+
 def test_edges(spark):
     df = edge_frame(spark)
     rows = scan_secrets(df).collect()
