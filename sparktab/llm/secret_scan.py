@@ -2,8 +2,8 @@
 
 Every text is the root layer.  A layer is scanned for secrets and unwrapped:
 percent escapes and Unicode escapes of the whole layer, and every base64 run of
-it, whose bytes are decompressed as often as they start with a known magic
-number.  New layers join the worklist until none is left; a layer whose digest
+it, whose bytes are decompressed, all members and frames of them, as often as
+they start with a known magic number.  New layers join the worklist until none is left; a layer whose digest
 the document has already seen is not taken again, so cycles (a compressed file
 that holds itself) end.  Each character of a layer keeps the root span it comes
 from: escapes map one by one, what lies inside a base64 run maps to the run."""
@@ -125,56 +125,59 @@ class TooLarge(Exception):
 REFUSED = (zlib.error, OSError, EOFError, lzma.LZMAError, RuntimeError, ValueError)
 
 
-def _inflate(data: bytes, most: int) -> bytes | None:
-    """One decompression step, None if ``data`` is not a compressed stream."""
-    if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78":
-        d = zlib.decompressobj(47 if data[:1] == b"\x1f" else 15)
-        out = d.decompress(data, most)
-        if d.unconsumed_tail:
-            raise TooLarge
-        return out
-    if data[:3] == b"BZh" or data[:6] == b"\xfd7zXZ\x00":
-        d = bz2.BZ2Decompressor() if data[:1] == b"B" else lzma.LZMADecompressor()
-        out = d.decompress(data, most)
-        if not d.eof and not d.needs_input:
-            raise TooLarge
-        return out
-    if data[:4] == b"\x28\xb5\x2f\xfd":
-        import zstandard
-        with zstandard.ZstdDecompressor().stream_reader(data) as reader:
-            out = reader.read(most + 1)
-        if len(out) > most:
-            raise TooLarge
-        return out
-    return None
-
+#: Starts of the members and frames that are unpacked; zstd's skippable frames hold nothing.
+MAGIC = re.compile(rb"(?P<gzip>\x1f\x8b)|(?P<zlib>\x78)|(?P<bz2>BZh)|(?P<xz>\xfd7zXZ\x00)"
+                   rb"|(?P<zstd>\x28\xb5\x2f\xfd|[\x50-\x5f]\x2a\x4d\x18)")
+PADDING = re.compile(rb"\x00*")
+#: Bytes that a decompressor gets at first and at most, and that it gives at most.  zstd has
+#: no bound on what it gives; a block of 4 bytes can make 128 KB.
+LEAST_IN, MOST_IN, PIECE = 1 << 10, 1 << 16, 1 << 20
 
-def unpacked(run: str, most: int) -> str | None:
-    """The text inside a base64 run, after all its compressed layers; None if it holds none.
 
-    Bytes that a decompressor refuses, or makes nothing of, are not compressed."""
-    body = run.rstrip("=").translate(URL_SAFE)
-    if len(body) % 4 == 1:
-        return None
-    try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4))
-    except (binascii.Error, ValueError):
-        return None
-    seen: set[bytes] = set()
-    while True:
+def _decompressor(kind: str):
+    if kind == "zstd":
+        import zstandard
+        return zstandard.ZstdDecompressor().decompressobj()
+    if kind == "bz2":
+        return bz2.BZ2Decompressor()
+    return lzma.LZMADecompressor() if kind == "xz" else zlib.decompressobj(47 if kind == "gzip" else 15)
+
+
+def _inflate(data: bytes, raw: list[bytes]) -> Iterator[bytes]:
+    """What the members or frames of ``data`` hold, in pieces.
+
+    ``raw`` gets the bytes from the first member on that is none, is cut short or
+    is refused, so all of ``data`` if it is not a compressed stream."""
+    at = 0
+    while at < len(data):
+        m = MAGIC.match(data, at)
+        if m is None:
+            raw.append(data[at:])
+            return
+        kind, here, step = m.lastgroup, at, LEAST_IN
         try:
-            inner = _inflate(data, most)
-        except TooLarge:
-            raise
+            d = _decompressor(kind)
+            while not d.eof and here < len(data):
+                fed, here = data[here:here + step], here + step
+                if kind == "zstd":
+                    yield d.decompress(fed)
+                    continue
+                yield d.decompress(fed, PIECE)
+                while not d.eof and (d.unconsumed_tail if kind in ("gzip", "zlib") else not d.needs_input):
+                    yield d.decompress(d.unconsumed_tail if kind in ("gzip", "zlib") else b"", PIECE)
+                step = min(2 * step, MOST_IN)
         except Exception as e:
             if not isinstance(e, REFUSED) and type(e).__name__ != "ZstdError":
                 raise
-            inner = None
-        digest = hashlib.sha256(data).digest()
-        if not inner or digest in seen:
-            break
-        seen.add(digest)
-        data = inner
+            raw.append(data[at:])
+            return
+        if not d.eof:
+            raw.append(data[at:])
+            return
+        at = PADDING.match(data, min(here, len(data)) - len(d.unused_data)).end()
+
+
+def _text(data: bytes) -> str | None:
     try:
         text = data.decode()
     except UnicodeDecodeError:
@@ -182,6 +185,30 @@ def unpacked(run: str, most: int) -> str | None:
     return text if text and sum(c.isprintable() or c.isspace() for c in text) >= 0.9 * len(text) else None
 
 
+def unpacked(run: str, most: int) -> Iterator[str]:
+    """The texts inside a base64 run: what its compressed layers come to, all members of
+    each, and of every layer what is not compressed."""
+    body = run.rstrip("=").translate(URL_SAFE)
+    if len(body) % 4 == 1:
+        return
+    try:
+        data = base64.b64decode(body + "=" * (-len(body) % 4))
+    except (binascii.Error, ValueError):
+        return
+    seen: set[bytes] = set()
+    while data and (digest := hashlib.sha256(data).digest()) not in seen:
+        seen.add(digest)
+        raw: list[bytes] = []
+        got, size = [], 0
+        for piece in _inflate(data, raw):
+            got.append(piece)
+            size += len(piece)
+            if size > most:
+                raise TooLarge
+        yield from filter(None, map(_text, raw))
+        data = b"".join(got)
+
+
 def find_secrets(text: str, max_layer_bytes: int = 64 << 20) -> tuple[list[Span], list[Span]]:
     """(base spans, spans added by decoding), both in code points of ``text``."""
     base = scan(text)
@@ -198,12 +225,10 @@ def find_secrets(text: str, max_layer_bytes: int = 64 << 20) -> tuple[list[Span]
         for m in BASE64.finditer(layer.text):
             s, e = layer.root_span(m.start(), m.end())
             try:
-                got = unpacked(m[0], max_layer_bytes)
+                for got in unpacked(m[0], max_layer_bytes):
+                    inner.append(Layer(got, [s] * len(got), [e] * len(got)))
             except TooLarge:
                 found.add(("opaque", s, e))
-                continue
-            if got is not None:
-                inner.append(Layer(got, [s] * len(got), [e] * len(got)))
         for new in inner:
             if new is None:
                 continue

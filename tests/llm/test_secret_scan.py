@@ -1,9 +1,14 @@
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import urllib.parse
+import zlib
+
+import zstandard
 
 from sparktab.llm.secret_scan import find_secrets, scan, scan_secrets
 
@@ -72,6 +77,22 @@ def test_text_that_starts_like_a_compressed_stream():
         assert kinds(data) == kinds(gzip.compress(data)) == {"assign", "access"}, start
 
 
+def test_every_member_is_unpacked():
+    secret = SECRET.encode()
+    packers = [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.ZstdCompressor().compress]
+    skippable = b"\x50\x2a\x4d\x18\x03\0\0\0abc"
+    r = random.Random(3)
+    numbers = " ".join(str(r.randrange(1000)) for _ in range(200_000)).encode()
+    for pack in packers:
+        for first in (b"first", b"", numbers, b" " * 3_000_000):
+            assert kinds(pack(first) + pack(b"second") + pack(secret)) == {"assign", "access"}
+        assert kinds(pack(b"first") + b"\0" * 8 + pack(secret)) == kinds(pack(b"first") + secret) == {"assign", "access"}
+        assert kinds(pack(pack(b"first") + pack(secret))) == {"assign", "access"}
+        text = base64.b64encode(pack(b"\0" * 40_000) * 2).decode()
+        assert find_secrets(text, max_layer_bytes=1 << 16)[1] == [("opaque", 0, len(text))]  # one bound for all
+    assert kinds(skippable + zstandard.ZstdCompressor().compress(secret)) == {"assign", "access"}
+
+
 def test_edges(spark):
     df = edge_frame(spark)
     rows = scan_secrets(df).collect()
