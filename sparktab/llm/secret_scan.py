@@ -3,7 +3,9 @@
 Every text is the root layer.  A layer is scanned for secrets and unwrapped:
 percent escapes and Unicode escapes of the whole layer, and every base64 run of
 it, whose bytes are decompressed, all members and frames of them, as often as
-they start with a known magic number.  New layers join the worklist until none is left; a layer whose digest
+they start with a known magic number.  Layers that are partly or not at all text
+are scanned like the others; escapes that stand for no character stay as they
+are.  New layers join the worklist until none is left; a layer whose digest
 the document has already seen is not taken again, so cycles (a compressed file
 that holds itself) end.  Each character of a layer keeps the root span it comes
 from: escapes map one by one, what lies inside a base64 run maps to the run."""
@@ -65,38 +67,53 @@ class Layer:
         return self.starts[start], self.ends[end - 1]
 
 
+class Inside:
+    """The place of every character of a layer that lies inside one run of the root."""
+
+    def __init__(self, at: int):
+        self.at = at
+
+    def __getitem__(self, i):
+        return () if isinstance(i, slice) else self.at
+
+
 def _percent(run: str) -> list[tuple[str, int, int]] | None:
+    """Characters with their places; bytes that are no UTF-8 stay escaped.  None if all do."""
     raw = bytes.fromhex(run.replace("%", ""))
-    try:
-        chars = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    out, at = [], 0
-    for c in chars:
+    out, at, decoded = [], 0, False
+    for c in raw.decode("utf-8", "surrogateescape"):
+        if "\udc80" <= c <= "\udcff":
+            out.extend((run[i], i, i + 1) for i in range(at, at + 3))
+            at += 3
+            continue
         width = 3 * len(c.encode())
         out.append((c, at, at + width))
-        at += width
-    return out
+        at, decoded = at + width, True
+    return out if decoded else None
 
 
 def _escapes(run: str) -> list[tuple[str, int, int]] | None:
+    """Characters with their places; units that are no character stay escaped.  None if all do."""
     units = [(int(m[1], 16), m.start(), m.end()) for m in ONE_ESCAPE.finditer(run)]
-    out, i = [], 0
+    out, i, decoded = [], 0, False
     while i < len(units):
         code, start, end = units[i]
         if 0xD800 <= code < 0xDC00 and i + 1 < len(units) and 0xDC00 <= units[i + 1][0] < 0xE000:
             code, end = 0x10000 + ((code - 0xD800) << 10) + units[i + 1][0] - 0xDC00, units[i + 1][2]
             i += 1
         if code > 0x10FFFF or 0xD800 <= code < 0xE000:
-            return None
-        out.append((chr(code), start, end))
+            out.extend((run[k], k, k + 1) for k in range(start, end))
+        else:
+            out.append((chr(code), start, end))
+            decoded = True
         i += 1
-    return out
+    return out if decoded else None
 
 
 def unescape(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     """The layer with every decodable run of ``pattern`` decoded; None if there is none."""
     text, starts, ends, at = [], [], [], 0
+    inside = isinstance(layer.starts, Inside)
     for m in pattern.finditer(layer.text):
         chars = decode(m[0])
         if chars is None:
@@ -106,12 +123,15 @@ def unescape(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
         ends.extend(layer.ends[at:m.start()])
         for c, s, e in chars:
             text.append(c)
-            starts.append(layer.starts[m.start() + s])
-            ends.append(layer.ends[m.start() + e - 1])
+            if not inside:
+                starts.append(layer.starts[m.start() + s])
+                ends.append(layer.ends[m.start() + e - 1])
         at = m.end()
     if not at:
         return None
     text.append(layer.text[at:])
+    if inside:
+        return Layer("".join(text), layer.starts, layer.ends)
     starts.extend(layer.starts[at:])
     ends.extend(layer.ends[at:])
     return Layer("".join(text), starts, ends)
@@ -177,12 +197,12 @@ def _inflate(data: bytes, raw: list[bytes]) -> Iterator[bytes]:
         at = PADDING.match(data, min(here, len(data)) - len(d.unused_data)).end()
 
 
-def _text(data: bytes) -> str | None:
+def _text(data: bytes) -> str:
+    """The bytes as text, one character each if they are no UTF-8: the patterns are ASCII."""
     try:
-        text = data.decode()
+        return data.decode()
     except UnicodeDecodeError:
-        return None
-    return text if text and sum(c.isprintable() or c.isspace() for c in text) >= 0.9 * len(text) else None
+        return data.decode("latin-1")
 
 
 def unpacked(run: str, most: int) -> Iterator[str]:
@@ -205,7 +225,7 @@ def unpacked(run: str, most: int) -> Iterator[str]:
             size += len(piece)
             if size > most:
                 raise TooLarge
-        yield from filter(None, map(_text, raw))
+        yield from map(_text, raw)
         data = b"".join(got)
 
 
@@ -226,14 +246,14 @@ def find_secrets(text: str, max_layer_bytes: int = 64 << 20) -> tuple[list[Span]
             s, e = layer.root_span(m.start(), m.end())
             try:
                 for got in unpacked(m[0], max_layer_bytes):
-                    inner.append(Layer(got, [s] * len(got), [e] * len(got)))
+                    inner.append(Layer(got, Inside(s), Inside(e)))
             except TooLarge:
                 found.add(("opaque", s, e))
         for new in inner:
-            if new is None:
+            if new is None or not new.text:
                 continue
             # the place is part of the key: a payload that stands twice is reported twice
-            where = f"{new.starts[0]}:{new.ends[-1]}:" if new.text else ""
+            where = f"{new.starts[0]}:{new.ends[-1]}:"
             digest = hashlib.sha256((where + new.text).encode()).digest()
             if digest not in seen:
                 seen.add(digest)

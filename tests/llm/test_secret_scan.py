@@ -93,6 +93,25 @@ def test_every_member_is_unpacked():
     assert kinds(skippable + zstandard.ZstdCompressor().compress(secret)) == {"assign", "access"}
 
 
+def test_bad_bytes_hide_nothing_else():
+    secret = SECRET.encode()
+    junk = random.Random(4).randbytes(5000)
+    for data in (b"caf\xe9 " + secret, b"\0" * 500 + secret, junk + b" " + secret + b" " + junk, secret + "é".encode()[:1]):
+        assert kinds(data) == kinds(gzip.compress(data)) == {"assign", "access"}
+        assert kinds(gzip.compress(data) + data) == {"assign", "access"}
+    word = "".join(f"%{b:02X}" for b in b"password=hunter2hunter2")
+    assert find_secrets("%FF" + word)[1] == [("assign", 3, 3 + len(word))]
+    assert find_secrets(f"%C3{word}%E2%82")[1] == [("assign", 3, 3 + len(word))]
+    for form in ("\\u{:04x}", "\\x{:02x}", "\\U{:08x}"):
+        word = "".join(form.format(b) for b in b"password=hunter2hunter2")
+        for bad in ("\\ud800", "\\udc00", "\\UFFFFFFFF"):
+            assert find_secrets(bad + word)[1] == [("assign", len(bad), len(bad + word))]
+            assert ("assign", 0, len(word)) in find_secrets(word + bad)[1]
+    assert find_secrets("%FF%FE \\ud800") == ([], [])
+    text = base64.b64encode(f"{junk.hex(' ')} %FF{urllib.parse.quote(SECRET)}".encode()).decode()
+    assert {k for k, s, e in find_secrets(text)[1] if (s, e) == (0, len(text))} == {"assign", "access"}
+
+
 def test_edges(spark):
     df = edge_frame(spark)
     rows = scan_secrets(df).collect()
