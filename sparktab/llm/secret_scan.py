@@ -2,7 +2,7 @@
 
 Every text is the root layer.  A layer is scanned for secrets and unwrapped:
 percent escapes and Unicode escapes of the whole layer, and every base64 run of
-it, whose bytes are decompressed, all members and frames of them, as often as
+it, also as one with the lines that it is wrapped into, whose bytes are decompressed, all members and frames of them, as often as
 they start with a known magic number.  Layers that are partly or not at all text
 are scanned like the others; escapes that stand for no character stay as they
 are.  New layers join the worklist until none is left; a layer whose digest
@@ -40,6 +40,7 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
 ONE_ESCAPE = re.compile(r"\\[uUx]([0-9A-Fa-f]+?)(?=\\|$)")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}")
+NEXT_LINE = re.compile(r"[ \t]*\r?\n[ \t]*([A-Za-z0-9+/_-]++={0,2})")
 URL_SAFE = str.maketrans("-_", "+/")
 
 Span = tuple[str, int, int]
@@ -229,6 +230,32 @@ def unpacked(run: str, most: int) -> Iterator[str]:
         data = b"".join(got)
 
 
+def base64_runs(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, characters) of every run, and of every block of runs of equal length
+    that follow each other line by line, with the shorter line that ends it."""
+    tried = 0
+    for m in BASE64.finditer(text):
+        start, end = m.span()
+        yield start, end, m[0]
+        if start < tried or m[0][-1] == "=":
+            continue
+        lines, total = [m[0]], len(m[0])
+        while n := NEXT_LINE.match(text, end):
+            size = len(n[1])
+            # a word after a block without a short line is none if base64 cannot be so long
+            if size > len(m[0]) or size < len(m[0]) and n[1][-1] != "=" and (total + size) % 4 == 1:
+                break
+            lines.append(n[1])
+            total, end = total + size, n.end()
+            if size < len(m[0]):
+                break  # this line may start a block of its own
+            tried = end
+            if n[1][-1] == "=":
+                break
+        if len(lines) > 1:
+            yield start, end, "".join(lines)
+
+
 def find_secrets(text: str, max_layer_bytes: int = 64 << 20) -> tuple[list[Span], list[Span]]:
     """(base spans, spans added by decoding), both in code points of ``text``."""
     base = scan(text)
@@ -242,10 +269,10 @@ def find_secrets(text: str, max_layer_bytes: int = 64 << 20) -> tuple[list[Span]
             inner.append(unescape(layer, PERCENT, _percent))
         if "\\" in layer.text:
             inner.append(unescape(layer, ESCAPE, _escapes))
-        for m in BASE64.finditer(layer.text):
-            s, e = layer.root_span(m.start(), m.end())
+        for start, end, run in base64_runs(layer.text):
+            s, e = layer.root_span(start, end)
             try:
-                for got in unpacked(m[0], max_layer_bytes):
+                for got in unpacked(run, max_layer_bytes):
                     inner.append(Layer(got, Inside(s), Inside(e)))
             except TooLarge:
                 found.add(("opaque", s, e))

@@ -112,6 +112,35 @@ def test_bad_bytes_hide_nothing_else():
     assert {k for k, s, e in find_secrets(text)[1] if (s, e) == (0, len(text))} == {"assign", "access"}
 
 
+def wrapped(data, width, newline="\n"):
+    packed = base64.b64encode(data).decode()
+    return newline.join(packed[i:i + width] for i in range(0, len(packed), width))
+
+
+def test_wrapped_base64_is_unwrapped():
+    r = random.Random(6)
+    for width in (16, 61, 64, 76):
+        for newline in ("\n", "\r\n", "\n    ", " \n\t"):
+            for size in range(30, 130, 7):  # the secret crosses lines at any place
+                data = b"." * size + SECRET.encode() + b"." * r.randrange(60)
+                block = wrapped(data, width, newline)
+                for before, after in (("", ""), ("see\n", "\nThe end"), ("-----BEGIN X-----\n", "\n-----END X-----\n"), ("key: ", " a")):
+                    least = len(before + block.rstrip("= \r\n\t"))  # padding may stand on a line of its own
+                    spans = {k for k, s, e in find_secrets(before + block + after)[1] if s == len(before) and e >= least}
+                    assert spans == {"assign", "access"}, (width, newline, size, before)
+    words = " ".join(str(r.randrange(10 ** 6)) for _ in range(200))
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress):
+        block = wrapped(pack(f"{words} {SECRET}".encode()), 76)
+        assert set(find_secrets(block)[1]) == {("assign", 0, len(block)), ("access", 0, len(block))}
+        two = f"{block}\n{wrapped(pack(SECRET.encode()), 64)}\n\n{block}"
+        assert {("assign", 0, len(block)), ("assign", len(two) - len(block), len(two))} <= set(find_secrets(two)[1])
+        assert {0, len(block) + 1, len(two) - len(block)} <= {s for _, s, e in find_secrets(two)[1]}
+    inner = wrapped(wrapped(SECRET.encode() * 3, 64).encode(), 76)
+    assert {k for k, s, e in find_secrets(inner)[1] if (s, e) == (0, len(inner))} == {"assign", "access"}
+    lines = [base64.b64encode(f"{i} token=abcdefghijkl{i}".encode()).decode() for i in range(3)]
+    assert len(find_secrets("\n".join(lines))[1]) >= 3  # tokens of equal length stay tokens
+
+
 def test_edges(spark):
     df = edge_frame(spark)
     rows = scan_secrets(df).collect()
