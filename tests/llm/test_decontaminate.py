@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 import numpy as np
 
@@ -67,6 +68,24 @@ def test_documents_match_brute_force_on_containment(spark):
     assert exact and exact <= got and len(got) <= 1.2 * len(exact)
 
 
+def test_all_substitution_patterns_are_found(spark):
+    items = [(n, [f"w{n}x{i}" for i in range(n)]) for n in (*range(8, 14), 15, 16)]
+    docs = []
+    for n, words in items:
+        for k in range(5):
+            for places in combinations(range(n), k):
+                body = ["zzz" if i in places else w for i, w in enumerate(words)]
+                docs.append((len(docs), " ".join(["before", *body, "after"])))
+    items = [(n, " ".join(words)) for n, words in items]
+    want = set()
+    for n, item in items:
+        want |= brute([x for x in docs if f"w{n}x" in x[1]], [(n, item)])
+    got = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"),
+                     spark.createDataFrame(items, "item_id long, text string"))
+    assert {(x.doc_id, x.item_id) for x in got.collect()} == want
+    assert {n: sum(i == str(n) for _, i in want) for n in (8, 9, 10, 11, 12, 13)} == {8: 9, 9: 10, 10: 56, 11: 67, 12: 79, 13: 92}
+
+
 def test_edges(spark):
     bench = spark.createDataFrame([(1, "words in a very long text words in a very long text words"), (2, None), (None, "x"),
                                    (3, "too short")], "item_id long, text string")
