@@ -4,7 +4,8 @@ Texts are lower-cased word tokens.  Three fixed masks look at six of eight
 neighbouring tokens and ignore the other two, so a hit survives substitutions at
 the ignored places; a fourth looks at six in a row.  However the two words that may
 differ in 13 tokens lie, one of the four sees neither; items of ten to twelve tokens,
-which have less room, get masks of their own.  Training seeds that pass a filter of the benchmark's seeds
+which have less room, get masks of their own, and shorter ones than eight are
+compared whole.  Training seeds that pass a filter of the benchmark's seeds
 (of bounded size) are joined with them on the seed; every joined diagonal is then
 verified without gaps: a benchmark item leaks into a document if on a diagonal
 ``window`` aligned tokens (or the whole item, if shorter) agree in at least
@@ -33,11 +34,13 @@ RUN = "111111"
 #: More masks of six tokens by the tokens of the item: what the others miss when the
 #: whole item may differ in two words (found by trying all patterns).
 SHORT_MASKS = {10: ("110011011", "101100111"), 11: ("11100000111",), 12: ("101001111",)}
+#: Items shorter than a span have one mask, all their tokens.
+WHOLE = tuple("1" * n for n in range(SPAN))
 #: Items of so many tokens and more have the same masks.
 ALIKE = 13
 #: Odd multipliers of the compared places and of the masks, from the digits of a hash.
 _ODD = [xxhash.xxh64_intdigest(b"place %d" % i) | 1 for i in range(ALIKE)]
-_MIX = {m: xxhash.xxh64_intdigest(f"mask {m}") | 1 for m in (*MASKS, RUN, *(m for x in SHORT_MASKS.values() for m in x))}
+_MIX = {m: xxhash.xxh64_intdigest(f"mask {m}") | 1 for m in (*MASKS, *WHOLE, *(m for x in SHORT_MASKS.values() for m in x))}
 #: Bits of the filter: at least and at most (8 MB), and per seed.
 LEAST_BITS, MOST_BITS, BITS_PER_SEED = 1 << 20, 1 << 26, 512
 
@@ -62,7 +65,9 @@ def token_hashes(text: str) -> np.ndarray:
 
 def item_masks(n: int) -> tuple[str, ...]:
     """The masks that find an item of ``n`` tokens."""
-    return (*MASKS, RUN, *SHORT_MASKS.get(n, ())) if n >= SPAN else ()
+    if n < SPAN:
+        return (WHOLE[n],) if n else ()
+    return (*MASKS, RUN, *SHORT_MASKS.get(n, ()))
 
 
 def mask_seeds(tokens: np.ndarray, masks: tuple[str, ...]) -> list[np.ndarray]:
@@ -131,6 +136,8 @@ def _regions(docs: DataFrame, table: np.ndarray, masks: tuple[str, ...], reach:
     sent = docs.sparkSession.sparkContext.broadcast(table)
     schema = "key bigint, doc_id bigint, base bigint, tokens array<bigint>, seed array<bigint>, pos array<bigint>"
 
+    once = [i for i, m in enumerate(masks) if m in WHOLE and m != RUN]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = sent.value
         bits = len(words) * 32
@@ -150,6 +157,11 @@ def _regions(docs: DataFrame, table: np.ndarray, masks: tuple[str, ...], reach:
                 pos = at - first[np.searchsorted(first, at, "right") - 1]
                 order = np.argsort(pos, kind="stable")
                 pos, seed = pos[order], found[at[order]]
+                if once:  # of a short item's places the first one counts
+                    short = np.isin(np.searchsorted(first, at[order], "right") - 1, once)
+                    keep = ~short
+                    keep[np.flatnonzero(short)[np.unique(seed[short], return_index=True)[1]]] = True
+                    pos, seed = pos[keep], seed[keep]
                 starts = np.concatenate([[0], np.flatnonzero(np.diff(pos) > 2 * reach) + 1, [len(pos)]])
                 for a, b in zip(starts[:-1], starts[1:], strict=True):
                     lo, hi = max(0, pos[a] - reach), min(len(tokens), pos[b - 1] + SPAN + reach)
@@ -191,8 +203,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     other values, which may lose some of the leaks with several substitutions.
 
     ``key`` is the 64-bit hash of (doc_id, text).  Null and empty texts hold no
-    token and leak nothing; items with fewer than eight tokens are too short to
-    tell a leak from chance and are not searched; null ids stay null; equal (id,
+    token and leak nothing; items with fewer than eight tokens leak where all their
+    tokens stand, for with one replaced they cannot be told from chance, and an item
+    without tokens leaks nowhere; null ids stay null; equal (id,
     text) rows are reported once; of equally good diagonals the first counts;
     empty tables give an empty result; very long texts are searched whole."""
     items = _benchmark(benchmark, item_col, item_text_col)

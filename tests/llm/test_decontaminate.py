@@ -86,6 +86,18 @@ def test_all_substitution_patterns_are_found(spark):
     assert {n: sum(i == str(n) for _, i in want) for n in (8, 9, 10, 11, 12, 13)} == {8: 9, 9: 10, 10: 56, 11: 67, 12: 79, 13: 92}
 
 
+def test_short_items_are_found_whole(spark):
+    items = [(n, " ".join(f"w{n}x{i}" for i in range(n))) for n in range(8)] + [(8, "w6x0 w6x1 w6x2 w6x3 w6x4 w6x5 and two")]
+    docs = [(d, f"Before {item.title()}, after {item}") for d, item in items]
+    docs += [(100 + d, f"before {item.replace('x0', 'x9')} after") for d, item in items]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(x.doc_id, x.item_id): (x.n_matched, x.token_start, x.token_end) for x in find_leaks(df, bench).collect()}
+    want = {(n, str(n)): (n, 1, 1 + n) for n in range(1, 9)} | {(8, "6"): (6, 1, 7), (108, "8"): (7, 1, 9)}
+    assert got == want
+    assert {x.doc_id for x in clean(df, bench).collect()} == {0, *range(100, 108)}
+
+
 def test_edges(spark):
     bench = spark.createDataFrame([(1, "words in a very long text words in a very long text words"), (2, None), (None, "x"),
                                    (3, "too short")], "item_id long, text string")
