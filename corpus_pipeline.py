@@ -14,7 +14,7 @@ from sparktab.session import written
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a language: no text, no letter, or like no learned language."""
+    """Drop documents without a language: no text or no letter."""
     profiles = language_id.learn_profiles(docs, ~language_id.held_out(docs["doc_id"]))
     return language_id.known_language_only(docs, profiles)
 

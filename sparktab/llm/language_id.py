@@ -221,15 +221,14 @@ def predict_languages(docs: DataFrame, profiles: Profiles, *, id_col: str = "doc
 def known_language_only(docs: DataFrame, profiles: Profiles, *, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text has a language, columns unchanged.
 
-    Rejected are null and letterless texts and those that no prototype has a
-    positive cosine with."""
+    Rejected is what ``predict_languages`` calls ``und``: null and letterless texts,
+    and all if nothing was learned."""
     sent = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.names.index(text_col)).to_pylist()
-            langs, scores = sent.value.predict([t or "" for t in texts])
-            yield batch.filter(pa.array([x != UNDETERMINED and s > 0 for x, s in zip(langs, scores, strict=True)],
-                                        pa.bool_()))
+            langs, _ = sent.value.predict([t or "" for t in texts])
+            yield batch.filter(pa.array([x != UNDETERMINED for x in langs], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -68,3 +68,12 @@ def test_edges(spark):
     none = li.learn_profiles(empty, li.held_out(empty["doc_id"]))
     assert none.languages == [] and {r.lang_pred for r in li.predict_languages(df, none).collect()} == {"und"}
     assert li.predict_languages(empty_frame(spark), profiles).count() == 0
+
+
+def test_known_languages_are_those_that_are_predicted(spark):
+    text = "xylo"
+    unlike = li.Profiles(["aa"], -li.bundles([text], 64, 42).astype(np.float64), 42)
+    df = spark.createDataFrame([(1, text), (2, "12 !"), (3, None), (4, "")], "doc_id long, text string")
+    assert unlike.predict([text]) == (["aa"], [0.0])
+    predicted = {r.doc_id for r in li.predict_languages(df, unlike).collect() if r.lang_pred != "und"}
+    assert {r.doc_id for r in li.known_language_only(df, unlike).collect()} == predicted == {1}
