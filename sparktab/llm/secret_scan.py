@@ -19,6 +19,7 @@ import lzma
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,7 +34,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}+")
 ASSIGN_WORDS = ("passw", "secret", "token", "api")
 ASSIGN_LEAST, ACCESS_LEAST = 12, 18
-#: ``opaque`` marks a compressed run whose contents pass ``max_layer_bytes``.
+#: ``opaque`` marks a compressed run whose contents pass ``max_layer_bytes``: they are
+#: scanned in windows, and only what spans windows or is compressed again is not unpacked.
 ORDER = {"assign": 0, "access": 1, "hex": 2, "opaque": 3}
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
@@ -138,10 +140,6 @@ def unescape(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     return Layer("".join(text), starts, ends)
 
 
-class TooLarge(Exception):
-    pass
-
-
 #: What the decompressors raise on bytes that are not theirs; zstd's own error is told by its name.
 REFUSED = (zlib.error, OSError, EOFError, lzma.LZMAError, RuntimeError, ValueError)
 
@@ -150,6 +148,9 @@ REFUSED = (zlib.error, OSError, EOFError, lzma.LZMAError, RuntimeError, ValueErr
 MAGIC = re.compile(rb"(?P<gzip>\x1f\x8b)|(?P<zlib>\x78)|(?P<bz2>BZh)|(?P<xz>\xfd7zXZ\x00)"
                    rb"|(?P<zstd>\x28\xb5\x2f\xfd|[\x50-\x5f]\x2a\x4d\x18)")
 PADDING = re.compile(rb"\x00*")
+SPACES = re.compile(rb"\x20{2,}")
+#: Bytes that a window of a layer that is too large shares with the next one.
+OVERLAP = 1 << 16
 #: Bytes that a decompressor gets at first and at most, and that it gives at most.  zstd has
 #: no bound on what it gives; a block of 4 bytes can make 128 KB.
 LEAST_IN, MOST_IN, PIECE = 1 << 10, 1 << 16, 1 << 20
@@ -206,9 +207,30 @@ def _text(data: bytes) -> str:
         return data.decode("latin-1")
 
 
-def unpacked(run: str, most: int) -> Iterator[str]:
+def _windows(pieces: Iterator[bytes], most: int) -> Iterator[str]:
+    """The joined pieces as texts of about ``most`` bytes.
+
+    Each starts with the end of the one before, where runs of spaces, the only part
+    of a secret without bound that must be seen whole, become one space."""
+    held: list[bytes] = []
+    carry, size = b"", 0
+    for piece in pieces:
+        held.append(piece)
+        size += len(piece)
+        if size >= most:
+            window = b"".join([carry, *held])
+            yield _text(window)
+            carry = SPACES.sub(b" ", window)[-OVERLAP:]
+            held, size = [], 0
+    if held:
+        yield _text(b"".join([carry, *held]))
+
+
+def unpacked(run: str, most: int) -> Iterator[str | None]:
     """The texts inside a base64 run: what its compressed layers come to, all members of
-    each, and of every layer what is not compressed."""
+    each, and of every layer what is not compressed.
+
+    A layer of over ``most`` bytes gives None and its windows, and is not unpacked further."""
     body = run.rstrip("=").translate(URL_SAFE)
     if len(body) % 4 == 1:
         return
@@ -221,11 +243,14 @@ def unpacked(run: str, most: int) -> Iterator[str]:
         seen.add(digest)
         raw: list[bytes] = []
         got, size = [], 0
-        for piece in _inflate(data, raw):
+        pieces = _inflate(data, raw)
+        for piece in pieces:
             got.append(piece)
             size += len(piece)
             if size > most:
-                raise TooLarge
+                yield None
+                yield from _windows(chain([b"".join(got)], pieces), most)
+                got = []
         yield from map(_text, raw)
         data = b"".join(got)
 
@@ -256,36 +281,42 @@ def base64_runs(text: str) -> Iterator[tuple[int, int, str]]:
             yield start, end, "".join(lines)
 
 
+def _inner(layer: Layer, max_layer_bytes: int, found: set[Span]) -> Iterator[Layer]:
+    """The layers inside a layer; ``found`` gets its opaque spans."""
+    escaped = []
+    if "%" in layer.text:
+        escaped.append(unescape(layer, PERCENT, _percent))
+    if "\\" in layer.text:
+        escaped.append(unescape(layer, ESCAPE, _escapes))
+    yield from filter(None, escaped)
+    for start, end, run in base64_runs(layer.text):
+        s, e = layer.root_span(start, end)
+        for got in unpacked(run, max_layer_bytes):
+            if got is None:
+                found.add(("opaque", s, e))
+            elif got:
+                yield Layer(got, Inside(s), Inside(e))
+
+
 def find_secrets(text: str, max_layer_bytes: int = 64 << 20) -> tuple[list[Span], list[Span]]:
     """(base spans, spans added by decoding), both in code points of ``text``."""
     base = scan(text)
     found: set[Span] = set()
     seen = {hashlib.sha256(text.encode()).digest()}
-    work: list[Layer] = [Layer(text, range(len(text)), range(1, len(text) + 1))]
+    # one layer after the other is made, so of a large one a single window is held
+    work = [_inner(Layer(text, range(len(text)), range(1, len(text) + 1)), max_layer_bytes, found)]
     while work:
-        layer = work.pop()
-        inner: list[Layer | None] = []
-        if "%" in layer.text:
-            inner.append(unescape(layer, PERCENT, _percent))
-        if "\\" in layer.text:
-            inner.append(unescape(layer, ESCAPE, _escapes))
-        for start, end, run in base64_runs(layer.text):
-            s, e = layer.root_span(start, end)
-            try:
-                for got in unpacked(run, max_layer_bytes):
-                    inner.append(Layer(got, Inside(s), Inside(e)))
-            except TooLarge:
-                found.add(("opaque", s, e))
-        for new in inner:
-            if new is None or not new.text:
-                continue
-            # the place is part of the key: a payload that stands twice is reported twice
-            where = f"{new.starts[0]}:{new.ends[-1]}:"
-            digest = hashlib.sha256((where + new.text).encode()).digest()
-            if digest not in seen:
-                seen.add(digest)
-                found.update((k, *new.root_span(s, e)) for k, s, e in scan(new.text))
-                work.append(new)
+        new = next(work[-1], None)
+        if new is None:
+            work.pop()
+            continue
+        # the place is part of the key: a payload that stands twice is reported twice
+        where = f"{new.starts[0]}:{new.ends[-1]}:"
+        digest = hashlib.sha256((where + new.text).encode()).digest()
+        if digest not in seen:
+            seen.add(digest)
+            found.update((k, *new.root_span(s, e)) for k, s, e in scan(new.text))
+            work.append(_inner(new, max_layer_bytes, found))
     return base, sorted(found - set(base))
 
 
@@ -298,7 +329,9 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     The counts and the digest cover the base spans of the text itself; ``spans``
     holds them and those found in decoded layers.  A compressed run that inflates
-    past ``max_layer_bytes`` is reported whole as ``opaque``, never skipped.
+    past ``max_layer_bytes`` is scanned to its end in overlapping windows and also
+    reported whole as ``opaque``, for what is encoded in it is only unpacked as far as
+    it lies within a window.
 
     Null text counts as empty (no spans); a null id stays null; repeated rows are
     scanned one by one; an empty table gives an empty result; very long texts are

@@ -141,6 +141,20 @@ def test_wrapped_base64_is_unwrapped():
     assert len(find_secrets("\n".join(lines))[1]) >= 3  # tokens of equal length stay tokens
 
 
+def test_large_streams_are_scanned_to_their_end():
+    secret = SECRET.encode()
+    spread = b"password" + b" " * 200_000 + b"=" + b" " * 200_000 + b"hunter2hunter2"
+    packers = [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.ZstdCompressor().compress]
+    for pack in packers:
+        for before in (0, (1 << 16) - 20, (1 << 16) - 8, 1 << 20, 3_000_001):
+            data = base64.b64encode(pack(b"." * before + secret + b"." * 100_000)).decode()
+            assert {k for k, _, _ in find_secrets(data, max_layer_bytes=1 << 16)[1]} == {"assign", "access", "opaque"}
+        data = base64.b64encode(pack(b"." * 50_000 + spread)).decode()
+        assert find_secrets(data, max_layer_bytes=1 << 16)[1] == [("assign", 0, len(data)), ("opaque", 0, len(data))]
+        data = base64.b64encode(pack(b"\n" * 100_000 + base64.b64encode(secret) + b"\n" * 100_000) + secret).decode()
+        assert {k for k, _, _ in find_secrets(data, max_layer_bytes=1 << 16)[1]} == {"assign", "access", "opaque"}
+
+
 def test_edges(spark):
     df = edge_frame(spark)
     rows = scan_secrets(df).collect()
