@@ -92,3 +92,9 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import remove_repeats
     return remove_repeats(documents(spark, sf_dir), length=400)
+
+
+@query
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_score import score_texts
+    return score_texts(documents(spark, sf_dir))
