@@ -7,6 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
+from .oracles import MERKLE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -98,3 +99,12 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm_score import score_texts
     return score_texts(documents(spark, sf_dir))
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import verify_manifest
+    return verify_manifest(documents(spark, sf_dir))
+
+
+ORACLES["op12_merkle_manifest"] = MERKLE
