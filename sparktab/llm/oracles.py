@@ -57,3 +57,35 @@ root AS (SELECT hash AS root FROM above WHERE n = 1)
 SELECT p.doc_id, p.leaf, r.subroot, root.root, sha256(d.proof) AS proof_sha256, d.fold AS folded_root, d.fold = root.root AS verified
 FROM placed p JOIN subroots r USING (grp) JOIN done d ON d.home = p.grp AND d.leaf_pos = p.pos, root
 """
+
+TRIE = f"""
+WITH turns AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos,
+         coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, count(*) AS len, {crc32('c')} % 6 AS h, c - c % 100 AS base FROM turns GROUP BY c),
+convs AS (SELECT o.*, least(o.h, coalesce(b.len, 0)) AS given FROM own o LEFT JOIN own b ON b.c = o.base),
+made AS (
+  SELECT k.c, t.pos AS depth, t.role, t.text FROM convs k JOIN turns t ON t.c = k.base AND t.pos <= k.h
+  UNION ALL
+  SELECT k.c, k.given + t.pos - k.h, t.role, t.text FROM convs k JOIN turns t ON t.c = k.c AND t.pos > k.h),
+prefixes AS (
+  SELECT c, depth, length(text) AS chars, sha256(string_agg(strlen(role) || ':' || role || strlen(text) || ':' || text, '')
+         OVER (PARTITION BY c ORDER BY depth)) AS node FROM made
+  UNION ALL SELECT c, 0, 0, '' FROM own),
+linked AS (
+  SELECT *, lag(node) OVER (PARTITION BY c ORDER BY depth) AS parent,
+         depth = max(depth) OVER (PARTITION BY c) AS ends FROM prefixes),
+nodes AS (
+  SELECT node, any_value(parent) AS parent, min(c) AS conv_id, any_value(depth) AS depth, count(*) AS n_convs,
+         any_value(chars) AS chars, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM linked GROUP BY node),
+counted AS (SELECT n.*, (SELECT count(*) FROM nodes k WHERE k.parent = n.node) AS n_children FROM nodes n),
+pairs AS (SELECT DISTINCT a.node AS above, b.node AS below FROM prefixes a JOIN prefixes b ON a.c = b.c AND a.depth <= b.depth),
+sums AS (
+  SELECT above AS node, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * chars) AS saved_tokens
+  FROM pairs JOIN counted ON counted.node = below GROUP BY above)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children,
+       CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM counted n JOIN sums s USING (node) LEFT JOIN nodes p ON p.node = n.parent
+"""
