@@ -165,22 +165,53 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, max_bits: int = 2, see
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Parts into which the rows of one component are dealt when they look up the row that stays.
+SALTS = 16
+
+
+def _digest(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
 def one_of_each_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                       max_bits: int = 2, seed: int = 42) -> DataFrame:
     """The rows of ``docs`` without those near-duplicate to a kept one, columns unchanged.
 
-    Of each component the row with the smallest id stays, of equal ids the first
-    one, a null id only if there is no other.  ``docs`` must be a table that reads
-    the same twice, as its rows are numbered by their place."""
-    place = F.monotonically_increasing_id()
-    numbered = docs.select(place.alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    groups = written(near_duplicates(numbered, shingle=shingle, max_bits=max_bits, seed=seed, id_col="row",
-                                     text_col="text").select(F.col("doc_id").alias("row"), "component_id"), "groups")
-    ids = numbered.select("row", "id")
-    crowded = groups.groupBy("component_id").count().where("count > 1").select("component_id")
-    members = groups.join(crowded, "component_id").join(ids, "row")
-    rank = F.struct(F.col("id").isNull().alias("none"), "id", "row")
-    first = members.groupBy("component_id").agg(F.min(rank).alias("kept"))
-    gone = members.join(first, "component_id").where(F.col("row") != F.col("kept.row")).select(F.col("row").alias("gone"))
-    gone = written(gone, "near-duplicates")
-    return docs.withColumn("__row", place).join(gone, F.col("__row") == F.col("gone"), "left_anti").drop("__row")
+    Of each component the row with the smallest id stays, of equal ids the one with
+    the smallest text digest, of rows equal in both any one; a null id stays only if there is
+    no other.  Rows are told apart by id and digest, so nothing depends on how the
+    table is dealt into splits when it is read again.  An empty table stays empty."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = [fingerprint(t, shingle, seed) for at in range(0, batch.num_rows, 256)
+                   for t in batch.column(2).slice(at, 256).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps, pa.int64())], ["id", "digest", "fp"])
+
+    read = rows.select("id", _digest(F.col("text")).alias("digest"), F.coalesce("text", F.lit("")).alias("text")) \
+        .mapInArrow(run, "id bigint, digest binary, fp bigint")
+    table = written(read.groupBy("id", "digest", "fp").agg(F.count("*").alias("times")), "rows")
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "digest")
+    least = written(table.groupBy("fp").agg(F.min(rank).alias("first"), F.sum("times").alias("times")), "distinct-fingerprints")
+    found = written(links(least.select("fp"), max_bits=max_bits), "links")
+    parts = connected_components(found, "a", "b")
+    rooted = written(least.join(parts, least["fp"] == parts["node"], "left").select(
+        "fp", "first", "times", F.coalesce("component", "fp").alias("root")), "rooted")
+    stays = rooted.groupBy("root").agg(F.min("first").alias("stays"), F.sum("times").alias("times")).where("times > 1")
+    crowded = written(rooted.drop("times").join(stays, "root").select("fp", "stays"), "crowded-fingerprints")
+    salt = F.pmod(F.xxhash64("id", "digest"), F.lit(SALTS))
+    salted = crowded.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    members = table.withColumn("salt", salt).join(salted, ["fp", "salt"])
+    kept = F.col("id").eqNullSafe(F.col("stays.id")) & (F.col("digest") == F.col("stays.digest"))
+    gone = written(members.where(~kept | (F.col("times") > 1)).select("id", "digest", kept.alias("once")), "near-duplicates")
+
+    keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__digest": _digest(F.col(text_col))})
+
+    def met(side: DataFrame) -> Column:
+        return keyed["__id"].eqNullSafe(side["id"]) & (keyed["__digest"] == side["digest"])
+    alone = keyed.join(gone, met(gone), "left_anti").select(*docs.columns)
+    once = gone.where("once")
+    repeated = keyed.join(once, met(once), "left_semi")
+    one = repeated.groupBy("__id", "__digest").agg(F.first(F.struct(*docs.columns)).alias("__row"))
+    return alone.unionByName(one.select("__row.*"))

@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
@@ -151,11 +151,16 @@ def _intervals(flags: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b) - 1) for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
 
-RUN = "core bigint, whole bigint, lead int, width int, row bigint, start bigint"
+RUN = "core bigint, whole bigint, lead int, width int, row binary, start bigint"
 CLASS = ["core", "whole", "lead", "width"]
 INTERVALS = "array<struct<a:int,b:int>>"
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """128 bits of a row's id and text: the same wherever and whenever the row is read."""
+    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("-")), F.lit(":"), text)))
+
+
 def _runs(docs: DataFrame, length: int) -> DataFrame:
     core_bytes = length - WINDOW + 1
 
@@ -171,7 +176,7 @@ def _runs(docs: DataFrame, length: int) -> DataFrame:
                         col.append(x)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.array(out[0], np.uint64).view(np.int64)), pa.array(np.array(out[1], np.uint64).view(np.int64)),
-                 pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.int64()),
+                 pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.binary()),
                  pa.array(out[5], pa.int64())], ["core", "whole", "lead", "width", "row", "start"])
     return docs.mapInArrow(run, RUN)
 
@@ -181,10 +186,13 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     by_row = wanted.groupBy("row").agg(F.collect_list(F.struct(*CLASS, "start", "hot")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
             out = []
-            for text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = text.encode()
+            for row, text, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row == last:  # the joined rows come by key, so a repeated row is read once a task
+                    continue
+                last, raw = row, text.encode()
                 out += [(r["core"], r["whole"], r["lead"], r["width"], r["hot"],
                          raw[r["start"]:r["start"] + r["width"] + length - 1]) for r in runs]
             cols = list(zip(*out, strict=True)) or [[]] * 6
@@ -192,7 +200,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)],
                                              [*CLASS, "hot", "bytes"])
 
-    return docs.join(by_row, "row").select("text", "runs").mapInArrow(
+    return docs.join(by_row, "row").select("row", "text", "runs").mapInArrow(
         run, "core bigint, whole bigint, lead int, width int, hot boolean, bytes binary")
 
 
@@ -265,8 +273,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                    crowd: int = 1000, with_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]), one row per input row.
 
-    ``docs`` must be a table that reads the same twice, as its rows are numbered by
-    their place.  Cores with more than ``crowd`` different runs are counted by
+    Rows are told apart by a 128-bit digest of id and text, so nothing depends on how
+    the table is dealt into splits when it is read again.  Cores with more than ``crowd`` different runs are counted by
     digest; the result is the same.  ``with_text`` adds the bytes that are left.
 
     Null text counts as empty; a null id stays null; repeated rows are documents
@@ -275,10 +283,11 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     empty table gives an empty result."""
     if length < WINDOW + GRAM - 1:
         raise ValueError(f"length must be at least {WINDOW + GRAM - 1}")
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"),
-                           F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    starts = removed_starts(numbered.select("row", "text"), length, crowd)
-    by_row = written(starts.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("gone")), "removed-starts")
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    named = named.withColumn("row", row_key(F.col("doc_id"), F.col("text")))
+    starts = removed_starts(named.select("row", "text"), length, crowd)
+    # equal rows have equal intervals, so the set of them is bounded by the text
+    by_row = written(starts.groupBy("row").agg(F.collect_set(F.struct("a", "b")).alias("gone")), "removed-starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -295,4 +304,4 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" \
         + ", kept binary" * with_text
-    return numbered.join(by_row, "row", "left").select("doc_id", "text", "gone").mapInArrow(run, schema)
+    return named.join(by_row, "row", "left").select("doc_id", "text", "gone").mapInArrow(run, schema)

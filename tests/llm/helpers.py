@@ -16,7 +16,7 @@ def edge_rows():
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use for columns of their own.
-CLASHES = ["n_tokens", "spans", "component_id", "fp", "key", "row", "uid", "length", "offset", "score", "h", "count"]
+CLASHES = ["n_tokens", "spans", "component_id", "fp", "key", "row", "uid", "length", "offset", "score", "h", "count", "gone", "id", "digest", "once", "stays", "salt", "times", "first", "row_key"]
 
 
 def edge_frame(spark, clashes=True):
@@ -41,3 +41,15 @@ def stored(spark, df, folder):
     path = str(folder / "table")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def read_differently(spark, monkeypatch, module):
+    """From one written table to the next, source tables are dealt into other splits."""
+    write, sizes = module.written, iter([40_000, 1 << 27, 90_000, 15_000] * 50)
+
+    def changed(df, name):
+        out = write(df, name)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(next(sizes)))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        return out
+    monkeypatch.setattr(module, "written", changed)

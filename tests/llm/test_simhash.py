@@ -4,7 +4,7 @@ import pytest
 import xxhash
 
 from sparktab.llm.simhash import fingerprint, links, near_duplicates, one_of_each_group
-from tests.conftest import SF_CHECK
+from tests.conftest import SF_CHECK, SF_SMALL
 
 from .helpers import edge_frame, empty_frame, stored
 
@@ -85,3 +85,28 @@ def test_edges(spark, tmp_path):
     assert kept.columns == df.columns
     assert len([r for r in kept.collect() if r.doc_id == 1]) == 1
     assert sum(not (r.text or "").split() for r in kept.collect()) == 1
+
+
+def test_other_splits_at_every_reading(spark, tmp_path, monkeypatch):
+    from sparktab.llm import simhash
+
+    from .helpers import read_differently
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    docs.repartition(12).write.parquet(str(tmp_path / "parts"))
+    docs = spark.read.parquet(str(tmp_path / "parts"))
+    want = sorted(r.doc_id for r in simhash.one_of_each_group(docs).collect())
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    read_differently(spark, monkeypatch, simhash)
+    try:
+        assert sorted(r.doc_id for r in simhash.one_of_each_group(docs).collect()) == want
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+
+
+def test_repeated_rows_leave_one(spark):
+    from sparktab.llm.simhash import one_of_each_group
+    rows = [(i, f"the same words in all of them {x}") for i, x in [(5, "a"), (5, "a"), (5, "a"), (7, "a"), (None, "a")]]
+    rows += [(None, None), (3, "quite another text that stands here alone"), (8, ""), (9, None)]
+    got = one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, (r.doc_id for r in got))) == ["3", "5", "8"]

@@ -8,7 +8,7 @@ import pytest
 from sparktab.llm import suffix_dedup as sd
 from tests.conftest import SF_SMALL
 
-from .helpers import edge_frame, empty_frame, stored
+from .helpers import edge_frame, empty_frame, read_differently, stored
 
 
 def brute(texts, length=400):
@@ -108,3 +108,39 @@ def test_edges(spark, tmp_path):
     assert sd.remove_repeats(stored(spark, empty_frame(spark), tmp_path / "e")).count() == 0
     with pytest.raises(ValueError, match="length"):
         sd.remove_repeats(df, length=100)
+
+
+def test_other_splits_at_every_reading(spark, tmp_path, monkeypatch):
+    """A lost or added executor changes how files are dealt into splits; the result stays."""
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
+    docs.repartition(12).write.parquet(str(tmp_path / "parts"))
+    docs = spark.read.parquet(str(tmp_path / "parts"))
+    want = sorted(tuple(r) for r in sd.remove_repeats(docs).collect())
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    read_differently(spark, monkeypatch, sd)
+    try:
+        assert sorted(tuple(r) for r in sd.remove_repeats(docs).collect()) == want
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+
+
+def test_planted_passages(spark):
+    """Of 399 bytes nothing goes; of 400 and more the passage goes from every document, and nothing else."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9)))
+    prose = lambda n: (" ".join(word() for _ in range(n)))
+    rows, want = [], {}
+    for i, n in enumerate((399, 400, 401, 1200)):
+        passage = (prose(300))[:n - 2]
+        for j in range(3):
+            doc = 10 * i + j
+            rows.append((doc, f"{prose(40)}{'#%'[j % 2]}{doc}\x01{passage}\x02{j}{prose(40)}"))
+            want[doc] = n if n >= 400 else 0
+    rows.append((99, prose(500)))
+    want[99] = 0
+    got = sd.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {g.doc_id: g.n_removed for g in got} == want
+    plain = brute([x for _, x in rows])
+    assert {g.doc_id: (g.n_bytes, g.n_removed, g.n_spans, g.kept_sha256) for g in got} == \
+        {i: p for (i, _), p in zip(rows, plain, strict=True)}
