@@ -3,9 +3,9 @@
 * Within a distance (counts, DBSCAN, single linkage): points lie in grid cells
   of the leading three coordinates, as wide as the distance; a point meets the
   points of the adjacent cells only.
-* k nearest (k-NN, LOF, 1-NN labels): reference rows lie with their nearest
-  pivot.  The cells nearest to a query give a bound on its kth distance; by the
-  triangle inequality only cells that can hold something closer are searched.
+* k nearest (k-NN, LOF, 1-NN labels): reference rows lie in the leaves of a tree of
+  pivots.  A query's first leaf gives a bound on its kth distance; handed down
+  the levels, it leads only to leaves that can hold something closer.
 
 A crowded cell is cut into blocks of a bounded size on both sides, so no task
 holds more than two blocks whatever the skew.  Kernels emit only what the caller
@@ -28,8 +28,9 @@ from .running import running_sums
 BLOCK_ROWS = 4096
 # Scratch budget (doubles) of one distance chunk inside a task.
 CHUNK_CELLS = 4_000_000
-#: At most so many pivots are sent to every task.
-MOST_PIVOTS = 1024
+#: Rows of a leaf of the metric tree, and pivots of a node on average.
+LEAF_ROWS, FAN = 2048, 32
+ROOT = -1
 GRID = ["c0", "c1", "c2"]
 #: Queries of one kernel call, on average, when cells are small.
 CALL_ROWS = 512
@@ -119,71 +120,144 @@ def _top_k(k: int, exclude_self: bool) -> Callable:
     return kernel
 
 
-def _pivots(ref: DataFrame, n: int) -> np.ndarray:
-    rows = ref.orderBy(hash_int("rid", 23), "rid").limit(n).collect()
-    return np.array([r["rv"] for r in rows], float)
-
-
-def _to_pivots(vectors: pd.Series, pivots: np.ndarray) -> np.ndarray:
-    return np.concatenate([d for _, d in _dist_chunks(_stack(vectors), pivots)])
+# --------------------------------------------------------------- metric tree
+
+TREE = "rid long, rv array<double>, node long, far double"
+
+
+class MetricTree:
+    """Reference rows in a tree of pivots, built level by level.
+
+    A node with more than ``leaf_rows`` rows takes about ``FAN`` of them as pivots and
+    every row goes to its nearest one; that makes the nodes of the next level.  ``levels``
+    holds one written table (node, rid, rv, n, inner, outer) each: the children ``rid`` of
+    a node with their pivots, rows, and least and greatest distance of a row to the pivot.
+    ``rows`` are (rid, rv, node) with the leaf of every row.  Only counts reach the driver."""
+
+    def __init__(self, rows: DataFrame, leaf_rows: int, block_rows: int):
+        self.block_rows, self.leaf_rows, self.levels, done = block_rows, leaf_rows, [], []
+        rows = rows.withColumn("node", F.lit(ROOT).cast("long"))
+        while True:
+            same = F.xxhash64("rv")  # rows that are all equal cannot be split
+            sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min(same).alias("lo"), F.max(same).alias("hi"))
+            large = written(sizes.where((F.col("n") > leaf_rows) & (F.col("lo") != F.col("hi"))).select("node", "n"), "large-nodes")
+            if large.isEmpty():
+                break
+            done.append(rows.join(large, "node", "left_anti"))
+            rows, pivots = self._split(rows.join(large, "node"))
+            self.levels.append(pivots)
+        self.rows = rows
+        for d in done:
+            self.rows = self.rows.unionByName(d)
+        self.rows = written(self.rows, "leaf-rows")
+
+    def _split(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        level = len(self.levels)
+        share = F.least(F.lit(float(FAN)) / F.col("n"), F.lit(8.0 / self.leaf_rows))
+        chosen = hash_int("rid", 23 + level).cast("double") < share * float(1 << 32)
+        picks = rows.where(chosen).select("node", F.col("rv").alias("pv")).distinct()
+        # pairs of ids, as a node with one pivot has a child of its own for the rows that equal it
+        picks = written(picks.select("node", "pv", ((F.monotonically_increasing_id() + F.lit(level << 56)) * 2).alias("child")),
+                        "pivots")
+        few = picks.groupBy("node").agg((F.count("*") == 1).alias("alone"))
+        picks = picks.join(few, "node").select("node", F.col("child").alias("rid"), F.col("pv").alias("rv"), "alone")
+        asked = rows.join(few.select("node"), "node", "left_semi").select(
+            "node", F.col("rid").alias("qid"), F.col("rv").alias("qv"))
+
+        def nearest(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
+            best, far = np.zeros(len(qp), np.int64), np.full(len(qp), np.inf)
+            if len(qp) and len(rp):
+                ids, alone = rp["rid"].to_numpy(np.int64), rp["alone"].to_numpy(bool)
+                for s, dist in _pairs(qp, rp):
+                    at = dist.argmin(1)
+                    d = dist[np.arange(len(dist)), at]
+                    best[s:s + len(dist)], far[s:s + len(dist)] = ids[at] + (alone[at] & (d > 0)), d
+            return pd.DataFrame({"rid": qp["qid"].to_numpy(np.int64), "rv": qp["qv"], "node": best, "far": far})
+
+        # a pivot block holds all pivots of a node: there are about FAN, and blocks are larger
+        moved = written(_met(asked, picks, ["node"], max(self.block_rows, 4 * FAN), nearest, TREE,
+                             r_cols=("rid", "rv", "alone")), "tree-level")
+        cells = moved.groupBy("node").agg(F.count("*").alias("n"), F.min("far").alias("inner"), F.max("far").alias("outer"))
+        pivots = picks.select("node", "rv", F.explode(F.array(F.col("rid"), F.col("rid") + 1)).alias("rid"))
+        cells = cells.withColumnRenamed("node", "rid")
+        # nodes without a pivot, by a rare chance, stay as they are and are tried again a level below
+        unsplit = rows.join(few.select("node"), "node", "left_anti").select("rid", "rv", "node")
+        kept = moved.select("rid", "rv", "node").unionByName(unsplit)
+        return kept, written(pivots.join(cells, "rid"), "tree-pivots")
+
+    def _down(self, queries: DataFrame, choose: Callable) -> DataFrame:
+        """(qid, qv, bound, node) of the leaves that ``choose`` leads every query to."""
+        schema = "qid long, qv array<double>, bound double, node long"
+        at = queries.select("qid", "qv", "bound", F.lit(ROOT).cast("long").alias("node"))
+
+        def kernel(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
+            out = [qp[["qid", "qv", "bound"]].iloc[:0].assign(node=np.zeros(0, np.int64))]
+            if len(qp) and len(rp):
+                bound, child = qp["bound"].to_numpy(float), rp["rid"].to_numpy(np.int64)
+                stats = [rp[c].to_numpy(float) for c in ("n", "inner", "outer")]
+                for s, dist in _pairs(qp, rp):
+                    row, col = np.nonzero(choose(dist, bound[s:s + len(dist)], *stats))
+                    out.append(qp[["qid", "qv", "bound"]].iloc[s + row].assign(node=child[col]))
+            return pd.concat(out)
+
+        for pivots in self.levels:
+            inner = pivots.select("node").distinct()
+            down = _met(at.join(inner, "node", "left_semi"), pivots, ["node"], max(self.block_rows, 8 * FAN), kernel, schema,
+                        ("qid", "qv", "bound"), ("rid", "rv", "n", "inner", "outer"))
+            at = written(down.unionByName(at.join(inner, "node", "left_anti")), "tree-queries")
+        return at
+
+    def homes(self, queries: DataFrame, enough: int) -> DataFrame:
+        """The nearest leaf with ``enough`` rows on the way of nearest pivots, or all
+        children of the last node if none has so many."""
+        def choose(dist, bound, n, inner, outer):
+            able = np.where((n >= enough)[None, :], dist, np.inf)
+            best = able.min(1)
+            pick = np.zeros(dist.shape, bool)
+            pick[np.arange(len(dist)), able.argmin(1)] = True
+            return np.where(np.isfinite(best)[:, None], pick, np.isfinite(dist))
+        return self._down(queries.withColumn("bound", F.lit(float("inf"))), choose)
+
+    def within(self, queries: DataFrame) -> DataFrame:
+        """All leaves that can hold a row within a query's ``bound``: by the triangle
+        inequality at the pivot, and by the half-space of the rows nearest to it."""
+        def choose(dist, bound, n, inner, outer):
+            b = (bound * (1 + 1e-9) + 1e-9)[:, None]
+            near = dist.min(1, keepdims=True)
+            with np.errstate(invalid="ignore"):
+                return np.isfinite(dist) & (dist - outer <= b) & (inner - dist <= b) & ((dist - near) / 2 <= b)
+        return self._down(queries, choose)
+
+
+def knn_visits(q: DataFrame, tree: MetricTree, k: int, exclude_self: bool) -> tuple[DataFrame, Callable]:
+    """(first visits of ``q`` (qid, qv), a function from bounds to all further ones)."""
+    home = tree.homes(q, k + exclude_self)
+
+    def further(bounds: DataFrame) -> DataFrame:
+        asked = q.join(bounds, "qid", "left").fillna(float("inf"), ["bound"])
+        return tree.within(asked).join(home.select("qid", "node"), ["qid", "node"], "left_anti")
+    return home, further
 
 
 def knn_join(query: DataFrame, ref: DataFrame, k: int, qid: str = "id", rid: str = "id",
              qvec: str = "features", rvec: str = "features", exclude_self: bool = False,
-             block_rows: int = BLOCK_ROWS) -> DataFrame:
+             block_rows: int = BLOCK_ROWS, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """Exact k nearest reference rows per query row →
-    (qid, rid, dist, rank 1..k).  ``exclude_self`` drops rid == qid."""
+    (qid, rid, dist, rank 1..k).  ``exclude_self`` drops rid == qid.
+
+    A query's first leaf gives a bound on its kth distance, and with that it goes down
+    the tree once more, to the leaves that can hold something closer."""
     q = written(_prep(query, qid, qvec, "qid", "qv"), "knn-queries")
     r = written(_prep(ref, rid, rvec, "rid", "rv"), "knn-reference")
-    pivots = _pivots(r, min(MOST_PIVOTS, -(-r.count() // block_rows) or 1))
-
-    def assign(batches):
-        for rows in batches:
-            far = _to_pivots(rows["rv"], pivots)
-            yield rows.assign(pivot=far.argmin(1), far=far.min(1))
-
-    placed = written(r.mapInPandas(assign, "rid long, rv array<double>, pivot long, far double"), "knn-cells")
-    stats = {x["pivot"]: x for x in placed.groupBy("pivot").agg(
-        F.count("*").alias("n"), F.min("far").alias("inner"), F.max("far").alias("outer")).collect()}
-    cells = np.array(sorted(stats), np.int64)
-    size, inner, outer = (np.array([stats[c][x] for c in cells.tolist()], float) for x in ("n", "inner", "outer"))
-    enough = k + exclude_self
-
-    def home_and_rest(far: np.ndarray) -> np.ndarray:
-        """Which cells are a query's nearest that together hold enough rows."""
-        order = np.argsort(far[:, cells], axis=1, kind="stable")
-        filled = np.cumsum(size[order], axis=1)
-        first = np.concatenate([np.ones((len(far), 1), bool), filled[:, :-1] < enough], axis=1)
-        home = np.zeros_like(first)
-        np.put_along_axis(home, order, first, axis=1)
-        return home
-
-    def expand(rows: pd.DataFrame, wanted: np.ndarray) -> pd.DataFrame:
-        at, cell = np.nonzero(wanted)
-        return rows[["qid", "qv"]].iloc[at].assign(pivot=cells[cell])
-
-    def near(batches):
-        for rows in batches:
-            if len(cells):
-                yield expand(rows, home_and_rest(_to_pivots(rows["qv"], pivots)))
-
-    def rest(batches):
-        for rows in batches:
-            if len(cells):
-                far = _to_pivots(rows["qv"], pivots)
-                gap = np.maximum(far[:, cells] - outer, inner - far[:, cells])
-                bound = rows["bound"].to_numpy()[:, None]
-                yield expand(rows, ~home_and_rest(far) & (gap <= bound * (1 + 1e-9) + 1e-9))
-
-    schema, found = "qid long, qv array<double>, pivot long", "qid long, rid long, dist double"
-    kernel = _top_k(k, exclude_self)
-    first = written(_met(q.mapInPandas(near, schema), placed, ["pivot"], block_rows, kernel, found), "knn-near")
+    tree = MetricTree(r, max(leaf_rows, 2 * (k + exclude_self)), block_rows)
+    home, further = knn_visits(q, tree, k, exclude_self)
+    kernel, found = _top_k(k, exclude_self), "qid long, rid long, dist double"
+    first = written(_met(home, tree.rows, ["node"], block_rows, kernel, found), "knn-near")
     w = Window.partitionBy("qid").orderBy("dist", "rid")
     best = first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    if len(cells) > 1:
-        bound = best.groupBy("qid").agg(F.when(F.count("*") >= k, F.max("dist")).otherwise(float("inf")).alias("bound"))
-        asked = q.join(bound, "qid", "left").fillna(float("inf"), ["bound"])
-        more = _met(asked.mapInPandas(rest, schema), placed, ["pivot"], block_rows, kernel, found)
+    if tree.levels:
+        bounds = best.groupBy("qid").agg(F.when(F.count("*") >= k, F.max("dist")).otherwise(float("inf")).alias("bound"))
+        more = _met(further(bounds), tree.rows, ["node"], block_rows, kernel, found)
         best = best.drop("rank").unionByName(more).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return best
 
