@@ -19,6 +19,7 @@ symbol t's share, so that every word has a probability.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,7 +38,7 @@ LONG_WORD = 40
 FLUSH_WORDS = 400_000
 PART_BYTES = 1 << 20
 #: Positions trained on or scored in one matrix product.
-BATCH, SCORED = 1024, 1024
+BATCH, SCORED = 2048, 512
 SPACES = b" \t\n\r\x0b\x0c"
 
 
@@ -152,29 +153,48 @@ def learn_vocabulary(counts: DataFrame, ends: int, *, shortlist: int, tails: int
                       np.concatenate([[ends], count[:named], n]), n + v + 1, tokens, distinct, ends)
 
 
-def encode(data: bytes, vocab: Vocabulary) -> tuple[np.ndarray, int, int, float, float, Counter]:
+class Coder(dict):
+    """Words as numbers: places in the vocabulary, and beyond these the missing words a task has met."""
+
+    def __init__(self, vocab: Vocabulary):
+        super().__init__(vocab.words)
+        self.vocab, self.keys, self.symbols = vocab, [], array("h")
+
+    def __missing__(self, word: bytes) -> int:
+        key, v = key_of(word), self.vocab
+        i = -1 if key is word else v.words.get(key, -1)
+        if i < 0:
+            i = len(v.symbol) + len(self.keys)
+            self.keys.append(key)
+            self.symbols.append(v.first_tail + tail_of(word, v.tails))
+        self[word] = i
+        return i
+
+
+def encode(data: bytes, coder: Coder) -> tuple[np.ndarray, int, int, float, float, Counter]:
     """(symbols with the end, words, known tokens, sum of log10(c + 1), tails' part of the score, missing words).
 
     The last two sums lack log10(c + 1) of the missing words, whose counts are not at hand."""
-    get = vocab.words.get
-    symbols, missing, n, known, base, tail = [], Counter(), 0, int(vocab.ends > 0), float(np.log10(vocab.ends + 1.0)), 0.0
+    v = coder.vocab
+    frequent, symbols, missing = len(v.symbol), [], Counter()
+    n, known, base, tail = 0, int(v.ends > 0), float(np.log10(v.ends + 1.0)), 0.0
     for words in parts(data):
-        at = np.array([get(w, -1) for w in words], np.int32)
-        ids = vocab.symbol[at] if len(vocab.symbol) else np.zeros(len(at), np.int16)
-        for i in np.flatnonzero(at < 0).tolist():
-            key = key_of(words[i])
-            if key is not words[i] and (j := get(key, -1)) >= 0:
-                at[i], ids[i] = j, vocab.symbol[j]
-            else:
-                missing[key] += 1
-                ids[i] = vocab.first_tail + tail_of(words[i], vocab.tails)
-        met = at[at >= 0]
+        at = np.fromiter(map(coder.__getitem__, words), np.int64, len(words))
+        ids = np.empty(len(at), np.int16)
+        here = at < frequent
+        met, new = at[here], at[~here] - frequent
+        ids[here] = v.symbol[met]
+        if len(new):
+            ids[~here] = np.frombuffer(coder.symbols, np.int16)[new]
+            which, times = np.unique(new, return_counts=True)
+            for i, k in zip(which.tolist(), times.tolist(), strict=True):
+                missing[coder.keys[i]] += k
         n += len(words)
-        known += int(np.count_nonzero(vocab.count[met]))
-        logs = vocab.log_count[met]
+        known += int(np.count_nonzero(v.count[met]))
+        logs = v.log_count[met]
         base += float(logs.sum())
-        tail += float(logs[vocab.symbol[met] >= vocab.first_tail].sum()) if len(met) else 0.0
-        tail -= float(vocab.log_total[ids[ids >= vocab.first_tail] - vocab.first_tail].sum())
+        tail += float(logs[ids[here] >= v.first_tail].sum())
+        tail -= float(v.log_total[ids[ids >= v.first_tail] - v.first_tail].sum())
         symbols.append(ids)
     return np.concatenate([*symbols, np.zeros(1, np.int16)]), n, known, base, tail, missing
 
@@ -188,7 +208,10 @@ class Model:
     b: np.ndarray
 
     def __post_init__(self):
-        self.reach = float(np.sqrt((self.Q * self.Q).sum(1)).max(initial=0))
+        self.turned = [self.R @ c for c in self.C]
+        self.outcomes = np.ascontiguousarray(np.column_stack([self.Q, self.b]).T)
+        self.reach = float(np.sqrt((self.outcomes * self.outcomes).sum(0)).max(initial=0))
+        self.buffer = np.empty((0, len(self.b)), np.float32)
 
     @classmethod
     def start(cls, shares: np.ndarray, dim: int, seed: int) -> Model:
@@ -210,16 +233,22 @@ class Model:
         return Model(*out)
 
     def predicted(self, contexts: np.ndarray) -> np.ndarray:
-        return sum(self.R[contexts[:, i]] @ self.C[i] for i in range(CONTEXT))
+        """q of every context, and a one that meets the bias."""
+        out = np.ones((len(contexts), self.Q.shape[1] + 1), np.float32)
+        out[:, :-1] = self.turned[0].take(contexts[:, 0], 0)
+        for i in range(1, CONTEXT):
+            out[:, :-1] += self.turned[i].take(contexts[:, i], 0)
+        return out
 
     def log_probabilities(self, contexts: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """Natural logarithms, normalised over all symbols."""
-        q = self.predicted(contexts)
-        scores = q @ self.Q.T
-        scores += self.b
+        q, n = self.predicted(contexts), len(symbols)
+        if len(self.buffer) < n:
+            self.buffer = np.empty((n, len(self.b)), np.float32)
+        scores = np.matmul(q, self.outcomes, out=self.buffer[:n])
         if np.sqrt((q * q).sum(1).max(initial=0)) * self.reach > 60:  # exp could leave the range of floats
             scores -= scores.max(1, keepdims=True)
-        own = scores[np.arange(len(symbols)), symbols].astype(np.float64)
+        own = scores[np.arange(n), symbols].astype(np.float64)
         np.exp(scores, out=scores)
         return own - np.log((scores @ np.ones(len(self.b), np.float32)).astype(np.float64))
 
@@ -233,9 +262,9 @@ def contexts_of(ids: np.ndarray) -> np.ndarray:
 def _scatter(rows: np.ndarray, values: np.ndarray, out: np.ndarray) -> None:
     """out[rows[i]] += values[i], rows sorted first."""
     order = np.argsort(rows, kind="stable")
-    at = rows[order]
+    at = rows.take(order)
     starts = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
-    out[at[starts]] += np.add.reduceat(values[order], starts, axis=0)
+    out[at.take(starts)] += np.add.reduceat(values.take(order, 0), starts, axis=0)
 
 
 class Trainer:
@@ -255,26 +284,39 @@ class Trainer:
 
     def step(self, ctx: np.ndarray, target: np.ndarray) -> None:
         m, n = self.m, len(target)
-        rows = [m.R[ctx[:, i]] for i in range(CONTEXT)]
-        q = sum(r @ m.C[i] for i, r in enumerate(rows))
+        rows = [m.R.take(ctx[:, i], 0) for i in range(CONTEXT)]
+        q = rows[0] @ m.C[0]
+        for r, c in zip(rows[1:], m.C[1:], strict=True):
+            q += r @ c
         drawn = np.minimum(np.searchsorted(self.cumulated, self.random.random(self.noise)), len(m.b) - 1).astype(np.int16)
-        out, away = m.Q[target], m.Q[drawn]
-        true = np.einsum("ij,ij->i", q, out) + m.b[target] - self.shift[target]
-        false = q @ away.T + (m.b[drawn] - self.shift[drawn])
-        up = 0.5 - 0.5 * np.tanh(0.5 * true)         # 1 - P(data | target)
-        down = -0.5 - 0.5 * np.tanh(0.5 * false)     # -P(data | noise)
-        dq = up[:, None] * out + down @ away
-        grads = [np.zeros_like(x) for x in (m.R, m.C, m.Q, m.b)]
-        _scatter(np.concatenate([target, drawn]), np.concatenate([up[:, None] * q, down.T @ q]), grads[2])
-        grads[3] += np.bincount(target, up, len(m.b)).astype(np.float32)
-        grads[3] += np.bincount(drawn, down.sum(0), len(m.b)).astype(np.float32)
+        out, away = m.Q.take(target, 0), m.Q.take(drawn, 0)
+        up = np.einsum("ij,ij->i", q, out)
+        up += m.b.take(target) - self.shift.take(target)
+        down = q @ away.T
+        down += m.b.take(drawn) - self.shift.take(drawn)
+        for x in (up, down):  # the logistic function of x, by tanh
+            x *= 0.5
+            np.tanh(x, out=x)
+            x *= 0.5
+        np.subtract(0.5, up, out=up)        # 1 - P(data | target)
+        np.subtract(-0.5, down, out=down)   # -P(data | noise)
+        dq = down @ away
+        out *= up[:, None]
+        dq += out
+        into = [np.zeros_like(x) for x in (m.R, m.C, m.Q, m.b)]
+        _scatter(target, up[:, None] * q, into[2])
+        _scatter(drawn, down.T @ q, into[2])
+        into[3] += np.bincount(target, up, len(m.b)).astype(np.float32)
+        into[3] += np.bincount(drawn, down.sum(0), len(m.b)).astype(np.float32)
         for i, r in enumerate(rows):
-            grads[1][i] = r.T @ dq
-        _scatter(ctx.T.ravel(), np.concatenate([dq @ m.C[i].T for i in range(CONTEXT)]), grads[0])
-        for x, g, s in zip((m.R, m.C, m.Q, m.b), grads, self.squares, strict=True):
+            into[1][i] = r.T @ dq
+            _scatter(ctx[:, i], dq @ m.C[i].T, into[0])
+        for x, g, s in zip((m.R, m.C, m.Q, m.b), into, self.squares, strict=True):
             g /= n
             s += g * g
-            x += self.rate * g / np.sqrt(s)
+            g *= self.rate
+            g /= np.sqrt(s)
+            x += g
         self.tokens += n
 
 
@@ -296,8 +338,8 @@ def _batches(arrays: Iterator[np.ndarray], size: int) -> Iterator[tuple[np.ndarr
         yield c, t
 
 
-def train(symbols: DataFrame, vocab: Vocabulary, *, dim: int = 32, rounds: int = 8, noise: int = 64,
-          rate: float = 0.03, seed: int = 42) -> Model:
+def train(symbols: DataFrame, vocab: Vocabulary, *, dim: int = 16, rounds: int = 8, noise: int = 32,
+          rate: float = 0.04, seed: int = 42) -> Model:
     """The model after one pass over the training rows of ``symbols`` (slice, ids)."""
     model = Model.start(vocab.shares, dim, seed)
     sc = symbols.sparkSession.sparkContext
@@ -330,22 +372,27 @@ ENCODED = ("row bigint, doc_id bigint, held_out boolean, slice int, ids binary,
 
 def _encoded(texts: DataFrame, vocab: Vocabulary, rounds: int) -> DataFrame:
     sent = texts.sparkSession.sparkContext.broadcast(vocab)
-    missing_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = sent.value
+        coder = Coder(sent.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
+                if len(coder.keys) > FLUSH_WORDS:
+                    coder = Coder(sent.value)
                 part = batch.slice(at, 256)
-                coded = [encode(x, v) for x in _texts(part, "text")]
+                coded = [encode(x, coder) for x in _texts(part, "text")]
                 out = part.column(2).to_pylist()
+                ends = np.cumsum([0, *(len(c[5]) for c in coded)])
+                missing = pa.StructArray.from_arrays(
+                    [pa.array([w for c in coded for w in c[5]], pa.binary()),
+                     pa.array([n for c in coded for n in c[5].values()], pa.int64())], ["word", "n"])
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), part.column(1), part.column(2),
                     pa.array([-1 if o else k for o, k in zip(out, part.column(3).to_pylist(), strict=True)], pa.int32()),
                     pa.array([c[0].astype("<i2").tobytes() for c in coded], pa.binary()),
                     pa.array([c[1] + 1 for c in coded], pa.int64()), pa.array([c[2] for c in coded], pa.int64()),
                     pa.array([c[3] for c in coded], pa.float64()), pa.array([c[4] for c in coded], pa.float64()),
-                    pa.array([[{"word": w, "n": n} for w, n in c[5].items()] for c in coded], missing_type)],
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), missing)],
                     ["row", "doc_id", "held_out", "slice", "ids", "n_tokens", "n_known", "base", "tail", "missing"])
 
     dealt = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(rounds)).cast("int")
@@ -374,7 +421,7 @@ def _scored(symbols: DataFrame, model: Model) -> DataFrame:
 
 
 def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shortlist: int = 383,
-                tails: int = 128, frequent: int = 1 << 17, dim: int = 32, rounds: int = 8) -> DataFrame:
+                tails: int = 128, frequent: int = 1 << 17, dim: int = 16, rounds: int = 8) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per input row.
 
     ``base_score`` is the add-one unigram log10 probability, ``score`` the model's.
