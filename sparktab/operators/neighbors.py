@@ -406,74 +406,6 @@ def dbscan(points: DataFrame, eps: float = 0.5, min_samples: int = 5, id_col: st
             .select(F.col("id").alias(id_col), F.coalesce("cluster", F.lit(-1)).alias("cluster"), "core"))
 
 
-# ------------------------------------------------------------- KNN impute
-
-def knn_impute(df: DataFrame, features: Sequence[str], id_col: str, k: int = 5,
-               donors: DataFrame | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """every missing feature value becomes the mean of that feature over
-    the k nearest donors having it, by nan-Euclidean distance
-    √(d / present · Σ_present (x−y)²) over coordinates present in both rows
-    (ties by donor id).  A cell with no usable donor gets the donor mean.
-    ``donors`` defaults to the frame itself (fit on train: pass the train rows)."""
-    feats = list(features)
-    donors = df if donors is None else donors
-    arr = lambda d: F.array(*[F.col(c).cast("double") for c in feats])
-    miss = F.exists(arr(df), lambda v: v.isNull() | F.isnan(v))
-    q = df.where(miss).select(F.col(id_col).cast("long").alias("qid"), arr(df).alias("qv"))
-    r = donors.select(F.col(id_col).cast("long").alias("rid"), arr(donors).alias("rv"))
-    q, r = q.withColumn("all", F.lit(0)), r.withColumn("all", F.lit(0))  # not a metric, so there is nothing to skip by
-    d = len(feats)
-
-    def kernel(qp, rp):
-        cols = {"qid": pd.Series([], dtype="int64"), "feat": pd.Series([], dtype="int32"),
-                "rid": pd.Series([], dtype="int64"), "dist": pd.Series([], dtype="float64"),
-                "val": pd.Series([], dtype="float64")}
-        if qp.empty or rp.empty:
-            return pd.DataFrame(cols)
-        Q = np.array([np.array([np.nan if v is None else v for v in x], float) for x in qp["qv"]])
-        R = np.array([np.array([np.nan if v is None else v for v in x], float) for x in rp["rv"]])
-        qids, rids = qp["qid"].to_numpy(), rp["rid"].to_numpy()
-        out = {k_: [] for k_ in cols}
-        qm, rm = ~np.isnan(Q), ~np.isnan(R)
-        Q0, R0 = np.nan_to_num(Q), np.nan_to_num(R)
-        for i in range(len(Q)):
-            both = qm[i][None, :] & rm
-            cnt = both.sum(axis=1)
-            sq = (((Q0[i][None, :] - R0) ** 2) * both).sum(axis=1)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                dist = np.where(cnt > 0, np.sqrt(d / np.maximum(cnt, 1) * sq), np.nan)
-            for f in np.nonzero(~qm[i])[0]:
-                ok = np.nonzero(rm[:, f] & ~np.isnan(dist))[0]
-                if len(ok) == 0:
-                    continue
-                sel = ok[np.lexsort((rids[ok], dist[ok]))][:k]
-                out["qid"].append(np.full(len(sel), qids[i])); out["feat"].append(np.full(len(sel), f))
-                out["rid"].append(rids[sel]); out["dist"].append(dist[sel]); out["val"].append(R[sel, f])
-        if not out["qid"]:
-            return pd.DataFrame(cols)
-        return pd.DataFrame({k_: np.concatenate(v) for k_, v in out.items()}).astype(
-            {"qid": "int64", "feat": "int32", "rid": "int64"})
-
-    cand = _met(q, r, ["all"], block_rows, kernel, "qid long, feat int, rid long, dist double, val double")
-    w = Window.partitionBy("qid", "feat").orderBy("dist", "rid")
-    fill = (cand.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
-            .groupBy("qid", "feat").agg(F.avg("val").alias("fill")))
-    wide = fill.groupBy("qid").pivot("feat", list(range(d))).agg(F.first("fill"))
-    means = donors.agg(*[F.avg(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))).alias(c)
-                         for c in feats]).first()
-    j = df.join(wide, df[id_col].cast("long") == wide["qid"], "left")
-    outs = []
-    for c in df.columns:
-        if c in feats:
-            i = feats.index(c)
-            x = F.col(c).cast("double")
-            missing = x.isNull() | F.isnan(x)
-            outs.append(F.when(missing, F.coalesce(F.col(f"`{i}`"), F.lit(means[c]))).otherwise(x).alias(c))
-        else:
-            outs.append(df[c])
-    return j.select(*outs)
-
-
 def single_linkage(points: DataFrame, distance: float, id_col: str = "id", vec: str = "features",
                    block_rows: int = BLOCK_ROWS) -> DataFrame:
     """M20 (single linkage cut at ``distance``): clusters are the connected

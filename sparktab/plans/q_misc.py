@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import round_all
 from ..operators import kinds as K
-from ..operators import neighbors as N
 from ..operators import prep as PR
 from ..operators import split as S
+from ..operators.impute_knn import knn_impute as knn_impute_rows
 from ..session import scratch_path
 from ..sources.tables import load_dataset, table
 from .registry import query
@@ -114,4 +114,4 @@ def knn_impute(spark, sf):
     c = table(spark, sf, "customer").select(
         "c_custkey", F.when(F.col("c_custkey") % 7 == 0, F.lit(None)).otherwise(F.col("c_acctbal")).alias("acct"),
         F.col("c_nationkey").cast("double").alias("nation"))
-    return round_all(N.knn_impute(c, ["acct", "nation"], "c_custkey", 5), 6)
+    return round_all(knn_impute_rows(c, ["acct", "nation"], "c_custkey", 5), 6)

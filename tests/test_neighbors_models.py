@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from sparktab.models import anomaly as AN
 from sparktab.models import reduction as RD
 from sparktab.operators import neighbors as N
+from sparktab.operators.impute_knn import knn_impute
 
 
 def _blobs(spark, n_per=40, seed=0):
@@ -113,7 +114,7 @@ def test_single_linkage_isolated_point_own_cluster(spark):
 def test_knn_impute_falls_back_to_mean(spark):
     df = spark.createDataFrame([(1, 1.0, 10.0), (2, 3.0, 20.0), (3, None, None), (4, 5.0, None)],
                                "id long, a double, b double")
-    out = {r["id"]: (r["a"], r["b"]) for r in N.knn_impute(df, ["a", "b"], "id", 2).collect()}
+    out = {r["id"]: (r["a"], r["b"]) for r in knn_impute(df, ["a", "b"], "id", 2).collect()}
     assert out[3] == (3.0, 15.0)            # no shared coordinate: donor means
     assert out[4][1] == pytest.approx(15.0)  # two nearest donors on a: ids 2 and 1
     assert out[1] == (1.0, 10.0)
