@@ -16,6 +16,8 @@ from pyspark.ml import clustering as K
 from pyspark.ml import regression as R
 from pyspark.ml.feature import Binarizer
 
+from .boosting import BoostedTreesEstimator
+
 SEED = 42
 
 CLASSIFICATION = {"binary_classification", "multiclass_classification"}
@@ -74,7 +76,8 @@ def family(model: str) -> str:
 
 
 def make_estimator(model: str, task: str, params: dict | None = None, n_rows: int | None = None,
-                   label_std: float | None = None, features: str = "features", label: str = "label"):
+                   label_std: float | None = None, features: str = "features", label: str = "label",
+                   n_classes: int | None = None):
     """Unfitted MLlib estimator (or Pipeline) for a supervised or MLlib-native
     unsupervised model; ``n_rows`` / ``label_std`` are needed by the linear
     penalty conversions."""
@@ -87,11 +90,19 @@ def make_estimator(model: str, task: str, params: dict | None = None, n_rows: in
                   minInstancesPerNode=int(max(p["min_samples_leaf"], 1)), featureSubsetStrategy=str(p["max_features"]),
                   seed=SEED, **sup)
         return C.RandomForestClassifier(**kw) if task in CLASSIFICATION else R.RandomForestRegressor(**kw)
-    if model in ("xgboost", "gradient_boosting"):
+    if model == "xgboost":
+        unknown = set(p) - {"n_estimators", "max_depth", "learning_rate", "subsample", "colsample_bytree", "min_child_weight",
+                            "gamma", "reg_alpha", "reg_lambda", "seed"}
+        if unknown:
+            raise ValueError(f"parameters without effect on {model}: {sorted(unknown)}")
+        if task == "multiclass_classification" and not n_classes:
+            raise ValueError("the number of classes is needed")
+        objective = {"regression": "squared", "binary_classification": "logistic"}.get(task, "softmax")
+        return BoostedTreesEstimator(objective=objective, classes=int(n_classes or 2), featuresCol=features, labelCol=label,
+                                     params={"seed": SEED, **p})
+    if model == "gradient_boosting":
         kw = dict(maxIter=int(p["n_estimators"]), maxDepth=int(p["max_depth"]), stepSize=float(p["learning_rate"]),
                   subsamplingRate=float(p["subsample"]), seed=SEED, **sup)
-        if "colsample_bytree" in p:
-            kw["featureSubsetStrategy"] = str(p["colsample_bytree"])
         if task == "regression":
             return R.GBTRegressor(**kw)
         if task == "binary_classification":

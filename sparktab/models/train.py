@@ -46,13 +46,13 @@ def label_indexer(label: str, out: str = "label") -> StringIndexer:
 
 def supervised_pipeline(model: str, task: str, features: Sequence[str], label: str,
                         params: dict | None = None, n_rows: int | None = None,
-                        label_std: float | None = None) -> Pipeline:
+                        label_std: float | None = None, n_classes: int | None = None) -> Pipeline:
     """Assembler + estimator.  Classification labels are indexed outside the
     pipeline (:func:`index_labels`), so a fitted pipeline scores frames that
     have no label column."""
     stages = [VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")]
     lab = "label" if task in CAT.CLASSIFICATION else label
-    stages.append(CAT.make_estimator(model, task, params, n_rows, label_std, "features", lab))
+    stages.append(CAT.make_estimator(model, task, params, n_rows, label_std, "features", lab, n_classes))
     return Pipeline(stages=stages)
 
 
@@ -132,12 +132,12 @@ def train_model(train: DataFrame, val: DataFrame, model: str, task: str, feature
                        F.stddev_pop(F.col(label).cast("double")).alias("s")
                        if task == "regression" else F.lit(1.0).alias("s")).first()
         n_rows, label_std = st["n"], st["s"]
-    pipe = supervised_pipeline(model, task, features, label, p, n_rows, label_std)
     classes = None
     fit_rows = train
     if task in CAT.CLASSIFICATION:
         idx, classes = index_labels(train, label)
         fit_rows = idx.transform(train)
+    pipe = supervised_pipeline(model, task, features, label, p, n_rows, label_std, len(classes or ()))
     t0 = time.perf_counter()
     fitted = pipe.fit(fit_rows)
     secs = time.perf_counter() - t0
