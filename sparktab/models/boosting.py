@@ -30,6 +30,8 @@ MISSING = 255
 MOST_CUTS = 254
 #: Trees after which the rows' margins are written anew.
 SETTLED = 10
+#: Histograms of (node, feature) that a task sums up at once, some 25 MB.
+HISTOGRAMS = 4096
 LEAST_GAIN = 1e-6
 OBJECTIVES = ("squared", "logistic", "softmax")
 
@@ -253,7 +255,7 @@ def fit(rows: DataFrame, objective: str, n_features: int, params: Params | None
 
     for r in range(p.n_estimators):
         columns = np.sort(np.random.default_rng([p.seed, r]).permutation(d)[:max(1, int(p.colsample_bytree * d))])
-        group = [_grow(table, [*pending], advanced, objective, k, r, columns, cuts, p) for k in range(width)]
+        group = _grow(table, [*pending], advanced, objective, width, r, columns, cuts, p)
         done.append(group)
         pending.append(group)
         if len(pending) == SETTLED and r + 1 < p.n_estimators:
@@ -265,65 +267,78 @@ def fit(rows: DataFrame, objective: str, n_features: int, params: Params | None
     return BoostedTrees(objective, [float(base)] * width, done, d)
 
 
-def _grow(table: DataFrame, pending, advanced, objective: str, k: int, round_: int, columns: np.ndarray,
-          cuts: list[np.ndarray], p: Params) -> Tree:
-    d, tree, open_nodes, sums = len(cuts), Tree(), [0], {}
-    size = MISSING + 1
-    for depth in range(max(p.max_depth, 1)):
-        if not open_nodes:
-            break
-        grown, place = tree, {n: i for i, n in enumerate(open_nodes)}
-
-        def sums_of(batches: Iterator[pd.DataFrame], grown=grown, place=place) -> Iterator[pd.DataFrame]:
-            total = np.zeros((3, len(place), len(columns), size))
-            at = np.full(len(grown.feature), -1)
-            at[list(place)] = list(place.values())
-            for b in batches:
-                b = b[sampled(b["row"].to_numpy(np.int64), round_, p.subsample, p.seed)]
-                if not len(b):
-                    continue
-                bins, margin = _unpacked(b, d)
-                node = at[grown.nodes_of(bins)]
-                g, h = gradients(objective, b["y"].to_numpy(float), advanced(bins, margin, pending), k)
+def _best_splits(table: DataFrame, trees: list[Tree], nodes: list[tuple[int, int]], pending, advanced, objective: str,
+                 round_: int, columns: np.ndarray, cuts: list[np.ndarray], p: Params) -> pd.DataFrame:
+    """One row per open (class, node) and feature, with its best split and its sums."""
+    d, size, place = len(cuts), MISSING + 1, {n: i for i, n in enumerate(nodes)}
+    kinds = sorted({k for k, _ in nodes})
+
+    def sums_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((3, len(place), len(columns), size))
+        for b in batches:
+            b = b[sampled(b["row"].to_numpy(np.int64), round_, p.subsample, p.seed)]
+            if not len(b):
+                continue
+            bins, margin = _unpacked(b, d)
+            margin, y = advanced(bins, margin, pending), b["y"].to_numpy(float)
+            for k in kinds:
+                at = np.array([place.get((k, n), -1) for n in range(len(trees[k].feature))])
+                node = at[trees[k].nodes_of(bins)]
                 live = node >= 0
+                g, h = (v[live] for v in gradients(objective, y, margin, k))
                 for j, f in enumerate(columns):
                     key = node[live] * size + bins[live, f]
-                    for i, w in enumerate((g[live], h[live], None)):
+                    for i, w in enumerate((g, h, None)):
                         total[i, :, j, :] += np.bincount(key, w, len(place) * size).reshape(len(place), size)
-            node, col, bin_ = np.nonzero(total[2])
-            yield pd.DataFrame({"node": node, "f": col, "bin": bin_, "g": total[0][node, col, bin_], "h": total[1][node, col, bin_]})
+        node, col, bin_ = np.nonzero(total[2])
+        yield pd.DataFrame({"node": node, "f": col, "bin": bin_, "g": total[0][node, col, bin_], "h": total[1][node, col, bin_]})
 
-        def split_of(bins: pd.DataFrame) -> pd.DataFrame:
+    def splits_of(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (node, col), bins in rows.groupby(["node", "f"]):
             g, h = np.zeros(size), np.zeros(size)
             g[bins["bin"]], h[bins["bin"]] = bins["g"], bins["h"]
-            f = int(columns[bins["f"].iloc[0]])
+            f = int(columns[col])
             n = len(cuts[f]) + 1
-            gain, at, left, gl, hl = best_split(g[:n], h[:n], (g[MISSING], h[MISSING]), p)
-            return pd.DataFrame({"node": [bins["node"].iloc[0]], "f": [f], "gain": [gain], "bin": [at], "ml": [left],
-                                 "g": [g.sum()], "h": [h.sum()], "gl": [gl], "hl": [hl]})
-
-        parts = table.select("row", "y", "bins", "margin").mapInPandas(sums_of, "node long, f long, bin long, g double, h double")
-        best = parts.groupBy("node", "f", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).groupBy("node", "f") \
-            .applyInPandas(split_of, "node long, f long, gain double, bin long, ml boolean, g double, h double, "
-                                   "gl double, hl double").toPandas()
+            out.append((node, f, *best_split(g[:n], h[:n], (g[MISSING], h[MISSING]), p), g.sum(), h.sum()))
+        return pd.DataFrame(out, columns=["node", "f", "gain", "bin", "ml", "gl", "hl", "g", "h"])
+
+    parts = table.mapInPandas(sums_of, "node long, f long, bin long, g double, h double")
+    tasks = -(-len(place) * len(columns) // 128)  # histograms of a task
+    return parts.groupBy("node", "f", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).withColumn(
+        "task", (F.col("node") * len(columns) + F.col("f")) % tasks).groupBy("task").applyInPandas(
+        splits_of, "node long, f long, gain double, bin long, ml boolean, gl double, hl double, g double, h double").toPandas()
+
+
+def _grow(table: DataFrame, pending, advanced, objective: str, width: int, round_: int, columns: np.ndarray,
+          cuts: list[np.ndarray], p: Params) -> list[Tree]:
+    """The trees of all classes, grown together level by level."""
+    trees, sums = [Tree() for _ in range(width)], {}
+    level = [(k, 0) for k in range(width)]
+    at_once = max(1, HISTOGRAMS // len(columns))
+    for _ in range(max(p.max_depth, 1)):
         following = []
-        for n in open_nodes:
-            mine = best[best["node"] == place[n]].sort_values(["gain", "f"], ascending=[False, True])
-            if not len(mine):
-                continue
-            top = mine.iloc[0]
-            g, h, gl, hl = (float(top[c]) for c in ("g", "h", "gl", "hl"))
-            sums[n] = (g, h)
-            if depth < p.max_depth and top["gain"] > 0:
-                f, b = int(top["f"]), int(top["bin"])
-                kids = tree.split(n, f, float(cuts[f][b]), b, bool(top["ml"]), float(top["gain"]))
-                sums[kids[0]], sums[kids[1]] = (gl, hl), (g - gl, h - hl)
-                following += kids
-        open_nodes = following
-    tree.prune(p.gamma)
-    for n, (g, h) in sums.items():
-        tree.weight[n] = float(-shrunk(g, p.reg_alpha) / (h + p.reg_lambda + 1e-300) * p.learning_rate)
-    return tree
+        for s in range(0, len(level), at_once):
+            nodes = level[s:s + at_once]
+            best = _best_splits(table, trees, nodes, pending, advanced, objective, round_, columns, cuts, p)
+            best = best.sort_values(["node", "gain", "f"], ascending=[True, False, True]).groupby("node").first()
+            for i, top in best.iterrows():
+                k, n = nodes[int(i)]
+                g, h, gl, hl = (float(top[c]) for c in ("g", "h", "gl", "hl"))
+                sums[k, n] = (g, h)
+                if p.max_depth and top["gain"] > 0:
+                    f, b = int(top["f"]), int(top["bin"])
+                    kids = trees[k].split(n, f, float(cuts[f][b]), b, bool(top["ml"]), float(top["gain"]))
+                    sums[k, kids[0]], sums[k, kids[1]] = (gl, hl), (g - gl, h - hl)
+                    following += [(k, x) for x in kids]
+        if not (level := following):
+            break
+    for k, t in enumerate(trees):
+        t.prune(p.gamma)
+        for n in range(len(t.feature)):
+            g, h = sums.get((k, n), (0.0, 0.0))
+            t.weight[n] = float(-shrunk(g, p.reg_alpha) / (h + p.reg_lambda + 1e-300) * p.learning_rate)
+    return trees
 
 
 # ------------------------------------------------------------ pipeline stages

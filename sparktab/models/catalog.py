@@ -149,7 +149,7 @@ def make_estimator(model: str, task: str, params: dict | None = None, n_rows: in
             raise ValueError("only full covariance matrices are supported by GaussianMixture")
         return K.GaussianMixture(k=int(p["n_components"]), seed=SEED, **io)
     if model == "agglomerative":
-        return K.BisectingKMeans(k=int(p["n_clusters"]), seed=SEED, **io)
+        raise ValueError("agglomerative clustering is operators.hierarchy.agglomerate, not an estimator")
     raise ValueError(f"unknown or non-MLlib model {model!r} for task {task!r}")
 
 

@@ -68,6 +68,15 @@ def test_matches_trying_every_split(spark, objective, params):
     assert model.margins(x) == pytest.approx(plain_fit(x, y, objective, params, 3), abs=1e-9)
 
 
+def test_nodes_in_several_jobs(spark, monkeypatch):
+    x, z = data(3)
+    p, y = B.Params(n_estimators=2, max_depth=3), np.digitize(z, [2, 6]).astype(float)
+    monkeypatch.setattr(B, "HISTOGRAMS", 9)  # three nodes a job
+    monkeypatch.setattr(B, "SETTLED", 1)
+    assert B.fit(frame(spark, x, y), "softmax", 3, p, classes=3).margins(x) == pytest.approx(
+        plain_fit(x, y, "softmax", p, 3), abs=1e-9)
+
+
 def test_every_parameter_changes_the_tree_as_its_formula_says():
     x, z = data(5, missing=0.0)
     g, h = -z, np.ones(len(z))
