@@ -165,10 +165,6 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, max_bits: int = 2, see
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Parts into which the rows of one component are dealt when they look up the row that stays.
-SALTS = 16
-
-
 def _digest(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
@@ -194,15 +190,14 @@ def one_of_each_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     table = written(read.groupBy("id", "digest", "fp").agg(F.count("*").alias("times")), "rows")
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "digest")
     least = written(table.groupBy("fp").agg(F.min(rank).alias("first"), F.sum("times").alias("times")), "distinct-fingerprints")
-    found = written(links(least.select("fp"), max_bits=max_bits), "links")
+    # sizes before the variants are made say nothing of sizes after: never broadcast these
+    found = written(links(least.select("fp").hint("merge"), max_bits=max_bits), "links")
     parts = connected_components(found, "a", "b")
     rooted = written(least.join(parts, least["fp"] == parts["node"], "left").select(
         "fp", "first", "times", F.coalesce("component", "fp").alias("root")), "rooted")
     stays = rooted.groupBy("root").agg(F.min("first").alias("stays"), F.sum("times").alias("times")).where("times > 1")
     crowded = written(rooted.drop("times").join(stays, "root").select("fp", "stays"), "crowded-fingerprints")
-    salt = F.pmod(F.xxhash64("id", "digest"), F.lit(SALTS))
-    salted = crowded.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    members = table.withColumn("salt", salt).join(salted, ["fp", "salt"])
+    members = table.join(crowded, "fp")  # one row a fingerprint on the right: AQE can split a common one
     kept = F.col("id").eqNullSafe(F.col("stays.id")) & (F.col("digest") == F.col("stays.digest"))
     gone = written(members.where(~kept | (F.col("times") > 1)).select("id", "digest", kept.alias("once")), "near-duplicates")
 
