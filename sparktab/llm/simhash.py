@@ -165,6 +165,14 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, max_bits: int = 2, see
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: 64-bit words of the filter that lets rows stay without a shuffle: 4 MB at any size of the table.
+FILTER_WORDS = 1 << 18
+
+
+def _bit(slot: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
+
+
 def _digest(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
@@ -176,7 +184,9 @@ def one_of_each_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     Of each component the row with the smallest id stays, of equal ids the one with
     the smallest text digest, of rows equal in both any one; a null id stays only if there is
     no other.  Rows are told apart by id and digest, so nothing depends on how the
-    table is dealt into splits when it is read again.  An empty table stays empty."""
+    table is dealt into splits when it is read again.  Rows that miss a bit filter of
+    the rows to go stay where they are; only the others are shuffled with
+    their texts and looked up.  An empty table stays empty."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,12 +211,17 @@ def one_of_each_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     kept = F.col("id").eqNullSafe(F.col("stays.id")) & (F.col("digest") == F.col("stays.digest"))
     gone = written(members.where(~kept | (F.col("times") > 1)).select("id", "digest", kept.alias("once")), "near-duplicates")
 
+    slot = F.pmod(F.xxhash64("id", "digest"), F.lit(FILTER_WORDS * 64))
+    words = written(gone.select(F.floor(slot / 64).alias("__word"), _bit(slot).alias("bit")).groupBy("__word").agg(
+        F.bit_or("bit").alias("__bits")), "near-duplicate-filter")
     keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__digest": _digest(F.col(text_col))})
-
-    def met(side: DataFrame) -> Column:
-        return keyed["__id"].eqNullSafe(side["id"]) & (keyed["__digest"] == side["digest"])
-    alone = keyed.join(gone, met(gone), "left_anti").select(*docs.columns)
-    once = gone.where("once")
-    repeated = keyed.join(once, met(once), "left_semi")
-    one = repeated.groupBy("__id", "__digest").agg(F.first(F.struct(*docs.columns)).alias("__row"))
-    return alone.unionByName(one.select("__row.*"))
+    at = F.pmod(F.xxhash64("__id", "__digest"), F.lit(FILTER_WORDS * 64))
+    seen = keyed.withColumns({"__word": F.floor(at / 64), "__bit": _bit(at)}).join(F.broadcast(words), "__word", "left")
+    hit = F.coalesce(F.col("__bits").bitwiseAND(F.col("__bit")), F.lit(0)) != 0
+    named = gone.select(F.col("id").alias("__gone_id"), F.col("digest").alias("__gone_digest"), F.col("once").alias("__once"))
+    met = F.col("__id").eqNullSafe(F.col("__gone_id")) & (F.col("__digest") == F.col("__gone_digest"))
+    hits = seen.where(hit).join(named.hint("merge"), met, "left").where("__once is null or __once")
+    hits = written(hits.select(*docs.columns, "__id", "__digest", "__once"), "near-duplicate-candidates")
+    alone = hits.where("__once is null").select(*docs.columns)
+    one = hits.where("__once").groupBy("__id", "__digest").agg(F.first(F.struct(*docs.columns)).alias("__row"))
+    return seen.where(~hit).select(*docs.columns).unionByName(alone).unionByName(one.select("__row.*"))
