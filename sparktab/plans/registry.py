@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     from . import (  # noqa: F401
-        q_boosting, q_closed, q_drift, q_hierarchy, q_metrics, q_misc, q_models, q_monitor, q_neighbors, q_ops, q_prep, q_profile)
+        q_attribution, q_boosting, q_closed, q_drift, q_hierarchy, q_metrics, q_misc, q_models, q_monitor, q_neighbors, q_ops, q_prep, q_profile)
