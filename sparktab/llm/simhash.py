@@ -212,16 +212,17 @@ def one_of_each_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     gone = written(members.where(~kept | (F.col("times") > 1)).select("id", "digest", kept.alias("once")), "near-duplicates")
 
     slot = F.pmod(F.xxhash64("id", "digest"), F.lit(FILTER_WORDS * 64))
-    words = written(gone.select(F.floor(slot / 64).alias("__word"), _bit(slot).alias("bit")).groupBy("__word").agg(
-        F.bit_or("bit").alias("__bits")), "near-duplicate-filter")
-    keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__digest": _digest(F.col(text_col))})
-    at = F.pmod(F.xxhash64("__id", "__digest"), F.lit(FILTER_WORDS * 64))
-    seen = keyed.withColumns({"__word": F.floor(at / 64), "__bit": _bit(at)}).join(F.broadcast(words), "__word", "left")
-    hit = F.coalesce(F.col("__bits").bitwiseAND(F.col("__bit")), F.lit(0)) != 0
-    named = gone.select(F.col("id").alias("__gone_id"), F.col("digest").alias("__gone_digest"), F.col("once").alias("__once"))
-    met = F.col("__id").eqNullSafe(F.col("__gone_id")) & (F.col("__digest") == F.col("__gone_digest"))
-    hits = seen.where(hit).join(named.hint("merge"), met, "left").where("__once is null or __once")
-    hits = written(hits.select(*docs.columns, "__id", "__digest", "__once"), "near-duplicate-candidates")
-    alone = hits.where("__once is null").select(*docs.columns)
-    one = hits.where("__once").groupBy("__id", "__digest").agg(F.first(F.struct(*docs.columns)).alias("__row"))
-    return seen.where(~hit).select(*docs.columns).unionByName(alone).unionByName(one.select("__row.*"))
+    words = written(gone.select(F.floor(slot / 64).alias("word"), _bit(slot).alias("bit")).groupBy("word").agg(
+        F.bit_or("bit").alias("bits")), "near-duplicate-filter")
+    # the documents' own columns travel in one struct, so no name of theirs can clash
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).cast("long").alias("of_id"),
+                        _digest(F.col(text_col)).alias("of_digest"))
+    at = F.pmod(F.xxhash64("of_id", "of_digest"), F.lit(FILTER_WORDS * 64))
+    seen = keyed.withColumns({"word": F.floor(at / 64), "at": _bit(at)}).join(F.broadcast(words), "word", "left")
+    hit = F.coalesce(F.col("bits").bitwiseAND(F.col("at")), F.lit(0)) != 0
+    met = F.col("of_id").eqNullSafe(F.col("id")) & (F.col("of_digest") == F.col("digest"))
+    hits = seen.where(hit).join(gone.hint("merge"), met, "left").where("once is null or once")
+    hits = written(hits.select("doc", "of_id", "of_digest", "once"), "near-duplicate-candidates")
+    one = hits.where("once").groupBy("of_id", "of_digest").agg(F.first("doc").alias("doc"))
+    kept_rows = seen.where(~hit).select("doc").union(hits.where("once is null").select("doc")).union(one.select("doc"))
+    return kept_rows.select("doc.*")
