@@ -12,7 +12,7 @@ from ..models import train as TR
 from ..operators import clean as C
 from ..operators import drift as D
 from ..operators import split as S
-from ..session import scratch_path
+from ..session import scratch_path, written
 from ..sources import store
 from ..sources.tables import table
 from .fixtures import LI_KEY
@@ -24,7 +24,7 @@ FEATS = ["l_quantity", "l_discount", "l_tax"]
 def _splits(spark, sf):
     li = table(spark, sf, "lineitem").withColumn("k", LI_KEY())
     li = li.select("k", *FEATS, "l_extendedprice", "l_returnflag")
-    return S.assign_split(li, "k")
+    return written(S.assign_split(li, "k"), "split-lineitem")
 
 
 @query("retraining_cycle")
