@@ -21,7 +21,6 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.recommendation import ALS
 from pyspark.ml.regression import LinearRegression
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +32,7 @@ from ..operators.split import assign_folds, hash_rank
 from ..session import written
 from .anomaly import _moments, fourier_features, scatter
 from .catalog import SEED
+from .train import fold_scores
 
 
 # ------------------------------------------------------------ k scan
@@ -90,13 +90,12 @@ def random_search(pipeline: Pipeline, estimator, space: dict, df: DataFrame, tas
                     pm[p] = rng.uniform(lo, hi)
         maps.append(pm)
     strat = label if task in ("binary_classification", "multiclass_classification") else None
-    data = assign_folds(df, key, folds, strat)
+    data = written(assign_folds(df, key, folds, strat), "search-folds")
     ev = (MulticlassClassificationEvaluator(metricName="accuracy", labelCol="label") if strat
           else RegressionEvaluator(metricName="r2", labelCol=label))
-    cv = CrossValidator(estimator=pipeline, estimatorParamMaps=maps, evaluator=ev, foldCol="fold",
-                        numFolds=folds, parallelism=parallelism, seed=seed).fit(data)
-    rows = [(i, str({p.name: v for p, v in m.items()}), float(s)) for i, (m, s) in enumerate(zip(maps, cv.avgMetrics))]
-    best = max(range(len(maps)), key=lambda i: (cv.avgMetrics[i], -i))
+    means = fold_scores(pipeline, maps, data, ev, folds, parallelism).mean(axis=0)
+    rows = [(i, str({p.name: v for p, v in m.items()}), float(s)) for i, (m, s) in enumerate(zip(maps, means))]
+    best = max(range(len(maps)), key=lambda i: (means[i], -i))
     return {p.name: v for p, v in maps[best].items()}, df.sparkSession.createDataFrame(
         rows, "trial int, params string, cv_mean double")
 

@@ -10,17 +10,21 @@ import time
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import partial
+from multiprocessing.pool import ThreadPool
 
+import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M
 from ..operators.split import assign_folds
+from ..session import written
 from . import catalog as CAT
 
 
@@ -102,24 +106,31 @@ def evaluate(pred: DataFrame, task: str, label: str, positive: str | None = None
     raise ValueError(task)
 
 
+def fold_scores(estimator, maps: Sequence[dict], folds: DataFrame, evaluator, k: int, parallelism: int = 2) -> np.ndarray:
+    """Score of every parameter map (columns) on every held-out ``fold`` (rows) of a
+    written table; nothing is cached beside it, and only models that are scored are fitted."""
+    def one(i: int, m: dict) -> float:
+        fitted = estimator.fit(folds.where(F.col("fold") != i), m)
+        return float(evaluator.evaluate(fitted.transform(folds.where(F.col("fold") == i))))
+    inherit = inheritable_thread_target(folds.sparkSession)
+    tasks = [inherit(partial(one, i, m)) for i in range(k) for m in maps]
+    with ThreadPool(min(parallelism, len(maps))) as pool:
+        return np.reshape(pool.map(lambda task: task(), tasks, chunksize=1), (k, len(maps)))
+
+
 def cross_validate(pipeline: Pipeline, df: DataFrame, task: str, label: str, key: str,
                    k: int = 5, parallelism: int = 2) -> tuple[float, float]:
     """K-fold score mean and population std (accuracy or R²); folds are
     seeded hash ranks (stratified for classification)."""
-    folds = assign_folds(df, key, k, label if task in CAT.CLASSIFICATION else None)
+    folds = written(assign_folds(df, key, k, label if task in CAT.CLASSIFICATION else None), "folds")
     if task in CAT.CLASSIFICATION:
         folds = index_labels(folds, label)[0].transform(folds)
-    est = pipeline
     if task in CAT.CLASSIFICATION:
         ev = MulticlassClassificationEvaluator(metricName="accuracy", labelCol="label")
     else:
         ev = RegressionEvaluator(metricName="r2", labelCol=label)
-    cv = CrossValidator(estimator=est, estimatorParamMaps=ParamGridBuilder().build(), evaluator=ev,
-                        foldCol="fold", numFolds=k, parallelism=parallelism, seed=CAT.SEED)
-    m = cv.fit(folds)
-    mean = float(m.avgMetrics[0])
-    std = float(m.stdMetrics[0]) * ((k - 1) / k) ** 0.5 if m.stdMetrics else None
-    return mean, std
+    scores = fold_scores(pipeline, [{}], folds, ev, k, parallelism)[:, 0]
+    return float(scores.mean()), float(scores.std()) * ((k - 1) / k) ** 0.5
 
 
 def train_model(train: DataFrame, val: DataFrame, model: str, task: str, features: Sequence[str],
