@@ -125,21 +125,22 @@ def learning_curve(df: DataFrame, key: str, features: Sequence[str], label: str,
     prefix of the fold's hash order; scores are R² of a linear model on the
     train subset and on the held-out fold."""
     spark = df.sparkSession
-    f = assign_folds(df, key, folds).persist()
+    ranked = hash_rank(df.select(*dict.fromkeys([key, *features, label])), key).drop("_h")
+    f = written(ranked.withColumn("fold", (F.col("_rank") % folds).cast("int")), "learning-rows")
     asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
     rows = []
     for k in range(folds):
-        tr = hash_rank(f.where(F.col("fold") != k).drop("fold"), key).persist()
-        te = f.where(F.col("fold") == k).persist()
+        # every ``folds``-th row of the hash order is held out: the others move up by the held-out ones before them
+        up = lambda c: F.expr(f"{c} - ({c} + {folds - 1 - k}) div {folds}")
+        tr = f.where(F.col("fold") != k).drop("fold").withColumn("_rank", up("_rank")).withColumn("_n", up("_n"))
+        te = f.where(F.col("fold") == k)
         for i in range(n_sizes):
             frac = low + i * (1 - low) / (n_sizes - 1)
-            sub = tr.where(F.col("_rank") < F.ceil(F.lit(frac) * F.col("_n"))).drop("_h", "_rank", "_n")
+            sub = tr.where(F.col("_rank") < F.ceil(F.lit(frac) * F.col("_n"))).drop("_rank", "_n")
             m = Pipeline(stages=[asm, LinearRegression(labelCol=label)]).fit(sub)
             a = M.regression_metrics(m.transform(sub), label, "prediction").first()["r2"]
             b = M.regression_metrics(m.transform(te), label, "prediction").first()["r2"]
             rows.append((i, k, float(frac), a, b))
-        tr.unpersist()
-        te.unpersist()
     res = spark.createDataFrame(rows, "size_idx int, fold int, fraction double, train_r2 double, val_r2 double")
     return res.groupBy("size_idx", "fraction").agg(F.avg("train_r2").alias("train_mean"), F.stddev_pop("train_r2").alias("train_std"),
                                                    F.avg("val_r2").alias("val_mean"), F.stddev_pop("val_r2").alias("val_std"))
