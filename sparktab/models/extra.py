@@ -322,7 +322,8 @@ def platt_calibrated_svc(train: DataFrame, features: Sequence[str], label: str,
     a logistic regression on the margin maps them to probabilities; the
     final SVC is fitted on all rows.  Returns (svc model, calibrator)."""
     asm = VectorAssembler(inputCols=list(features), outputCol="features")
-    data = asm.transform(assign_folds(train, key, folds))
+    rows = train.select(*dict.fromkeys([key, label, *features]))
+    data = asm.transform(written(assign_folds(rows, key, folds), "calibration-folds"))
     oof = None
     for k in range(folds):
         m = LinearSVC(labelCol=label, regParam=reg).fit(data.where(F.col("fold") != k))
