@@ -362,6 +362,8 @@ def mc_shapley(model, df: DataFrame, features: Sequence[str], id_col: str, basel
     expands to n_perm × (d+1) coalition states (seeded orderings), the model
     scores them in bulk, consecutive differences along each ordering credit
     the feature that entered, and the mean over orderings is the value.
+    Rows that share an id share their mean.  A state counts for the feature that entered
+    last and against the next one, so sums per (id, feature) are all that is shuffled.
     Returns (id, feature, attribution); rows × n_perm × (d+1) is linear."""
     feats = list(features)
     d = len(feats)
@@ -373,15 +375,16 @@ def mc_shapley(model, df: DataFrame, features: Sequence[str], id_col: str, basel
          .withColumn("_perm", perm).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(d)))))
     # feature i is "in" when its position in the ordering is < j
     enter = F.when(F.col("_j") > 0, F.element_at("_perm", F.greatest(F.col("_j"), F.lit(1))))
-    states = x.select(id_col, "_p", "_j", enter.alias("_enter"),
+    after = F.when(F.col("_j") < d, F.element_at("_perm", F.least(F.col("_j") + 1, F.lit(d))))
+    states = x.select(id_col, enter.alias("_enter"), after.alias("_next"),
                       *[F.when(F.array_position("_perm", i) - 1 < F.col("_j"), F.col(c).cast("double"))
                         .otherwise(F.lit(float(baseline[c]))).alias(c) for i, c in enumerate(feats)])
     scored = model.transform(states)
     val = vector_to_array("probability")[1] if output == "probability" else F.col("prediction")
-    s = scored.select(id_col, "_p", "_j", "_enter", val.alias("_v"))
-    w = Window.partitionBy(id_col, "_p").orderBy("_j")  # d+1 rows per group
-    diffs = s.select(id_col, "_p", F.col("_enter").alias("feat_ix"),
-                     (F.col("_v") - F.lag("_v").over(w)).alias("delta")).where(F.col("feat_ix").isNotNull())
+    s = scored.select(id_col, "_enter", "_next", val.alias("_v"))
+    parts = F.array(F.struct(F.col("_enter").alias("feat_ix"), F.col("_v").alias("delta"), F.lit(1).alias("entered")),
+                    F.struct(F.col("_next").alias("feat_ix"), (-F.col("_v")).alias("delta"), F.lit(0).alias("entered")))
+    diffs = s.select(id_col, F.inline(parts)).where(F.col("feat_ix").isNotNull())
     names = F.array(*[F.lit(c) for c in feats])
-    return diffs.groupBy(id_col, "feat_ix").agg((F.sum("delta") / n_perm).alias("attribution")).select(
+    return diffs.groupBy(id_col, "feat_ix").agg((F.sum("delta") / F.sum("entered")).alias("attribution")).select(
         id_col, F.element_at(names, F.col("feat_ix") + 1).alias("feature"), "attribution")
