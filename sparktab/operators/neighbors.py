@@ -376,8 +376,12 @@ def dbscan(points: DataFrame, eps: float = 0.5, min_samples: int = 5, id_col: st
     are noise (−1).  Clusters are numbered 0.. by their smallest core id,
     which is the order a sequential scan in id order discovers them."""
     p = written(_prep(points, id_col, vec, "id", "v"), "points")
-    counts = neighbour_counts(p, eps, "id", "v", block_rows).withColumnRenamed("qid", "id")
-    p2 = written(p.join(counts, "id").withColumn("core", F.col("n_neighbors") >= min_samples), "core-points")
+    if alone := min_samples <= 1:  # a point counts itself, unless a coordinate is missing
+        placed = p.where(F.forall(F.slice("v", 1, len(GRID)), lambda t: t.isNotNull()))
+        p2 = placed.withColumn("core", F.forall("v", lambda t: t.isNotNull() & ~F.isnan(t - t)))
+    else:
+        counts = neighbour_counts(p, eps, "id", "v", block_rows).withColumnRenamed("qid", "id")
+        p2 = written(p.join(counts, "id").withColumn("core", F.col("n_neighbors") >= min_samples), "core-points")
     core = p2.where("core").select("id", "v")
     parts = connected_components(_core_forest(core, eps, block_rows), "src", "dst").withColumnRenamed("node", "id")
     comp = core.select("id").join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("comp"))
@@ -387,6 +391,8 @@ def dbscan(points: DataFrame, eps: float = 0.5, min_samples: int = 5, id_col: st
         "comp", (F.col("cum__one") - 1).cast("int").alias("cluster"))
     core_lab = written(comp.join(numbering, "comp").select("id", "cluster"), "core-labels")
 
+    if alone:  # what is no core point is near to nothing
+        return _labelled(p2, core_lab, id_col)
     border = p2.where(~F.col("core")).select(F.col("id").alias("qid"), F.col("v").alias("qv"))
     cref = core.join(core_lab, "id").select(F.col("id").alias("rid"), F.col("v").alias("rv"), "cluster")
 
@@ -402,7 +408,11 @@ def dbscan(points: DataFrame, eps: float = 0.5, min_samples: int = 5, id_col: st
     joined = _met(*_on_grid(border, cref, eps), GRID, block_rows, kernel, "qid long, cluster int",
                   r_cols=("rid", "rv", "cluster"))
     labels = core_lab.unionByName(joined.groupBy(F.col("qid").alias("id")).agg(F.min("cluster").alias("cluster")))
-    return (p2.select("id", "core").join(labels, "id", "left")
+    return _labelled(p2, labels, id_col)
+
+
+def _labelled(points: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
+    return (points.select("id", "core").join(labels, "id", "left")
             .select(F.col("id").alias(id_col), F.coalesce("cluster", F.lit(-1)).alias("cluster"), "core"))
 
 
