@@ -6,7 +6,10 @@ gaps, so that no part spans two clusters.  A part knows the range of every
 column, and ``FAN`` parts in a row make a node of the next level up.  The nan-Euclidean
 distance of a query to any donor of a node is at least the scaled gap to its ranges over
 the columns that both have.  A query first goes to the nearest block of every pattern,
-which bounds its kth distances, and then to the nodes whose gap is within that bound."""
+which bounds its kth distances, and then to the nodes whose gap is within that bound.
+
+Donors that agree on all columns of a query are equally far and only the first k ids
+of them count.  Where that leaves few donors to the queries of a pattern, these have an index of their own."""
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
@@ -21,6 +24,8 @@ from .neighbors import _met
 from .running import running_sums
 
 BLOCK, PARTS, FAN = 128, 4, 32
+#: Most frequent patterns of queries whose donors are looked at apart.
+PATTERNS = 8
 #: Numbers of one matrix of a kernel.
 CELLS = 2_000_000
 
@@ -143,6 +148,22 @@ def _parted(spread: np.ndarray) -> Callable:
     return run
 
 
+def _pattern(vec: str, d: int) -> Column:
+    return F.concat(*[F.when(F.get(vec, F.lit(j)).isNull(), "0").otherwise("1") for j in range(d)])
+
+
+def first_of_equals(donors: DataFrame, pattern: str, k: int) -> DataFrame:
+    """The donors (row, rid, rv) that rows with the columns of ``pattern`` can take: of those that
+    agree on these columns, the k first ids with a value, for every column that is missing."""
+    present = [F.get("rv", F.lit(j)) for j in range(len(pattern))]
+    w = Window.partitionBy(*[x for x, p in zip(present, pattern, strict=True) if p == "1"]).orderBy("rid", "row")
+    found = None
+    for x in (x for x, p in zip(present, pattern, strict=True) if p == "0"):
+        some = donors.where(x.isNotNull()).withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= k).drop("nth")
+        found = some if found is None else found.unionByName(some)
+    return found.dropDuplicates(["row"]) if pattern.count("0") > 1 else found
+
+
 class DonorIndex:
     """Blocks of donors by pattern, and the levels of nodes over them, all written tables."""
 
@@ -152,8 +173,7 @@ class DonorIndex:
         self.stats = donors.agg(*[F.avg(x).alias(f"m{j}") for j, x in enumerate(present)],
                                 *[F.stddev_pop(x).alias(f"s{j}") for j, x in enumerate(present)],
                                 *[F.count(x).alias(f"n{j}") for j, x in enumerate(present)]).first()
-        pattern = F.concat(*[F.when(x.isNull(), "0").otherwise("1") for x in present])
-        rows = written(donors.select("rid", "rv", pattern.alias("pattern"), _curve("rv", d, self.stats).alias("code"),
+        rows = written(donors.select("rid", "rv", _pattern("rv", d).alias("pattern"), _curve("rv", d, self.stats).alias("code"),
                                      F.lit(1).cast("long").alias("one")), "donors")
         sizes = rows.groupBy("pattern").agg(F.count("*").alias("n"))
         placed = running_sums(rows, ["pattern"], ["code", "rid"], ["one"]).join(sizes, "pattern")
@@ -201,12 +221,29 @@ def knn_impute(df: DataFrame, features: Sequence[str], id_col: str, k: int = 5,
 
     def values(d: DataFrame) -> Column:
         return F.array(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in feats])
+    d = len(feats)
     q = written(df.where(F.exists(values(df), lambda v: v.isNull())).select(
-        F.col(id_col).cast("long").alias("qid"), values(df).alias("qv")), "rows-to-impute")
-    index = DonorIndex(donors.select(F.col(id_col).cast("long").alias("rid"), values(donors).alias("rv")), len(feats))
-    found, first = impute_candidates(q, index, k)
+        F.col(id_col).cast("long").alias("qid"), values(df).alias("qv")).withColumn("pattern", _pattern("qv", d)), "rows-to-impute")
+    rows = written(donors.select(F.col(id_col).cast("long").alias("rid"), values(donors).alias("rv"),
+                                 F.monotonically_increasing_id().alias("row")), "donor-rows")
+    means = rows.agg(F.count("*").alias("rows"), *[F.avg(F.get("rv", F.lit(j))).alias(f"m{j}") for j in range(d)]).first()
+    found = df.sparkSession.createDataFrame([], "qid long, feat int, rid long, dist double, val double")
+    apart = []
+    for r in q.groupBy("pattern").count().orderBy(F.desc("count"), "pattern").limit(PATTERNS).collect():
+        if "1" not in (p := r["pattern"]):
+            apart.append(p)  # no column is shared with any donor
+            continue
+        few = written(first_of_equals(rows, p, k), "first-of-equals")
+        if 2 * few.count() <= means["rows"]:
+            apart.append(p)
+            for some in impute_candidates(q.where(F.col("pattern") == p).select("qid", "qv"), DonorIndex(few, d), k):
+                found = found.unionByName(some)
+    rest = q.where(~F.col("pattern").isin(apart)).select("qid", "qv")
+    if not rest.isEmpty():
+        for some in impute_candidates(rest, DonorIndex(rows, d), k):
+            found = found.unionByName(some)
     w = Window.partitionBy("qid", "feat").orderBy("dist", "rid")
-    fill = (first.unionByName(found).withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
+    fill = (found.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
             .groupBy("qid", "feat").agg(F.avg("val").alias("fill")))
     wide = fill.groupBy("qid").pivot("feat", list(range(len(feats)))).agg(F.first("fill"))
     j = df.join(wide, df[id_col].cast("long") == wide["qid"], "left")
@@ -215,7 +252,7 @@ def knn_impute(df: DataFrame, features: Sequence[str], id_col: str, k: int = 5,
         if c in feats:
             i = feats.index(c)
             x = F.col(c).cast("double")
-            outs.append(F.when(x.isNull() | F.isnan(x), F.coalesce(F.col(f"`{i}`"), F.lit(index.stats[f"m{i}"])))
+            outs.append(F.when(x.isNull() | F.isnan(x), F.coalesce(F.col(f"`{i}`"), F.lit(means[f"m{i}"])))
                         .otherwise(x).alias(c))
         else:
             outs.append(df[c])
