@@ -222,8 +222,8 @@ def knn_impute(df: DataFrame, features: Sequence[str], id_col: str, k: int = 5,
     def values(d: DataFrame) -> Column:
         return F.array(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in feats])
     d = len(feats)
-    q = written(df.where(F.exists(values(df), lambda v: v.isNull())).select(
-        F.col(id_col).cast("long").alias("qid"), values(df).alias("qv")).withColumn("pattern", _pattern("qv", d)), "rows-to-impute")
+    asks = df.where(F.exists(values(df), lambda v: v.isNull())).select(F.col(id_col).cast("long").alias("qid"), values(df).alias("qv"))
+    q = written(asks.groupBy("qid", "qv").agg(F.count("*").alias("times")).withColumn("pattern", _pattern("qv", d)), "rows-to-impute")
     rows = written(donors.select(F.col(id_col).cast("long").alias("rid"), values(donors).alias("rv"),
                                  F.monotonically_increasing_id().alias("row")), "donor-rows")
     means = rows.agg(F.count("*").alias("rows"), *[F.avg(F.get("rv", F.lit(j))).alias(f"m{j}") for j in range(d)]).first()
@@ -242,6 +242,9 @@ def knn_impute(df: DataFrame, features: Sequence[str], id_col: str, k: int = 5,
     if not rest.isEmpty():
         for some in impute_candidates(rest, DonorIndex(rows, d), k):
             found = found.unionByName(some)
+    # donors count once for every time that a row is repeated
+    more = q.where("times > 1").groupBy("qid").agg(F.max("times").alias("times"))
+    found = found.join(more, "qid", "left").withColumn("again", F.explode(F.sequence(F.lit(1), F.coalesce("times", F.lit(1)))))
     w = Window.partitionBy("qid", "feat").orderBy("dist", "rid")
     fill = (found.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
             .groupBy("qid", "feat").agg(F.avg("val").alias("fill")))

@@ -135,3 +135,10 @@ def test_imputing_rows_meet_few_of_many_equal_donors(spark, monkeypatch):
         near = sorted((abs(b - y) ** 2 + abs(c - z) ** 2, j, x) for j, x, y, z in rows if x is not None)[:4]
         assert got[i] == pytest.approx(np.mean([x for *_, x in near]) if a is None else a)
     assert sizes == [24]  # six places, four donors each
+
+
+def test_donors_count_once_for_every_repeat_of_a_row(spark):
+    df = spark.createDataFrame([(1, None, 0.0), (1, None, 0.0), (2, None, 0.0), (3, 1.0, 0.0), (4, 4.0, 0.0), (5, 10.0, 3.0)],
+                               "id long, a double, b double")
+    got = {r["id"]: r["a"] for r in I.knn_impute(df, ["a", "b"], "id", 3).collect()}
+    assert got == {1: 2.0, 2: 5.0, 3: 1.0, 4: 4.0, 5: 10.0}  # 1, 1, 4 and 1, 4, 10, as the SQL twin has it
