@@ -13,15 +13,15 @@ symbol t's share, so that every word has a probability.
 * Training reads every training token once: the texts' symbols are written in
   ``rounds`` slices; in a round each task runs minibatches of noise-contrastive
   estimation over its part of the slice, and the parts' weights are averaged by tokens.
-* Scoring multiplies blocks of contexts with all symbols at once.  The most frequent
-  words (at most ``frequent``, some 10 MB) go to every task with their counts; a text's other
+* Scoring normalises over all symbols at once, by products of exponentials kept for
+  each context place and symbol.  The most frequent words (at most ``frequent``, some 10 MB) go to every task with their counts; a text's other
   words are joined with the count table, which holds no hot key then."""
 from __future__ import annotations
 
 import zlib
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -78,13 +78,14 @@ def _texts(batch: pa.RecordBatch, name: str) -> Iterator[bytes]:
 
 def word_counts(texts: DataFrame, tails: int) -> DataFrame:
     """(word, tail, n_train, n_all) of ``texts`` (text, held_out)."""
-    def rows(train: Counter, rest: Counter) -> pa.RecordBatch:
-        both = train + rest
-        words = list(both)
+    crc32 = zlib.crc32
+
+    def rows(met: Counter, learned: bool) -> pa.RecordBatch:
+        n = pa.array(list(met.values()), pa.int64())
         return pa.RecordBatch.from_arrays(
-            [pa.array([key_of(w) for w in words], pa.binary()),
-             pa.array([tail_of(w, tails) for w in words], pa.int32()),
-             pa.array([train[w] for w in words], pa.int64()), pa.array([both[w] for w in words], pa.int64())],
+            [pa.array([w if len(w) <= LONG_WORD else key_of(w) for w in met], pa.binary()),
+             pa.array([crc32(w[-3:]) % tails for w in met], pa.int32()),
+             n if learned else pa.array(np.zeros(len(met), np.int64)), n],
             ["word", "tail", "n_train", "n_all"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,9 +95,11 @@ def word_counts(texts: DataFrame, tails: int) -> DataFrame:
                 for words in parts(data):
                     (rest if out else train).update(words)
                 if len(train) + len(rest) > FLUSH_WORDS:
-                    yield rows(train, rest)
+                    yield rows(train, True)
+                    yield rows(rest, False)
                     train, rest = Counter(), Counter()
-        yield rows(train, rest)
+        yield rows(train, True)
+        yield rows(rest, False)
 
     counted = texts.select("text", "held_out").mapInArrow(run, "word binary, tail int, n_train bigint, n_all bigint")
     return counted.groupBy("word").agg(F.first("tail").alias("tail"), F.sum("n_train").alias("n_train"),
@@ -171,32 +174,42 @@ class Coder(dict):
         return i
 
 
-def encode(data: bytes, coder: Coder) -> tuple[np.ndarray, int, int, float, float, Counter]:
-    """(symbols with the end, words, known tokens, sum of log10(c + 1), tails' part of the score, missing words).
-
-    The last two sums lack log10(c + 1) of the missing words, whose counts are not at hand."""
-    v = coder.vocab
-    frequent, symbols, missing = len(v.symbol), [], Counter()
-    n, known, base, tail = 0, int(v.ends > 0), float(np.log10(v.ends + 1.0)), 0.0
-    for words in parts(data):
-        at = np.fromiter(map(coder.__getitem__, words), np.int64, len(words))
-        ids = np.empty(len(at), np.int16)
-        here = at < frequent
-        met, new = at[here], at[~here] - frequent
-        ids[here] = v.symbol[met]
-        if len(new):
-            ids[~here] = np.frombuffer(coder.symbols, np.int16)[new]
-            which, times = np.unique(new, return_counts=True)
-            for i, k in zip(which.tolist(), times.tolist(), strict=True):
-                missing[coder.keys[i]] += k
-        n += len(words)
-        known += int(np.count_nonzero(v.count[met]))
-        logs = v.log_count[met]
-        base += float(logs.sum())
-        tail += float(logs[ids[here] >= v.first_tail].sum())
-        tail -= float(v.log_total[ids[ids >= v.first_tail] - v.first_tail].sum())
-        symbols.append(ids)
-    return np.concatenate([*symbols, np.zeros(1, np.int16)]), n, known, base, tail, missing
+@dataclass
+class Encoded:
+    """Texts as symbols, and what scoring needs of them, one place per text."""
+    symbols: np.ndarray              # of all texts, each with its end
+    ends: np.ndarray                 # where they end there
+    words: np.ndarray
+    known: np.ndarray                # known tokens
+    base: np.ndarray                 # sum of log10(c + 1)
+    tail: np.ndarray                 # the tails' part of the score
+    missing: tuple[np.ndarray, list[bytes], np.ndarray]  # (where a text's end, words, times)
+
+
+def encode(texts: Iterable[bytes], coder: Coder) -> Encoded:
+    """The texts, encoded together.  ``base`` and ``tail`` lack log10(c + 1) of the missing words, whose
+    counts are not at hand."""
+    v, places, sizes = coder.vocab, [np.zeros(0, np.int32)], []
+    for data in texts:
+        sizes.append(0)
+        for words in parts(data):
+            places.append(np.fromiter(map(coder.__getitem__, words), np.int32, len(words)))
+            sizes[-1] += len(words)
+    n, at, words = len(sizes), np.concatenate(places), np.array(sizes, np.int64)
+    owner, here = np.repeat(np.arange(n), words), at < len(v.symbol)
+    ids = np.concatenate([v.symbol, np.array(coder.symbols, np.int16)]).take(at)
+    symbols = np.zeros(len(at) + n, np.int16)
+    symbols[np.arange(len(at)) + owner] = ids
+    met, of = at[here], owner[here]
+    known = np.bincount(of[v.count.take(met) > 0], minlength=n) + int(v.ends > 0)
+    logs, rare = v.log_count.take(met), ids >= v.first_tail
+    base = np.bincount(of, logs, n) + float(np.log10(v.ends + 1.0))
+    tail = np.bincount(of, np.where(rare[here], logs, 0.0), n) \
+        - np.bincount(owner[rare], v.log_total.take(ids[rare] - v.first_tail), n)
+    new = max(len(coder.keys), 1)
+    which, times = np.unique(owner[~here] * new + (at[~here] - len(v.symbol)), return_counts=True)
+    missing = (np.cumsum(np.bincount(which // new, minlength=n)), [coder.keys[i] for i in (which % new).tolist()], times)
+    return Encoded(symbols, np.cumsum(words + 1), words, known, base, tail, missing)
 
 
 @dataclass
@@ -208,10 +221,7 @@ class Model:
     b: np.ndarray
 
     def __post_init__(self):
-        self.turned = [self.R @ c for c in self.C]
-        self.outcomes = np.ascontiguousarray(np.column_stack([self.Q, self.b]).T)
-        self.reach = float(np.sqrt((self.outcomes * self.outcomes).sum(0)).max(initial=0))
-        self.buffer = np.empty((0, len(self.b)), np.float32)
+        self.tables, self.buffers = None, np.empty((2, 0, len(self.b)), np.float32)
 
     @classmethod
     def start(cls, shares: np.ndarray, dim: int, seed: int) -> Model:
@@ -232,25 +242,39 @@ class Model:
             at += x.size
         return Model(*out)
 
-    def predicted(self, contexts: np.ndarray) -> np.ndarray:
-        """q of every context, and a one that meets the bias."""
-        out = np.ones((len(contexts), self.Q.shape[1] + 1), np.float32)
-        out[:, :-1] = self.turned[0].take(contexts[:, 0], 0)
-        for i in range(1, CONTEXT):
-            out[:, :-1] += self.turned[i].take(contexts[:, i], 0)
-        return out
+    def _fill(self) -> None:
+        """What each context place adds to every symbol's score, and its exponential below the row's greatest."""
+        parts = [(self.R @ c) @ self.Q.T for c in self.C]
+        parts[0] = parts[0] + self.b
+        tops = [p.max(1) for p in parts]
+        self.tables = parts, tops, [np.exp(p - t[:, None]) for p, t in zip(parts, tops, strict=True)]
 
     def log_probabilities(self, contexts: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-        """Natural logarithms, normalised over all symbols."""
-        q, n = self.predicted(contexts), len(symbols)
-        if len(self.buffer) < n:
-            self.buffer = np.empty((n, len(self.b)), np.float32)
-        scores = np.matmul(q, self.outcomes, out=self.buffer[:n])
-        if np.sqrt((q * q).sum(1).max(initial=0)) * self.reach > 60:  # exp could leave the range of floats
-            scores -= scores.max(1, keepdims=True)
-        own = scores[np.arange(n), symbols].astype(np.float64)
-        np.exp(scores, out=scores)
-        return own - np.log((scores @ np.ones(len(self.b), np.float32)).astype(np.float64))
+        """Natural logarithms, normalised over all symbols.
+
+        A score is a sum over the context places, so its exponential is a product of
+        rows that are there before: no exponential is taken per position."""
+        if self.tables is None:
+            self._fill()
+        (parts, tops, factors), n = self.tables, len(symbols)
+        if self.buffers.shape[1] < n:
+            self.buffers = np.empty((2, n, len(self.b)), np.float32)
+        product, row = self.buffers[:, :n]
+        np.take(factors[0], contexts[:, 0], 0, out=product, mode="clip")
+        for i in range(1, CONTEXT - 1):
+            product *= np.take(factors[i], contexts[:, i], 0, out=row, mode="clip")
+        np.take(factors[-1], contexts[:, -1], 0, out=row, mode="clip")
+        total = np.einsum("ij,ij->i", product, row).astype(np.float64)
+        own, top = np.zeros(n), np.zeros(n)
+        for i in range(CONTEXT):
+            own += parts[i][contexts[:, i], symbols]
+            top += tops[i].take(contexts[:, i])
+        lost = ~(total > 1e-25)  # the places' greatest lie far apart: products may have left the range of floats
+        if lost.any():
+            scores = sum(parts[i][contexts[lost, i]].astype(np.float64) for i in range(CONTEXT))
+            top[lost] = scores.max(1)
+            total[lost] = np.exp(scores - top[lost, None]).sum(1)
+        return own - top - np.log(total)
 
 
 def contexts_of(ids: np.ndarray) -> np.ndarray:
@@ -380,19 +404,19 @@ def _encoded(texts: DataFrame, vocab: Vocabulary, rounds: int) -> DataFrame:
                 if len(coder.keys) > FLUSH_WORDS:
                     coder = Coder(sent.value)
                 part = batch.slice(at, 256)
-                coded = [encode(x, coder) for x in _texts(part, "text")]
+                coded = encode(_texts(part, "text"), coder)
                 out = part.column(2).to_pylist()
-                ends = np.cumsum([0, *(len(c[5]) for c in coded)])
-                missing = pa.StructArray.from_arrays(
-                    [pa.array([w for c in coded for w in c[5]], pa.binary()),
-                     pa.array([n for c in coded for n in c[5].values()], pa.int64())], ["word", "n"])
+                to, words, times = coded.missing
+                missing = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times, pa.int64())], ["word", "n"])
+                from_zero = lambda ends, unit=1: pa.array(np.concatenate([[0], ends * unit]), pa.int32())
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), part.column(1), part.column(2),
                     pa.array([-1 if o else k for o, k in zip(out, part.column(3).to_pylist(), strict=True)], pa.int32()),
-                    pa.array([c[0].astype("<i2").tobytes() for c in coded], pa.binary()),
-                    pa.array([c[1] + 1 for c in coded], pa.int64()), pa.array([c[2] for c in coded], pa.int64()),
-                    pa.array([c[3] for c in coded], pa.float64()), pa.array([c[4] for c in coded], pa.float64()),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), missing)],
+                    pa.Array.from_buffers(pa.binary(), len(out), [None, from_zero(coded.ends, 2).buffers()[1],
+                                                                  pa.py_buffer(coded.symbols.astype("<i2"))]),
+                    pa.array(coded.words + 1, pa.int64()), pa.array(coded.known, pa.int64()),
+                    pa.array(coded.base, pa.float64()), pa.array(coded.tail, pa.float64()),
+                    pa.ListArray.from_arrays(from_zero(to), missing)],
                     ["row", "doc_id", "held_out", "slice", "ids", "n_tokens", "n_known", "base", "tail", "missing"])
 
     dealt = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(rounds)).cast("int")

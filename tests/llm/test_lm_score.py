@@ -103,6 +103,45 @@ def test_extreme_weights_stay_finite():
     assert np.isfinite(m.log_probabilities(np.zeros((2, 3), np.int16), np.array([0, 3]))).all()
 
 
+@pytest.mark.parametrize("spread", [0.5, 3.0, 12.0])
+def test_scoring_takes_no_exponential_per_position(monkeypatch, spread):
+    """The exact softmax of summed scores, from tables that grow with the symbols and not with the positions."""
+    r = np.random.default_rng(4)
+    m = L.Model.start(np.ones(40), 6, 1)
+    m = m.with_weights(r.normal(0, spread, m.flat().size))
+    ctx, own = r.integers(0, 40, (5000, 3)).astype(np.int16), r.integers(0, 40, 5000).astype(np.int16)
+    q = sum(m.R.astype(float)[ctx[:, i]] @ m.C[i] for i in range(3))
+    scores = q @ m.Q.T.astype(float) + m.b
+    top = scores.max(1, keepdims=True)
+    want = (scores - top)[np.arange(5000), own] - np.log(np.exp(scores - top).sum(1))
+    taken, exp = [], np.exp
+    monkeypatch.setattr(L.np, "exp", lambda x, *a, **k: taken.append(x.size) or exp(x, *a, **k))
+    got = np.concatenate([m.log_probabilities(ctx[a:a + 100], own[a:a + 100]) for a in range(0, 5000, 100)])
+    assert got == pytest.approx(want, rel=1e-4, abs=1e-3 * spread ** 2)
+    assert spread > 1 or sum(taken) == 3 * 40 * 40
+
+
+def test_texts_are_encoded_together():
+    """Every text has the numbers it has alone, with empty texts and long and missing words between."""
+    _, v = small_vocab()
+    texts = [b"a b c zz new new", b"", b"ee " * 40 + b"x" * 50, b"  ", b"new A DD other", b""]
+    got = L.encode(texts, L.Coder(v))
+    ends, missed = [0, *got.ends.tolist()], [0, *got.missing[0].tolist()]
+    for i, text in enumerate(texts):
+        words = text.lower().split()
+        at = [v.words.get(w, -1) for w in words]
+        want = [v.symbol[k] if k >= 0 else v.first_tail + L.tail_of(w, v.tails) for w, k in zip(words, at, strict=True)]
+        assert got.symbols[ends[i]:ends[i + 1]].tolist() == [*want, 0]
+        assert got.words[i] == len(words) and got.known[i] == 1 + sum(v.count[k] > 0 for k in at if k >= 0)
+        assert got.base[i] == pytest.approx(math.log10(v.ends + 1) + sum(v.log_count[k] for k in at if k >= 0))
+        tails = [(k, s - v.first_tail) for k, s in zip(at, want, strict=True) if s >= v.first_tail]
+        assert got.tail[i] == pytest.approx(sum((v.log_count[k] if k >= 0 else 0) - v.log_total[t] for k, t in tails))
+        part = slice(missed[i], missed[i + 1])
+        assert dict(zip(got.missing[1][part], got.missing[2][part].tolist(), strict=True)) == \
+            Counter(L.key_of(w) for w, k in zip(words, at, strict=True) if k < 0)
+    assert len(L.encode([], L.Coder(v)).words) == 0
+
+
 def test_training_learns_a_pattern():
     """After a, b follows; noise-contrastive scores come close to normalised ones."""
     ids = [np.array(([1, 2] * 30) + [0], np.int16) for _ in range(200)]
