@@ -144,3 +144,25 @@ def test_planted_passages(spark):
     plain = brute([x for _, x in rows])
     assert {g.doc_id: (g.n_bytes, g.n_removed, g.n_spans, g.kept_sha256) for g in got} == \
         {i: p for (i, _), p in zip(rows, plain, strict=True)}
+
+
+def test_crowded_cores_make_no_row_per_start(spark, monkeypatch):
+    """One passage in many different documents: the rows grow with its runs, not with their starts."""
+    r = random.Random(7)
+    noise = lambda n: "".join(r.choice("abcdef ") for _ in range(n))
+    passage = noise(900)
+    near = [passage[:450] + x + passage[450:] for x in "ABCDEFGH"]
+    texts = [noise(r.randint(200, 400)) + r.choice([passage, *near]) + noise(300) for _ in range(90)]
+    tables = {}
+    plain = sd.written
+
+    def counted(df, name):
+        out = plain(df, name)
+        tables.setdefault(name, []).append(out.count())
+        return out
+    monkeypatch.setattr(sd, "written", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in sd.remove_repeats(df, crowd=8).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts)
+    assert len(tables["halves"]) > 1
+    assert max(max(n) for n in tables.values()) <= max(2 * tables["contexts"][0], tables["runs"][0])
