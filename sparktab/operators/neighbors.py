@@ -3,6 +3,10 @@
 * Within a distance (counts, DBSCAN, single linkage): points lie in grid cells
   of the leading three coordinates, as wide as the distance; a point meets the
   points of the adjacent cells only.
+* DBSCAN and single linkage of points that lie close together, in up to three
+  coordinates: cells so small that all points of one are near to each other.
+  Only points of cells with few points are counted one by one, and two cells are
+  linked by the boxes of their parts, by points only where boxes cannot tell.
 * k nearest (k-NN, LOF, 1-NN labels): reference rows lie in the leaves of a tree of
   pivots.  A query's first leaf gives a bound on its kth distance; handed down
   the levels, it leads only to leaves that can hold something closer.
@@ -34,6 +38,8 @@ ROOT = -1
 GRID = ["c0", "c1", "c2"]
 #: Queries of one kernel call, on average, when cells are small.
 CALL_ROWS = 512
+#: Rows of a cell from which on density methods use small cells.
+CROWD = 256
 
 
 def _prep(df: DataFrame, id_col: str, vec_col: str, idn: str, vn: str) -> DataFrame:
@@ -323,20 +329,23 @@ def local_outlier_factor(train: DataFrame, k: int = 20, id_col: str = "id",
 
 # ----------------------------------------------------------------- DBSCAN
 
-def neighbour_counts(points: DataFrame, eps: float, id_col: str = "id", vec: str = "features",
-                     block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """J5 aggregate: number of points within ``eps`` (self included)."""
-    q = _prep(points, id_col, vec, "qid", "qv")
-    r = _prep(points, id_col, vec, "rid", "rv")
-
-    def kernel(qp, rp):
+def _within(eps: float) -> Callable:
+    def kernel(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         n = np.zeros(len(qp), np.int64)
         if len(qp) and len(rp):
             for s, dist in _pairs(qp, rp):
                 n[s:s + len(dist)] = (dist <= eps).sum(axis=1)
         return pd.DataFrame({"qid": qp["qid"].to_numpy(np.int64), "n": n})
+    return kernel
+
+
+def neighbour_counts(points: DataFrame, eps: float, id_col: str = "id", vec: str = "features",
+                     block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """J5 aggregate: number of points within ``eps`` (self included)."""
+    q = _prep(points, id_col, vec, "qid", "qv")
+    r = _prep(points, id_col, vec, "rid", "rv")
 
-    c = _met(*_on_grid(q, r, eps), GRID, block_rows, kernel, "qid long, n long")
+    c = _met(*_on_grid(q, r, eps), GRID, block_rows, _within(eps), "qid long, n long")
     return c.groupBy("qid").agg(F.sum("n").alias("n_neighbors"))
 
 
@@ -368,22 +377,161 @@ def _core_forest(core: DataFrame, eps: float, block_rows: int) -> DataFrame:
     return _met(*_on_grid(q, r, eps), GRID, block_rows, kernel, "src long, dst long").distinct()
 
 
+class _SmallCells:
+    """Points of ``dim`` coordinates in cells ``g`` whose points are all within ``eps`` of each other."""
+
+    REACH = 2  # eps is at most sqrt(3) cells and a little, so it ends two cells on
+
+    def __init__(self, eps: float, dim: int, block_rows: int):
+        self.eps, self.dim, self.block_rows = eps, dim, block_rows
+        self.width = eps / dim ** 0.5 * (1 - 1e-6)  # a little smaller, for rounding
+        self.parts = 16 if dim < 3 else 8
+
+    @classmethod
+    def of(cls, points: DataFrame, eps: float, crowd: int, block_rows: int) -> _SmallCells | None:
+        """Small cells if some cell of the wide grid has more than ``crowd`` rows and they can be told exactly."""
+        if not eps > 0:
+            return None
+        cells = [_cell("v", eps, i).alias(c) for i, c in enumerate(GRID)]
+        far = F.array_max(F.transform("v", F.abs))
+        s = points.where(_finite("v")).groupBy(*cells).agg(F.count("*").alias("n"), F.min(F.size("v")).alias("lo"),
+                                                           F.max(F.size("v")).alias("hi"), F.max(far).alias("far"))
+        s = s.agg(F.max("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("far").alias("far")).first()
+        if s["n"] is None or s["n"] <= crowd or s["lo"] != s["hi"] or not 0 < s["hi"] <= len(GRID) or s["far"] / eps > 1e8:
+            return None
+        return cls(eps, s["hi"], block_rows)
+
+    def _place(self, vec: str, width: float):
+        return F.array(*[F.floor(F.get(vec, F.lit(i)) / F.lit(width)) for i in range(self.dim)])
+
+    def placed(self, points: DataFrame, vec: str) -> DataFrame:
+        return points.where(_finite(vec)).withColumn("g", self._place(vec, self.width))
+
+    def _near(self, cells: DataFrame, others: DataFrame) -> DataFrame:
+        """``cells`` (g, ...) with the cells ``o`` of ``others`` (o, ...) that can hold a point within eps."""
+        steps = product(range(-self.REACH, self.REACH + 1), repeat=self.dim)
+        near = F.array(*[F.array(*[F.get("g", F.lit(i)) + F.lit(x).cast("long") for i, x in enumerate(o)]) for o in steps])
+        return cells.withColumn("o", F.explode(near)).join(others, "o")
+
+    def meet(self, q: DataFrame, r: DataFrame, kernel: Callable, schema: str, r_cols: Sequence[str]) -> DataFrame:
+        """``kernel`` over the queries of a cell and the reference rows of the cells around it."""
+        pairs = self._near(q.select("g").distinct(), r.select(F.col("g").alias("o")).distinct())
+        around = r.withColumnRenamed("g", "o").join(pairs, "o").drop("o")
+        return _met(q, around, ["g"], self.block_rows, kernel, schema, r_cols=r_cols)
+
+    def counts(self, points: DataFrame, least: int, kernel: Callable) -> DataFrame:
+        """(id, n_neighbors): exact up to ``least``, beyond that at least ``least``."""
+        rows = written(self.placed(points.where(F.col("id").isNotNull()), "v"), "placed-points")
+        few = rows.groupBy("g").count().where(F.col("count") < least).select("g")
+        sparse = written(rows.join(few, "g", "left_semi"), "sparse-points")
+        met = self.meet(sparse.select("g", F.col("id").alias("qid"), F.col("v").alias("qv")),
+                        rows.select("g", F.col("id").alias("rid"), F.col("v").alias("rv")), kernel, "qid long, n long", ("rid", "rv"))
+        full = rows.join(few, "g", "left_anti").select("id", F.lit(least).cast("long").alias("n"))
+        # a point with a coordinate that is no finite number is near to nothing
+        none = points.where(F.forall("v", lambda t: t.isNotNull()) & ~_finite("v")).select("id", F.lit(0).cast("long").alias("n"))
+        every = full.unionByName(met.select(F.col("qid").alias("id"), "n")).unionByName(none)
+        return every.groupBy("id").agg(F.sum("n").alias("n_neighbors"))
+
+    def components(self, core: DataFrame) -> DataFrame:
+        """(id, component) of core points: a cell is one node, named by its smallest id."""
+        rows = written(self.placed(core.where(F.col("id").isNotNull()), "v")
+                       .withColumn("s", self._place("v", self.width / self.parts)), "placed-core")
+        edge = lambda f: F.array(*[f(F.get("v", F.lit(i))) for i in range(self.dim)])
+        nodes = rows.groupBy("g", "s").agg(F.min("id").alias("least"), edge(F.min).alias("lo"), edge(F.max).alias("hi"))
+        nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "core-parts")
+        cells = written(nodes.groupBy("g").agg(F.min("least").alias("rep")), "core-cells")
+        pairs = self._near(cells.withColumnRenamed("rep", "src"), cells.select(F.col("g").alias("o"), F.col("rep").alias("dst")))
+        pairs = written(pairs.where("src < dst"), "cell-pairs")
+        told = written(self._by_boxes(nodes, pairs), "told-pairs")
+        links = told.where("a is null").select("src", "dst")
+        open_pairs = told.where("a is not null").join(links, ["src", "dst"], "left_anti")
+        links = links.union(self._by_points(rows.join(nodes.select("g", "s", "node"), ["g", "s"]), written(open_pairs, "open-pairs")))
+        named = rows.join(cells, "g").select("id", "rep").distinct()
+        torn = named.groupBy("id").agg(F.min("rep").alias("src"), F.max("rep").alias("most")).where("src < most")  # repeated ids
+        links = links.union(named.join(torn, "id").where("src < rep").select("src", F.col("rep").alias("dst")))
+        parts = connected_components(links.distinct(), "src", "dst").withColumnRenamed("node", "rep")
+        return named.join(parts, "rep", "left").select("id", F.coalesce("component", "rep").alias("component")).distinct()
+
+    def _by_boxes(self, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+        """(src, dst, a, b): linked cells, with null parts, and the parts whose boxes cannot tell."""
+        sure, maybe = self.eps * (1 - 1e-9), self.eps * (1 + 1e-9)
+        schema = "src long, dst long, a long, b long"
+
+        def kernel(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
+            out = [pd.DataFrame({"src": [], "dst": [], "a": [], "b": []}, dtype="Int64")]
+            if len(qp) and len(rp):
+                ql, qh, rl, rh = (_stack(x) for x in (qp["lo"], qp["hi"], rp["rlo"], rp["rhi"]))
+                qc, rc = qp["cell"].to_numpy(), rp["cell"].to_numpy()
+                a, b, src, dst = (x.to_numpy(np.int64) for x in (qp["qid"], rp["rid"], rp["src"], rp["dst"]))
+                step, undecided, linked = max(1, CHUNK_CELLS // (len(rp) * self.dim)), [], np.zeros(len(rp), bool)
+                for at in range(0, len(qp), step):
+                    lo, hi = ql[at:at + step, None, :], qh[at:at + step, None, :]
+                    same = qc[at:at + step, None] == rc[None, :]
+                    most = np.maximum(hi - rl[None], rh[None] - lo)
+                    least = np.maximum(np.maximum(lo - rh[None], rl[None] - hi), 0)
+                    linked |= (same & ((most * most).sum(2) <= sure * sure)).any(0)
+                    i, j = np.nonzero(same & ((least * least).sum(2) <= maybe * maybe) & ~linked[None, :])
+                    undecided.append((i + at, j))
+                cell = pd.MultiIndex.from_arrays([src, dst])
+                done = pd.DataFrame({"src": src[linked], "dst": dst[linked]}).drop_duplicates().astype("Int64")
+                out.append(done.assign(a=pd.array([None] * len(done), "Int64"), b=pd.array([None] * len(done), "Int64")))
+                again = cell.isin(cell[linked]) if linked.any() else linked
+                for i, j in undecided:
+                    i, j = i[~again[j]], j[~again[j]]
+                    out.append(pd.DataFrame({"src": src[j], "dst": dst[j], "a": a[i], "b": b[j]}).astype("Int64"))
+            return pd.concat(out)
+
+        q = nodes.join(pairs.select("g").distinct(), "g", "left_semi").select("g", F.col("node").alias("qid"), "lo", "hi")
+        r = pairs.join(nodes.select(F.col("g").alias("o"), F.col("node").alias("rid"), F.col("lo").alias("rlo"),
+                                    F.col("hi").alias("rhi")), "o")
+        return _met(q, r, ["g"], self.block_rows, kernel, schema, ("qid", "lo", "hi"), ("rid", "rlo", "rhi", "src", "dst"))
+
+    def _by_points(self, rows: DataFrame, pairs: DataFrame) -> DataFrame:
+        """(src, dst) of the pairs of parts that hold points within eps."""
+        points = rows.groupBy("node", "v").agg(F.min("id").alias("id"))  # equal points are one
+        q = points.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi") \
+            .select("node", F.col("id").alias("qid"), F.col("v").alias("qv"))
+        r = points.select(F.col("node").alias("b"), F.col("id").alias("rid"), F.col("v").alias("rv")).join(pairs, "b") \
+            .select(F.col("a").alias("node"), "rid", "rv", "src", "dst")
+
+        def kernel(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
+            hit = np.zeros(len(rp), bool)
+            if len(qp) and len(rp):
+                for _, dist in _pairs(qp, rp):
+                    hit |= (dist <= self.eps).any(0)
+            return rp.loc[hit, ["src", "dst"]].drop_duplicates()
+
+        return _met(q, r, ["node"], self.block_rows, kernel, "src long, dst long", r_cols=("rid", "rv", "src", "dst"))
+
+
+def _finite(vec: str):
+    return F.forall(vec, lambda t: F.coalesce(~F.isnan(t - t), F.lit(False)))
+
+
 def dbscan(points: DataFrame, eps: float = 0.5, min_samples: int = 5, id_col: str = "id",
-           vec: str = "features", block_rows: int = BLOCK_ROWS) -> DataFrame:
+           vec: str = "features", block_rows: int = BLOCK_ROWS, crowd: int = CROWD) -> DataFrame:
     """core = at least ``min_samples`` points within eps (self
     counted); clusters = connected components of core points; border points
     join the smallest-numbered cluster among their core neighbours; others
     are noise (−1).  Clusters are numbered 0.. by their smallest core id,
-    which is the order a sequential scan in id order discovers them."""
+    which is the order a sequential scan in id order discovers them.
+
+    Where more than ``crowd`` points share a cell, the work grows with the points
+    and the pairs of cells, not with the pairs of points; the result is the same."""
     p = written(_prep(points, id_col, vec, "id", "v"), "points")
+    small = _SmallCells.of(p, eps, crowd, block_rows)
     if alone := min_samples <= 1:  # a point counts itself, unless a coordinate is missing
         placed = p.where(F.forall(F.slice("v", 1, len(GRID)), lambda t: t.isNotNull()))
         p2 = placed.withColumn("core", F.forall("v", lambda t: t.isNotNull() & ~F.isnan(t - t)))
     else:
-        counts = neighbour_counts(p, eps, "id", "v", block_rows).withColumnRenamed("qid", "id")
+        if small:
+            counts = small.counts(p, min_samples, _within(eps))
+        else:
+            counts = neighbour_counts(p, eps, "id", "v", block_rows).withColumnRenamed("qid", "id")
         p2 = written(p.join(counts, "id").withColumn("core", F.col("n_neighbors") >= min_samples), "core-points")
     core = p2.where("core").select("id", "v")
-    parts = connected_components(_core_forest(core, eps, block_rows), "src", "dst").withColumnRenamed("node", "id")
+    parts = small.components(core) if small else \
+        connected_components(_core_forest(core, eps, block_rows), "src", "dst").withColumnRenamed("node", "id")
     comp = core.select("id").join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("comp"))
     comp = written(comp, "core-components")
     roots = comp.select("comp").distinct().withColumn("_one", F.lit(1))
@@ -405,8 +553,11 @@ def dbscan(points: DataFrame, eps: float = 0.5, min_samples: int = 5, id_col: st
                 best[s:s + len(dist)] = np.where(dist <= eps, cluster[None, :], none).min(axis=1)
         return pd.DataFrame({"qid": qp["qid"].to_numpy(np.int64)[best < none], "cluster": best[best < none].astype("int32")})
 
-    joined = _met(*_on_grid(border, cref, eps), GRID, block_rows, kernel, "qid long, cluster int",
-                  r_cols=("rid", "rv", "cluster"))
+    found, r_cols = "qid long, cluster int", ("rid", "rv", "cluster")
+    if small:
+        joined = small.meet(small.placed(border, "qv"), small.placed(cref, "rv"), kernel, found, r_cols)
+    else:
+        joined = _met(*_on_grid(border, cref, eps), GRID, block_rows, kernel, found, r_cols=r_cols)
     labels = core_lab.unionByName(joined.groupBy(F.col("qid").alias("id")).agg(F.min("cluster").alias("cluster")))
     return _labelled(p2, labels, id_col)
 

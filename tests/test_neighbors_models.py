@@ -34,6 +34,62 @@ def test_dbscan_blobs_and_noise(spark):
     assert got[0] == 0  # numbered by smallest core id
 
 
+def _density(x, eps, least):
+    """(cluster, core) of every row by all pairs."""
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)) <= eps
+    core, label, n = near.sum(1) >= least, np.full(len(x), -1), 0
+    for i in np.flatnonzero(core):
+        if label[i] < 0:
+            label[i], todo = n, [i]
+            while todo:
+                for j in np.flatnonzero(near[todo.pop()] & core & (label < 0)):
+                    label[j] = n
+                    todo.append(j)
+            n += 1
+    for i in np.flatnonzero(~core):
+        label[i] = min(label[near[i] & core], default=-1)
+    return list(zip(label.tolist(), core.tolist(), strict=True))
+
+
+@pytest.mark.parametrize("dim,least", [(1, 4), (2, 1), (3, 5)])
+def test_small_cells_give_the_clusters_of_all_pairs(spark, dim, least):
+    """Blobs, scattered rows, repeated points, and points exactly eps apart."""
+    r = np.random.default_rng(dim + least)
+    x = np.concatenate([r.normal(c, s, (60, dim)) for c, s in ((0, 0.4), (4, 0.8), (-6, 0.2))]
+                       + [r.uniform(-9, 9, (40 * dim, dim)), np.repeat(r.normal(0, 3, (5, dim)), 4, 0),
+                          np.array([[30.0 + i] + [0.0] * (dim - 1) for i in range(8) for _ in range(2)])])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    odd = spark.createDataFrame([(1001, [float("nan")] * dim), (1002, [None] * dim)], df.schema)
+    for crowd in (0, N.CROWD):
+        got = {g.id: (g.cluster, g.core) for g in N.dbscan(df, 1.0, least, "id", "x", 50, crowd).collect()}
+        assert [got[i] for i in range(len(x))] == _density(x, 1.0, least)
+    key = lambda g: tuple((v is not None, v) for v in g)
+    small, wide = (sorted((tuple(g) for g in N.dbscan(df.unionByName(odd).unionByName(df.where("id % 7 = 0")), 1.0, max(least, 2),
+                                                      "id", "x", 50, crowd).collect()), key=key) for crowd in (0, N.CROWD))
+    assert small == wide
+
+
+def test_crowded_cells_meet_no_pairs_of_points(spark, monkeypatch):
+    """Four times the points in the same place: as many pairs of boxes, and no distances between points."""
+    sizes = []
+    plain = N._met
+
+    def counted(q, r, keys, *a, **k):
+        sizes.append((q.groupBy(*keys).count().withColumnRenamed("count", "n").join(
+            r.groupBy(*keys).count(), keys).selectExpr("sum(n * count)").first()[0]) or 0)
+        return plain(q, r, keys, *a, **k)
+    monkeypatch.setattr(N, "_met", counted)
+
+    def pairs(n):
+        del sizes[:]
+        r = np.random.default_rng(1)
+        x = np.round(r.uniform(0, 2, (n, 2)) * 8) / 8
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+        assert {(g.cluster, g.core) for g in N.dbscan(df, 0.5, 5, "id", "x", crowd=100).collect()} == {(0, True)}
+        return sum(sizes)
+    assert pairs(16_000) <= 1.1 * pairs(4000)
+
+
 def test_lof_flags_isolated_point(spark):
     X, df = _blobs(spark)
     far = spark.createDataFrame([(999, [20.0, 20.0])], "id long, x array<double>")
