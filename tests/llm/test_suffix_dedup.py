@@ -166,3 +166,23 @@ def test_crowded_cores_make_no_row_per_start(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == brute(texts)
     assert len(tables["halves"]) > 1
     assert max(max(n) for n in tables.values()) <= max(2 * tables["contexts"][0], tables["runs"][0])
+
+
+@pytest.mark.parametrize("ranks", [2, 3])
+def test_merging_refines_only_what_starts_need(monkeypatch, ranks):
+    """Few starts of long contexts: tails are refined no deeper than the starts ask for."""
+    r = random.Random(8)
+    length, core = 400, "".join(r.choice("abcd") for _ in range(380)).encode()
+    tails = [bytes(r.choice(b"ab") for _ in range(40)) for _ in range(100)]
+    contexts = [bytes(r.choice(b"ab") for _ in range(3)) + core + r.choice(tails) for _ in range(200)]
+    widths, sorted_rows, sort = [len(c) - length + 1 for c in contexts], [], np.argsort
+    monkeypatch.setattr(sd, "SHARD", 10_000)
+    if ranks == 2:  # as in very large buckets
+        monkeypatch.setattr(sd, "_steps", lambda n, length, steps=sd._steps: steps(1 << 30, length))
+    monkeypatch.setattr(np, "argsort", lambda a, **k: sorted_rows.append(len(a)) or sort(a, **k))
+    got = sd.repeated_starts(contexts, widths, length)
+    monkeypatch.undo()
+    seen = Counter(c[i:i + length] for c, w in zip(contexts, widths, strict=True) for i in range(w))
+    assert [g.tolist() for g in got] == [[seen[c[i:i + length]] > 1 for i in range(w)] for c, w in zip(contexts, widths, strict=True)]
+    assert any(g.any() for g in got) and not all(g.all() for g in got)
+    assert sum(sorted_rows) < 10 * sum(map(len, contexts))
