@@ -9,18 +9,21 @@
   linked by the boxes of their parts, by points only where boxes cannot tell.
 * k nearest (k-NN, LOF, 1-NN labels): reference rows lie in the leaves of a tree of
   pivots.  A query's first leaf gives a bound on its kth distance; handed down
-  the levels, it leads only to leaves that can hold something closer.
+  the levels, it leads only to leaves that can hold something closer.  Where these are
+  many (in many dimensions), all blocks of reference rows stream past the queries
+  instead, and nothing is written or shuffled per query and leaf.
 
 A crowded cell is cut into blocks of a bounded size on both sides, so no task
 holds more than two blocks whatever the skew.  Kernels emit only what the caller
 needs (top-k, a count, a spanning forest).  Ties go to the smaller reference id."""
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +38,8 @@ CHUNK_CELLS = 4_000_000
 #: Rows of a leaf of the metric tree, and pivots of a node on average.
 LEAF_ROWS, FAN = 2048, 32
 ROOT = -1
+#: Leaves a query may visit on average before blocks stream instead, rows of such a block, and query blocks of a task.
+FEW_LEAVES, STREAM_ROWS, TASK_BLOCKS = 4, 4096, 16
 GRID = ["c0", "c1", "c2"]
 #: Queries of one kernel call, on average, when cells are small.
 CALL_ROWS = 512
@@ -191,26 +196,33 @@ class MetricTree:
         kept = moved.select("rid", "rv", "node").unionByName(unsplit)
         return kept, written(pivots.join(cells, "rid"), "tree-pivots")
 
-    def _down(self, queries: DataFrame, choose: Callable) -> DataFrame:
-        """(qid, qv, bound, node) of the leaves that ``choose`` leads every query to."""
-        schema = "qid long, qv array<double>, bound double, node long"
+    def _down(self, queries: DataFrame, choose: Callable, most: float | None = None) -> DataFrame | None:
+        """(qid, qv, bound, node) of the leaves that ``choose`` leads every query to, or None
+        if a level has more than ``most`` of them for a query on average."""
+        schema = "qid long, qv array<double>, bound double, nodes array<long>"
         at = queries.select("qid", "qv", "bound", F.lit(ROOT).cast("long").alias("node"))
+        limit = None if most is None else most * queries.count()
 
         def kernel(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-            out = [qp[["qid", "qv", "bound"]].iloc[:0].assign(node=np.zeros(0, np.int64))]
+            out = [qp[["qid", "qv", "bound"]].iloc[:0].assign(nodes=pd.Series([], dtype=object))]
             if len(qp) and len(rp):
                 bound, child = qp["bound"].to_numpy(float), rp["rid"].to_numpy(np.int64)
                 stats = [rp[c].to_numpy(float) for c in ("n", "inner", "outer")]
                 for s, dist in _pairs(qp, rp):
-                    row, col = np.nonzero(choose(dist, bound[s:s + len(dist)], *stats))
-                    out.append(qp[["qid", "qv", "bound"]].iloc[s + row].assign(node=child[col]))
+                    pick = choose(dist, bound[s:s + len(dist)], *stats)
+                    some = np.flatnonzero(pick.any(1))
+                    out.append(qp[["qid", "qv", "bound"]].iloc[s + some].assign(nodes=[child[x] for x in pick[some]]))
             return pd.concat(out)
 
         for pivots in self.levels:
             inner = pivots.select("node").distinct()
-            down = _met(at.join(inner, "node", "left_semi"), pivots, ["node"], max(self.block_rows, 8 * FAN), kernel, schema,
-                        ("qid", "qv", "bound"), ("rid", "rv", "n", "inner", "outer"))
-            at = written(down.unionByName(at.join(inner, "node", "left_anti")), "tree-queries")
+            # a query's vector is written once for all children
+            down = written(_met(at.join(inner, "node", "left_semi"), pivots, ["node"], max(self.block_rows, 8 * FAN), kernel, schema,
+                                ("qid", "qv", "bound"), ("rid", "rv", "n", "inner", "outer")), "tree-queries")
+            if limit is not None and (down.agg(F.sum(F.size("nodes"))).first()[0] or 0) > limit:
+                return None
+            at = down.select("qid", "qv", "bound", F.explode("nodes").alias("node")) \
+                .unionByName(at.join(inner, "node", "left_anti"))
         return at
 
     def homes(self, queries: DataFrame, enough: int) -> DataFrame:
@@ -224,47 +236,168 @@ class MetricTree:
             return np.where(np.isfinite(best)[:, None], pick, np.isfinite(dist))
         return self._down(queries.withColumn("bound", F.lit(float("inf"))), choose)
 
-    def within(self, queries: DataFrame) -> DataFrame:
+    def within(self, queries: DataFrame, most: float | None = None) -> DataFrame | None:
         """All leaves that can hold a row within a query's ``bound``: by the triangle
-        inequality at the pivot, and by the half-space of the rows nearest to it."""
+        inequality at the pivot, and by the half-space of the rows nearest to it.
+        None if these are more than ``most`` for a query on average."""
         def choose(dist, bound, n, inner, outer):
             b = (bound * (1 + 1e-9) + 1e-9)[:, None]
             near = dist.min(1, keepdims=True)
             with np.errstate(invalid="ignore"):
                 return np.isfinite(dist) & (dist - outer <= b) & (inner - dist <= b) & ((dist - near) / 2 <= b)
-        return self._down(queries, choose)
+        return self._down(queries, choose, most)
 
 
 def knn_visits(q: DataFrame, tree: MetricTree, k: int, exclude_self: bool) -> tuple[DataFrame, Callable]:
-    """(first visits of ``q`` (qid, qv), a function from bounds to all further ones)."""
+    """(first visits of ``q`` (qid, qv), a function from bounds to all further ones, or
+    None if they are more than ``most`` for a query on average)."""
     home = tree.homes(q, k + exclude_self)
 
-    def further(bounds: DataFrame) -> DataFrame:
+    def further(bounds: DataFrame, most: float | None = None) -> DataFrame | None:
         asked = q.join(bounds, "qid", "left").fillna(float("inf"), ["bound"])
-        return tree.within(asked).join(home.select("qid", "node"), ["qid", "node"], "left_anti")
+        visits = tree.within(asked, most)
+        return None if visits is None else visits.join(home.select("qid", "node"), ["qid", "node"], "left_anti")
     return home, further
 
 
+def _packed(rows: DataFrame, name: str) -> DataFrame:
+    """Blocks of up to ``STREAM_ROWS`` of the rows (id, v, bound), as bytes, in columns that begin with ``name``.
+
+    Rows without an id or with a coordinate that is no finite number are near to nothing."""
+    cols = [name + c for c in ("ids", "vecs", "bounds")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in np.array_split(np.arange(len(batch)), -(-len(batch) // STREAM_ROWS) or 1):
+                if len(at):
+                    ids, vecs, bounds = batch.slice(int(at[0]), len(at)).columns
+                    if pa.compute.count_distinct(pa.compute.list_value_length(vecs)).as_py() > 1:
+                        raise ValueError("vectors differ in length")
+                    data = [x.to_numpy(zero_copy_only=False).tobytes() for x in (ids, vecs.flatten(), bounds)]
+                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in data], cols)
+
+    kept = rows.where(F.col("id").isNotNull() & _finite("v")).select("id", "v", "bound")
+    return kept.mapInArrow(run, ", ".join(f"{c} binary" for c in cols))
+
+
+def _put_nearest(qids: np.ndarray, q: np.ndarray, bound: np.ndarray, dist: np.ndarray, ids: np.ndarray,
+                 rids: np.ndarray, r: np.ndarray, exclude_self: bool) -> None:
+    """Put the reference rows that are among the nearest of a query into its row of ``dist`` and
+    ``ids``, which are in order; ``bound`` is what its last distance cannot exceed.
+
+    Products of matrices only tell what cannot be near; distances are by differences."""
+    k, dim = dist.shape[1], q.shape[1]
+    centre = r.mean(0)
+    span = np.sqrt(((r - centre) ** 2).sum(1).max())
+    far = np.sqrt(((q - centre) ** 2).sum(1))
+    qq, rr = np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", r, r)
+    size = np.sqrt(qq) + np.sqrt(rr.max())
+    able = np.flatnonzero(~(far - span > bound * (1 + 1e-9) + 1e-9 * (far + span) + 1e-12 * size))
+    own = exclude_self and len(np.intersect1d(qids, rids)) > 0
+    step = max(1, CHUNK_CELLS // len(r))
+    for s in range(0, len(able), step):
+        at = able[s:s + step]
+        x = q[at]
+        near = qq[at, None] + rr[None, :] - 2 * (x @ r.T)  # squares of the distances but for rounding
+        slack = 1e-15 * (dim + 16) * size[at] ** 2
+        if own:
+            near[qids[at, None] == rids[None, :]] = np.inf
+        limit = bound[at] ** 2 * (1 + 1e-8) + slack
+        many = np.flatnonzero((near <= limit[:, None]).sum(1) > 4 * k)
+        if len(many):
+            most = min(k, len(r))
+            limit[many] = np.minimum(limit[many], np.partition(near[many], most - 1, axis=1)[:, most - 1] + 2 * slack[many])
+        row, col = np.nonzero(~(near > limit[:, None]))
+        d = np.empty(len(row))
+        for c in range(0, len(row), part := max(1, CHUNK_CELLS // max(1, dim))):
+            diff = x[row[c:c + part]] - r[col[c:c + part]]
+            d[c:c + part] = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+        last, last_id, found = dist[at, -1][row], ids[at, -1][row], rids[col]
+        better = np.isfinite(d) & ((d < last) | ((d == last) & (found < last_id)))
+        if own:
+            better &= found != qids[at][row]
+        row, d, found = row[better], d[better], found[better]
+        new = np.unique(row)
+        all_row, all_d, all_id = (np.concatenate(t) for t in (
+            (np.repeat(new, k), row), (dist[at[new]].ravel(), d), (ids[at[new]].ravel(), found)))
+        order = np.lexsort((all_id, all_d, all_row))
+        all_row = all_row[order]
+        top = order[np.arange(len(order)) - np.searchsorted(all_row, all_row, "left") < k]
+        dist[at[new]], ids[at[new]] = all_d[top].reshape(-1, k), all_id[top].reshape(-1, k)
+        bound[at[new]] = np.minimum(bound[at[new]], dist[at[new], -1])
+
+
+def _streamed(asked: DataFrame, rows: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    """(qid, rid, dist) of the k nearest of ``rows`` (rid, rv, node) for every query (qid, qv, bound).
+
+    A task keeps the nearest of its query blocks while all reference blocks are read past them: time
+    grows with the pairs of blocks, but what is shuffled, written and held does not."""
+    spark = asked.sparkSession
+    parts = lambda df: -(-df.count() // (2 * STREAM_ROWS)) or 1
+    r = rows.select(F.col("rid").alias("id"), F.col("rv").alias("v"), F.lit(0.0).alias("bound"), "node")
+    r = r.repartitionByRange(parts(rows), "node", "id").sortWithinPartitions("node")
+    r = written(_packed(r, "r"), "reference-blocks")
+    q = asked.select(F.col("qid").alias("id"), F.col("qv").alias("v"), "bound")
+    q = written(_packed(q.repartition(parts(asked)), "q"), "query-blocks").withColumn("block", F.monotonically_increasing_id())
+    blocks = q.count()
+    tasks = max(1, min(blocks, 4 * spark.sparkContext.defaultParallelism), -(-blocks // TASK_BLOCKS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, tuple] = {}
+        for batch in batches:
+            for block, *cells in zip(*(batch.column(c) for c in ("block", "qids", "qvecs", "qbounds", "rids", "rvecs")), strict=True):
+                qids, qv, bound, rids, rv = (np.frombuffer(x.as_buffer(), t) for x, t in zip(cells, ("i8", "f8", "f8", "i8", "f8"), strict=True))
+                if block.as_py() not in kept:
+                    kept[block.as_py()] = (qids.copy(), bound.copy(), np.full((len(qids), k), np.inf),
+                                           np.full((len(qids), k), np.iinfo(np.int64).max))
+                qids, bound, dist, ids = kept[block.as_py()]
+                _put_nearest(qids, qv.reshape(len(qids), -1), bound, dist, ids, rids, rv.reshape(len(rids), -1), exclude_self)
+        for qids, _, dist, ids in kept.values():
+            row, col = np.nonzero(np.isfinite(dist))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (qids[row], ids[row, col], dist[row, col])], ["qid", "rid", "dist"])
+
+    # one reference partition passes by every partition of queries, which Spark holds in the task
+    met = r.select("rids", "rvecs").coalesce(1).hint("shuffle_replicate_nl").crossJoin(q.repartition(tasks))
+    return met.mapInArrow(run, "qid long, rid long, dist double")
+
+
+def knn_tree(ref: DataFrame, k: int, rid: str = "id", rvec: str = "features",
+             block_rows: int = BLOCK_ROWS, leaf_rows: int = LEAF_ROWS) -> MetricTree:
+    """The reference rows of :func:`knn_join` for up to ``k`` neighbours, a row itself counted.
+    Rows without an id are nobody's neighbours."""
+    named = _prep(ref, rid, rvec, "rid", "rv").where(F.col("rid").isNotNull())
+    return MetricTree(written(named, "knn-reference"), max(leaf_rows, 2 * k), block_rows)
+
+
 def knn_join(query: DataFrame, ref: DataFrame, k: int, qid: str = "id", rid: str = "id",
              qvec: str = "features", rvec: str = "features", exclude_self: bool = False,
-             block_rows: int = BLOCK_ROWS, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+             block_rows: int = BLOCK_ROWS, leaf_rows: int = LEAF_ROWS, tree: MetricTree | None = None) -> DataFrame:
     """Exact k nearest reference rows per query row →
     (qid, rid, dist, rank 1..k).  ``exclude_self`` drops rid == qid.
 
     A query's first leaf gives a bound on its kth distance, and with that it goes down
-    the tree once more, to the leaves that can hold something closer."""
+    the tree once more, to the leaves that can hold something closer; if these are more than
+    ``FEW_LEAVES`` on average, it meets all reference rows in blocks instead.  ``tree``: of
+    :func:`knn_tree`, if ``ref`` has one already."""
     q = written(_prep(query, qid, qvec, "qid", "qv"), "knn-queries")
-    r = written(_prep(ref, rid, rvec, "rid", "rv"), "knn-reference")
-    tree = MetricTree(r, max(leaf_rows, 2 * (k + exclude_self)), block_rows)
+    tree = tree or knn_tree(ref, k + exclude_self, rid, rvec, block_rows, leaf_rows)
     home, further = knn_visits(q, tree, k, exclude_self)
     kernel, found = _top_k(k, exclude_self), "qid long, rid long, dist double"
     first = written(_met(home, tree.rows, ["node"], block_rows, kernel, found), "knn-near")
     w = Window.partitionBy("qid").orderBy("dist", "rid")
-    best = first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = lambda df: df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    best = ranked(first)
     if tree.levels:
         bounds = best.groupBy("qid").agg(F.when(F.count("*") >= k, F.max("dist")).otherwise(float("inf")).alias("bound"))
-        more = _met(further(bounds), tree.rows, ["node"], block_rows, kernel, found)
-        best = best.drop("rank").unionByName(more).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        bounds = written(bounds, "knn-bounds")
+        visits = further(bounds, FEW_LEAVES)
+        if visits is None:
+            asked = q.join(bounds, "qid", "left").fillna(float("inf"), ["bound"])
+            best = ranked(_streamed(asked, tree.rows, k, exclude_self))
+        else:
+            more = _met(visits, tree.rows, ["node"], block_rows, kernel, found)
+            best = ranked(best.drop("rank").unionByName(more))
+        best = written(best, "knn-best")
     return best
 
 
@@ -310,7 +443,8 @@ def local_outlier_factor(train: DataFrame, k: int = 20, id_col: str = "id",
     pass the training frame to score it the way a fitted novelty model
     does) take their k nearest training rows, self included:
     LOF = mean lrd(o) / lrd(p); anomaly when LOF > 1.5."""
-    nn = knn_join(train, train, k, id_col, id_col, vec, vec, exclude_self=True)
+    tree = knn_tree(train, k + 1, id_col, vec)
+    nn = knn_join(train, train, k, id_col, id_col, vec, vec, exclude_self=True, tree=tree)
     kd = nn.groupBy("qid").agg(F.max("dist").alias("kdist"))
     reach = nn.join(kd.select(F.col("qid").alias("rid"), F.col("kdist").alias("kd_o")), "rid") \
         .select("qid", "rid", F.greatest(F.col("dist"), F.col("kd_o")).alias("reach"))
@@ -318,7 +452,7 @@ def local_outlier_factor(train: DataFrame, k: int = 20, id_col: str = "id",
     if query is None:
         qnn, qlrd = nn, lrd
     else:
-        qnn = knn_join(query, train, k, id_col, id_col, vec, vec)
+        qnn = knn_join(query, train, k, id_col, id_col, vec, vec, tree=tree)
         qreach = qnn.join(kd.select(F.col("qid").alias("rid"), F.col("kdist").alias("kd_o")), "rid") \
             .select("qid", "rid", F.greatest(F.col("dist"), F.col("kd_o")).alias("reach"))
         qlrd = qreach.groupBy("qid").agg((1.0 / (F.avg("reach") + F.lit(1e-10))).alias("lrd"))

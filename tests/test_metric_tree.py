@@ -71,3 +71,54 @@ def test_work_grows_slower_than_the_table(spark):
 
     small, large = work(4000), work(40_000)
     assert large < 0.1 * 40_000 and large / small < 4
+
+
+def neighbour_rows(df):
+    return sorted((r.qid, r["rank"], r.rid, round(r.dist, 9)) for r in df.collect())
+
+
+def test_many_dimensions_write_no_row_per_query_and_leaf(spark, monkeypatch):
+    """No pivot rules a leaf out, so queries would go to all of about 30 leaves."""
+    monkeypatch.setattr(N, "STREAM_ROWS", 100)
+    x = np.random.default_rng(6).normal(0, 1, (600, 24))
+    df, rows, write = frame(spark, x), {}, N.written
+
+    def counted(table, name):
+        out = write(table, name)
+        nodes = F.sum(F.size("nodes")) if "nodes" in out.columns else F.count("*")
+        rows[name] = max(rows.get(name, 0), out.agg(nodes).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(N, "written", counted)
+    met = []
+    monkeypatch.setattr(N, "_met", lambda q, *a, real=N._met, **kw: met.append(q.count()) or real(q, *a, **kw))
+    got = found(N.knn_join(df, df, 4, exclude_self=True, leaf_rows=100))
+    assert got == brute(x, x, 4, True)
+    assert max(met) <= N.FEW_LEAVES * 600 and rows["knn-best"] == 4 * 600 and rows["query-blocks"] < 20
+
+
+def test_streamed_blocks_equal_leaf_visits(spark, monkeypatch):
+    """Ties, equal rows, repeated and missing ids, and a far group."""
+    monkeypatch.setattr(N, "FAN", 16)
+    monkeypatch.setattr(N, "STREAM_ROWS", 40)
+    r = np.random.default_rng(7)
+    x = np.concatenate([np.zeros((90, 3)), r.integers(0, 4, (120, 3)).astype(float), 1e6 + r.normal(0, 1e-3, (40, 3))])
+    odd = spark.createDataFrame([(3, [0.0, 1.0, 2.0]), (4, [0.0, 0.0, 0.0]), (None, [0.0, 0.0, 1.0])], "id long, features array<double>")
+    df = frame(spark, x).unionByName(odd)
+    tree = N.knn_tree(df, 6, "id", "features", leaf_rows=60)
+    results = []
+    for few in (1e9, 0):
+        monkeypatch.setattr(N, "FEW_LEAVES", few)
+        results.append(neighbour_rows(N.knn_join(df, df, 6, exclude_self=True, tree=tree)))
+    assert tree.levels and results[0] == results[1] and results[0]
+
+
+def test_bounds_that_rounding_touches():
+    """Rows far from the origin and close together: products of matrices cannot order them."""
+    r = np.random.default_rng(8)
+    x = 1e7 + r.normal(0, 1e-2, (300, 5))
+    ids, k = np.arange(300), 7
+    dist, best, bound = np.full((300, k), np.inf), np.full((300, k), np.iinfo(np.int64).max), np.full(300, np.inf)
+    for at in range(0, 300, 60):
+        N._put_nearest(ids, x, bound, dist, best, ids[at:at + 60], x[at:at + 60], True)
+    assert {i: [(int(j), n + 1) for n, j in enumerate(b)] for i, b in enumerate(best)} == brute(x, x, k, True)
