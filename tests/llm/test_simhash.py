@@ -110,3 +110,22 @@ def test_repeated_rows_leave_one(spark):
     rows += [(None, None), (3, "quite another text that stands here alone"), (8, ""), (9, None)]
     got = one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(str, (r.doc_id for r in got))) == ["3", "5", "8"]
+
+
+@pytest.mark.parametrize("hot", [2000, 2])
+def test_variants_are_never_broadcast(spark, tmp_path, hot):
+    spark.range(500).selectExpr("xxhash64(id div 2) ^ (id % 2) as fp").write.parquet(f"{tmp_path}/fps")
+    found = links(spark.read.parquet(f"{tmp_path}/fps"), hot=hot)
+    assert found.count() == 250
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_fingerprints_meet_their_counts_without_a_broadcast(spark, tmp_path, monkeypatch):
+    from sparktab.llm import simhash
+    plans = []
+    monkeypatch.setattr(simhash, "written", lambda df, name: plans.append(
+        df._jdf.queryExecution().optimizedPlan().toString()) or stored(spark, df, tmp_path / name))
+    spark.range(500).selectExpr("xxhash64(id div 2) ^ (id % 2) as fp").write.parquet(f"{tmp_path}/fps")
+    links(spark.read.parquet(f"{tmp_path}/fps"))
+    assert len(plans) == 1 and "Generate" in plans[0] and "strategy=merge" in plans[0]
