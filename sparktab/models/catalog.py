@@ -17,6 +17,7 @@ from pyspark.ml import regression as R
 from pyspark.ml.feature import Binarizer
 
 from .boosting import BoostedTreesEstimator
+from .cell_trees import CellTrees
 
 SEED = 42
 
@@ -89,7 +90,7 @@ def make_estimator(model: str, task: str, params: dict | None = None, n_rows: in
         kw = dict(numTrees=int(p["n_estimators"]), maxDepth=min(int(p["max_depth"] or MAX_TREE_DEPTH), MAX_TREE_DEPTH),
                   minInstancesPerNode=int(max(p["min_samples_leaf"], 1)), featureSubsetStrategy=str(p["max_features"]),
                   seed=SEED, **sup)
-        return C.RandomForestClassifier(**kw) if task in CLASSIFICATION else R.RandomForestRegressor(**kw)
+        return CellTrees(C.RandomForestClassifier(**kw) if task in CLASSIFICATION else R.RandomForestRegressor(**kw))
     if model == "xgboost":
         unknown = set(p) - {"n_estimators", "max_depth", "learning_rate", "subsample", "colsample_bytree", "min_child_weight",
                             "gamma", "reg_alpha", "reg_lambda", "seed"}
@@ -104,7 +105,7 @@ def make_estimator(model: str, task: str, params: dict | None = None, n_rows: in
         kw = dict(maxIter=int(p["n_estimators"]), maxDepth=int(p["max_depth"]), stepSize=float(p["learning_rate"]),
                   subsamplingRate=float(p["subsample"]), seed=SEED, **sup)
         if task == "regression":
-            return R.GBTRegressor(**kw)
+            return CellTrees(R.GBTRegressor(**kw))
         if task == "binary_classification":
             return C.GBTClassifier(**kw)
         return C.OneVsRest(classifier=C.GBTClassifier(**{k: v for k, v in kw.items() if k not in ("labelCol",)}),
