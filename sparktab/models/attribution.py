@@ -10,16 +10,18 @@ Shapley weight is
     (o_j - z_j) * integral over y in [0, 1] of  prod_{i != j} (o_i y + z_i (1 - y)),
 
 a polynomial of degree D - 1, which ceil(D / 2) Gauss points integrate exactly.
-A task walks every tree once for all rows of an Arrow batch; what grows
-with the rows stays in tasks, and only the trees reach the driver."""
+Rows that no cut of any tree tells apart have the same values, so a task walks the trees once for
+every such cell it meets, not for every row; what grows with the rows stays in tasks, and only the trees reach the driver."""
 from __future__ import annotations
 
+import math
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +31,8 @@ from .boosting import BoostedTrees
 
 #: Rows walked through the trees at once.
 SLICE = 4096
+#: Numbers that a task keeps for the cells it has met, at most 32 MB.
+KEPT = 1 << 22
 
 
 @dataclass
@@ -114,6 +118,34 @@ class PathEnsemble:
                 t.add_attributions(x[s:s + SLICE], out[s:s + SLICE])
         return out
 
+    def by_cell(self) -> Callable[[np.ndarray], np.ndarray]:
+        """``attributions`` for batch after batch that walks the trees once for rows between the same cuts.
+
+        Few possible cells are kept from batch to batch, of many each batch's own are walked; categories
+        are not told by cuts, so their trees are walked for every row."""
+        d, k = self.n_features, len(self.base)
+        cuts = [np.unique(np.concatenate([t.cut[t.feature == f] for t in self.trees] or [np.zeros(0)])) for f in range(d)]
+        sizes = [len(c) + 2 for c in cuts]  # missing values are between cuts of their own
+        cells = math.prod(sizes)
+        if any(t.kinds for t in self.trees) or cells >= 1 << 62:
+            return self.attributions
+        keep = cells * d * k <= KEPT
+        known, seen = (np.zeros((cells, d, k)), np.zeros(cells, bool)) if keep else (None, None)
+
+        def run(x: np.ndarray) -> np.ndarray:
+            cell = np.zeros(len(x), np.int64)
+            for f, c in enumerate(cuts):
+                cell = cell * sizes[f] + np.where(np.isnan(x[:, f]), len(c) + 1, np.searchsorted(c, x[:, f], "left"))
+            if not keep:
+                _, first, at = np.unique(cell, return_index=True, return_inverse=True)
+                return self.attributions(x[first])[at]
+            new = np.flatnonzero(~seen[cell])
+            if len(new):
+                found, first = np.unique(cell[new], return_index=True)
+                known[found], seen[found] = self.attributions(x[new[first]]), True
+            return known[cell]
+        return run
+
     def with_background(self, rows: DataFrame) -> PathEnsemble:
         """The same trees with covers counted over all ``rows`` (x array<double>)."""
         trees, d = self.trees, self.n_features
@@ -208,14 +240,19 @@ def tree_attributions(df: DataFrame, paths: PathEnsemble, features: Sequence[str
     if len(names) != d:
         raise ValueError(f"the model has {d} features, not {len(names)}")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        attributions = paths.by_cell()
         for b in batches:
-            phi = paths.attributions(matrix(b["x"], d))
-            yield pd.DataFrame({"id": b["id"], "phi": list(phi.reshape(len(b), d * k))})
+            at, n = b.column("x"), b.num_rows
+            rows = at.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, d) if not at.null_count and len(
+                at.flatten()) == n * d else matrix(at.to_pandas(), d)
+            ends = pa.array(np.arange(n + 1) * (d * k), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.ListArray.from_arrays(
+                ends, pa.array(attributions(rows).ravel(), pa.float64()))], ["id", "phi"])
 
     rows = df.select(F.col(id_col).alias("id"), x.alias("x"))
     schema = f"id {rows.schema['id'].dataType.simpleString()}, phi array<double>"
-    out = rows.mapInPandas(run, schema).select("id", F.posexplode("phi").alias("at", "attribution"))
+    out = rows.mapInArrow(run, schema).select("id", F.posexplode("phi").alias("at", "attribution"))
     return out.select(F.col("id").alias(id_col), (F.col("at") % k).cast("int").alias("output"),
                       F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("at") / k).cast("int") + 1).alias("feature"),
                       "attribution")

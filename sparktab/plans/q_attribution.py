@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import rnd
 from ..models import attribution as AT
 from ..models import boosting as B
+from ..models.cell_trees import CellTrees
 from ..sources.tables import table
 from .q_boosting import PARTS, _stump_sql
 from .registry import query
@@ -34,7 +35,7 @@ def _line_forest(spark, sf):
     rows = table(spark, sf, "lineitem").select(key, *[F.col(c).cast("double").alias(c) for c in LINE_FEATURES],
                                                F.col("l_extendedprice").cast("double").alias("label"))
     rows = VectorAssembler(inputCols=LINE_FEATURES, outputCol="features").transform(rows)
-    model = RandomForestRegressor(numTrees=10, maxDepth=6, seed=42).fit(rows)
+    model = CellTrees(RandomForestRegressor(numTrees=10, maxDepth=6, seed=42)).fit(rows)
     return model.transform(rows), AT.mllib_paths(model, len(LINE_FEATURES))
 
 

@@ -116,3 +116,35 @@ def test_columns_nulls_and_empty_tables(spark, frame):
     assert tree_attributions(odd.where("false"), paths, NAMES, "id").isEmpty()
     with pytest.raises(ValueError):
         tree_attributions(odd, paths, NAMES[:2], "id")
+
+
+@pytest.mark.parametrize("kept", [1 << 22, 0])
+def test_rows_between_the_same_cuts_are_walked_once(monkeypatch, kept):
+    from sparktab.models import attribution as AT
+    monkeypatch.setattr(AT, "KEPT", kept)
+    r = np.random.default_rng(2)
+
+    def tree(missing_left):
+        return PathTree(np.array([0, 1, -1, 0, -1, -1, -1]), np.array([0.5, 0.2, 0, 0.8, 0, 0, 0]), np.array([1, 2, -1, 4, -1, -1, -1]),
+                        np.array([3, 6, -1, 5, -1, -1, -1]), np.full(7, missing_left), r.normal(size=(7, 2)), np.array([9.0, 4, 1, 5, 2, 3, 3]))
+    paths = PathEnsemble([tree(True), tree(False)], np.zeros(2), 2)
+    x = r.random((20_000, 2))
+    x[r.random(x.shape) < 0.1] = np.nan
+    x[:3] = [[0.5, 0.2], [0.8, 0.2], [np.inf, -np.inf]]
+    want, walked = paths.attributions(x), []
+    walk = PathTree.add_attributions
+    monkeypatch.setattr(PathTree, "add_attributions", lambda self, x, out, node=0, *a: (
+        walked.append(len(x)) if node == 0 else None, walk(self, x, out, node, *a))[1])
+    by_cell = paths.by_cell()
+    got = np.concatenate([by_cell(x[s:s + 5000]) for s in range(0, len(x), 5000)])
+    assert np.allclose(got, want, atol=1e-12) and got.shape == want.shape
+    assert sum(walked) <= (4 if not kept else 1) * 2 * 4 * 3  # batches x trees x cells
+    assert by_cell(x[:0]).shape == (0, 2, 2)
+
+
+def test_trees_with_categories_are_walked_for_every_row():
+    t = PathTree(np.array([0, -1, -1]), np.zeros(3), np.array([1, -1, -1]), np.array([2, -1, -1]), np.zeros(3, bool),
+                 np.array([[0.0], [1.0], [2.0]]), np.array([4.0, 1, 3]), {0: [0.0, 2.0]})
+    paths = PathEnsemble([t], np.zeros(1), 1)
+    x = np.array([[0.0], [1.0], [2.0]])
+    assert np.array_equal(paths.by_cell()(x), paths.attributions(x))
