@@ -104,3 +104,13 @@ def test_draws_follow_their_chances():
         n = CT.drawn(rng, 400_000, cdf, *CT.draw_table(cdf))
         share = np.bincount(n.astype(int)) / len(n)
         assert np.abs(share[:len(p)] - p).max() < 0.004
+
+
+def test_importances_of_a_classifying_forest_of_many_rows(frame, monkeypatch):
+    from sparktab.models import train as TR
+    est = make_estimator("random_forest", "multiclass_classification", {"n_estimators": 20, "max_depth": 5})
+    plain = est.mllib.fit(frame).featureImportances.toArray()
+    fitted = Pipeline(stages=[spared(monkeypatch, est.mllib)]).fit(frame)
+    got = TR.feature_importances(TR.TrainingResult("random_forest", "multiclass_classification", {}, {}, model=fitted, features=["a", "b", "c"]))
+    assert [n for n, _ in got] == ["a", "b", "c"] or got == sorted(got, key=lambda t: -t[1])
+    assert abs(sum(v for _, v in got) - 1) < 1e-9 and np.allclose([dict(got)[n] for n in "abc"], plain, atol=0.08)
